@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import minhash, mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_source_mix": mixing.op10_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": mixing.OP10_SQL}
+    return {"op3_minhash_near_dedup": minhash.OP3_SQL, "op10_source_mix": mixing.OP10_SQL}
