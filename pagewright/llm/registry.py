@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing
+from . import minhash, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+        "op8_quality_ranking": quality.op8_quality_ranking,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_source_mix": mixing.op10_source_mix,
     }
