@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality
+from . import lines, minhash, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+        "op6_segment_line_dedup": lines.op6_segment_line_dedup,
         "op8_quality_ranking": quality.op8_quality_ranking,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_source_mix": mixing.op10_source_mix,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": minhash.OP3_SQL, "op10_source_mix": mixing.OP10_SQL}
+    return {"op3_minhash_near_dedup": minhash.OP3_SQL, "op6_segment_line_dedup": lines.OP6_SQL, "op10_source_mix": mixing.OP10_SQL}
