@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, secrets, warc
+from . import lines, minhash, mixing, packing, quality, secrets, vectors, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_credential_links": secrets.op4_credential_links,
         "op5_warc_transactions": warc.op5_warc_transactions,
         "op6_segment_line_dedup": lines.op6_segment_line_dedup,
+        "op7_pca_vector_dedup": vectors.op7_pca_vector_dedup,
         "op8_quality_ranking": quality.op8_quality_ranking,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_source_mix": mixing.op10_source_mix,
@@ -18,4 +19,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": minhash.OP3_SQL, "op4_credential_links": secrets.OP4_SQL, "op5_warc_transactions": warc.OP5_SQL, "op6_segment_line_dedup": lines.OP6_SQL, "op10_source_mix": mixing.OP10_SQL}
+    return {
+        "op3_minhash_near_dedup": minhash.OP3_SQL,
+        "op4_credential_links": secrets.OP4_SQL,
+        "op5_warc_transactions": warc.OP5_SQL,
+        "op6_segment_line_dedup": lines.OP6_SQL,
+        "op7_pca_vector_dedup": vectors.OP7_SQL,
+        "op10_source_mix": mixing.OP10_SQL,
+    }
