@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, secrets, vectors, warc
+from . import lines, minhash, mixing, packing, quality, secrets, tiff, vectors, warc
 
 
 def queries() -> dict:
     return {
+        "op1_tiff_pages": tiff.op1_tiff_pages,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_credential_links": secrets.op4_credential_links,
         "op5_warc_transactions": warc.op5_warc_transactions,
