@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, secrets, tiff, vectors, warc
+from . import ctw, lines, minhash, mixing, packing, quality, secrets, tiff, vectors, warc
 
 
 def queries() -> dict:
     return {
         "op1_tiff_pages": tiff.op1_tiff_pages,
+        "op2_context_tree_scores": ctw.op2_context_tree_scores,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_credential_links": secrets.op4_credential_links,
         "op5_warc_transactions": warc.op5_warc_transactions,
