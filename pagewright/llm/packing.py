@@ -19,64 +19,144 @@ rows are packed once each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents_only, materialize, slices, utf8
+from .common import documents_only, materialize, slices
 
 SALTS = 64
-#: Words whose ids one Python worker remembers.
-MEMORY = 400_000
+#: Parts whose ids one Python worker remembers, about 30 bytes each.
+MEMORY = 1_000_000
 
 
-class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, by word.
+class PartIds:
+    """The ids of texts by way of distinct parts.
 
-    The tokenizer of ``path`` must treat blanks as boundaries that give no id
-    (checked once on loading); so a text's ids are those of its words, and each
-    distinct word is tokenized once.
+    Where the tokenizer lower-cases and splits by a plain pattern, the parts of
+    a batch of texts by that pattern are encoded as a dictionary; each part of it
+    that isn't remembered is tokenized once, and the texts' ids are gathered.
+    Other tokenizers, and texts beyond Latin-1 or with blanks or special tokens
+    that a tokenizer may see differently, are tokenized as they are.
     """
 
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: Fixed value: the splitting rule that is understood, as the vocabulary file states it.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; idle threads would spin
         self.tokenizer = Tokenizer.from_file(path)
-        whole, parts = "Ab c'll\tdé 12\n<|x|>  z", ["Ab", "c'll", "dé", "12", "<|x|>", "z"]
-        self.by_word = self.ids(whole) == b"".join(map(self.ids, parts))
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        got = self.ids(word)
-        if len(word) < 64:
-            self[word] = got
-        return got
-
-    #: Blanks to Python's split but not to the tokenizer.
-    ODD = frozenset("\x1c\x1d\x1e\x1f")
-
-    def text(self, text: str) -> bytes:
-        if not self.by_word or any(c in text for c in self.ODD):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-_loaded: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+        # what is remembered: parts, where their ids begin and how many they are, the ids, and when they were last met
+        self.known, self.flat = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.first, self.count, self.met, self.now = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+        self.ends = self._ends(json.loads(Path(path).read_text()))
+        latin = [chr(i) for i in range(256)]
+        number = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
+        other = "".join(f"\\x{{{ord(c):x}}}" for c in latin if unicodedata.category(c)[0] not in "LN" and not c.isspace() and c not in "\x1c\x1d\x1e\x1f")
+        # with blanks around all but runs of letters, splitting at blanks gives the parts
+        self.apart = f"('s|'t|'re|'ve|'m|'ll|'d|[{number}]|[{other}]+)"
+
+    def _ends(self, t: dict) -> np.ndarray | None:
+        """Which ids end a part, where the rule is the one understood."""
+        steps = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
+        split = (t["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        suffix = t["model"].get("end_of_word_suffix")
+        if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in split] != ["Split", "ByteLevel"] or not suffix:
+            return None
+        if split[0]["pattern"] != {"Regex": self.RULE} or split[0]["behavior"] != "Removed" or not split[0]["invert"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
+            return None
+        vocabulary = t["model"]["vocab"]
+        ends = np.zeros(max([*vocabulary.values(), *(x["id"] for x in t["added_tokens"])]) + 1, bool)
+        ends[[i for k, i in vocabulary.items() if k.endswith(suffix)]] = True
+        return ends
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' ids in a row, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(parts):
+            return ids, np.diff(cuts, prepend=0)
+        each = [self.whole(p) for p in parts]
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
+
+    def _forget(self) -> None:
+        """Of too many parts, those met lately stay."""
+        keep = np.flatnonzero(self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2])
+        size, start = self.count[keep], self.first[keep]
+        upto = np.cumsum(size)
+        self.flat = self.flat[np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        self.known, self.first, self.count, self.met = self.known.take(pa.array(keep)), upto - size, size, self.met[keep]
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where each part is among those remembered; new ones are tokenized in one go."""
+        self.now += 1
+        if len(self.known) > MEMORY:
+            self._forget()
+        at = pc.index_in(parts, value_set=self.known)
+        fresh = parts.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh):
+            words = fresh.to_pylist()
+            ids, size = self._encode([w for w in words if w])
+            if "" in words:  # what splitting leaves at the ends
+                size = np.insert(size, words.index(""), 0)
+            at[at < 0] = len(self.known) + np.arange(len(fresh))
+            self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
+            self.known, self.flat = pa.concat_arrays([self.known, fresh]), np.concatenate((self.flat, ids))
+            self.count, self.met = np.concatenate((self.count, size)), np.concatenate((self.met, np.zeros(len(fresh), np.int64)))
+        self.met[at] = self.now
+        return at
+
+    def _plain(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not any(x in text for x in self.ODD)
+
+    def texts(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column; null is an empty text."""
+        texts = [x or "" for x in column.to_pylist()]
+        plain = [self.ends is not None and self._plain(t) for t in texts]
+        own = pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string())
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(own), self.apart, r" \1 "))
+        coded = split.values.dictionary_encode() if len(own) else None
+        out = []
+        if coded is not None and len(coded):
+            index = self._places(coded.dictionary)[coded.indices.to_numpy()]
+            size, first = self.count[index], self.first[index]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            ids = self.flat[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+            at = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            out = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        else:
+            out = [np.zeros(0, "<u4")] * len(own)
+        rest = iter(out)
+        return [next(rest) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
+
+
+_loaded: dict[str, PartIds] = {}
+
+
+def part_ids(path: str) -> PartIds:
     if path not in _loaded:
-        _loaded[path] = WordIds(path)
+        _loaded[path] = PartIds(path)
     return _loaded[path]
 
 
@@ -84,11 +164,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
     """doc_id, start, length, ids_crc32, doc_tokens: a row for each full window and for what is left of a document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, "text"):
+        known, last = part_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        for b in slices(batches, "text", 4 << 20):
             rows = []
-            for doc, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                ids = known.text(raw.decode("utf-8")) + last
+            for doc, own in zip(b.column(0).to_pylist(), known.texts(b.column(1)), strict=True):
+                ids = own.tobytes() + last
                 rows += [(doc, at // 4, min(window, (len(ids) - at) // 4), zlib.crc32(ids[at : at + 4 * window]), len(ids) // 4) for at in range(0, len(ids), 4 * window)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
