@@ -113,7 +113,8 @@ def op4_credential_links(spark, sf_dir: str) -> DataFrame:
     found = materialize(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")), "spans")
     weak = F.array(*(F.lit(k) for k, _, _, s, *_ in KINDS if not s))
     linked = credentials(found).select("key", F.explode(F.array("a", "b", "c")).alias("x")).where(F.col("x").isNotNull() & F.array_contains(weak, F.col("x.kind")))
-    extra = linked.groupBy("key").agg(F.collect_set("x").alias("extra"))
+    # written, so that both sides of the join are dealt for it alone and a text with many copies can be split
+    extra = materialize(linked.groupBy("key").agg(F.collect_set("x").alias("extra")), "linked")
     out = found.drop("weak").join(extra, "key", "left")
     count = lambda k: F.size(F.filter("strong", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     every = F.concat("strong", F.coalesce("extra", F.array().cast(_SPAN)))
