@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
 
-PAGE = Window.partitionBy("page_id")
+def page_window():
+    return Window.partitionBy("page_id")
 
 
 def ordered_concat(key, order, value, separator: str):
@@ -25,7 +26,7 @@ def lines_to_blocks(lines: DataFrame, gap: float = 1.5) -> DataFrame:
     """Adds block (from 0) and line_in_block: a block ends where the gap to the
     next line exceeds ``gap`` times that line's height.  Lines without a box drop out."""
     own = lines.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
-    order = PAGE.orderBy("line_index")
+    order = page_window().orderBy("line_index")
     new = (F.col("y0") - F.lag("y1").over(order)) > gap * F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
     own = own.withColumn("block", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return own.withColumn("line_in_block", F.row_number().over(Window.partitionBy("page_id", "block").orderBy("line_index")) - 1)
@@ -45,17 +46,17 @@ def reading_order(blocks: DataFrame, strict: bool = False) -> DataFrame:
     Blocks that straddle the middle of two columns follow at the end, by height;
     ``strict`` drops them.
     """
-    mid = (F.min("x0").over(PAGE) + F.max("x1").over(PAGE)) / 2
+    mid = (F.min("x0").over(page_window()) + F.max("x1").over(page_window())) / 2
     left, right = F.col("x1") <= F.col("_mid"), F.col("x0") >= F.col("_mid")
     out = blocks.withColumn("_mid", mid).withColumn("_side", F.when(left, 0).when(right, 1).otherwise(2))
-    n = lambda side: F.sum((F.col("_side") == side).cast("int")).over(PAGE)
-    two = (n(0) + n(1) >= 0.85 * F.count("*").over(PAGE)) & (n(0) >= 2) & (n(1) >= 2)
+    n = lambda side: F.sum((F.col("_side") == side).cast("int")).over(page_window())
+    two = (n(0) + n(1) >= 0.85 * F.count("*").over(page_window())) & (n(0) >= 2) & (n(1) >= 2)
     out = out.withColumn("_two", two)
     if strict:
         out = out.where(~F.col("_two") | (F.col("_side") < 2))
     band = F.bround(F.col("y0") / 15)
     keys = [F.when(F.col("_two"), F.col("_side")).otherwise(0), F.when(F.col("_two"), F.col("y0")).otherwise(band), F.col("x0"), F.col("ord")]
-    return out.withColumn("position", F.row_number().over(PAGE.orderBy(*keys)) - 1).drop("_mid", "_side", "_two")
+    return out.withColumn("position", F.row_number().over(page_window().orderBy(*keys)) - 1).drop("_mid", "_side", "_two")
 
 
 def char_spans(lines: DataFrame) -> DataFrame:
@@ -67,11 +68,11 @@ def char_spans(lines: DataFrame) -> DataFrame:
     empty or not.
     """
     rows = lines.withColumn("t", T.strip(F.coalesce("text", F.lit(""))))
-    order = PAGE.orderBy("block", "line_in_block")
+    order = page_window().orderBy("block", "line_in_block")
     shown = F.col("t") != ""
     before = F.when(shown & (F.col("line_in_block") > 0), 1).otherwise(0)
     # what earlier blocks add between themselves and this line
-    rows = rows.withColumn("_before", before).withColumn("_rank", F.dense_rank().over(PAGE.orderBy("block")) - 1)
+    rows = rows.withColumn("_before", before).withColumn("_rank", F.dense_rank().over(page_window().orderBy("block")) - 1)
     used = F.sum(F.col("_before") + F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(used, F.lit(0)) + F.col("_before") + 2 * F.col("_rank")
     return rows.where(shown).select("page_id", "block", "line_in_block", start.cast("long").alias("start"), (start + F.length("t")).cast("long").alias("end"), F.col("t").alias("text"))

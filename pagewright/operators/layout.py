@@ -8,15 +8,19 @@ from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
 
-PAGE = Window.partitionBy("page_id").orderBy("ord")
-SO_FAR = PAGE.rowsBetween(Window.unboundedPreceding, 0)
+def in_page():
+    return Window.partitionBy("page_id").orderBy("ord")
+
+
+def so_far():
+    return in_page().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def list_blocks(lines: DataFrame) -> DataFrame:
     """Lines (page_id, ord, text) with kind and island: consecutive marked lines of one kind are a list."""
     rows = lines.withColumn("_m", T.list_marker(F.col("text"))).withColumn("kind", F.coalesce("_m.kind", F.lit("paragraph")))
-    new = (F.col("kind") == "paragraph") | F.coalesce(F.lag("kind").over(PAGE) != F.col("kind"), F.lit(True))
-    return rows.withColumn("island", F.sum(new.cast("int")).over(SO_FAR) - 1).withColumn("body", F.coalesce("_m.body", "text")).drop("_m")
+    new = (F.col("kind") == "paragraph") | F.coalesce(F.lag("kind").over(in_page()) != F.col("kind"), F.lit(True))
+    return rows.withColumn("island", F.sum(new.cast("int")).over(so_far()) - 1).withColumn("body", F.coalesce("_m.body", "text")).drop("_m")
 
 
 def layout_headings(lines: DataFrame) -> DataFrame:
@@ -25,13 +29,13 @@ def layout_headings(lines: DataFrame) -> DataFrame:
     rows = lines.join(sized, "page_id", "left")
     big = (F.col("_body") > 0) & (F.length("text") <= 100) & (F.col("size") >= F.col("_body") * 1.2) & ((F.col("bold") >= 0.6) | (F.col("size") >= F.col("_body") * 1.35))
     rows = rows.withColumn("_h", F.coalesce(big, F.lit(False)))
-    nth = F.sum(F.col("_h").cast("int")).over(SO_FAR)
+    nth = F.sum(F.col("_h").cast("int")).over(so_far())
     return rows.withColumn("kind", F.when(~F.col("_h"), "paragraph").when(nth == 1, "h1").otherwise("h2")).drop("_h", "_body")
 
 
 def tab_tables(lines: DataFrame) -> DataFrame:
     """page_id, table, row_index, column_index, text: two or more consecutive lines with tabs, padded to one width."""
-    rows = lines.withColumn("_tab", F.contains("text", F.lit("\t"))).withColumn("_out", F.sum((~F.col("_tab")).cast("int")).over(SO_FAR)).where("_tab")
+    rows = lines.withColumn("_tab", F.contains("text", F.lit("\t"))).withColumn("_out", F.sum((~F.col("_tab")).cast("int")).over(so_far())).where("_tab")
     run = Window.partitionBy("page_id", "_out")
     rows = rows.withColumn("_n", F.count("*").over(run)).where("_n >= 2").withColumn("_cells", F.split("text", "\t", -1))
     rows = rows.withColumn("_width", F.max(F.size("_cells")).over(run)).withColumn("row_index", F.row_number().over(run.orderBy("ord")) - 1)
