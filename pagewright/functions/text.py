@@ -262,3 +262,52 @@ def safe_job_id(value: Column) -> Column:
 def safe_member_path(value: Column) -> Column:
     """Relative, forward slashes only, no empty, dot or parent part."""
     return ~value.startswith("/") & ~value.contains("\\") & ~value.contains(":") & ~value.rlike(r"(^|/)(\.{0,2})(/|$)")
+
+
+# ---- markup, settings and noisy answers
+
+
+def inline_styles(text: Column, bold: Column, italic: Column, spans: Column) -> Column:
+    """Escaped text in b and i where a line's ratio is 0.8 or more; span by span
+    (struct text, bold, italic) only where the spans make up just the text."""
+    wrap = lambda t, b, i: F.concat(F.when(b, "<b>").otherwise(""), F.when(i, "<i>").otherwise(""), t, F.when(i, "</i>").otherwise(""), F.when(b, "</b>").otherwise(""))
+    whole = wrap(escape_html(text), bold >= 0.8, italic >= 0.8)
+    parts = F.array_join(F.transform(spans, lambda s: wrap(escape_html(s["text"]), s["bold"], s["italic"])), "")
+    joined = F.array_join(F.transform(spans, lambda s: s["text"]), "")
+    return F.when((bold >= 0.8) | (italic >= 0.8) | spans.isNull() | (joined != text), whole).otherwise(parts)
+
+
+#: What translation settings may be.
+STYLES = {"general": "ทั่วไป", "novel": "นิยาย", "academic": "วิชาการ", "official": "ราชการ"}
+PROVIDERS = ("local", "local_api", "cli_codex", "cli_gemini", "cli_agy", "cli_claude", "cli_lms", "google", "hybrid")
+MANUAL = ("preserve", "rebase", "reset")
+
+
+def settings_checked(source: Column, target: Column, style: Column, provider: Column, manual: Column) -> Column:
+    """struct(source, target, style, provider, errors): languages and names in their usual form, and what is wrong."""
+    own = F.lower(strip(F.coalesce(style, F.lit("general"))))
+    own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in STYLES.items() for x in (v, k))), own), own)
+    src = F.when(F.lower(strip(source)) == "auto", "auto").otherwise(language_tag(source))
+    dst, who = language_tag(target), F.lower(F.coalesce(provider, F.lit("local")))
+    rules = ((src.isNull(), "source_language"), (dst.isNull(), "target_language"), (F.lower(src) == F.lower(dst), "same_language"), (~own.isin(*STYLES), "style"), (~who.isin(*PROVIDERS), "provider"), (~F.lower(F.coalesce(manual, F.lit("preserve"))).isin(*MANUAL), "manual_strategy"))
+    errors = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules)))
+    return F.struct(src.alias("source"), dst.alias("target"), own.alias("style"), who.alias("provider"), errors.alias("errors"))
+
+
+def clean_metadata(value: Column, most: int) -> Column:
+    """Without control characters, stripped, of at most ``most`` characters."""
+    return F.substring(strip(F.regexp_replace(value, r"[\x00-\x1F\x7F]", "")), 1, most)
+
+
+def iso_date(value: Column) -> Column:
+    """The date where the value is one written YYYY, YYYY-MM or YYYY-MM-DD, else null."""
+    full = F.when(value.rlike(r"^\d{4}$"), F.concat(value, F.lit("-01-01"))).when(value.rlike(r"^\d{4}-\d{2}$"), F.concat(value, F.lit("-01"))).when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value)
+    return F.when(F.try_to_timestamp(full, F.lit("yyyy-MM-dd")).isNotNull(), value)
+
+
+def json_object(answer: Column) -> Column:
+    """The JSON object in a noisy answer: of a fenced block, else from the first brace to the last; null if it isn't one."""
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    outer = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+    found = F.when(fenced != "", fenced).otherwise(outer)
+    return F.when(F.get_json_object(found, "$").isNotNull(), found)

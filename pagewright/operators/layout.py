@@ -109,3 +109,66 @@ def heading_ids(blocks: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "_sig").orderBy("ord"))
     made = F.concat(F.lit("h-"), F.col("_sig"), F.when(nth > 1, F.concat(F.lit("-"), nth.cast("string"))).otherwise(""))
     return rows.withColumn("id", F.when(F.col("source_id").rlike("^[A-Za-z][A-Za-z0-9_.:-]*$"), F.col("source_id")).otherwise(made)).drop("_sig")
+
+
+def grid_cells(pixels: DataFrame, sizes: DataFrame, wide: float = 0.18, tall: float = 0.05, crossing: float = 0.7) -> DataFrame:
+    """page_id, row_index, column_index, x0, y0, x1, y1: the cells of a ruled table.
+
+    pixels(page_id, x, y) are the dark ones, sizes(page_id, width, height).  Rows
+    of pixels with a run of ``wide`` of the width, and columns with one of
+    ``tall`` of the height, are ruled lines, thick ones merged.  A line stays if
+    it meets ``crossing`` of the other axis's lines within two pixels; three of
+    each axis make a grid.
+    """
+    from .geometry import dark_runs, line_clusters
+
+    dark = pixels.withColumn("dark", F.lit(True))
+    flat = dark_runs(dark).join(sizes, "page_id").where(F.col("longest") >= wide * F.col("width")).select("page_id", F.col("y").alias("at"))
+    up = dark_runs(dark.select("page_id", F.col("x").alias("y"), F.col("y").alias("x"), "dark")).join(sizes, "page_id").where(F.col("longest") >= tall * F.col("height")).select("page_id", F.col("y").alias("at"))
+    ys = line_clusters(flat, "page_id", "at").select("page_id", F.col("centre").alias("y"))
+    xs = line_clusters(up, "page_id", "at").select("page_id", F.col("centre").alias("x"))
+    near = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    places = ys.join(xs, "page_id").select("page_id", "x", "y", near.alias("dx")).select("page_id", "x", "y", "dx", near.alias("dy")).select("page_id", F.col("x").alias("lx"), F.col("y").alias("ly"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    met = places.join(pixels, ["page_id", "x", "y"], "left_semi").select("page_id", "lx", "ly").distinct()
+    of = lambda axis, own: Window.partitionBy("page_id", axis) if own else Window.partitionBy("page_id")
+    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
+    good = met.join(count(ys, "ny"), "page_id").join(count(xs, "nx"), "page_id")
+    good = good.withColumn("cx", F.count("*").over(of("lx", True))).withColumn("cy", F.count("*").over(of("ly", True)))
+    rows = good.where(F.col("cy") >= crossing * F.col("nx")).select("page_id", F.col("ly").alias("y")).distinct()
+    columns = good.where(F.col("cx") >= crossing * F.col("ny")).select("page_id", F.col("lx").alias("x")).distinct()
+
+    def steps(df: DataFrame, at: str, index: str) -> DataFrame:
+        own = Window.partitionBy("page_id").orderBy(at)
+        return df.withColumn("_n", F.count("*").over(Window.partitionBy("page_id"))).where("_n >= 3").withColumn(f"{at}1", F.lead(at).over(own)).withColumn(index, F.row_number().over(own) - 1).where(f"{at}1 is not null").withColumnRenamed(at, f"{at}0").drop("_n")
+
+    return steps(rows, "y", "row_index").join(steps(columns, "x", "column_index"), "page_id").select("page_id", "row_index", "column_index", "x0", "y0", "x1", "y1")
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of one key paired by position, both in their order; what is beyond the shorter drops out."""
+    own = Window.partitionBy(key).orderBy(order)
+    nth = lambda df: df.withColumn("_n", F.row_number().over(own))
+    other = nth(right).select(F.col(key).alias("_k"), F.col("_n").alias("_m"), *(F.col(c).alias(f"right_{c}") for c in right.columns if c != key))
+    return nth(left).join(other, (F.col(key) == F.col("_k")) & (F.col("_n") == F.col("_m"))).drop("_k", "_m").withColumn("position", F.col("_n") - 1).drop("_n")
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """job_id, html: a section a page in order; failed and blank pages have a marker instead of text."""
+    from .assemble import ordered_concat
+
+    text = T.escape_html(F.coalesce("text", F.lit("")), quotes=True)
+    paragraphs = F.array_join(F.transform(F.filter(F.split(text, "\n", -1), lambda x: T.strip(x) != ""), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    body = F.when(F.col("status") == "failed", '<p class="failed">failed</p>').when((F.col("status") == "blank") | (paragraphs == ""), '<p class="blank">blank</p>').otherwise(paragraphs)
+    page = F.concat(F.lit('<section data-page="'), F.col("page_id").cast("string"), F.lit('">'), body, F.lit("</section>"))
+    return pages.withColumn("_s", page).groupBy("job_id").agg(ordered_concat("job_id", "page_id", "_s", "").alias("html"))
+
+
+def confidences(words: DataFrame) -> DataFrame:
+    """page_id, line_index, confidence: the mean over a line's words, null without any."""
+    return words.groupBy("page_id", "line_index").agg(F.bround(F.avg("confidence"), 4).alias("confidence"))
+
+
+def unresolved_counts(cells: DataFrame) -> DataFrame:
+    """page_id, unresolved: how many cells have something to review, private-use glyphs included."""
+    odd = F.col("unresolved") | F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")
+    return cells.groupBy("page_id").agg(F.count_if(odd).alias("unresolved"))

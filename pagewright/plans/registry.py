@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_assemble, q_correct, q_jobs, q_text, q_translate
+from . import q_assemble, q_correct, q_jobs, q_more, q_text, q_translate
 
 FLAGSHIP = "W2_char_spans"
-_MODULES = (q_text, q_assemble, q_correct, q_translate, q_jobs)
+_MODULES = (q_text, q_assemble, q_correct, q_translate, q_jobs, q_more)
 
 
 def queries() -> dict:

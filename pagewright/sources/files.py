@@ -63,3 +63,28 @@ def written_equal(df: DataFrame, path: str) -> bool:
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+
+
+def checked_covers(covers: DataFrame, most_bytes: int = 10 << 20, most_pixels: int = 16_000_000) -> DataFrame:
+    """cover_id, type, error of covers(cover_id, encoded): base64 of a PNG or JPEG of bounded size."""
+    content = F.try_to_binary(F.col("encoded"), F.lit("base64"))
+    kind = magic_type(content)
+    side = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    error = F.when(content.isNull(), "encoding").when(F.octet_length(content) > most_bytes, "too_large").when(~kind.isin("png", "jpeg"), "type").when((kind == "png") & (side(17) * side(21) > most_pixels), "too_many_pixels").when((kind == "png") & (F.coalesce(side(17) * side(21), F.lit(0)) <= 0), "damaged")
+    return covers.select("cover_id", kind.alias("type"), error.alias("error"))
+
+
+def accepted_uploads(files: DataFrame, extensions=("pdf", "png", "jpg", "jpeg"), most_bytes: int = 300 << 20) -> DataFrame:
+    """name, safe_name, error of files(name, size_bytes)."""
+    base = F.element_at(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), -1)
+    safe = F.substring(F.regexp_replace(base, r"[^\p{L}\p{M}\p{N}._ -]", "_"), -120, 120)
+    extension = F.lower(F.regexp_extract(base, r"\.([A-Za-z0-9]+)$", 1))
+    error = F.when(F.trim(base) == "", "name").when(~extension.isin(*extensions), "extension").when(F.col("size_bytes") > most_bytes, "too_large").when(F.col("size_bytes") <= 0, "empty")
+    return files.select("name", safe.alias("safe_name"), error.alias("error"))
+
+
+def capped(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys with ``most`` rows at most, and the keys that have more: refused whole, never cut."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    over = n.where(F.col("n") > most)
+    return rows.join(over.select(key), key, "left_anti"), over
