@@ -8,9 +8,12 @@ these rules on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,57 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that go to Python at once; the default of 10,000 long texts fills the memory beside the heap.
+ARROW_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_ROWS at most while the block runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows of a narrow table that one file holds.
+FILE_ROWS = 50_000
+
+
+def files_for(rows: int) -> int:
+    """Files of a narrow table of about ``rows`` rows.
+
+    Every file costs the writer a call of its own (on local folders even a
+    process), so a small result of many shuffle partitions is written as a few
+    files; their number grows with the rows, not with the partitions.
+    """
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs no more than the reading.
+    Cuts the lineage: a lost executor costs no more than the reading.  ``rows``:
+    about how many there are at most, where that is known.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,19 +103,61 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def _libc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+_malloc_trim = _libc_trim()
+
+
+def trim() -> None:
+    """Gives memory that Arrow and the C library hold for later back to the system:
+    several workers share an executor's allowance with its heap."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
+def _merged(batches: Iterable[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together up to about ``most`` bytes of column ``at``."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.column(at).nbytes
+        if size >= most:
+            yield from _one(held)
+            held, size = [], 0
+    yield from _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if len(held) == 1:
+        yield held[0]
+    elif held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most`` bytes or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.frombuffer(col.buffers()[1], dtype=np.int32 if not pa.types.is_large_binary(col.type) and not pa.types.is_large_string(col.type) else np.int64)
-        sizes = sizes[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is None:
+        return
+    at = first.schema.get_field_index(column)
+    for batch in _merged(chain([first], batches), at, most):
+        col = batch.column(at)
+        wide = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
+        ends = np.frombuffer(col.buffers()[1], dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         begin = 0
         while begin < batch.num_rows:
-            end = int(np.searchsorted(sizes, sizes[begin] + most, side="right")) - 1
+            end = int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
+            trim()
             begin = end
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def spanning(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -52,15 +52,15 @@ def _sum(df: DataFrame) -> tuple[int, int]:
     return r[0], int(r[1] or 0)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v), both long.
+def connected_components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of ``edges`` (u, v), both long; ``rows``: about how many edges there are at most.
 
     component is the smallest node reachable.  Null ends and self-loops are
     dropped, repeated edges count once; an empty table gives an empty table.
     """
     e = edges.select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v")).where("u is not null and v is not null and u < v")
     e = e.mapInArrow(_thin, "u long, v long").distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", rows)
     seen = _sum(e)
     for _ in range(rounds):
         if not seen[0]:
@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("m").alias("u"), "v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.least("m", "u").alias("u"), F.greatest("m", "u").alias("v")))).alias("e")).select("e.*").where("u < v")
-        e = materialize(small.distinct(), "edges")
+        before, e = e, materialize(small.distinct(), "edges", 2 * seen[0])
+        discard(before)
         now = _sum(e)
         if now == seen:
             break

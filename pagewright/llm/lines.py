@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, mix64, slices, utf8
+from .common import discard, documents_only, materialize, mix64, slices, utf8
 from .components import connected_components
 
 MIN_BYTES = 24
@@ -78,7 +78,7 @@ def probes(size: int, edits: int) -> list[tuple[int, int, int, int]]:
                 low = max(p - i, p + short - (edits - i), 0)
                 high = min(p + i, p + short + (edits - i), size - k)
                 plan += [x for at in range(low, high + 1) if (x := (size - short, i, at, k)) not in own]
-        if len(_plans) < 20_000:
+        if len(_plans) < 2_000:
             _plans[size, edits] = plan
     return plan
 
@@ -248,11 +248,14 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, repeats: int = 2, least:
     lines = materialize(occurrences(docs, least), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.count("*").alias("n"))
 
-    met = materialize(key_blocks(docs, edits, least, reducers).groupBy("part").applyInArrow(_meeting, "k long, h long"), "keys")
+    n = lines.count()
+    met = materialize(key_blocks(docs, edits, least, reducers).groupBy("part").applyInArrow(_meeting, "k long, h long"), "keys", 4 * n)
     wanted = met.select("h").distinct().join(first, "h").select("at.*", "h")
-    texts = materialize(texts_of(docs, wanted, least), "texts")
-    links = materialize(met.join(texts, "h").groupBy("k").applyInArrow(_verify(edits), "u long, v long"), "links")
-    classes = connected_components(links).withColumnRenamed("node", "h")
+    texts = materialize(texts_of(docs, wanted, least), "texts", 4 * n)
+    links = materialize(met.join(texts, "h").groupBy("k").applyInArrow(_verify(edits), "u long, v long"), "links", 4 * n)
+    components = connected_components(links, n)
+    discard(met, texts, links)
+    classes = components.withColumnRenamed("node", "h")
 
     by = first.join(classes, "h", "left").select("h", "at", "n", F.coalesce("component", "h").alias("c"))
     several = by.groupBy("c").agg(F.min("at").alias("keep"), F.sum("n").alias("n")).where(F.col("n") >= max(2, repeats))
