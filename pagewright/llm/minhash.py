@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, mix64, slices, utf8
+from .common import discard, documents_only, materialize, mix64, slices, utf8
 from .components import connected_components
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ class WordHashes(dict):
     """A 64-bit hash by word; each worker remembers the latest words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         got = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:
@@ -245,35 +245,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     bands = bands_for(percent)
     k, least = bands * ROWS, least_match(percent, bands * ROWS)
     f = materialize(features(docs, bands), "minhash")
+    n = f.count()
     full = f.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = full.select("doc_id", "digest").join(classes, "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u < v")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "bands", "sig"), "reps")
+    reps = materialize(reps.select("doc_id", "bands", "sig"), "reps", n)
 
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("band", "key").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keys.join(hubs, ["band", "key"]).where("u < doc_id").select("u", F.col("doc_id").alias("v")).distinct()
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("y")), "v").join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("x")), "u")
-    pairs = materialize(pairs.where(equal_values(F.col("x"), F.col("y"), k) >= least).select("u", "v"), "pairs")
+    pairs = materialize(pairs.where(equal_values(F.col("x"), F.col("y"), k) >= least).select("u", "v"), "pairs", 4 * n)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
-    sets = materialize(sets_of(docs, ids).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(sets_of(docs, ids).dropDuplicates(["doc_id"]), "sets", n)
     both = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("y")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("x")), "u").select("u", "v", "x", "y")
-    stars = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "stars")
+    stars = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "stars", 4 * n)
 
-    linked = connected_components(stars)
+    linked = connected_components(stars, n)
     label = reps.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    open_ = label.select("doc_id", "label", F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = label.select("doc_id", "label", "sig", "bands", F.posexplode("bands").alias("band", "key")).join(open_, ["band", "key"])
+    # ids and labels alone are dealt by bucket; what is compared joins the few that are left
+    narrow = label.select("doc_id", "label", F.posexplode("bands").alias("band", "key"))
+    open_ = narrow.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    left = materialize(narrow.join(open_, ["band", "key"]), "buckets", 8 * n)
+    rows = left.join(reps, "doc_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
     group = ["band", "key", "i", "j"]
-    some = materialize(rows.groupBy(*group).applyInArrow(_participants(least, k), rows.schema), "open")
+    some = materialize(rows.groupBy(*group).applyInArrow(_participants(least, k), rows.schema), "open", 8 * n)
     more = some.join(sets_of(docs, some.select("doc_id")).dropDuplicates(["doc_id"]), "doc_id")
-    more = more.groupBy(*group).applyInArrow(_links(least, k, percent), "u long, v long")
+    # written before the next Python step: chained, each would keep a worker of its own alive beside the heap
+    more = materialize(more.groupBy(*group).applyInArrow(_links(least, k, percent), "u long, v long"), "links", 8 * n)
     edges = linked.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(more).unionByName(copies)
-    cc = connected_components(edges)
+    cc = connected_components(edges, n)
+    discard(reps, pairs, sets, stars, left, some, more)
     return f.select("doc_id", "n_shingles").join(cc.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
