@@ -39,12 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, mix64, utf8
+from .common import documents_only, materialize, mix64, trim, utf8
 
 DEPTH = 4
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 WORDS, GRAMS = 0, 1
 
 
@@ -78,6 +78,32 @@ def grams(chunk: bytes, depth: int) -> np.ndarray:
     return key
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique(keys, return_inverse=True)`` by one sort of hashes with positions
+    in their low bits, which is much faster than sorting positions by key; where
+    two keys share a hash, NumPy's own way."""
+    n = len(keys)
+    if n < 2:
+        return np.unique(keys, return_inverse=True)
+    bits = np.uint64((n - 1).bit_length())
+    h = mix64(keys) >> bits << bits | np.arange(n, dtype=np.uint64)
+    h.sort()
+    at = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(h[1:] >> bits, h[:-1] >> bits, out=new[1:])
+    own = keys[at]
+    if ((own[1:] != own[:-1]) & ~new[1:]).any():
+        return np.unique(keys, return_inverse=True)
+    found = own[new]
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    inverse = np.empty(n, np.int64)
+    inverse[at] = rank[np.cumsum(new) - 1]
+    return found[order], inverse
+
+
 class Bucket:
     """The documents of one bucket in a fixed order, and what it asks for."""
 
@@ -124,7 +150,7 @@ class Bucket:
             u, n = np.unique(keys[~fold], return_counts=True)
             found += [u, np.unique(keys[fold])]
             counts += [n, np.zeros(len(found[-1]), np.int64)]
-        key, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        key, inverse = grouped(np.concatenate(found))
         return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
 
 
@@ -147,6 +173,7 @@ _ASK = "shard long, kind int, bucket long, asked binary, counts binary"
 def ask(shards: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
+        trim()
         rows = [(s, WORDS, at, b"\0".join(w), np.array([bucket.words[x] for x in w], np.int64).tobytes()) for s, w in bucket.by_shard.items()]
         keys, counts = bucket.keys()
         rows += [(s, GRAMS, at, keys[own].tobytes(), counts[own].tobytes()) for s, own in by_shard(keys, shards)]
@@ -165,7 +192,7 @@ def weigh(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray,
     estimates, weights, below = {}, {}, None
     for d in range(depth, 1, -1):
         suffix = context & np.uint64((1 << 8 * d) - 1)
-        code, at = np.unique((suffix[:, None] << np.uint64(8) | prefix.astype(np.uint64)).ravel(), return_inverse=True)
+        code, at = grouped((suffix[:, None] << np.uint64(8) | prefix.astype(np.uint64)).ravel())
         ones = np.bincount(at, (bit * counts[:, None]).ravel(), len(code))
         zeros = np.bincount(at, ((1 - bit) * counts[:, None]).ravel(), len(code))
         log_e = log_kt(zeros, ones)
@@ -195,6 +222,7 @@ _ANSWER = "bucket long, kind int, shard long, answer binary, code int, zeros dou
 
 def answer(depth: int):
     def run(table: pa.Table) -> pa.Table:
+        trim()
         shard = table.column("shard")[0].as_py()
         rows: list[tuple] = []
         asked = {kind: [(r["bucket"], r["asked"], np.frombuffer(r["counts"], np.int64)) for r in table.to_pylist() if r["kind"] == kind] for kind in (WORDS, GRAMS)}
@@ -207,7 +235,7 @@ def answer(depth: int):
             rows.append((None, None, None, None, None, None, None, None, sum(total.values()), sum(n > 0 for n in total.values())))
         if asked[GRAMS]:
             every = [np.frombuffer(x, np.uint64) for _, x, _ in asked[GRAMS]]
-            keys, inverse = np.unique(np.concatenate(every), return_inverse=True)
+            keys, inverse = grouped(np.concatenate(every))
             counts = np.bincount(inverse, np.concatenate([c for _, _, c in asked[GRAMS]]), len(keys))
             p, (code, zeros, ones, log_p) = weigh(keys, counts, depth)
             at = np.cumsum([0, *map(len, every)])
@@ -259,6 +287,7 @@ def score(top: Top, shards: int, depth: int):
         types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        trim()
         bucket = Bucket(table, shards, depth)
         got = {(r["kind"], r["shard"]): r["answer"] for r in answers.to_pylist()}
         counts: dict[bytes, int] = {}
@@ -270,7 +299,7 @@ def score(top: Top, shards: int, depth: int):
             log_p[own] = top.log10(keys[own], np.frombuffer(got[GRAMS, s], np.float32).reshape(-1, 8))
         sums, sizes = [], []
         for _, _, own, starts in bucket.chunks():
-            found, inverse = np.unique(own, return_inverse=True)
+            found, inverse = grouped(own)
             sums.append(np.add.reduceat(log_p[np.searchsorted(keys, found)][inverse], starts))
             sizes.append(np.diff(np.r_[starts, len(own)]))
         known = {w: n > 0 for w, n in counts.items()}
