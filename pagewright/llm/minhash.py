@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     f = materialize(features(docs, bands), "minhash")
     n = f.count()
     full = f.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the joins are dealt for them alone and a set with many copies can be split
+    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes", n)
     copies = full.select("doc_id", "digest").join(classes, "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u < v")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select("doc_id", "bands", "sig"), "reps", n)
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = materialize(more.groupBy(*group).applyInArrow(_links(least, k, percent), "u long, v long"), "links", 8 * n)
     edges = linked.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(more).unionByName(copies)
     cc = connected_components(edges, n)
-    discard(reps, pairs, sets, stars, left, some, more)
+    discard(classes, reps, pairs, sets, stars, left, some, more)
     return f.select("doc_id", "n_shingles").join(cc.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
