@@ -80,7 +80,7 @@ def hierarchy_errors(headings: DataFrame) -> DataFrame:
 
 
 def chapters(blocks: DataFrame, title: str = "Book") -> DataFrame:
-    """doc_id, chapter, title, n_blocks of blocks (doc_id, ord, tag, page, text): cut at h1 where there is one, else at pages."""
+    """doc_id, chapter, title, n_blocks, body (XHTML) of blocks (doc_id, ord, tag, page, text): cut at h1 where there is one, else at pages."""
     own = Window.partitionBy("doc_id")
     order = own.orderBy("ord")
     rows = blocks.withColumn("_any", F.max((F.col("tag") == "h1").cast("int")).over(own) == 1)
@@ -88,7 +88,9 @@ def chapters(blocks: DataFrame, title: str = "Book") -> DataFrame:
     rows = rows.withColumn("chapter", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("chapter", F.dense_rank().over(own.orderBy("chapter")) - 1)
     head = F.when(F.col("tag").isin("h1", "h2", "h3"), F.struct("ord", "text"))
-    return rows.groupBy("doc_id", "chapter").agg(F.substring(F.coalesce(F.min(head)["text"], F.when(F.max("page").isNotNull(), F.concat(F.lit("Page "), F.min_by("page", "ord").cast("string"))), F.lit(title)), 1, 200).alias("title"), F.count("*").alias("n_blocks"))
+    html = F.concat(F.lit("<"), "tag", F.lit(">"), T.escape_html(F.coalesce("text", F.lit(""))), F.lit("</"), "tag", F.lit(">"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", html.alias("html")))), lambda x: x["html"]), "\n")
+    return rows.groupBy("doc_id", "chapter").agg(F.substring(F.coalesce(F.min(head)["text"], F.when(F.max("page").isNotNull(), F.concat(F.lit("Page "), F.min_by("page", "ord").cast("string"))), F.lit(title)), 1, 200).alias("title"), F.count("*").alias("n_blocks"), body.alias("body"))
 
 
 def toc_levels(headings: DataFrame) -> DataFrame:

@@ -291,8 +291,8 @@ def rendered(spark, d):
 
 @query("S17_V4_epub_packages")
 def epub(spark, d):
-    b = levels(spark, d).where("doc_id % 20 = 0").withColumn("tag", F.coalesce("level", F.lit("p"))).withColumnRenamed("page_id", "page")
-    c = layout.chapters(b).select("doc_id", "chapter", "title", F.concat(F.lit("<p>"), F.col("n_blocks").cast("string"), F.lit("</p>")).alias("body"))
+    b = levels(spark, d).withColumn("tag", F.coalesce("level", F.lit("p"))).withColumnRenamed("page_id", "page")
+    c = layout.chapters(b).select("doc_id", "chapter", "title", "body")
     return package.packages(c).select("doc_id", F.octet_length("package").alias("n"), F.sha2("package", 256).alias("h"), F.size("errors").alias("errors"))
 
 
