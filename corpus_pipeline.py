@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm import lines, minhash, mixing, packing, quality
 from pagewright.llm.common import materialize
 
-#: A line class loses its later occurrences from this many occurrences on.
-LINE_REPEATS = 3
+#: A line class loses its later occurrences from this many occurrences on, as in op6.
+LINE_REPEATS = 2
 NEAR_PERCENT = 80
 
 
