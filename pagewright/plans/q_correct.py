@@ -107,7 +107,7 @@ def context(spark, d):
 
 @query("A5_diff_summary")
 def diff(spark, d):
-    t = I.lines(spark, d).where("ln < 3")
+    t = I.lines(spark, d)
     t = t.withColumn("s", A.diff_summary(F.col("line"), F.translate("line", "eno", "aE")))
     return t.select("doc_id", "ln", "s.*", (F.levenshtein("line", F.translate("line", "eno", "aE")) <= F.col("s.substitutions") + F.col("s.insertions") + F.col("s.deletions")).alias("bounded"))
 

@@ -42,3 +42,10 @@ def test_epub_packages(spark, small):
         z = zipfile.ZipFile(io.BytesIO(data))
         assert sum(z.read(n).decode().count("line ") for n in z.namelist() if "chapter-" in n) >= text.count("line ")
     assert got == want
+
+
+def test_diff_summary_has_every_line(spark, small):
+    got = {(r.doc_id, r.ln): r for r in registry.queries()["A5_diff_summary"](spark, small).collect()}
+    lines = {(d, n): x for d, t in TEXTS.items() for n, x in enumerate(t.split("\n"))}
+    assert got.keys() == lines.keys()
+    assert all(r.bounded and r.unchanged + r.substitutions + r.deletions == len(lines[k]) for k, r in got.items())
