@@ -10,22 +10,36 @@ the estimators of all depths along a context's path:
     P(d) = 1/2 KT(d) + 1/2 product of P(d + 1) over the contexts one byte longer
 
 so the predictive probability of a bit is the mixture of the depths' estimates by
-weights KT(d) / (KT(d) + product).  A context that training never met predicts as
-the next shorter one.  Scoring uses the trained tree as it is.
-
-No executor and not the driver ever holds the tree.  Documents are dealt into
-buckets of about ``BUCKET_BYTES``.  A bucket asks for what it needs: its distinct
-(context, byte) pairs and words, with their counts in its training documents, go
-to the shard that owns the last two bytes of the context (or the word).  A shard
-sums the counts of all buckets, weights its subtree, and answers each bucket with
-arrays aligned to its questions.  Only depths 0 and 1 need all shards; their
-sums, 255 nodes of each of 256 contexts at most, are what the driver gets.  The
-bucket then scores its documents whole.
+weights KT(d) / (KT(d) + product).  A context that training never met has no
+counts, so it predicts one half and weighs its depth by one half, as every
+Krichevsky-Trofimov estimator does before its first symbol.  Scoring uses the
+trained tree as it is.
+
+No executor and not the driver ever holds the tree:
+
+1. Documents are dealt into buckets of about ``BUCKET_BYTES``.  A bucket sums
+   its distinct (context, byte) pairs and words, with their counts in its
+   training documents, and sends them to the shards that own them: a shard owns
+   all contexts that end in the same ``depth - 2`` bytes, at most 65,536 of full
+   depth for each such ending, however large the input; a word goes by its hash.
+2. A shard sums the counts of all buckets and weights its subtrees.
+3. The nodes of the shallower depths are summed natively by (context, prefix),
+   one depth at a time; only the 256 contexts of depth 1, with 255 nodes each at
+   most, come to the driver.  Back down, each node gets what the depths above it
+   contribute and the weight that they leave.
+4. Each shard answers every bucket with the code length of each pair it asked
+   for, and the bucket scores its documents whole.
+
+Keys travel as differences in byte planes, which the shuffle's compression
+reduces to a few bytes each.
 
 Defined cases: null and empty texts are one token, the end; a null id counts as
-an empty one for the fold; repeated rows are scored (and learned from) each; an
-empty table gives an empty result; without training documents all estimates are
-those of an untrained tree.
+an empty one for the fold; repeated rows are scored (and learned from) each, and
+share a bucket; equal texts have equal scores, so ties need no order; a text is
+scored whole however long it is, in the memory of one bucket and itself; a word
+may hold any character but the six blanks, U+0000 too; other columns of the
+input are ignored, whatever they are called; an empty table gives an empty
+result; without training documents all estimates are those of an untrained tree.
 """
 
 from __future__ import annotations
@@ -39,13 +53,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, mix64, trim, utf8
+from .common import discard, documents_only, materialize, mix64, trim, utf8
 
-DEPTH = 4
-BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
-CHUNK = 1 << 20
-WORDS, GRAMS = 0, 1
+#: Bytes of context; with the byte itself they must fit a 64-bit key.
+DEPTH = 7
+BUCKET_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20
+CHUNK = 4 << 20
+#: Positions that are looked up at once: their numbers take the low bits beside a hash.
+LOOK = 1 << 20
+WORDS, GRAMS, MODEL, UP = 0, 1, 2, 3
+#: The end's word in messages; no other word holds a line feed.
+END = b"\n"
+_BYTE = np.uint64(255)
 
 
 def held_out(id_col: Column) -> Column:
@@ -53,281 +73,424 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+_FEW = 1 << 14
+_HALVES = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_FEW - 1) + 0.5))))
+_WHOLES = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_FEW - 1) + 1.0))))
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones: products
+    of halves over a factorial, from tables, or Stirling's series for large counts."""
+    return _log_rising(n0, 0.5, _HALVES) + _log_rising(n1, 0.5, _HALVES) - _log_rising(n0 + n1, 1.0, _WHOLES)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after eight steps of the recurrence; x >= 0.5."""
-    y, shift = x + 8.0, np.zeros_like(x)
-    for i in range(8):
-        shift += np.log(x + i)
-    r = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - shift
+def _log_rising(n: np.ndarray, x: float, table: np.ndarray) -> np.ndarray:
+    """Log of x (x + 1) ... (x + n - 1)."""
+    n = np.asarray(n)
+    out = table[np.minimum(n, _FEW - 1).astype(np.int64)]
+    many = n >= _FEW
+    if many.any():
+        series = lambda z: (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z)
+        out = np.where(many, series(np.maximum(n, 1) + x) - (0.5 * np.log(np.pi) if x == 0.5 else 0.0), out)
+    return out
 
 
-def grams(chunk: bytes, depth: int) -> np.ndarray:
+def grams(data: bytes, depth: int) -> np.ndarray:
     """(context, byte) of each byte after the first ``depth``, eight bits a byte,
     the latest context byte next to the lowest eight."""
-    b = np.frombuffer(chunk, np.uint8)
+    b = np.frombuffer(data, np.uint8)
     n = len(b) - depth
     key = np.zeros(n, np.uint64)
     for i in range(depth + 1):
-        key = key << np.uint64(8) | b[i : i + n]
+        key <<= np.uint64(8)
+        key |= b[i : i + n]
     return key
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``np.unique(keys, return_inverse=True)`` by one sort of hashes with positions
-    in their low bits, which is much faster than sorting positions by key; where
-    two keys share a hash, NumPy's own way."""
-    n = len(keys)
-    if n < 2:
-        return np.unique(keys, return_inverse=True)
-    bits = np.uint64((n - 1).bit_length())
-    h = mix64(keys) >> bits << bits | np.arange(n, dtype=np.uint64)
-    h.sort()
-    at = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    new = np.empty(n, bool)
-    new[0] = True
-    np.not_equal(h[1:] >> bits, h[:-1] >> bits, out=new[1:])
-    own = keys[at]
-    if ((own[1:] != own[:-1]) & ~new[1:]).any():
-        return np.unique(keys, return_inverse=True)
-    found = own[new]
-    order = np.argsort(found)
-    rank = np.empty(len(found), np.int64)
-    rank[order] = np.arange(len(found))
-    inverse = np.empty(n, np.int64)
-    inverse[at] = rank[np.cumsum(new) - 1]
-    return found[order], inverse
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values in a sorted array."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(keys)])
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of several sorted arrays, sorted, the sums of their
+    counts, and the place of each key, in the arrays' order, among the distinct."""
+    every, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(every, kind="stable")  # merges what is sorted already
+    found = every[order]
+    first, length = runs(found)
+    place = np.empty(len(every), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), length)
+    return found[first], np.add.reduceat(n[order], first) if len(first) else n, place
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of all numbers, lowest bytes first: high ones, mostly zero, compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(raw, np.uint64), dtype=np.uint64)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return END.join(w if w != END else b"" for w in words)
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    """A word is never empty and holds no line feed; the empty one stands for the end."""
+    return [w or END for w in raw.split(END)]
 
 
 class Bucket:
-    """The documents of one bucket in a fixed order, and what it asks for."""
+    """The documents of one bucket, and what it asks for."""
 
     def __init__(self, table: pa.Table, shards: int, depth: int):
-        ids, texts, folds = table.column("doc_id").to_pylist(), utf8(table.column("text").combine_chunks()), table.column("held_out").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids, self.folds = [ids[i] for i in order], [folds[i] for i in order]
-        self.tokens = [texts[i].lower().split() for i in order]
+        self.ids, self.folds = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
+        self.texts = utf8(table.column("text").combine_chunks())
         self.shards, self.depth = shards, depth
-        trained: Counter = Counter()
-        words: dict[bytes, int] = {}
-        for own, fold in zip(self.tokens, self.folds, strict=True):
-            if fold:
-                words.update(dict.fromkeys(own, 0))
-            else:
-                trained.update(own)
-                trained[b"\n"] += 1
-        words.update(trained)
-        words.setdefault(b"\n", 0)
-        self.words = words
-        shard = xxhash.xxh3_64_intdigest
-        self.by_shard: dict[int, list[bytes]] = {}
-        for w in words:
-            self.by_shard.setdefault(shard(w) % shards, []).append(w)
-
-    def chunks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """First and last document, keys, and each document's first key, for runs of documents."""
-        begin, size, parts = 0, 0, []
-        before = b"\n" * self.depth
-        for i, own in enumerate(self.tokens):
-            parts.append(b" ".join(own) + b"\n")
-            size += len(parts[-1])
-            if size >= CHUNK or i + 1 == len(self.tokens):
-                keys = [grams(before + p, self.depth) for p in parts]
-                starts = np.cumsum([0, *map(len, keys[:-1])])
-                yield begin, i + 1, np.concatenate(keys), starts
-                begin, size, parts = i + 1, 0, []
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys, sorted, with their counts in training documents."""
+
+    def chunks(self, size: int) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of documents of about ``size`` bytes, or parts of longer ones:
+        first and last document, their tokens, keys, each document's first key, and
+        whether a key's byte belongs to a document and not to the padding before it."""
+        begin, held, tokens, parts = 0, 0, [], []
+        for i, t in enumerate(self.texts):
+            tokens.append(t.lower().split())
+            parts.append(b" ".join(tokens[-1]) + END)
+            held += len(parts[-1])
+            if held >= size or i + 1 == len(self.texts):
+                before = END * self.depth
+                starts = np.cumsum([0, *(len(p) + self.depth for p in parts[:-1])])
+                keys = grams(b"".join(before + p for p in parts), self.depth)
+                own = np.ones(len(keys), bool)
+                own[(starts[1:, None] - np.arange(1, self.depth + 1)).ravel()] = False
+                yield begin, i + 1, tokens, keys, starts, own
+                begin, held, tokens, parts = i + 1, 0, [], []
+
+    def asked(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Words by shard order with their training counts, and the distinct keys, sorted, with theirs."""
+        words: Counter = Counter({END: 0})
         found, counts = [], []
-        for begin, end, keys, starts in self.chunks():
+        for begin, end, tokens, keys, starts, own in self.chunks(CHUNK):
+            for t, fold in zip(tokens, self.folds[begin:end], strict=True):
+                if fold:
+                    words.update(dict.fromkeys(t, 0))
+                else:
+                    words.update(t)
+                    words[END] += 1
             fold = np.repeat(np.array(self.folds[begin:end], bool), np.diff(np.r_[starts, len(keys)]))
-            u, n = np.unique(keys[~fold], return_counts=True)
-            found += [u, np.unique(keys[fold])]
-            counts += [n, np.zeros(len(found[-1]), np.int64)]
-        key, inverse = grouped(np.concatenate(found))
-        return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+            for mine, weight in ((own & ~fold, 1), (own & fold, 0)):
+                x = keys[mine]
+                x.sort()
+                first, n = runs(x)
+                found.append(x[first])
+                counts.append(n * weight)
+        key, n, _ = merged(found, counts)
+        return words, key, n
+
+    def by_shard(self, words: dict[bytes, int]) -> dict[int, list[bytes]]:
+        out: dict[int, list[bytes]] = {}
+        for w in sorted(words):
+            out.setdefault(xxhash.xxh3_64_intdigest(w) % self.shards, []).append(w)
+        return out
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two bytes of the context, so that a subtree is in one shard."""
-    return (mix64(keys >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int64)
+def dealt(keys: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards with the places of their keys, by the last bytes of the context."""
+    ending = keys >> np.uint64(8) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
+    shard = (mix64(ending) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    first, n = runs(shard[order])
+    for at, many in zip(first.tolist(), n.tolist(), strict=True):
+        yield int(shard[order[at]]), order[at : at + many]
 
 
-def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    shard = shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(own):
-            yield int(shard[own[0]]), own
+_TYPES = {"shard": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "asked": pa.binary(), "counts": pa.binary(), "code": pa.int64(), "zeros": pa.float64(), "ones": pa.float64(), "log_p": pa.float64(), "n": pa.int64(), "v": pa.int64()}
+_ROW = "shard long, kind int, bucket long, asked binary, counts binary, code long, zeros double, ones double, log_p double, n long, v long"
+_ASK = "shard long, kind int, bucket long, asked binary, counts binary"
 
 
-_ASK = "shard long, kind int, bucket long, asked binary, counts binary"
+def rows_of(columns: dict, size: int, names: list[str] | None = None) -> pa.Table:
+    """A table with the given columns and nulls in the others."""
+    names = names or list(_TYPES)
+    return pa.table({k: pa.array(columns[k], _TYPES[k]) if k in columns else pa.nulls(size, _TYPES[k]) for k in names})
 
 
 def ask(shards: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
-        bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
         trim()
-        rows = [(s, WORDS, at, b"\0".join(w), np.array([bucket.words[x] for x in w], np.int64).tobytes()) for s, w in bucket.by_shard.items()]
-        keys, counts = bucket.keys()
-        rows += [(s, GRAMS, at, keys[own].tobytes(), counts[own].tobytes()) for s, own in by_shard(keys, shards)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "kind", "bucket", "asked", "counts"])
+        bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
+        words, keys, counts = bucket.asked()
+        out = [(s, WORDS, packed_words(w), planes(np.array([words[x] for x in w], np.uint32))) for s, w in bucket.by_shard(words).items()]
+        out += [(s, GRAMS, packed_keys(keys[own]), planes(counts[own].astype(np.uint32))) for s, own in dealt(keys, shards, depth)]
+        shard, kind, asked, n = zip(*out, strict=True)
+        return rows_of({"shard": shard, "kind": kind, "bucket": [at] * len(out), "asked": asked, "counts": n}, len(out), _ASK_NAMES)
 
     return run
 
 
-def weigh(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Mixed estimates of each key's eight bits from depth 2 on (NaN where training
-    never met the depth-2 context), and the depth-2 nodes: code, n0, n1, log P."""
-    k, byte = len(keys), (keys & np.uint64(255)).astype(np.int64)
-    context = keys >> np.uint64(8)
-    bit = (byte[:, None] >> np.arange(7, -1, -1)) & 1
-    prefix = (1 << np.arange(8)) | (byte[:, None] >> np.arange(8, 0, -1))
-    estimates, weights, below = {}, {}, None
-    for d in range(depth, 1, -1):
-        suffix = context & np.uint64((1 << 8 * d) - 1)
-        code, at = grouped((suffix[:, None] << np.uint64(8) | prefix.astype(np.uint64)).ravel())
-        ones = np.bincount(at, (bit * counts[:, None]).ravel(), len(code))
-        zeros = np.bincount(at, ((1 - bit) * counts[:, None]).ravel(), len(code))
-        log_e = log_kt(zeros, ones)
-        if below is None:
-            log_p, share = log_e, np.ones(len(code))
-        else:
-            up = np.searchsorted(code, (below[0] >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | below[0] & np.uint64(255))
-            children = np.bincount(up, below[1], len(code))
-            log_p = np.logaddexp(log_e, children) - np.log(2)
-            share = 1 / (1 + np.exp(np.clip(children - log_e, -700, 700)))
-        met = np.where(bit.ravel() == 1, ones[at], zeros[at])
-        total = (zeros + ones)[at]
-        estimates[d] = np.where(total > 0, (met + 0.5) / (total + 1), np.nan)
-        weights[d] = share[at]
-        below = (code, log_p)
-        top = (code, zeros, ones, log_p)
-    for d in range(3, depth + 1):  # what was never met predicts as the shorter context
-        estimates[d] = np.where(np.isnan(estimates[d]), estimates[d - 1], estimates[d])
-    p = estimates[depth]
-    for d in range(depth - 1, 1, -1):
-        p = weights[d] * estimates[d] + (1 - weights[d]) * p
-    return p.reshape(k, 8).astype(np.float32), top
-
-
-_ANSWER = "bucket long, kind int, shard long, answer binary, code int, zeros double, ones double, log_p double, n long, v long"
-
-
-def answer(depth: int):
+_ASK_NAMES = [x.split()[0] for x in _ASK.split(", ")]
+
+
+def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed estimates of each key's eight bits from depth ``root`` on, and the sums
+    of depth ``root``'s nodes by their parents: code, n0, n1, log P.  ``keys``:
+    sorted and distinct."""
+    leaf, n, to_leaf = keys, counts.astype(float), np.arange(len(keys))
+    p, chain, below = [None] * 8, [], None
+    for d in range(depth, root - 1, -1):
+        if d < depth:
+            code = leaf & np.uint64((1 << 8 * (d + 1)) - 1)
+            order = np.argsort(code, kind="stable")
+            first, size = runs(code[order])
+            up = np.empty(len(code), np.int64)
+            up[order] = np.repeat(np.arange(len(first)), size)
+            leaf, n, to_leaf = code[order][first], np.bincount(up, n, len(first)), up[to_leaf]
+        level, sums = [], []
+        for j in range(8):
+            first, size = runs(leaf >> np.uint64(8 - j))
+            one = (leaf >> np.uint64(7 - j) & np.uint64(1)).astype(float)
+            ones = np.add.reduceat(n * one, first)
+            total = np.add.reduceat(n, first)
+            log_e = log_kt(total - ones, ones)
+            node = np.repeat(np.arange(len(first)), size)
+            if d == depth:
+                log_p, share = log_e, np.ones(len(first))
+            else:
+                children = np.bincount(node[up[below[j][0]]], below[j][1], len(first))
+                log_p = np.logaddexp(log_e, children) - np.log(2)
+                share = 1 / (1 + np.exp(np.clip(children - log_e, -700, 700)))
+            level.append((node[to_leaf], (ones + 0.5) / (total + 1), share))
+            sums.append((first, log_p, total - ones, ones))
+        below = [(first, log_p) for first, log_p, _, _ in sums]
+        chain.append(level)
+    bit = (keys[:, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(bool)
+    out = np.empty((len(keys), 8), np.float32)
+    for j in range(8):
+        p = None
+        for level in chain:
+            node, e, share = level[j]
+            own = np.where(bit[:, j], e[node], 1 - e[node])
+            p = own if p is None else share[node] * own + (1 - share[node]) * p
+        out[:, j] = p
+    codes, rest = [], []
+    mask = np.uint64((1 << 8 * (root - 1)) - 1)
+    for j, (first, log_p, zeros, ones) in enumerate(sums):
+        x = leaf[first]
+        codes.append((x >> np.uint64(8) & mask) << np.uint64(8) | np.uint64(1 << j) | (x & _BYTE) >> np.uint64(8 - j))
+        rest.append((zeros, ones, log_p))
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    zeros, ones, log_p = (np.bincount(place, np.concatenate([r[i] for r in rest]), len(code)) for i in range(3))
+    return out, code, zeros, ones, log_p
+
+
+def weighted(depth: int):
+    """One kind of one shard: the counts of all buckets summed.  Words are answered
+    at once; pairs become the shard's model and its contributions to the depths above."""
+    root = max(depth - 2, 1)
+
     def run(table: pa.Table) -> pa.Table:
         trim()
-        shard = table.column("shard")[0].as_py()
-        rows: list[tuple] = []
-        asked = {kind: [(r["bucket"], r["asked"], np.frombuffer(r["counts"], np.int64)) for r in table.to_pylist() if r["kind"] == kind] for kind in (WORDS, GRAMS)}
-        if asked[WORDS]:
-            split, total = [x.split(b"\0") for _, x, _ in asked[WORDS]], {}
-            for words, (_, _, counts) in zip(split, asked[WORDS], strict=True):
-                for w, n in zip(words, counts.tolist(), strict=True):
-                    total[w] = total.get(w, 0) + n
-            rows += [(b, WORDS, shard, np.fromiter(map(total.__getitem__, words), np.int64, len(words)).tobytes(), *[None] * 6) for words, (b, _, _) in zip(split, asked[WORDS], strict=True)]
-            rows.append((None, None, None, None, None, None, None, None, sum(total.values()), sum(n > 0 for n in total.values())))
-        if asked[GRAMS]:
-            every = [np.frombuffer(x, np.uint64) for _, x, _ in asked[GRAMS]]
-            keys, inverse = grouped(np.concatenate(every))
-            counts = np.bincount(inverse, np.concatenate([c for _, _, c in asked[GRAMS]]), len(keys))
-            p, (code, zeros, ones, log_p) = weigh(keys, counts, depth)
-            at = np.cumsum([0, *map(len, every)])
-            rows += [(b, GRAMS, shard, p[inverse[i:j]].tobytes(), *[None] * 6) for (b, _, _), i, j in zip(asked[GRAMS], at[:-1], at[1:], strict=True)]
-            up, inverse = np.unique(code & np.uint64(0xFFFF), return_inverse=True)  # the last context byte and the prefix
-            sums = [np.bincount(inverse, x, len(up)) for x in (zeros, ones, log_p)]
-            rows += [(None, None, None, None, int(c), float(a), float(b), float(l), None, None) for c, a, b, l in zip(up, *sums, strict=True)]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _ANSWER.split(", ")])
+        shard, kind = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
+        buckets, asked = table.column("bucket").to_pylist(), table.column("asked").to_pylist()
+        counts = [unplaned(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
+        if kind == WORDS:
+            split, total = [unpacked_words(x) for x in asked], {}
+            for words, n in zip(split, counts, strict=True):
+                for w, c in zip(words, n.tolist(), strict=True):
+                    total[w] = total.get(w, 0) + c
+            answers = [planes(np.fromiter(map(total.__getitem__, words), np.uint64, len(words))) for words in split]
+            return pa.concat_tables([rows_of({"shard": [shard] * len(buckets), "kind": [WORDS] * len(buckets), "bucket": buckets, "asked": answers}, len(buckets)), rows_of({"n": [sum(total.values())], "v": [sum(n > 0 for n in total.values())]}, 1)])
+        keys, n, _ = merged([unpacked_keys(x) for x in asked], counts)
+        p, code, zeros, ones, log_p = weigh(keys, n, depth, root)
+        model = rows_of({"shard": [shard], "kind": [MODEL], "asked": [packed_keys(keys)], "counts": [p.T.tobytes()]}, 1)
+        size = len(code)
+        return pa.concat_tables([model, rows_of({"shard": [shard] * size, "kind": [UP] * size, "code": code.astype(np.int64), "zeros": zeros, "ones": ones, "log_p": log_p}, size)])
 
     return run
 
 
-class Top:
-    """Depths 0 and 1: for a context byte and prefix, the estimates and weights."""
-
-    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_p: np.ndarray):
-        n = np.zeros((2, 256, 256))
-        children = np.zeros((256, 256))
-        n[0][code >> 8, code & 255], n[1][code >> 8, code & 255], children[code >> 8, code & 255] = zeros, ones, log_p
-        log_e = log_kt(*n)
-        log_one = np.where(n.sum(axis=0) > 0, np.logaddexp(log_e, children) - np.log(2), 0.0)
-        self.w1 = 1 / (1 + np.exp(np.clip(children - log_e, -700, 700)))
-        m = n.sum(axis=1)
-        below, log_zero = log_one.sum(axis=0), log_kt(*m)
-        self.w0 = 1 / (1 + np.exp(np.clip(below - log_zero, -700, 700)))
-        self.e0 = (m + 0.5) / (m.sum(axis=0) + 1)
-        self.e1 = np.where(n.sum(axis=0) > 0, (n + 0.5) / (n.sum(axis=0) + 1), self.e0[:, None, :])
-
-    def log10(self, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Log10 of each key's byte probability, given its bits' estimates from depth 2."""
-        byte, last = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+def answered(depth: int):
+    """One shard: the log10 probability of each pair, for each bucket that asked."""
+    root = max(depth - 2, 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        names = ["shard", "kind", "bucket", "asked"]
+        kind = table.column("kind").to_numpy()
+        top = table.filter(pa.array(kind == UP))
+        order = np.argsort(top.column("code").to_numpy(), kind="stable")
+        code, acc, rem = (top.column(c).to_numpy()[order] for c in ("code", "zeros", "ones"))
+        model = table.filter(pa.array(kind == MODEL)).slice(0, 1)
+        keys = unpacked_keys(model.column("asked")[0].as_py())
+        p = np.frombuffer(model.column("counts")[0].as_py(), np.float32).reshape(8, -1)
+        above = (keys >> np.uint64(8) & np.uint64((1 << 8 * (root - 1)) - 1)) << np.uint64(8)
         out = np.zeros(len(keys))
         for j in range(8):
-            bit, prefix = byte >> (7 - j) & 1, 1 << j | byte >> (8 - j)
-            e1 = self.e1[bit, last, prefix]
-            deep = np.where(np.isnan(p[:, j]), e1, p[:, j])
-            w0, w1 = self.w0[prefix], self.w1[last, prefix]
-            out += np.log10(w0 * self.e0[bit, prefix] + (1 - w0) * (w1 * e1 + (1 - w1) * deep))
-        return out
+            at = np.searchsorted(code, (above | np.uint64(1 << j) | (keys & _BYTE) >> np.uint64(8 - j)).astype(np.int64))
+            one = (keys >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+            left = rem[at]
+            out += np.log10(np.where(one, acc[at], 1 - left - acc[at]) + left * p[j])
+        out = out.astype(np.float32)
+        asks = table.filter(pa.array(kind == GRAMS))
+        shard, buckets = asks.column("shard").to_pylist(), asks.column("bucket").to_pylist()
+        replies = [out[np.searchsorted(keys, unpacked_keys(x))].tobytes() for x in asks.column("asked").to_pylist()]
+        return rows_of({"shard": shard, "kind": [GRAMS] * len(shard), "bucket": buckets, "asked": replies}, len(shard), names)
+
+    return run
+
+
+def own_log_p(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with the sum of their children's log P: their own log P and weight added."""
+    for b in batches:
+        zeros, ones, children = (b.column(c).to_numpy() for c in ("zeros", "ones", "children"))
+        log_e = log_kt(zeros, ones)
+        share = 1 / (1 + np.exp(np.clip(children - log_e, -700, 700)))
+        yield pa.RecordBatch.from_arrays([b.column("code"), pa.array(zeros), pa.array(ones), pa.array(np.logaddexp(log_e, children) - np.log(2)), pa.array(share), pa.array((ones + 0.5) / (zeros + ones + 1))], ["code", "zeros", "ones", "log_p", "share", "e"])
+
+
+_NODE = "code long, zeros double, ones double, log_p double, share double, e double"
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Nodes by code, from rows of their children."""
+    return rows.groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("children")).mapInArrow(own_log_p, _NODE)
+
+
+def parent(d: int) -> Column:
+    """The code of the node one byte shorter than a node of depth ``d``."""
+    context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
+    return F.shiftleft(context, 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))
+
+
+def descended(up: DataFrame, root: int) -> tuple[DataFrame, list[DataFrame]]:
+    """code, acc, rem of each node of depth ``root`` - 1: what the depths up to its
+    own say of a one, and the weight that they leave to those below."""
+    levels = {root - 1: materialize(summed(up.select("code", "zeros", "ones", "log_p")), "nodes")}
+    for d in range(root - 2, 0, -1):
+        levels[d] = materialize(summed(levels[d + 1].select(parent(d + 1).alias("code"), "zeros", "ones", "log_p")), "nodes")
+    # 256 contexts of 255 nodes at most, or the 255 of the empty context
+    low = min(1, root - 1)
+    top = levels[low].toPandas()
+    bits = top["code"].to_numpy(np.int64) & 255
+    zeros, ones, log_p = (np.bincount(bits, top[c].to_numpy(float), 256) for c in ("zeros", "ones", "log_p"))
+    log_e = log_kt(zeros, ones)
+    share = 1 / (1 + np.exp(np.clip(log_p - log_e, -700, 700)))
+    acc, rem = share * (ones + 0.5) / (zeros + ones + 1), 1 - share
+    if low == 0:  # the nodes found are the empty context's own
+        own = top["share"].to_numpy(float)
+        top["acc"], top["rem"] = own * top["e"], 1 - own
+    else:
+        top["acc"], top["rem"] = acc[bits] + rem[bits] * top["share"] * top["e"], rem[bits] * (1 - top["share"])
+    spark = up.sparkSession
+    done = spark.createDataFrame(top[["code", "acc", "rem"]], "code long, acc double, rem double")
+    for d in range(2, root):
+        over = done.select(F.col("code").alias("over"), F.col("acc").alias("a"), F.col("rem").alias("r"))
+        done = levels[d].withColumn("over", parent(d)).join(over, "over").select("code", (F.col("a") + F.col("r") * F.col("share") * F.col("e")).alias("acc"), (F.col("r") * (1 - F.col("share"))).alias("rem"))
+    return done, list(levels.values())
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, log_counts double, score double"
+_SCORE_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
+
+def looked_up(keys: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values`` of ``keys``, by their hashes, sorted.  One sort of hashes with
+    positions in their low bits brings equal keys together; what the bits hide of
+    two different keys is told by comparing them."""
+    n = len(keys)
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    full = mix64(keys)
+    h = full >> bits << bits | np.arange(n, dtype=np.uint64)
+    h.sort()
+    at = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    full = full[at]
+    new = np.empty(n, bool)
+    new[:1] = True
+    np.not_equal(full[1:], full[:-1], out=new[1:])
+    got = values[np.searchsorted(hashes, full[new])]
+    out = np.empty(n, values.dtype)
+    out[at] = got[np.cumsum(new) - 1]
+    return out
 
 
-def score(top: Top, shards: int, depth: int):
+def score(shards: int, depth: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _SCORE.split(", ")]
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         if not table.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+            return pa.Table.from_arrays([pa.array([], t) for t in _SCORE_TYPES], names=names)
         trim()
         bucket = Bucket(table, shards, depth)
-        got = {(r["kind"], r["shard"]): r["answer"] for r in answers.to_pylist()}
+        words, keys, _ = bucket.asked()
+        got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), strict=True), answers.column("asked").to_pylist(), strict=True))
         counts: dict[bytes, int] = {}
-        for s, words in bucket.by_shard.items():
-            counts.update(zip(words, np.frombuffer(got[WORDS, s], np.int64).tolist(), strict=True))
-        keys, _ = bucket.keys()
-        log_p = np.empty(len(keys))
-        for s, own in by_shard(keys, shards):
-            log_p[own] = top.log10(keys[own], np.frombuffer(got[GRAMS, s], np.float32).reshape(-1, 8))
-        sums, sizes = [], []
-        for _, _, own, starts in bucket.chunks():
-            found, inverse = grouped(own)
-            sums.append(np.add.reduceat(log_p[np.searchsorted(keys, found)][inverse], starts))
-            sizes.append(np.diff(np.r_[starts, len(own)]))
+        for s, own in bucket.by_shard(words).items():
+            counts.update(zip(own, unplaned(got[WORDS, s], np.uint64).tolist(), strict=True))
+        log_p = np.empty(len(keys), np.float32)
+        for s, own in dealt(keys, shards, depth):
+            log_p[own] = np.frombuffer(got[GRAMS, s], np.float32)
+        del got
+        hashes = mix64(keys)
+        order = np.argsort(hashes)
+        hashes, log_p = hashes[order], log_p[order]
+        del keys, order
         known = {w: n > 0 for w, n in counts.items()}
         logs = dict(zip(counts, np.log10(np.array(list(counts.values()), float) + 1).tolist(), strict=True))
-        end, log_end = known[b"\n"], logs[b"\n"]
-        n_known = [sum(map(known.__getitem__, t)) + end for t in bucket.tokens]
-        log_counts = [sum(map(logs.__getitem__, t)) + log_end for t in bucket.tokens]
-        columns = (bucket.ids, bucket.folds, [len(t) + 1 for t in bucket.tokens], n_known, np.concatenate(sizes), log_counts, np.concatenate(sums))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        end, log_end = known[END], logs[END]
+        sums, sizes, n_tokens, n_known, log_counts = [], [], [], [], []
+        for _, _, tokens, keys, starts, own in bucket.chunks(LOOK):
+            value = np.concatenate([looked_up(keys[i : i + LOOK], hashes, log_p) for i in range(0, len(keys), LOOK)]) if own.all() else np.zeros(len(keys))
+            if not own.all():
+                mine = keys[own]
+                value[own] = np.concatenate([looked_up(mine[i : i + LOOK], hashes, log_p) for i in range(0, len(mine), LOOK)])
+            sums.append(np.add.reduceat(value, starts, dtype=np.float64))
+            sizes.append(np.add.reduceat(own, starts, dtype=np.int64))
+            n_tokens += [len(t) + 1 for t in tokens]
+            n_known += [sum(map(known.__getitem__, t)) + end for t in tokens]
+            log_counts += [sum(map(logs.__getitem__, t)) + log_end for t in tokens]
+        columns = (bucket.ids, bucket.folds, n_tokens, n_known, np.concatenate(sizes), log_counts, np.concatenate(sums))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names)
 
     return run
 
 
 def ctw_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, n_bytes, train_tokens, train_words,
-    base_score, score (log10) and bits_per_byte of each row of ``docs``."""
+    base_score, score (log10) and bits_per_byte of each row of ``docs``; ``depth``:
+    1 to 7 bytes of context."""
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be 1 to 7: a context and its byte are one 64-bit key")
     docs = documents_only(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, shards = int(total // BUCKET_BYTES) + 1, int(total // SHARD_BYTES) + 1
+    # a small input is spread over the cores, a large one goes by size alone
+    least = min(docs.sparkSession.sparkContext.defaultParallelism, int(total >> 20) + 1)
+    buckets, shards = max(least, int(total // BUCKET_BYTES) + 1), max(least, int(total // SHARD_BYTES) + 1)
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)))
-    asked = docs.groupBy("bucket").applyInArrow(ask(shards, depth), _ASK)
-    answers = materialize(asked.groupBy("shard").applyInArrow(answer(depth), _ANSWER), "answers")
-    # 256 contexts of 255 nodes at most
-    top = answers.where("code is not null").groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_p")).toPandas()
-    top = Top(top["code"].to_numpy(np.int64), *(top.iloc[:, i].to_numpy(float) for i in (1, 2, 3)))
-    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    replies = answers.where("bucket is not null").select("bucket", "kind", "shard", "answer")
-    out = docs.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(score(top, shards, depth), _SCORE)
+    asked = materialize(docs.groupBy("bucket").applyInArrow(ask(shards, depth), _ASK), "asked")
+    found = materialize(asked.groupBy("shard", "kind").applyInArrow(weighted(depth), _ROW), "shards")
+    up = found.where(F.col("kind") == UP).select("shard", "code", "zeros", "ones", "log_p")
+    root = max(depth - 2, 1)
+    top, levels = descended(up, root)
+    down = up.select("shard", "code").join(top, "code").select("shard", F.lit(UP).alias("kind"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("asked"), F.lit(None).cast("binary").alias("counts"), "code", F.col("acc").alias("zeros"), F.col("rem").alias("ones"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("code", "long"), ("zeros", "double"), ("ones", "double"))]
+    asks = asked.where(F.col("kind") == GRAMS).select("shard", "kind", "bucket", "asked", F.lit(None).cast("binary").alias("counts"), *empty)
+    models = found.where(F.col("kind") == MODEL).select("shard", "kind", "bucket", "asked", "counts", *empty)
+    answers = materialize(asks.unionByName(models).unionByName(down).groupBy("shard").applyInArrow(answered(depth), "shard long, kind int, bucket long, asked binary"), "answers")
+    n, v = (x or 0 for x in found.agg(F.sum("n"), F.sum("v")).first())
+    replies = answers.unionByName(found.where(F.col("kind") == WORDS).select("shard", "kind", "bucket", "asked"))
+    out = docs.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(score(shards, depth), _SCORE)
+    discard(asked, *levels)
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", F.lit(int(n)).cast("long").alias("train_tokens"), F.lit(int(v)).cast("long").alias("train_words"), base.alias("base_score"), "score", (-F.col("score") * np.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 

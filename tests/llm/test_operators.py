@@ -169,7 +169,6 @@ def brute_ctw(train, depth):
         for i in range(depth, len(data)):
             for j in range(8):
                 bit, prefix = data[i] >> (7 - j) & 1, (1 << j) | (data[i] >> (8 - j))
-                est = 0.5
                 chain = []
                 for d in range(depth + 1):
                     c = data[i - d : i]
@@ -179,7 +178,7 @@ def brute_ctw(train, depth):
                         below = sum(v for (c2, p2), v in weighted.items() if len(c2) == d + 1 and c2[1:] == c and p2 == prefix)
                         chain.append((est, 1 / (1 + math.exp(min(700, below - kt(n)))) if d < depth else 1.0))
                     else:
-                        chain.append((est, 0.5 if d < depth else 1.0))
+                        chain.append((0.5, 0.5 if d < depth else 1.0))
                 p = chain[-1][0]
                 for e, w in reversed(chain[:-1]):
                     p = w * e + (1 - w) * p
@@ -189,25 +188,40 @@ def brute_ctw(train, depth):
     return score
 
 
-def test_ctw_equals_recursion(spark):
-    texts = {1: "abab abba", 2: "Ab aab", 3: "abc", 5: "", 8: None, 9: "ba ab abab", 12: "zq"}
+@pytest.mark.parametrize("depth, pieces", [(1, 1), (2, 6), (3, 1), (4, 6), (6, 6), (7, 1), (7, 6)])
+def test_ctw_equals_recursion(spark, monkeypatch, depth, pieces):
+    if pieces > 1:  # several buckets and shards
+        monkeypatch.setattr(ctw, "BUCKET_BYTES", 12)
+        monkeypatch.setattr(ctw, "SHARD_BYTES", 10)
+        monkeypatch.setattr(ctw, "LOOK", 5)
+    texts = {1: "abab abba", 2: "Ab aab", 3: "abc\0a abab", 5: "", 8: None, 9: "ba ab abab", 12: "zq \0", 16: "ab\0 \0\0", 20: "aba \u00e9b abab"}
     df = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
-    rows = {r.doc_id: r for r in ctw.ctw_scores(df, depth=3).collect()}
+    rows = {r.doc_id: r for r in ctw.ctw_scores(df, depth=depth).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    as_bytes = {i: b" ".join((t or "").lower().encode().split()) + b"\n" for i, t in texts.items()}
-    score = brute_ctw([b for i, b in as_bytes.items() if not held[i]], 3)
+    assert any(held.values()) and set(rows) == set(texts)
+    as_bytes = {i: b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in texts.items()}
+    trained = [w for i, b in as_bytes.items() if not held[i] for w in [*b.split(), b"\n"]]
+    score = brute_ctw([b for i, b in as_bytes.items() if not held[i]], depth)
     for i, r in rows.items():
+        own = [*as_bytes[i].split(), b"\n"]
         assert r.held_out == held[i] and r.n_bytes == len(as_bytes[i])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in trained for w in own), len(trained))
+        assert abs(r.base_score - sum(math.log10((trained.count(w) + 1) / (len(trained) + len(set(trained)) + 1)) for w in own)) < 1e-9
         assert abs(r.score - score(as_bytes[i])) < 1e-4
 
 
-def test_ctw_sums_to_one(spark):
-    keys = np.arange(256, dtype=np.uint64) | np.uint64(ord("a") << 8 | ord("b") << 16 | ord("c") << 24 | ord("d") << 32)
-    n = np.random.default_rng(0).integers(0, 5, 256)
-    p, (code, zeros, ones, log_p) = ctw.weigh(keys, n, 4)
-    up, inv = np.unique(code & np.uint64(0xFFFF), return_inverse=True)
-    top = ctw.Top(up.astype(np.int64), *(np.bincount(inv, x, len(up)) for x in (zeros, ones, log_p)))
-    assert abs((10 ** top.log10(keys, p)).sum() - 1) < 1e-5
+def test_log_kt():
+    """Tables and series against the definition."""
+    n0, n1 = np.array([0, 3, 20_000, 5]), np.array([0, 1, 7, 70_000])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(n0.tolist(), n1.tolist(), strict=True)]
+    assert np.allclose(ctw.log_kt(n0, n1), want, rtol=1e-9, atol=1e-9)
+
+
+def test_ctw_learns(spark):
+    """On held-out documents the model codes better than the unigram base."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = ctw.ctw_scores(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > held[0]
 
 
 def test_ctw_cases(odd, none):
