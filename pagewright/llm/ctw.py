@@ -30,8 +30,8 @@ No executor and not the driver ever holds the tree:
 4. Each shard answers every bucket with the code length of each pair it asked
    for, and the bucket scores its documents whole.
 
-Keys travel as differences in byte planes, which the shuffle's compression
-reduces to a few bytes each.
+Pairs and counts travel as sorted 64-bit entries, as differences in byte planes,
+which the shuffle's compression reduces to a few bytes each.
 
 Defined cases: null and empty texts are one token, the end; a null id counts as
 an empty one for the fold; repeated rows are scored (and learned from) each, and
@@ -45,7 +45,7 @@ result; without training documents all estimates are those of an untrained tree.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +53,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_only, materialize, mix64, trim, utf8
+from .common import discard, documents_only, materialize, mix64, slices, trim, utf8
 
-#: Bytes of context; with the byte itself they must fit a 64-bit key.
-DEPTH = 7
+#: Bytes of context, 6 at most: with the byte itself and a count they fill 64 bits.
+DEPTH = 6
 BUCKET_BYTES = 32 << 20
-SHARD_BYTES = 64 << 20
-CHUNK = 4 << 20
+SHARD_BYTES = 32 << 20
+CHUNK = 2 << 20
 #: Positions that are looked up at once: their numbers take the low bits beside a hash.
 LOOK = 1 << 20
 WORDS, GRAMS, MODEL, UP = 0, 1, 2, 3
@@ -113,16 +113,28 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(keys)])
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of several sorted arrays, sorted, the sums of their
-    counts, and the place of each key, in the arrays' order, among the distinct."""
-    every, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
-    order = np.argsort(every, kind="stable")  # merges what is sorted already
-    found = every[order]
-    first, length = runs(found)
-    place = np.empty(len(every), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), length)
-    return found[first], np.add.reduceat(n[order], first) if len(first) else n, place
+def entries(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys with their counts in the lowest byte; a key of a larger
+    count has several entries that add up to it."""
+    if not len(n) or n.max() < 256:
+        return keys << np.uint64(8) | n.astype(np.uint64)
+    times = np.maximum(1, -(-n // 255))
+    last = np.cumsum(times) - 1
+    out = np.repeat(keys << np.uint64(8), times) | _BYTE
+    out[last] = keys << np.uint64(8) | (n - 255 * (times - 1)).astype(np.uint64)
+    # an entry of 255 may follow the smaller last one; equal keys must stay together, in order
+    out.sort()
+    return out
+
+
+def counted(parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several arrays of entries, sorted, and their counts."""
+    every = np.concatenate(parts)
+    every.sort()
+    keys = every >> np.uint64(8)
+    first, _ = runs(keys)
+    every &= _BYTE
+    return keys[first], np.add.reduceat(every, first).astype(np.int64) if len(first) else first
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -153,51 +165,44 @@ def unpacked_words(raw: bytes) -> list[bytes]:
 
 
 class Bucket:
-    """The documents of one bucket, and what it asks for."""
+    """The documents of one bucket, and what it asks for.  Texts stay in Arrow; only
+    a chunk of them at a time is taken apart."""
 
     def __init__(self, table: pa.Table, shards: int, depth: int):
-        self.ids, self.folds = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
-        self.texts = utf8(table.column("text").combine_chunks())
-        self.shards, self.depth = shards, depth
-
-    def chunks(self, size: int) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-        """For runs of documents of about ``size`` bytes, or parts of longer ones:
-        first and last document, their tokens, keys, each document's first key, and
-        whether a key's byte belongs to a document and not to the padding before it."""
-        begin, held, tokens, parts = 0, 0, [], []
-        for i, t in enumerate(self.texts):
-            tokens.append(t.lower().split())
-            parts.append(b" ".join(tokens[-1]) + END)
-            held += len(parts[-1])
-            if held >= size or i + 1 == len(self.texts):
-                before = END * self.depth
-                starts = np.cumsum([0, *(len(p) + self.depth for p in parts[:-1])])
-                keys = grams(b"".join(before + p for p in parts), self.depth)
-                own = np.ones(len(keys), bool)
-                own[(starts[1:, None] - np.arange(1, self.depth + 1)).ravel()] = False
-                yield begin, i + 1, tokens, keys, starts, own
-                begin, held, tokens, parts = i + 1, 0, [], []
-
-    def asked(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """Words by shard order with their training counts, and the distinct keys, sorted, with theirs."""
+        self.table, self.shards, self.depth = table.select(["doc_id", "text", "held_out"]), shards, depth
+
+    def chunks(self, size: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of documents of about ``size`` bytes, or one longer document: the
+        rows, their tokens, keys, each document's first key, and whether a key's byte
+        belongs to a document and not to the padding before it."""
+        before = END * self.depth
+        for batch in slices(self.table.to_batches(), "text", size):
+            tokens = [t.lower().split() for t in utf8(batch.column(1))]
+            parts = [before + b" ".join(own) + END for own in tokens]
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            keys = grams(b"".join(parts), self.depth)
+            own = np.ones(len(keys), bool)
+            own[(starts[1:, None] - np.arange(1, self.depth + 1)).ravel()] = False
+            yield batch, tokens, keys, starts, own
+
+    def asked(self) -> tuple[dict[bytes, int], np.ndarray]:
+        """Words with their training counts, and the sorted entries of all keys."""
         words: Counter = Counter({END: 0})
-        found, counts = [], []
-        for begin, end, tokens, keys, starts, own in self.chunks(CHUNK):
-            for t, fold in zip(tokens, self.folds[begin:end], strict=True):
+        held: list[np.ndarray] = []
+        for batch, tokens, keys, starts, own in self.chunks(CHUNK):
+            folds = batch.column(2).to_pylist()
+            for t, fold in zip(tokens, folds, strict=True):
                 if fold:
                     words.update(dict.fromkeys(t, 0))
                 else:
                     words.update(t)
                     words[END] += 1
-            fold = np.repeat(np.array(self.folds[begin:end], bool), np.diff(np.r_[starts, len(keys)]))
-            for mine, weight in ((own & ~fold, 1), (own & fold, 0)):
-                x = keys[mine]
-                x.sort()
-                first, n = runs(x)
-                found.append(x[first])
-                counts.append(n * weight)
-        key, n, _ = merged(found, counts)
-        return words, key, n
+            trained = np.repeat(~np.array(folds, bool), np.diff(np.r_[starts, len(keys)]))
+            held.append(entries(*counted([(keys << np.uint64(8) | trained)[own]])))
+            # like sizes are merged, so a key is moved a few times and the rest stays small
+            while len(held) > 1 and 2 * len(held[-1]) >= len(held[-2]):
+                held[-2:] = [entries(*counted(held[-2:]))]
+        return words, held[0] if len(held) == 1 else entries(*counted(held))
 
     def by_shard(self, words: dict[bytes, int]) -> dict[int, list[bytes]]:
         out: dict[int, list[bytes]] = {}
@@ -206,9 +211,9 @@ class Bucket:
         return out
 
 
-def dealt(keys: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards with the places of their keys, by the last bytes of the context."""
-    ending = keys >> np.uint64(8) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
+def dealt(asked: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards with the places of their entries, by the last bytes of the context."""
+    ending = asked >> np.uint64(16) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
     shard = (mix64(ending) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     first, n = runs(shard[order])
@@ -231,9 +236,9 @@ def ask(shards: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         trim()
         bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
-        words, keys, counts = bucket.asked()
-        out = [(s, WORDS, packed_words(w), planes(np.array([words[x] for x in w], np.uint32))) for s, w in bucket.by_shard(words).items()]
-        out += [(s, GRAMS, packed_keys(keys[own]), planes(counts[own].astype(np.uint32))) for s, own in dealt(keys, shards, depth)]
+        words, found = bucket.asked()
+        out = [(s, WORDS, packed_words(w), planes(np.array([words[x] for x in w], np.uint64))) for s, w in bucket.by_shard(words).items()]
+        out += [(s, GRAMS, packed_keys(found[own]), None) for s, own in dealt(found, shards, depth)]
         shard, kind, asked, n = zip(*out, strict=True)
         return rows_of({"shard": shard, "kind": kind, "bucket": [at] * len(out), "asked": asked, "counts": n}, len(out), _ASK_NAMES)
 
@@ -248,8 +253,9 @@ def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[
     of depth ``root``'s nodes by their parents: code, n0, n1, log P.  ``keys``:
     sorted and distinct."""
     leaf, n, to_leaf = keys, counts.astype(float), np.arange(len(keys))
-    p, chain, below = [None] * 8, [], None
+    out, below, sums = np.empty((8, len(keys)), np.float32), [], []
     for d in range(depth, root - 1, -1):
+        up = None
         if d < depth:
             code = leaf & np.uint64((1 << 8 * (d + 1)) - 1)
             order = np.argsort(code, kind="stable")
@@ -257,33 +263,24 @@ def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[
             up = np.empty(len(code), np.int64)
             up[order] = np.repeat(np.arange(len(first)), size)
             leaf, n, to_leaf = code[order][first], np.bincount(up, n, len(first)), up[to_leaf]
-        level, sums = [], []
+        sums = []
         for j in range(8):
             first, size = runs(leaf >> np.uint64(8 - j))
             one = (leaf >> np.uint64(7 - j) & np.uint64(1)).astype(float)
-            ones = np.add.reduceat(n * one, first)
-            total = np.add.reduceat(n, first)
-            log_e = log_kt(total - ones, ones)
+            ones, total = np.add.reduceat(n * one, first), np.add.reduceat(n, first)
+            log_e, e = log_kt(total - ones, ones), (ones + 0.5) / (total + 1)
             node = np.repeat(np.arange(len(first)), size)
-            if d == depth:
-                log_p, share = log_e, np.ones(len(first))
+            own = np.where((keys >> np.uint64(7 - j) & np.uint64(1)).astype(bool), e[node[to_leaf]], 1 - e[node[to_leaf]])
+            if up is None:
+                log_p, out[j] = log_e, own
             else:
-                children = np.bincount(node[up[below[j][0]]], below[j][1], len(first))
+                start, deeper = below[j]
+                children = np.bincount(node[up[start]], deeper, len(first))
                 log_p = np.logaddexp(log_e, children) - np.log(2)
-                share = 1 / (1 + np.exp(np.clip(children - log_e, -700, 700)))
-            level.append((node[to_leaf], (ones + 0.5) / (total + 1), share))
+                share = (1 / (1 + np.exp(np.clip(children - log_e, -700, 700))))[node[to_leaf]]
+                out[j] = share * own + (1 - share) * out[j]
             sums.append((first, log_p, total - ones, ones))
         below = [(first, log_p) for first, log_p, _, _ in sums]
-        chain.append(level)
-    bit = (keys[:, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(bool)
-    out = np.empty((len(keys), 8), np.float32)
-    for j in range(8):
-        p = None
-        for level in chain:
-            node, e, share = level[j]
-            own = np.where(bit[:, j], e[node], 1 - e[node])
-            p = own if p is None else share[node] * own + (1 - share[node]) * p
-        out[:, j] = p
     codes, rest = [], []
     mask = np.uint64((1 << 8 * (root - 1)) - 1)
     for j, (first, log_p, zeros, ones) in enumerate(sums):
@@ -304,17 +301,18 @@ def weighted(depth: int):
         trim()
         shard, kind = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
         buckets, asked = table.column("bucket").to_pylist(), table.column("asked").to_pylist()
-        counts = [unplaned(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
         if kind == WORDS:
+            counts = [unplaned(x, np.uint64) for x in table.column("counts").to_pylist()]
             split, total = [unpacked_words(x) for x in asked], {}
             for words, n in zip(split, counts, strict=True):
                 for w, c in zip(words, n.tolist(), strict=True):
                     total[w] = total.get(w, 0) + c
             answers = [planes(np.fromiter(map(total.__getitem__, words), np.uint64, len(words))) for words in split]
             return pa.concat_tables([rows_of({"shard": [shard] * len(buckets), "kind": [WORDS] * len(buckets), "bucket": buckets, "asked": answers}, len(buckets)), rows_of({"n": [sum(total.values())], "v": [sum(n > 0 for n in total.values())]}, 1)])
-        keys, n, _ = merged([unpacked_keys(x) for x in asked], counts)
+        del table
+        keys, n = counted([unpacked_keys(x) for x in asked])
         p, code, zeros, ones, log_p = weigh(keys, n, depth, root)
-        model = rows_of({"shard": [shard], "kind": [MODEL], "asked": [packed_keys(keys)], "counts": [p.T.tobytes()]}, 1)
+        model = rows_of({"shard": [shard], "kind": [MODEL], "asked": [packed_keys(keys)], "counts": [p.tobytes()]}, 1)
         size = len(code)
         return pa.concat_tables([model, rows_of({"shard": [shard] * size, "kind": [UP] * size, "code": code.astype(np.int64), "zeros": zeros, "ones": ones, "log_p": log_p}, size)])
 
@@ -345,7 +343,7 @@ def answered(depth: int):
         out = out.astype(np.float32)
         asks = table.filter(pa.array(kind == GRAMS))
         shard, buckets = asks.column("shard").to_pylist(), asks.column("bucket").to_pylist()
-        replies = [out[np.searchsorted(keys, unpacked_keys(x))].tobytes() for x in asks.column("asked").to_pylist()]
+        replies = [out[np.searchsorted(keys, unpacked_keys(x) >> np.uint64(8))].tobytes() for x in asks.column("asked").to_pylist()]
         return rows_of({"shard": shard, "kind": [GRAMS] * len(shard), "bucket": buckets, "asked": replies}, len(shard), names)
 
     return run
@@ -405,23 +403,22 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes lo
 _SCORE_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
-def looked_up(keys: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """``values`` of ``keys``, by their hashes, sorted.  One sort of hashes with
-    positions in their low bits brings equal keys together; what the bits hide of
-    two different keys is told by comparing them."""
-    n = len(keys)
-    bits = np.uint64(max(n - 1, 1).bit_length())
-    full = mix64(keys)
-    h = full >> bits << bits | np.arange(n, dtype=np.uint64)
+def looked_up(keys: np.ndarray, own: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values`` of the ``own`` among ``keys`` by their hashes, sorted; 0 for the
+    others.  One sort of hashes with positions in their low bits brings equal keys
+    together; what the bits hide of two different keys is told by comparing them."""
+    out = np.zeros(len(keys))
+    mine = np.flatnonzero(own)
+    if not len(mine):
+        return out
+    bits = np.uint64(max(len(mine) - 1, 1).bit_length())
+    full = mix64(keys[mine])
+    h = full >> bits << bits | np.arange(len(mine), dtype=np.uint64)
     h.sort()
     at = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     full = full[at]
-    new = np.empty(n, bool)
-    new[:1] = True
-    np.not_equal(full[1:], full[:-1], out=new[1:])
-    got = values[np.searchsorted(hashes, full[new])]
-    out = np.empty(n, values.dtype)
-    out[at] = got[np.cumsum(new) - 1]
+    new = np.r_[True, full[1:] != full[:-1]]
+    out[mine[at]] = values[np.searchsorted(hashes, full[new])][np.cumsum(new) - 1]
     return out
 
 
@@ -432,35 +429,31 @@ def score(shards: int, depth: int):
             return pa.Table.from_arrays([pa.array([], t) for t in _SCORE_TYPES], names=names)
         trim()
         bucket = Bucket(table, shards, depth)
-        words, keys, _ = bucket.asked()
+        words, found = bucket.asked()
         got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), strict=True), answers.column("asked").to_pylist(), strict=True))
         counts: dict[bytes, int] = {}
         for s, own in bucket.by_shard(words).items():
             counts.update(zip(own, unplaned(got[WORDS, s], np.uint64).tolist(), strict=True))
-        log_p = np.empty(len(keys), np.float32)
-        for s, own in dealt(keys, shards, depth):
+        log_p = np.empty(len(found), np.float32)
+        for s, own in dealt(found, shards, depth):
             log_p[own] = np.frombuffer(got[GRAMS, s], np.float32)
         del got
-        hashes = mix64(keys)
+        hashes = mix64(found >> np.uint64(8))
+        del found
         order = np.argsort(hashes)
         hashes, log_p = hashes[order], log_p[order]
-        del keys, order
+        del order
         known = {w: n > 0 for w, n in counts.items()}
         logs = dict(zip(counts, np.log10(np.array(list(counts.values()), float) + 1).tolist(), strict=True))
         end, log_end = known[END], logs[END]
-        sums, sizes, n_tokens, n_known, log_counts = [], [], [], [], []
-        for _, _, tokens, keys, starts, own in bucket.chunks(LOOK):
-            value = np.concatenate([looked_up(keys[i : i + LOOK], hashes, log_p) for i in range(0, len(keys), LOOK)]) if own.all() else np.zeros(len(keys))
-            if not own.all():
-                mine = keys[own]
-                value[own] = np.concatenate([looked_up(mine[i : i + LOOK], hashes, log_p) for i in range(0, len(mine), LOOK)])
-            sums.append(np.add.reduceat(value, starts, dtype=np.float64))
-            sizes.append(np.add.reduceat(own, starts, dtype=np.int64))
-            n_tokens += [len(t) + 1 for t in tokens]
-            n_known += [sum(map(known.__getitem__, t)) + end for t in tokens]
-            log_counts += [sum(map(logs.__getitem__, t)) + log_end for t in tokens]
-        columns = (bucket.ids, bucket.folds, n_tokens, n_known, np.concatenate(sizes), log_counts, np.concatenate(sums))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names)
+        out = []
+        for batch, tokens, keys, starts, own in bucket.chunks(LOOK):
+            value = np.concatenate([looked_up(keys[i : i + LOOK], own[i : i + LOOK], hashes, log_p) for i in range(0, len(keys), LOOK)])
+            n_known = [sum(map(known.__getitem__, t)) + end for t in tokens]
+            log_counts = [sum(map(logs.__getitem__, t)) + log_end for t in tokens]
+            columns = (batch.column(0), batch.column(2), [len(t) + 1 for t in tokens], n_known, np.add.reduceat(own, starts, dtype=np.int64), log_counts, np.add.reduceat(value, starts))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -468,9 +461,9 @@ def score(shards: int, depth: int):
 def ctw_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, n_bytes, train_tokens, train_words,
     base_score, score (log10) and bits_per_byte of each row of ``docs``; ``depth``:
-    1 to 7 bytes of context."""
-    if not 1 <= depth <= 7:
-        raise ValueError("depth must be 1 to 7: a context and its byte are one 64-bit key")
+    1 to 6 bytes of context."""
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6: a context, its byte and a count are one 64-bit entry")
     docs = documents_only(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a small input is spread over the cores, a large one goes by size alone
