@@ -3,7 +3,8 @@
 1. One pass gives each document the size and digest of its set of 5-word
    shingles, the keys of its bands of minima, and a packed signature that
    retains the low bits of every minimum.
-2. Equal sets (equal digests) are one class; only its smallest id goes on.
+2. Equal sets (equal digests of 128 bits) are one class with a number of its own;
+   one row of each goes on, under that number.
 3. In each band bucket every document is compared with the smallest of the
    bucket.  The packed signatures' bit counts, corrected for chance collisions,
    estimate the similarity; pairs that can't reach the threshold, with a margin
@@ -20,8 +21,12 @@ all of them with probability ``MISS`` at most.
 
 Defined cases: null or empty texts have an empty set and are linked with
 nothing; with fewer than five words the whole sequence is one shingle; rows with
-an equal id are one document; a null id is linked with nothing and kept; an
-empty table gives an empty result.
+an equal id are one document, so what any of its texts is linked with is linked
+with it, and each row has its own n_shingles; a null id is linked with nothing
+and kept; ties need no order, as a component's name is its smallest id; a very
+long text is one row of one batch; other columns are ignored, whatever they are
+called, and drop_near_duplicates returns them; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -104,7 +109,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, n_shingles, digest, bands, sig of each document."""
+    """doc_id, th (the text's hash), n_shingles, digest, bands, sig of each document."""
     a, b = permutations(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +125,27 @@ def features(docs: DataFrame, bands: int) -> DataFrame:
                     sigs.append(packed(m).tolist())
                 else:
                     digest.append(None), keys.append(None), sigs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "th", "n_shingles", "digest", "bands", "sig"])
 
-    return documents_only(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>")
+    return with_text_hash(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sig array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, s: the shingle sets, as bytes, of the documents in ``ids``."""
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    return documents_only(docs).withColumn("th", F.xxhash64("text"))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, s: the shingle sets, as bytes, of the classes in ``wanted`` (cls, doc_id,
+    th, digest), made again from the text that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["doc_id", "s"])
+            sets = [shingles(t).tobytes() for t in utf8(batch.column(0))]
+            ours = [xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["cls", "s"]).filter(pa.array(ours, pa.bool_()))
 
-    return documents_only(docs).join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
+    found = with_text_hash(docs).join(wanted, ["doc_id", "th"]).select("text", "cls", "digest").mapInArrow(run, "cls long, s binary")
+    return found.dropDuplicates(["cls"])
 
 
 def least_match(percent: int, k: int) -> int:
@@ -214,7 +227,7 @@ def _links(least: int, k: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
-        ids, label = t["doc_id"], t["label"]
+        ids, label = t["cls"], t["label"]
         up = {x: x for x in label}
 
         def top(x: int) -> int:
@@ -248,39 +261,48 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     n = f.count()
     full = f.where("n_shingles > 0 and doc_id is not null")
     # written, so that both sides of the joins are dealt for them alone and a set with many copies can be split
-    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes", n)
+    first = full.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("at"))
+    classes = materialize(first.select("digest", F.col("at.doc_id").alias("rep"), "at.th"), "classes", n)
     copies = full.select("doc_id", "digest").join(classes, "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u < v")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "bands", "sig"), "reps", n)
-
-    keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    hubs = keys.groupBy("band", "key").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(hubs, ["band", "key"]).where("u < doc_id").select("u", F.col("doc_id").alias("v")).distinct()
-    sig = reps.select("doc_id", "sig")
-    pairs = pairs.join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("y")), "v").join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("x")), "u")
+    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "th", "digest"], "left_semi").dropDuplicates(["digest"])
+    # the numbers are read back as written, so they are the same wherever they are used
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("cls"), "doc_id", "th", "digest", "bands", "sig"), "reps", n)
+    home = reps.select("cls", "doc_id", "th", "digest")
+
+    keys = reps.select("cls", F.posexplode("bands").alias("band", "key"))
+    hubs = keys.groupBy("band", "key").agg(F.min("cls").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(hubs, ["band", "key"]).where("u < cls").select("u", F.col("cls").alias("v")).distinct()
+    sig = reps.select("cls", "sig")
+    pairs = pairs.join(sig.select(F.col("cls").alias("v"), F.col("sig").alias("y")), "v").join(sig.select(F.col("cls").alias("u"), F.col("sig").alias("x")), "u")
     pairs = materialize(pairs.where(equal_values(F.col("x"), F.col("y"), k) >= least).select("u", "v"), "pairs", 4 * n)
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
-    sets = materialize(sets_of(docs, ids).dropDuplicates(["doc_id"]), "sets", n)
-    both = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("y")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("x")), "u").select("u", "v", "x", "y")
-    stars = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "stars", 4 * n)
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+    sets = materialize(sets_of(docs, home.join(ids, "cls", "left_semi")), "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("v"), F.col("s").alias("y")), "v").join(sets.select(F.col("cls").alias("u"), F.col("s").alias("x")), "u").select("u", "v", "x", "y")
+    stars = materialize(both.mapInArrow(_confirm(percent), "u long, v long").hint("rebalance"), "stars")
 
     linked = connected_components(stars, n)
-    label = reps.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    # ids and labels alone are dealt by bucket; what is compared joins the few that are left
-    narrow = label.select("doc_id", "label", F.posexplode("bands").alias("band", "key"))
+    label = reps.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    # numbers and labels alone are dealt by bucket; what is compared joins the few that are left
+    narrow = label.select("cls", "label", F.posexplode("bands").alias("band", "key"))
     open_ = narrow.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = materialize(narrow.join(open_, ["band", "key"]), "buckets", 8 * n)
-    rows = left.join(reps, "doc_id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-    group = ["band", "key", "i", "j"]
-    some = materialize(rows.groupBy(*group).applyInArrow(_participants(least, k), rows.schema), "open", 8 * n)
-    more = some.join(sets_of(docs, some.select("doc_id")).dropDuplicates(["doc_id"]), "doc_id")
-    # written before the next Python step: chained, each would keep a worker of its own alive beside the heap
-    more = materialize(more.groupBy(*group).applyInArrow(_links(least, k, percent), "u long, v long"), "links", 8 * n)
-    edges = linked.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(more).unionByName(copies)
-    cc = connected_components(edges, n)
-    discard(classes, reps, pairs, sets, stars, left, some, more)
+    scratch = [classes, reps, pairs, sets, stars, left]
+    edges = linked.select(F.col("component").alias("u"), F.col("node").alias("v"))
+    if not left.isEmpty():
+        rows = left.join(reps.select("cls", "bands", "sig"), "cls")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+        group = ["band", "key", "i", "j"]
+        some = materialize(rows.groupBy(*group).applyInArrow(_participants(least, k), rows.schema).hint("rebalance"), "open")
+        more = some.join(sets_of(docs, home.join(some.select("cls").distinct(), "cls", "left_semi")), "cls")
+        # written before the next Python step: chained, each would keep a worker of its own alive beside the heap
+        more = materialize(more.groupBy(*group).applyInArrow(_links(least, k, percent), "u long, v long").hint("rebalance"), "links")
+        scratch += [some, more]
+        edges = edges.unionByName(more)
+    ids_of = lambda c: home.select(F.col("cls").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    edges = edges.join(ids_of("u"), "u").join(ids_of("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+    cc = connected_components(edges.unionByName(copies), n)
+    discard(*scratch)
     return f.select("doc_id", "n_shingles").join(cc.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
