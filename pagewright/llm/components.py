@@ -52,7 +52,7 @@ def _sum(df: DataFrame) -> tuple[int, int]:
     return r[0], int(r[1] or 0)
 
 
-def connected_components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v), both long; ``rows``: about how many edges there are at most.
 
     component is the smallest node reachable.  Null ends and self-loops are
@@ -62,9 +62,7 @@ def connected_components(edges: DataFrame, rows: int | None = None, rounds: int
     e = e.mapInArrow(_thin, "u long, v long").distinct()
     e = materialize(e, "edges", rows)
     seen = _sum(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:  # ends: every round but the last lowers an end of some edge
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("m").alias("u"), "v").distinct()
@@ -76,8 +74,6 @@ def connected_components(edges: DataFrame, rows: int | None = None, rounds: int
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components need more than {rounds} rounds")
     return e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 

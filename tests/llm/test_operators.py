@@ -271,6 +271,15 @@ def test_near_duplicates(spark):
         assert got == {i: (c, len(sets[i])) for i, c in want.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_duplicates_repeated_ids(spark, parts):
+    """An id with several texts is linked with what any of them is linked with."""
+    z, w = " ".join(f"z{i}" for i in range(60)), [f"w{i}" for i in range(60)]
+    rows = [(1, z), (1, " ".join(w)), (2, " ".join([*w[:30], "other", *w[31:]])), (3, z), (4, "a\0b c\0 d e f"), (5, "a\0b c\0 d e f"), (6, "a b c d e f"), (1, z)]
+    got = sorted((r.doc_id, r.component, r.n_shingles) for r in minhash.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(parts), 80).collect())
+    assert got == sorted([(1, 1, 56), (1, 1, 56), (1, 1, 56), (2, 1, 56), (3, 1, 56), (4, 4, 1), (5, 4, 1), (6, 6, 2)])
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A bucket that is dealt in block pairs gives the same classes."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
@@ -429,6 +438,25 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_extremes(spark, kind):
+    """Finite vectors of any size link; an id may have several vectors."""
+    big, small = (3e38, 1e-44) if kind == "float" else (1e300, 1e-310)
+    rows = [(1, [big, big]), (2, [1.0, 1.0]), (3, [small, small]), (4, [0.0, 0.0]), (5, [1.0, float("inf")]), (6, [1.0, None]), (7, None), (8, [1.0, -1.0]), (8, [1.0, 0.0]), (9, [2.0, -2.0]), (10, [big, 0.0]), (11, []), (12, [1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component) for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 1, 8), (8, 1, 8), (9, 1, 8), (10, 1, 8), (11, 0, 11), (12, 0, 12)]
+
+
+def test_tree_deals_everything():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 3))
+    for leaves in (1, 5, 300):
+        leaf = vectors.Tree(x, leaves).leaf(np.concatenate((x, x * 100)))
+        assert leaf.min() >= 0 and leaf.max() < 512
+    assert vectors.Tree(np.zeros((0, 3)), 8).leaf(x).tolist() == [0] * 1000
+    assert len(set(vectors.Tree(np.ones((50, 3)), 4).leaf(np.ones((9, 3))).tolist())) == 1
+
+
 def test_vector_tiles(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 16)
     rng = np.random.default_rng(6)
