@@ -145,15 +145,45 @@ def test_units(spark):
     assert [got[0].text[s.start : s.end] for s in got[0].spans][1:] == ["ers of", "rock"]
 
 
-def test_html():
-    clean = html.Sanitizer().run('<p onclick="x" id="a">t<script>bad()</script><a href="javascript:x">l</a></p>').result()
-    assert clean == '<p id="a">t<a>l</a></p>'
-    assert html.Sanitizer().run('<td rowspan="0" colspan="2">c</td>').result() == '<td colspan="2">c</td>'
-    p = html.Blocks().run('stray<h1 id="x">Title</h1><p>a <b>b</b></p><ul><li>1<ul><li>2</li></ul></li></ul>')
-    p.close_block()
-    assert [(r["tag"], r["text"]) for r in p.rows] == [("p", "stray"), ("h1", "Title"), ("p", "a b"), ("ul", "12")]
-    seg = html.Segments().run('<html><body><p id="a"> x </p><p id="a">y</p><table><tr><td>z</td></tr></table></body></html>').tokens
-    assert [(t["id"], t["text"], t["status"]) for t in seg if t["kind"] == "segment"] == [("seg-a-1", "x", "pending"), ("seg-a-2", "y", "pending"), ("seg-td-1", "z", "unresolved")]
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ('<p onclick="x" id="a">t<script>bad()</script><a href="javascript:x">l</a></p>', '<p id="a">t<a>l</a></p>'),
+        ("<p>one</p><embed src=x><p>two</p>", "<p>one</p><p>two</p>"),
+        ("a<img src=x>b<wbr>c<input>d<br/>e<br>f", "abcd<br>e<br>f"),
+        ("<u>a</u><s>b</s><blockquote>c</blockquote><hr><article>d</article>", "<u>a</u><s>b</s><blockquote>c</blockquote>d"),
+        ("<title>t</title><button>b</button><math>m</math><select><option>o</select><textarea>x</textarea><applet>y</applet>z", "z"),
+        ('<p class="javascript:x" id="url(x)" lang="en" data-bbox="[1,2]">t</p>', '<p lang="en" data-bbox="[1,2]">t</p>'),
+        ('<td rowspan="0" colspan="002">c</td><p colspan="2">d</p><th rowspan="1001">e</th>', '<td colspan="2">c</td><p>d</p><th>e</th>'),
+        ('<a href="#x">1</a><a href="https://e.org/a?b&amp;c">2</a><a href="mailto:a@b">3</a><a href="https:x">4</a><a href="/rel">5</a><a href="ht tp://x">6</a>', '<a href="#x">1</a><a href="https://e.org/a?b&amp;c">2</a><a href="mailto:a@b">3</a><a>4</a><a>5</a><a>6</a>'),
+        ("a &amp; b &#x41; <!-- c --> &lt;d", "a &amp; b &#x41;  &lt;d"),
+        ("<svg><style>x</svg>y", ""),
+        ("", ""),
+    ],
+)
+def test_sanitize(given, want):
+    assert html.sanitize(given) == want
+
+
+def test_html_blocks():
+    text = '<head><title>t</title></head>out<body>stray<section data-page="3"><h1 id="x" class="page-marker big">Title</h1><p>a <b>b</b><br>c<embed>d<p>e<img>f</p></section><ul><li>1<ul><li>2</li></ul></li></ul><table id="t"><tr><td colspan="2" rowspan="x">c &lt; d</td></tr></table><p> </p><form>no</form></body>after'
+    assert [(r["tag"], r["page"], r["class"], r["source_id"], r["inner"], r["text"]) for r in html.block_rows(text)] == [
+        ("p", None, "", "", "stray", "stray"),
+        ("h1", "3", "page-marker", "x", "Title", "Title"),
+        ("p", "3", "", "", "a <b>b</b><br />cd", "a b\ncd"),
+        ("p", "3", "", "", "ef", "ef"),
+        ("ul", None, "", "", "<li>1<ul><li>2</li></ul></li>", "12"),
+        ("table", None, "", "", '<tr><td colspan="2">c &lt; d</td></tr>', "c < d"),
+    ]
+
+
+def test_html_segments(spark):
+    text = '<html><body><p id="a"> x </p><p id="a">y</p><section data-page="4"><table><tr><td>z</td></tr><tr><td data-cell-id="c 1!">w</td></tr></table></section><pre>q</pre><p>$x = 1;</p></body></html>'
+    rows = html.html_segments(spark.createDataFrame([(1, text), (2, None), (3, text)], "doc_id long, html string")).orderBy("doc_id", "pos").collect()
+    seg = [r for r in rows if r.doc_id == 1 and r.kind == "segment"]
+    assert [(r.id, r.leading, r.text, r.trailing, r.page, r.group_id, r.status) for r in seg][:5] == [("seg-a-1", " ", "x", " ", None, None, "pending"), ("seg-a-2", "", "y", "", None, None, "pending"), ("seg-td-1", "", "z", "", "4", "row-1", "unresolved"), ("seg-c-1-1", "", "w", "", "4", "row-2", "pending"), ("seg-pre-1", "", "q", "", None, None, "preserved")]
+    whole = lambda d: "".join(r.value if r.kind == "raw" else r.leading + r.text + r.trailing for r in rows if r.doc_id == d)
+    assert whole(1) == whole(3) == text and not [r for r in rows if r.doc_id == 2]
 
 
 def test_toc(spark):
