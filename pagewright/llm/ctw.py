@@ -57,9 +57,9 @@ from .common import discard, documents_only, materialize, mix64, slices, trim, u
 
 #: Bytes of context, 6 at most: with the byte itself and a count they fill 64 bits.
 DEPTH = 6
-BUCKET_BYTES = 32 << 20
-SHARD_BYTES = 32 << 20
-CHUNK = 2 << 20
+BUCKET_BYTES = 16 << 20
+SHARD_BYTES = 16 << 20
+CHUNK = 1 << 20
 #: Positions that are looked up at once: their numbers take the low bits beside a hash.
 LOOK = 1 << 20
 WORDS, GRAMS, MODEL, UP = 0, 1, 2, 3
@@ -117,7 +117,9 @@ def entries(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sorted distinct keys with their counts in the lowest byte; a key of a larger
     count has several entries that add up to it."""
     if not len(n) or n.max() < 256:
-        return keys << np.uint64(8) | n.astype(np.uint64)
+        out = keys << np.uint64(8)
+        out |= n.view(np.uint64)
+        return out
     times = np.maximum(1, -(-n // 255))
     last = np.cumsum(times) - 1
     out = np.repeat(keys << np.uint64(8), times) | _BYTE
@@ -133,8 +135,9 @@ def counted(parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     every.sort()
     keys = every >> np.uint64(8)
     first, _ = runs(keys)
+    keys = keys[first]
     every &= _BYTE
-    return keys[first], np.add.reduceat(every, first).astype(np.int64) if len(first) else first
+    return keys, np.add.reduceat(every, first).view(np.int64) if len(first) else first
 
 
 def planes(x: np.ndarray) -> bytes:
