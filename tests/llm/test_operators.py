@@ -386,10 +386,10 @@ def test_close_lines_share_a_key(a, edits):
 
 
 def brute_lines(rows, edits, repeats, least):
-    every = [(i, n, x.strip()) for i, t in rows for n, x in enumerate((t or "").encode().lower().split(b"\n")) if len(x.strip()) >= least]
+    every = [(i, n, x.strip()) for i, t in rows for n, x in enumerate((t or "").encode().lower().split(b"\n")) if x.strip()]
     kinds = sorted({x for *_, x in every})
     at = {x: k for k, x in enumerate(kinds)}
-    comp = brute_components(range(len(kinds)), [(a, b) for a, b in itertools.combinations(range(len(kinds)), 2) if abs(len(kinds[a]) - len(kinds[b])) <= edits and levenshtein(kinds[a], kinds[b]) <= edits])
+    comp = brute_components(range(len(kinds)), [(a, b) for a, b in itertools.combinations(range(len(kinds)), 2) if min(len(kinds[a]), len(kinds[b])) >= least and abs(len(kinds[a]) - len(kinds[b])) <= edits and levenshtein(kinds[a], kinds[b]) <= edits])
     groups: dict = {}
     for i, n, x in every:
         groups.setdefault(comp[at[x]], []).append((i, n))
@@ -412,6 +412,32 @@ def test_line_dedup(spark):
         assert got == {i: x for i, x in brute_lines(rows, 2, repeats, lines.MIN_BYTES).items() if x}
 
 
+@pytest.mark.parametrize("most, shared", [(4, 2), (2, 1), (10_000, 3), (6, 10_000)])
+def test_line_dedup_crowded(spark, monkeypatch, most, shared):
+    """Keys that many lines share: met within a slice, cut again, dealt in blocks."""
+    monkeypatch.setattr(lines, "MOST", most)
+    monkeypatch.setattr(lines, "SHARED", shared)
+    rng = random.Random(9)
+    rows = []
+    for i in range(45):
+        tail = "".join(rng.choice("abcdef") for _ in range(rng.randrange(14, 17))) if i % 3 else "mmmmmmmmmmmmmm"
+        own = [f"2024-01-01 00:00:00 info {tail}", "ok", f"n{i % 7}"]
+        if i % 4 == 0 and rows:
+            x = list(rng.choice(rows)[1].split("\n")[0])
+            for _ in range(rng.randrange(0, 3)):
+                x[rng.randrange(len(x))] = rng.choice("xyz")
+            own[0] = "".join(x)
+        rows.append((i, "\n".join(own)))
+    got = {r.doc_id: r.lines for r in lines.repeated_lines(docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(3)).collect()}
+    assert got == {i: x for i, x in brute_lines(rows, 2, 2, lines.MIN_BYTES).items() if x}
+
+
+def test_line_dedup_one_prefix(spark):
+    """Many lines with one prefix and nothing else in common finish quickly."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("2024-01-01 12:00:00 request "), F.substring(F.sha2(F.concat_ws("-", "id", i).cast("binary"), 256), 1, 24))), "\n").alias("text"))
+    assert lines.repeated_lines(docs).count() == 0
+
+
 def test_line_cases(odd, none):
     out = lines.drop_repeated_lines(odd[0])
     assert out.columns == odd[0].columns
