@@ -8,16 +8,17 @@ these rules on UTF-8.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python call holds at once; longer single texts come alone.
@@ -27,13 +28,18 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and
+    driver and executors are one process, as in tests, a temporary folder is made
+    and set.  A cluster without that setting has no such folder, which is an error:
+    each machine would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -81,15 +87,32 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
+    _scratch[path] = spark
     return back
 
 
+#: Tables of ``materialize`` that nobody has discarded: results may still read them.
+_scratch: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Deletes, as the driver ends, what results have read to the last."""
+    for path, spark in list(_scratch.items()):
+        with suppress(Exception):  # the session may be gone
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _scratch.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``materialize`` that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.scratch)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +190,15 @@ def documents_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def boxed(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that their names, whatever they are, can't clash."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias(name)
+
+
+def unboxed(columns: Iterable[str], name: str = "row") -> list[Column]:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal in, equal out, else as good as random."""
     x = x.astype(np.uint64, copy=True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, slices, small_batches, utf8
+from .common import boxed, documents_only, materialize, slices, small_batches, unboxed, utf8
 
 FIT_ROWS = 20_000
 FIT_PAIRS = 100_000
@@ -172,9 +172,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: st
     Only ids, hashes and scores come back from Python; the rejected are written,
     counted, and joined away: broadcast where they are few, else by a shuffle.
     """
-    bad = materialize(scores(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col).where(F.col("score") < least).select(F.col("doc_id").alias("_bad"), F.col("th").alias("_hash")), "rejected")
+    found = scores(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
+    bad = materialize(found.where(F.col("score") < least).select(F.col("doc_id").alias("bad"), F.col("th").alias("hash")).distinct(), "rejected")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")), "left_anti")
+    rows = docs.select(boxed(docs), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    kept = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")) & (F.col("th") == F.col("hash")), "left_anti")
+    return kept.select(*unboxed(docs.columns))
 
 
 def op8_quality_ranking(spark, sf_dir: str) -> DataFrame:
