@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents_only, slices, utf8
+from .common import boxed, documents_only, slices, utf8
 
 WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
@@ -42,6 +43,10 @@ FORMS = ((DEFLATE, 2, False), (LZW, 1, False), (PACKBITS, 1, True), (DEFLATE, 1,
 # ---- codecs
 
 
+#: No codec here makes more bytes of one; a page that declares more can't be whole.
+MOST_EXPANSION = 4096
+
+
 def lzw_decode(data: bytes) -> bytes:
     """Most significant bit first, codes of 9 to 12 bits that grow one early."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
@@ -152,13 +157,14 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def decompress(data: bytes, how: int) -> bytes:
+def decompress(data: bytes, how: int, most: int) -> bytes:
+    """The first ``most`` bytes of a strip or tile: what is declared beyond them isn't unpacked."""
     if how == NONE:
         return data
     if how == LZW:
         return lzw_decode(data)
     if how in (DEFLATE, 32946):
-        return zlib.decompressobj().decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if how == PACKBITS:
         return packbits_decode(data)
     raise ValueError(f"compression {how}")
@@ -235,13 +241,15 @@ def read_page(data: bytes, order: str, f: dict[int, list]) -> dict:
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise ValueError("strips or tiles are missing")
+    if height * width * samples * dtype.itemsize > MOST_EXPANSION * len(data):
+        raise ValueError("data is cut off")
     out = np.zeros((height, width, samples), dtype)
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
-        raw = decompress(data[offsets[k] : offsets[k] + counts[k]], how)
         need = rows * w * deep * dtype.itemsize
+        raw = decompress(data[offsets[k] : offsets[k] + counts[k]], how, need)
         if len(raw) < need:
             raise ValueError("data is cut off")
         block = undo_predictor(np.frombuffer(raw[:need], dtype).reshape(rows, w, deep), predictor, order)
@@ -289,23 +297,42 @@ def read(data: bytes | None) -> list[dict]:
     return [{k: p.get(k) for k in _NAMES} for p in out]
 
 
-def with_pages(files: DataFrame, column: str) -> DataFrame:
-    """``files`` with an array of its pages as column pages."""
-    at = files.columns.index(column)
+def _apart(files: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
+    """Column f, a struct of the other columns of ``files``, and column m, the files; the others' names."""
+    others = [c for c in files.columns if c != column]
+    rest = boxed(files.select(*(F.col(f"`{c}`") for c in others)), "f") if others else F.struct(F.lit(0).alias("none")).alias("f")
+    return files.select(rest, F.col(f"`{column}`").alias("m")), others
+
+
+def _mapped(rows: DataFrame, found: list[tuple[str, T.DataType]], run) -> DataFrame:
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in found)]))
+
+
+def with_pages(files: DataFrame, column: str, name: str = "pages") -> DataFrame:
+    """``files`` with an array of its pages as column ``name``, in place of a column of that name."""
+    rows, others = _apart(files, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, column, 4 << 20):
-            yield b.append_column("pages", pa.array([read(x) for x in b.column(at).to_pylist()], pa.list_(_ARROW)))
+        for b in slices(batches, "m", 4 << 20):
+            yield b.append_column("p", pa.array([read(x) for x in b.column(1).to_pylist()], pa.list_(_ARROW)))
 
     inner = ",".join(f"{n}:{t}" for n, t in (x.split() for x in PAGE.split(", ")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInArrow(run, f"{fields}, pages array<struct<{inner}>>")
+    found = _mapped(rows, [("p", T._parse_datatype_string(f"array<struct<{inner}>>"))], run)
+    kept = [F.col("m").alias(c) if c == column else F.col(f"f.`{c}`").alias(c) for c in files.columns if c.lower() != name.lower()]
+    return found.select(*kept, F.col("p").alias(name))
 
 
 def tiff_pages(files: DataFrame, column: str) -> DataFrame:
-    """One row per page: the other columns of ``files``, then those of PAGE."""
-    kept = [c for c in files.columns if c != column]
-    return with_pages(files, column).select(*kept, F.explode("pages").alias("_page")).select(*kept, "_page.*")
+    """One row per page: the other columns of ``files``, then those of PAGE.
+
+    A column of ``files`` that is called like one of PAGE is kept under its name
+    with ``_file`` behind it.  A null file has no page; a damaged one has a page
+    that says what is wrong in error, after those that could be read.
+    """
+    page = {n.lower() for n in _NAMES}
+    rows, kept = _apart(files, column)
+    names = [f"{c}_file" if c.lower() in page else c for c in kept]
+    return with_pages(rows, "m").select("f", F.explode("pages").alias("p")).select(*(F.col(f"f.`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), "p.*")
 
 
 # ---- writer
@@ -379,11 +406,26 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return documents_only(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def with_payload(files: DataFrame, column: str) -> DataFrame:
+    """``files`` with payload, all pages' pixels in order, and feature, a summary of
+    each page; both in one pass over the bytes."""
+    names = ["width", "height", "samples", "compression", "dhash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "m", 4 << 20):
+            found = [read(x) for x in b.column(1).to_pylist()]
+            payload = [b"".join(p["pixels"] or b"" for p in pages) for pages in found]
+            feature = [";".join(":".join(str(p[n]) for n in names if p[n] is not None) for p in pages) for pages in found]
+            yield b.append_column("payload", pa.array(payload, pa.binary())).append_column("feature", pa.array(feature, pa.string()))
+
+    rows, others = _apart(files, column)
+    found = _mapped(rows, [("payload", T.BinaryType()), ("feature", T.StringType())], run)
+    return found.select(*(F.col("m").alias(c) if c == column else F.col(f"f.`{c}`").alias(c) for c in files.columns), "payload", "feature")
+
+
 def op1_tiff_pages(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for all documents, computed from what is read back."""
-    found = with_pages(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    payload = F.aggregate("pages", F.lit(b""), lambda acc, p: F.concat(acc, p["pixels"]))
-    found = found.select("doc_id", "n_bytes", "media", payload.alias("payload"), F.transform("pages", lambda p: F.concat_ws(":", p["width"].cast("string"), p["height"].cast("string"), p["samples"].cast("string"), p["compression"].cast("string"), p["dhash"])).alias("of"))
+    found = with_payload(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     return found.select(
         "doc_id",
         "n_bytes",
@@ -392,5 +434,5 @@ def op1_tiff_pages(spark, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.array_join("of", ";").alias("feature"),
+        "feature",
     )
