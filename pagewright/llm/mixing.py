@@ -9,16 +9,21 @@ documents: all of them ``flow // words`` times, and in a seeded order a prefix
 once more up to the remainder.
 
 What reaches the driver is one row a pattern, whose number follows the sources
-and not the documents; ``MAX_PATTERNS`` guards that and raises, it never drops.
+and not the documents.  The flow is found level by level of the repetition costs,
+each a maximum flow by blocking flows, so many patterns take no long search each.
 
-Defined cases: a null text has size 0; a null source is a source of its own,
+In the seeded order only the hash bucket in which a pattern's remainder ends needs
+an order within; documents before it are taken once more and those after it
+aren't, so no others are sorted or moved.
+
+Defined cases: a null or empty text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 times; ids that repeat are
-ordered by size too, so reruns agree; an empty table gives an empty result.
+ordered by size too, so reruns agree; a very long text is one document, taken in
+part at most once a pattern; other columns, whatever they are called, go along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import boxed, materialize, unboxed
 
-MAX_PATTERNS = 100_000
-#: Hash buckets of the seeded order: running sums are taken within one.
-DIGITS = 3
+#: Documents in a hash bucket of the seeded order, about: one bucket a pattern is sorted.
+BUCKET_ROWS = 20_000
+#: Patterns whose plan is broadcast at most, some hundred bytes each.
+BROADCAST_PATTERNS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,53 +64,67 @@ def source_targets(sizes: dict, weights: Sequence[float], share: float, cap: flo
 def min_cost_flow(patterns: list[tuple[frozenset, int]], quotas: dict, repeats: int) -> list[dict]:
     """For each pattern, the words that each of its sources gets from it.
 
-    Successive shortest paths with potentials; the e-th repetition of a word
-    costs e - 1, words are whole numbers.
+    The e-th repetition of a word costs e - 1 and all other arcs cost nothing, so a
+    shortest path costs what its first arc does: with the room of each level added
+    in turn, maximum flows (by Dinic's blocking flows) are flows of least cost.
+    Words are whole numbers.
     """
     n, names = len(patterns), list(quotas)
     at = {s: 1 + n + i for i, s in enumerate(names)}
     end = 1 + n + len(names)
-    graph: list[list[list]] = [[] for _ in range(end + 1)]  # to, room, cost, reverse
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
+    to: list[int] = []
+    room: list[int] = []
+    graph: list[list[int]] = [[] for _ in range(end + 1)]
+
+    def arc(a: int, b: int, most: int) -> int:
+        graph[a].append(len(to))
+        graph[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((most, 0))
+        return len(to) - 2
+
+    supply = [arc(0, 1 + i, 0) for i in range(n)]
+    routes: list[list[tuple]] = []
     for i, (members, size) in enumerate(patterns):
-        for e in range(repeats if size else 0):
-            arc(0, 1 + i, size, e)
-        for s in sorted((m for m in members if m in at), key=lambda m: (m is None, m or "")):
-            arc(1 + i, at[s], size * repeats, 0)
+        routes.append([(s, arc(1 + i, at[s], (size or 0) * repeats)) for s in sorted((m for m in members if m in at), key=lambda m: (m is None, m or ""))])
     for s in names:
-        arc(at[s], end, quotas[s], 0)
-    high = [0] * (end + 1)
-    while True:
-        far, via, heap = {0: 0}, {}, [(0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for k, (b, room, cost, _) in enumerate(graph[a]):
-                nd = d + cost + high[a] - high[b]
-                if room > 0 and nd < far.get(b, 1 << 60):
-                    far[b], via[b] = nd, (a, k)
-                    heapq.heappush(heap, (nd, b))
-        if end not in far:
-            break
-        worst = max(far.values())
-        high = [h + far.get(i, worst) for i, h in enumerate(high)]
-        room, b = 1 << 62, end
-        while b:
-            a, k = via[b]
-            room, b = min(room, graph[a][k][1]), a
-        b = end
-        while b:
-            a, k = via[b]
-            graph[a][k][1] -= room
-            graph[b][graph[a][k][3]][1] += room
-            b = a
-    back = {v: s for s, v in at.items()}
-    return [{back[b]: graph[b][r][1] for b, _, _, r in graph[1 + i] if b in back and graph[b][r][1]} for i in range(n)]
+        arc(at[s], end, quotas[s])
+
+    def levels() -> list[int]:
+        far, line = [-1] * (end + 1), [0]
+        far[0] = 0
+        for a in line:
+            for e in graph[a]:
+                if room[e] and far[to[e]] < 0:
+                    far[to[e]] = far[a] + 1
+                    line.append(to[e])
+        return far
+
+    for _ in range(repeats):
+        for i, (_, size) in enumerate(patterns):
+            room[supply[i]] += size or 0
+        while (far := levels())[end] >= 0:
+            after, path, a = [0] * (end + 1), [], 0
+            while True:
+                if a == end:
+                    sent = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= sent
+                        room[e ^ 1] += sent
+                    full = next(k for k, e in enumerate(path) if not room[e])
+                    a = to[path[full] ^ 1]
+                    del path[full:]
+                while after[a] < len(graph[a]) and not (room[e := graph[a][after[a]]] and far[to[e]] == far[a] + 1):
+                    after[a] += 1
+                if after[a] < len(graph[a]):
+                    path.append(e)
+                    a = to[e]
+                elif path:
+                    a = to[path.pop() ^ 1]
+                    after[a] += 1
+                else:
+                    break
+    return [{s: room[e ^ 1] for s, e in own if room[e ^ 1]} for own in routes]
 
 
 def _key(sources: Column) -> Column:
@@ -112,23 +132,19 @@ def _key(sources: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(sources)), {"ignoreNullFields": "false"})
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix", sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, size, pattern, members, taken (words, repeats counted) and, with
-    ``keep``, row: the whole input row.
-
-    ``sources``: an array column of the sources a document belongs to; the
-    default is the single column source.  ``weights`` repeat over the sources by
-    code point.  The result's attribute ``targets`` maps a source to (size,
-    target).
-    """
+def _keyed(docs: DataFrame, seed: str, sources: Column | None, id_col: str, extra: list[Column]) -> DataFrame:
+    """doc_id, members, pattern and h, the place in the seeded order, of each row, and ``extra``."""
     sources = F.array(F.col("source").cast("string")) if sources is None else sources
-    rows = docs.select(*([F.struct("*").alias("row")] if keep else []), F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), sources.alias("members"))
-    rows = rows.withColumn("pattern", F.coalesce(_key(F.col("members")), F.lit("[]")))
-    if not keep:
-        rows = materialize(rows, "sizes")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    rows = docs.select(*extra, F.col(id_col).cast("long").alias("doc_id"), sources.alias("members"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return rows.withColumn("pattern", F.coalesce(_key(F.col("members")), F.lit("[]"))).withColumn("h", order)
+
+
+def _planned(rows: DataFrame, weights: Sequence[float], share: float, repeats: int) -> tuple[DataFrame, int, dict]:
+    """A plan (pattern, whole, edge, left): how often all of a pattern is taken, the
+    hash bucket in which its remainder ends and how much of that bucket belongs to it
+    (null without a remainder); the digits of buckets; sizes and targets by source."""
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members"), F.count("*").alias("n")).collect()  # a row a pattern
     found.sort(key=lambda r: r.pattern)
     patterns = [(frozenset(r.members or ()), r["size"]) for r in found]
     sizes: dict = {}
@@ -137,36 +153,72 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
             sizes[s] = sizes.get(s, 0) + size
     targets = source_targets(sizes, weights, share, repeats)
     flows = min_cost_flow(patterns, {s: int(t + 0.5) for s, t in targets.items()}, repeats)
-    plan = []
-    for r, flow in zip(found, flows, strict=True):
-        words, size = sum(flow.values()), r["size"] or 0
-        plan.append((r.pattern, words // size if size else 0, words % size if size else 0))
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "pattern string, whole long, rest long")
+    digits = 1
+    while found and max(r["n"] for r in found) > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    words = [sum(f.values()) for f in flows]
+    rest = [(r.pattern, w // r["size"], w % r["size"]) if r["size"] else (r.pattern, 0, 0) for r, w in zip(found, words, strict=True)]
+    plan = rows.sparkSession.createDataFrame(rest, "pattern string, whole long, rest long")
+    upto = F.sum("s").over(Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = rows.withColumn("b", F.substring("h", 1, digits)).groupBy("pattern", "b").agg(F.sum("size").alias("s")).withColumn("upto", upto)
+    ends = sums.join(plan, "pattern").where((F.col("rest") > 0) & (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest")))
+    plan = plan.join(ends.select("pattern", F.col("b").alias("edge"), (F.col("rest") - F.col("upto") + F.col("s")).alias("left")), "pattern", "left")
+    plan = materialize(plan.select("pattern", "whole", "edge", "left"), "plan", len(rest))
+    if len(rest) <= BROADCAST_PATTERNS:
+        plan = F.broadcast(plan)
+    return plan, digits, {s: (sizes[s], targets[s]) for s in sizes}
 
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("h", order).withColumn("b", F.substring("h", 1, DIGITS))
-    before = Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("pattern", "b").agg(F.sum("size").alias("s")).select("pattern", "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("pattern", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("upto", F.sum("size").over(within)).join(sums, ["pattern", "b"]).join(plan, "pattern")
-    left = F.col("rest") - (F.col("base") + F.col("upto") - F.col("size"))
-    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))
-    out = out.select(*(["row"] if keep else []), "doc_id", "size", "pattern", "members", taken.cast("long").alias("taken"))
-    out.targets = {s: (sizes[s], targets[s]) for s in sizes}
+
+def _before() -> Column:
+    """Words of the same pattern's bucket that come first in the seeded order."""
+    return F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+
+
+_CLEAR = "edge is null or b <> edge"
+#: What a document before the edge is taken beside whole repetitions: once more.
+_ONCE_MORE = "case when b < edge then 1 else 0 end"
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix", sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, pattern, members and taken (words, repeats counted).
+
+    ``sources``: an array column of the sources a document belongs to; the
+    default is the single column source.  ``weights`` repeat over the sources by
+    code point.  The result's attribute ``targets`` maps a source to (size,
+    target).
+    """
+    rows = materialize(_keyed(docs, seed, sources, id_col, [word_count(F.col(text_col)).alias("size")]), "sizes")
+    plan, digits, targets = _planned(rows, weights, share, repeats)
+    rows = rows.withColumn("b", F.substring("h", 1, digits)).join(plan, "pattern")
+    own = ["doc_id", "size", "pattern", "members"]
+    clear = rows.where(_CLEAR).select(*own, ((F.col("whole") + F.expr(_ONCE_MORE)) * F.col("size")).cast("long").alias("taken"))
+    part = F.greatest(F.lit(0), F.least(F.col("left") - F.col("before"), F.col("size")))
+    close = rows.where("b = edge").withColumn("before", _before()).select(*own, (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    out = clear.unionByName(close)
+    out.targets = targets
     return out
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix", sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
     A document of which only a part is taken beyond its whole repetitions (there
     is one a pattern) is rounded to the nearer number; documents without words
-    take no room and stay once.
+    take no room and stay once.  Rows stay where they are but for those of one
+    hash bucket a pattern, which are put in order.
     """
-    out = mixture(docs, keep=True, **how)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1)))))
-    return out.withColumn("times", times.cast("int")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    text = F.col(text_col)
+    sizes = materialize(_keyed(docs, seed, sources, id_col, [word_count(text).alias("size")]), "sizes")
+    plan, digits, _ = _planned(sizes, weights, share, repeats)
+    rows = _keyed(docs, seed, sources, id_col, [boxed(docs), text.alias("text")]).withColumn("b", F.substring("h", 1, digits)).join(plan, "pattern")
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    clear = rows.where(_CLEAR).select("row", F.when(blank, 1).otherwise(F.col("whole") + F.expr(_ONCE_MORE)).cast("int").alias("times"))
+    close = rows.where("b = edge").withColumn("size", word_count(F.col("text"))).withColumn("before", _before())
+    part = F.greatest(F.lit(0), F.least(F.col("left") - F.col("before"), F.col("size")))
+    rounded = F.col("whole") + F.floor((2 * part + F.col("size")) / (2 * F.greatest("size", F.lit(1))))
+    close = close.select("row", F.when(F.col("size") == 0, 1).otherwise(rounded).cast("int").alias("times"))
+    out = clear.unionByName(close).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*unboxed(docs.columns))
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
