@@ -11,10 +11,12 @@ the window and not on the corpus.  Pieces then find their place by their rank
 among the pieces of their length.
 
 Ranks are taken in salted groups of a length whose sizes are summed first, so a
-length that many pieces share stays spread out.
+length that many pieces share stays spread out; the salts grow with the pieces.
 
 Defined cases: a null or empty text is a document of the end token alone; repeated ids and
-rows are packed once each; an empty table gives an empty result.
+rows are packed once each; pieces that tie in length are ranked by id, start and checksum, and
+equal ones are interchangeable; a very long text is tokenized whole, in one batch of its own;
+other columns are ignored, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from pyspark.sql.window import Window
 
 from .common import documents_only, materialize, slices
 
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+RANKED = 100_000
+LEAST_SALTS = 64
 #: Parts whose ids one Python worker remembers, about 30 bytes each.
 MEMORY = 1_000_000
 
@@ -233,7 +237,9 @@ def places(fillings: list[tuple[int, list[tuple[int, int]]]]) -> tuple[dict[int,
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = materialize(pieces(docs, tokenizer, end_id, window, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = materialize(pieces(docs, tokenizer, end_id, window, id_col, text_col), "pieces")
+    salts = max(LEAST_SALTS, -(-cut.count() // RANKED))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     by = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = by.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
