@@ -46,6 +46,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ from .common import discard, documents_only, materialize, mix64, slices, trim, u
 DEPTH = 6
 BUCKET_BYTES = 16 << 20
 SHARD_BYTES = 16 << 20
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Positions that are looked up at once: their numbers take the low bits beside a hash.
 LOOK = 1 << 20
 WORDS, GRAMS, MODEL, UP = 0, 1, 2, 3
@@ -214,9 +215,9 @@ class Bucket:
         return out
 
 
-def dealt(asked: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards with the places of their entries, by the last bytes of the context."""
-    ending = asked >> np.uint64(16) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
+def dealt(keys: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards with the places of their keys, by the last bytes of the context."""
+    ending = keys >> np.uint64(8) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
     shard = (mix64(ending) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     first, n = runs(shard[order])
@@ -241,7 +242,7 @@ def ask(shards: int, depth: int):
         bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
         words, found = bucket.asked()
         out = [(s, WORDS, packed_words(w), planes(np.array([words[x] for x in w], np.uint64))) for s, w in bucket.by_shard(words).items()]
-        out += [(s, GRAMS, packed_keys(found[own]), None) for s, own in dealt(found, shards, depth)]
+        out += [(s, GRAMS, packed_keys(found[own]), None) for s, own in dealt(found >> np.uint64(8), shards, depth)]
         shard, kind, asked, n = zip(*out, strict=True)
         return rows_of({"shard": shard, "kind": kind, "bucket": [at] * len(out), "asked": asked, "counts": n}, len(out), _ASK_NAMES)
 
@@ -346,7 +347,7 @@ def answered(depth: int):
         out = out.astype(np.float32)
         asks = table.filter(pa.array(kind == GRAMS))
         shard, buckets = asks.column("shard").to_pylist(), asks.column("bucket").to_pylist()
-        replies = [out[np.searchsorted(keys, unpacked_keys(x) >> np.uint64(8))].tobytes() for x in asks.column("asked").to_pylist()]
+        replies = [out[np.searchsorted(keys, distinct([unpacked_keys(x) >> np.uint64(8)]))].tobytes() for x in asks.column("asked").to_pylist()]
         return rows_of({"shard": shard, "kind": [GRAMS] * len(shard), "bucket": buckets, "asked": replies}, len(shard), names)
 
     return run
@@ -406,56 +407,83 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes lo
 _SCORE_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
-def looked_up(keys: np.ndarray, own: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """``values`` of the ``own`` among ``keys`` by their hashes, sorted; 0 for the
-    others.  One sort of hashes with positions in their low bits brings equal keys
-    together; what the bits hide of two different keys is told by comparing them."""
-    out = np.zeros(len(keys))
-    mine = np.flatnonzero(own)
-    if not len(mine):
-        return out
-    bits = np.uint64(max(len(mine) - 1, 1).bit_length())
-    full = mix64(keys[mine])
-    h = full >> bits << bits | np.arange(len(mine), dtype=np.uint64)
+class Numbers(dict):
+    """Numbers words from 0 in the order in which they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def kinds_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in the order of their hashes, and which of them each key is.
+
+    One sort of hashes with positions in their low bits brings equal keys together;
+    of keys that the other bits don't tell apart some may be listed more than once."""
+    n = len(keys)
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    h = mix64(keys)
+    h >>= bits
+    h <<= bits
+    h |= np.arange(n, dtype=np.uint64)
     h.sort()
-    at = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    full = full[at]
-    new = np.r_[True, full[1:] != full[:-1]]
-    out[mine[at]] = values[np.searchsorted(hashes, full[new])][np.cumsum(new) - 1]
-    return out
+    h &= np.uint64((1 << int(bits)) - 1)
+    at = h.view(np.int64)
+    found = keys[at]
+    new = np.ones(n, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    which = np.empty(n, np.int32)
+    which[at] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return found[new], which
+
+
+def distinct(parts: Sequence[np.ndarray]) -> np.ndarray:
+    every = np.concatenate(parts)
+    every.sort()
+    return every[runs(every)[0]]
 
 
 def score(shards: int, depth: int):
+    """One bucket's documents: texts are taken apart once, into numbers of words and of
+    kinds of keys; when the bucket's distinct keys are known, so is what each answer is for."""
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _SCORE.split(", ")]
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in _SCORE_TYPES], names=names)
         trim()
-        bucket = Bucket(table, shards, depth)
-        words, found = bucket.asked()
+        bucket, numbers, parts, held = Bucket(table, shards, depth), Numbers({END: 0}), [], []
+        for batch, tokens, keys, starts, own in bucket.chunks(LOOK):
+            sizes = np.array([len(t) for t in tokens], np.int64)
+            words = np.fromiter(map(numbers.__getitem__, chain.from_iterable(tokens)), np.int32, int(sizes.sum()))
+            mine = keys[own]
+            pieces = [kinds_of(mine[i : i + LOOK]) for i in range(0, len(mine), LOOK)]
+            parts.append((batch.column(0), batch.column(2), sizes, words, np.add.reduceat(own, starts, dtype=np.int64), pieces))
+            held.append(distinct([kinds for kinds, _ in pieces]))
+            while len(held) > 1 and 2 * len(held[-1]) >= len(held[-2]):
+                held[-2:] = [distinct(held[-2:])]
+        found = distinct(held)
+        del held
         got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), strict=True), answers.column("asked").to_pylist(), strict=True))
-        counts: dict[bytes, int] = {}
-        for s, own in bucket.by_shard(words).items():
-            counts.update(zip(own, unplaned(got[WORDS, s], np.uint64).tolist(), strict=True))
+        counts = np.zeros(len(numbers), np.int64)
+        for s, own in bucket.by_shard(numbers).items():
+            counts[[numbers[w] for w in own]] = unplaned(got[WORDS, s], np.uint64)
         log_p = np.empty(len(found), np.float32)
         for s, own in dealt(found, shards, depth):
             log_p[own] = np.frombuffer(got[GRAMS, s], np.float32)
         del got
-        hashes = mix64(found >> np.uint64(8))
-        del found
+        hashes = mix64(found)
         order = np.argsort(hashes)
         hashes, log_p = hashes[order], log_p[order]
-        del order
-        known = {w: n > 0 for w, n in counts.items()}
-        logs = dict(zip(counts, np.log10(np.array(list(counts.values()), float) + 1).tolist(), strict=True))
-        end, log_end = known[END], logs[END]
+        del found, order
+        known, logs = (counts > 0).astype(float), np.log10(counts + 1.0)
         out = []
-        for batch, tokens, keys, starts, own in bucket.chunks(LOOK):
-            value = np.concatenate([looked_up(keys[i : i + LOOK], own[i : i + LOOK], hashes, log_p) for i in range(0, len(keys), LOOK)])
-            n_known = [sum(map(known.__getitem__, t)) + end for t in tokens]
-            log_counts = [sum(map(logs.__getitem__, t)) + log_end for t in tokens]
-            columns = (batch.column(0), batch.column(2), [len(t) + 1 for t in tokens], n_known, np.add.reduceat(own, starts, dtype=np.int64), log_counts, np.add.reduceat(value, starts))
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names))
+        for ids, folds, sizes, words, n_bytes, pieces in parts:
+            value = np.concatenate([log_p[np.searchsorted(hashes, mix64(kinds))][which] for kinds, which in pieces])
+            ends = np.r_[0, np.cumsum(sizes)]
+            n_known, log_counts = (np.diff(np.r_[0.0, np.cumsum(x[words])][ends]) + x[0] for x in (known, logs))
+            columns = (ids, folds, sizes + 1, np.rint(n_known).astype(np.int64), n_bytes, log_counts, np.add.reduceat(value, np.r_[0, np.cumsum(n_bytes)[:-1]], dtype=np.float64))
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names))
         return pa.Table.from_batches(out)
 
     return run
