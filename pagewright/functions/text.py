@@ -55,10 +55,10 @@ CRITICAL = {
 KEPT_HYPHEN_PREFIXES = ("self", "well", "co", "cross", "ex", "all", "half", "quasi", "step", "great", "user", "state", "cost", "real", "high", "low", "open", "end", "peer")
 
 TARGET_SCRIPTS = {
-    "th": r"[฀-๿]",
-    "zh": r"[㐀-鿿]",
-    "ja": r"[぀-ヿ㐀-鿿]",
-    "ko": r"[가-힯]",
+    "th": r"[\u0E00-\u0E7F]",
+    "zh": r"[\u3400-\u9FFF]",
+    "ja": r"[\u3040-\u30FF\u3400-\u9FFF]",
+    "ko": r"[\uAC00-\uD7AF]",
     "en": r"[A-Za-z]",
     "de": r"[A-Za-zÀ-ÿ]",
     "fr": r"[A-Za-zÀ-ÿ]",
@@ -178,7 +178,7 @@ def term_fits_language(term: Column, language: str | None) -> Column:
 def target_script_missing(source: Column, target: Column, language: str) -> Column:
     """A sentence that was handed back instead of translated."""
     pattern = TARGET_SCRIPTS.get(language.split("-")[0].lower())
-    letters = F.regexp_count(source, F.lit(r"[A-Za-z฀-๿㐀-鿿぀-ヿ가-힯]"))
+    letters = F.regexp_count(source, F.lit(r"[A-Za-z\u0E00-\u0E7F\u3400-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]"))
     words = F.regexp_count(source, F.lit(r"(?U)\S+"))
     return F.lit(False) if pattern is None else ~looks_like_code(source) & (letters >= 12) & (words >= 3) & ~target.rlike(pattern)
 

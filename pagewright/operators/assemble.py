@@ -133,3 +133,17 @@ def job_text(pages: DataFrame, headers: bool = False) -> DataFrame:
     if headers:
         body = F.concat(F.lit("--- Page "), F.col("page_id").cast("string"), F.lit(" ---\n"), body)
     return pages.withColumn("body", body).groupBy("job_id").agg(ordered_concat("job_id", "page_id", "body", "\n\f\n").alias("text"))
+
+
+def blocks_in_order(blocks: DataFrame, most: int = 100_000) -> DataFrame:
+    """Blocks (page_id, line_index, x0, y0, ...) with position: by top, then left, then
+    as they came; the first ``most`` of a page."""
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("y0", "x0", "line_index"))
+    return blocks.withColumn("position", nth - 1).where(F.col("position") < most)
+
+
+def united_blocks(native: DataFrame, recognised: DataFrame) -> DataFrame:
+    """All blocks of both origins in one reading order."""
+    both = native.withColumn("origin", F.lit("native")).unionByName(recognised.withColumn("origin", F.lit("ocr")))
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("y0", "x0", "origin", "line_index"))
+    return both.withColumn("position", nth - 1)

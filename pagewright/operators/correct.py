@@ -7,10 +7,6 @@ corrected, category, reason, status).  Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,20 +149,58 @@ def highlight(text: Column, start: Column, end: Column) -> Column:
 
 def replace_near(texts: DataFrame) -> DataFrame:
     """Rows (text, needle, replacement, expected) with out: the occurrence of needle
-    nearest to expected replaced, null if there is none or two are as near."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text, needle, new, at in zip(b["text"], b["needle"], b["replacement"], b["expected"], strict=True):
-                found = [m.start() for m in re.finditer(f"(?={re.escape(needle)})", text)] if needle else []
-                best = min((abs(x - at) for x in found), default=None)
-                near = [x for x in found if abs(x - at) == best]
-                out.append(text[: near[0]] + new + text[near[0] + len(needle) :] if len(near) == 1 else None)
-            yield b.assign(out=pd.Series(out, dtype=object))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInPandas(run, f"{fields}, out string")
+    nearest to expected replaced, null if there is none or two are as near.
+
+    The text is split before each occurrence, overlapping ones too, so the pieces'
+    lengths add up to their places; a fold keeps the nearest and whether it is alone.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split("text", quoted, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("best"), F.lit(False).alias("tie"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        here, old = F.abs(acc["at"] - F.col("expected")), F.abs(acc["best"] - F.col("expected"))
+        hit = F.startswith(piece, F.col("needle"))
+        better = hit & (acc["best"].isNull() | (here < old))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(better, acc["at"]).otherwise(acc["best"]).alias("best"), F.when(better, F.lit(False)).otherwise(acc["tie"] | (hit & F.coalesce(here == old, F.lit(False)))).alias("tie"))
+
+    near = F.aggregate(pieces, zero, step, lambda acc: F.when(~acc["tie"], acc["best"]))
+    put = F.concat(F.substring("text", F.lit(1), F.col("_at")), "replacement", F.substring("text", F.col("_at") + F.length("needle") + 1, F.length("text")))
+    return texts.withColumn("_at", F.when(F.col("needle") != "", near)).withColumn("out", put).drop("_at")
+
+
+def suspicious(texts: DataFrame) -> DataFrame:
+    """Spots (start, end, matched, reason) that look like recognition errors in the
+    texts, a row each, with the correction of those that have a certain one."""
+    from pagewright.functions import arrow as A
+
+    rows = texts.select(*(c for c in texts.columns if c != "text"), F.explode(A.suspicious_spots(F.col("text"))).alias("s"))
+    return rows.select(*(c for c in texts.columns if c != "text"), "s.start", "s.end", "s.matched", "s.reason", T.known_correction(F.col("s.matched"))["corrected"].alias("suggested"))
+
+
+def right_to_left(proposals: DataFrame) -> DataFrame:
+    """Proposals with turn: the order in which they can be put in without moving each other."""
+    return proposals.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("start"))) - 1)
+
+
+def all_proposals(rules: DataFrame, model: DataFrame) -> DataFrame:
+    """Both sets in one order by document: those of rules first, then the model's."""
+    both = rules.withColumn("_o", F.lit(0)).unionByName(model.withColumn("_o", F.lit(1)))
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("_o", "start", "end", "change_id")) - 1).drop("_o")
+
+
+def changed(raw: Column, corrected: Column, final: Column) -> Column:
+    """Whether a page's corrected or final text differs from the raw one; one that is absent doesn't."""
+    return F.coalesce(final != raw, F.lit(False)) | F.coalesce(corrected != raw, F.lit(False))
+
+
+def source_revision(files: DataFrame) -> DataFrame:
+    """source, revision of files(source, ord, label, text): the digest of the labelled
+    files' digests in order, so no text is moved to another."""
+    from .assemble import ordered_concat
+
+    one = files.withColumn("_d", F.sha2(F.concat("label", F.lit("\n"), F.coalesce("text", F.lit(""))), 256))
+    return one.groupBy("source").agg(F.sha2(ordered_concat("source", "ord", "_d", "|"), 256).alias("revision"))
 
 
 def context(texts: DataFrame, spots: DataFrame, most: int = 10, around: int = 40) -> DataFrame:

@@ -83,9 +83,28 @@ def next_attempt(attempts: DataFrame) -> DataFrame:
 
 
 def queue(jobs: DataFrame, capacity: int = 1) -> DataFrame:
-    """One row: how many jobs run and wait, the ids that wait in order, the room left."""
-    waiting = F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "queued", F.struct("created_at", "job_id")))), lambda x: x["job_id"])
-    return jobs.agg(n(F.col("status") == "running", "active"), n(F.col("status") == "queued", "queued"), waiting.alias("waiting")).withColumn("room", F.greatest(F.lit(0), F.lit(capacity) - F.col("active")))
+    """One row: how many jobs run and wait, and the room left."""
+    return jobs.agg(n(F.col("status") == "running", "active"), n(F.col("status") == "queued", "queued")).withColumn("room", F.greatest(F.lit(0), F.lit(capacity) - F.col("active")))
+
+
+def waiting(jobs: DataFrame) -> DataFrame:
+    """job_id, position of the jobs that wait, oldest first: ranked within a day, after
+    the days before it, so no task holds them all."""
+    rows = jobs.where("status = 'queued'").select("job_id", "created_at", F.substring("created_at", 1, 10).alias("day"))
+    own = Window.partitionBy("day").orderBy("created_at", "job_id")
+    days = rows.groupBy("day").agg(F.count("*").alias("n"))  # a row a day
+    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("r", F.row_number().over(own)).join(days.select("day", before.alias("base")), "day").select("job_id", (F.col("base") + F.col("r") - 1).alias("position"))
+
+
+def started(queued: DataFrame, queues: DataFrame) -> DataFrame:
+    """queue_id, job_id, starts of queued(queue_id, job_id, pos, uses_model): in order,
+    as many as queues(queue_id, running, capacity, model_busy) have room for; one that
+    needs the model while it is in use holds up all behind it."""
+    upto = Window.partitionBy("queue_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = queued.withColumn("_n", F.count("*").over(upto)).withColumn("_m", F.sum(F.col("uses_model").cast("int")).over(upto)).join(queues, "queue_id")
+    fits = (F.col("_n") <= F.col("capacity") - F.col("running")) & (F.col("_m") + F.col("model_busy").cast("int") * (F.col("_m") > 0).cast("int") <= 1)
+    return rows.select("queue_id", "job_id", fits.alias("starts"))
 
 
 def page_range(pages: DataFrame, requests: DataFrame) -> DataFrame:
@@ -101,10 +120,25 @@ def page_batches(pages: DataFrame, size: int = 200) -> DataFrame:
 
 
 def edits_saved(pages: DataFrame, edits: DataFrame) -> DataFrame:
-    """page_id, outcome, revision of edits (expected revision, text): a stale one conflicts, else the revision grows by one."""
-    got = edits.join(pages.select("page_id", "revision"), "page_id", "left")
+    """page_id, outcome, revision, manual, review of edits(page_id, expected, manual) to
+    pages(page_id, revision, manual, review): one made for another revision conflicts,
+    else the revision grows by one, the job goes into review, and the manual mark is
+    set by a manual edit and never taken away."""
+    now = pages.select("page_id", "revision", F.col("manual").alias("_m"), F.col("review").alias("_r"))
+    got = edits.join(now, "page_id", "left")
     outcome = F.when(F.col("revision").isNull(), "unknown_page").when(F.col("expected") != F.col("revision"), "conflict").otherwise("saved")
-    return got.select("page_id", outcome.alias("outcome"), F.when(outcome == "saved", F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"))
+    saved = outcome == "saved"
+    return got.select("page_id", outcome.alias("outcome"), F.when(saved, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), F.when(saved, F.col("_m") | F.col("manual")).otherwise(F.col("_m")).alias("manual"), F.when(saved, "in_review").otherwise(F.col("_r")).alias("review"))
+
+
+def page_view(pages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Pages (job_id, page_id, raw, corrected, final) with their job's status, the three
+    texts with the raw one where there is no other, and whether they differ from it."""
+    from .correct import changed
+
+    own = pages.join(jobs.select("job_id", F.col("status").alias("job_status")), "job_id", "left")
+    raw = F.coalesce("raw", F.lit(""))
+    return own.select("job_id", "page_id", "job_status", raw.alias("raw"), F.coalesce("corrected", raw).alias("corrected"), F.coalesce("final", "corrected", raw).alias("final"), changed(raw, F.col("corrected"), F.col("final")).alias("changed"))
 
 
 def staleness(exports: DataFrame, now: DataFrame, parts=("source", "glossary", "validator")) -> DataFrame:

@@ -174,3 +174,24 @@ def unresolved_counts(cells: DataFrame) -> DataFrame:
     """page_id, unresolved: how many cells have something to review, private-use glyphs included."""
     odd = F.col("unresolved") | F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")
     return cells.groupBy("page_id").agg(F.count_if(odd).alias("unresolved"))
+
+
+def retagged(units: DataFrame, answers: DataFrame) -> DataFrame:
+    """units(doc_id, unit, ord, tag, text) with the tags of a model's answers(doc_id,
+    ord, unit, tag), and mode and reason: a document whose answer breaks a rule, or
+    that has none, keeps all its own tags (mode basic).  Only tags ever change."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    tag = F.lower(F.trim("tag"))
+    known = units.select("doc_id", "unit", F.lit(True).alias("_known"))
+    rows = answers.select("doc_id", "ord", "unit", tag.alias("new")).join(known, ["doc_id", "unit"], "left")
+    level = F.when(F.col("new").isin("h1", "h2", "h3"), F.substring("new", 2, 1).cast("int"))
+    before = F.last(level, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy("ord"))
+    h1s = F.count(F.when(F.col("new") == "h1", 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rules = ((F.col("_known").isNull(), "unknown_unit"), (nth > 1, "duplicate_unit"), (~F.col("new").isin("p", "h1", "h2", "h3"), "tag"), ((F.col("new") == "h1") & (h1s > 1), "second_h1"), (level - before > 1, "hierarchy"))
+    judged = rows.withColumn("wrong", F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules)))
+    of = judged.groupBy("doc_id").agg(F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("ord"))).alias("reason"), F.lit(True).alias("_any"))
+    new = judged.where("wrong is null").select("doc_id", "unit", "new")
+    out = units.join(of, "doc_id", "left").join(new, ["doc_id", "unit"], "left")
+    reason = F.when(F.col("_any").isNull(), "no_answer").otherwise(F.col("reason"))
+    return out.withColumn("reason", reason).withColumn("mode", F.when(F.col("reason").isNull(), "ai").otherwise("basic")).withColumn("tag", F.when(F.col("mode") == "ai", F.coalesce("new", "tag")).otherwise(F.col("tag"))).drop("_any", "new")

@@ -50,3 +50,18 @@ def relinked(entries: DataFrame, targets: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "entry_id", "target_id", "state"])
 
     return entries.groupBy("doc_id").cogroup(targets.groupBy("doc_id")).applyInPandas(claim, "doc_id long, entry_id string, target_id string, state string")
+
+
+def toc_saved(states: DataFrame, requests: DataFrame, invalid: DataFrame) -> DataFrame:
+    """doc_id, outcome of requests(doc_id, base_source, base_toc, base_preview,
+    regenerate, confirmed) to save a table of contents or to make it anew: that needs
+    to be confirmed, all three revisions (states: source, toc, preview) must be those
+    that the request was made for, and documents in invalid(doc_id) have bad entries."""
+    got = requests.join(states.withColumn("_known", F.lit(True)), "doc_id", "left").join(invalid.select("doc_id", F.lit(True).alias("_bad")).distinct(), "doc_id", "left")
+    rules = (
+        (F.col("_known").isNull(), "not_found"),
+        (F.col("regenerate") & ~F.col("confirmed"), "confirmation_required"),
+        *((~F.col(f"base_{p}").eqNullSafe(F.col(p)), f"{p}_changed") for p in ("source", "toc", "preview")),
+        (F.col("_bad").isNotNull(), "invalid"),
+    )
+    return got.select("doc_id", F.coalesce(*(F.when(c, F.lit(n)) for c, n in rules), F.lit("saved")).alias("outcome"))

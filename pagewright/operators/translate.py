@@ -16,10 +16,6 @@ from pyspark.sql.window import Window
 from pagewright.functions import text as T
 
 
-#: Glossary terms that are broadcast at most, a few hundred bytes each.
-FEW_TERMS = 10_000
-
-
 def packed_groups(segments: DataFrame, most_size: int = 5000, most_segments: int = 8) -> DataFrame:
     """doc_id, pos, batch of segments(doc_id, pos, size, group_id, status).
 
@@ -137,20 +133,19 @@ def token_changes(pairs: DataFrame, kinds=tuple(T.CRITICAL)) -> DataFrame:
 def term_states(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """pair_id, term, expected, state for glossary terms that the source holds.
 
-    A containment join has no key.  A glossary of up to ``FEW_TERMS`` terms, which
-    is counted, is broadcast; a longer one meets the texts by the trigrams of its
-    terms' beginnings, an equi-join.
+    A containment join has no key, so texts meet terms by the trigrams (or shorter
+    whole terms) that these begin with, an equi-join for a glossary of any length.
     """
     low = lambda c, own: F.when(F.col("case_sensitive"), c).otherwise(F.lower(c)) if own else c
     holds = F.contains(F.when(F.col("case_sensitive"), F.col("source")).otherwise(F.lower("source")), F.when(F.col("case_sensitive"), F.col("term")).otherwise(F.lower("term")))
     g = glossary.withColumnRenamed("source", "term").withColumnRenamed("target", "wanted")
-    if glossary.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        rows = pairs.join(F.broadcast(g), holds)
-    else:
-        gram = F.substring(F.lower("term"), 1, 3)
-        own = F.lower("source")
-        grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(own) - k + 1)), lambda i, k=k: F.substring(own, i, k)) for k in (1, 2, 3)))))
-        rows = pairs.withColumn("_g", F.explode(grams)).join(g.withColumn("_g", gram), "_g").where(holds).drop("_g")
+    gram = F.substring(F.lower("term"), 1, 3)
+    own = F.lower("source")
+    # a look-ahead at every place gives the overlapping grams in one pass
+    grams = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(own, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3)))))
+    # only ids and grams are multiplied; a text comes back for the few terms that may be in it
+    may = pairs.select("pair_id", F.explode(grams).alias("_g")).join(g.withColumn("_g", gram), "_g").drop("_g")
+    rows = pairs.join(may, "pair_id").where(holds)
     expected = F.when(F.col("do_not_translate"), F.col("term")).otherwise(F.col("wanted"))
     present = F.contains(low(F.col("target"), True), low(expected, True))
     return rows.select("pair_id", "term", expected.alias("expected"), F.when(present, F.col("mode")).otherwise("missing").alias("state"))
@@ -215,3 +210,68 @@ def rendered(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     got = tokens.select("doc_id", "pos", "kind", "value", "id", "leading", "trailing").join(texts, (F.col("doc_id") == F.col("_d")) & (F.col("id") == F.col("_id")), "left")
     part = F.when(F.col("kind") == "raw", F.col("value")).otherwise(F.concat(F.col("leading"), T.escape_html(F.col("_t")), F.col("trailing")))
     return got.withColumn("_p", part).groupBy("doc_id").agg(ordered_concat("doc_id", "pos", "_p", "").alias("html"))
+
+
+def protected_terms(text: Column, glossary) -> Column:
+    """array<struct<term, meant, exact>>: what a translator must not touch in a text.
+
+    ``glossary``: (source, target, case_sensitive, do_not_translate) entries, each
+    with both of its forms; and the text's critical tokens as they are.
+    """
+    entries = {(form, source if keep else target, exact) for source, target, exact, keep in glossary for form in (source, source if keep else target) if form}
+    one = lambda term, meant, exact: F.struct(term.alias("term"), meant.alias("meant"), exact.alias("exact"))
+    fixed = F.array(*(one(F.lit(t), F.lit(m), F.lit(e)) for t, m, e in sorted(entries)))
+    critical = F.array_distinct(F.flatten(F.array(*(T.critical(text, k) for k in T.CRITICAL))))
+    return F.concat(fixed, F.transform(critical, lambda t: one(t, t, F.lit(True))))
+
+
+def translation_warnings(pairs: DataFrame, glossary: DataFrame, language: str, kinds=tuple(T.CRITICAL)) -> DataFrame:
+    """pair_id, warnings of pairs(pair_id, source, target): critical tokens that are
+    short or beyond the source's (five of a kind are named), glossary terms that are
+    missing, and a target in the wrong script; an empty array where all is well."""
+    tokens = token_changes(pairs, kinds)
+    named = lambda c: F.concat_ws(", ", F.slice(F.flatten(F.array_sort(F.collect_list(F.array_repeat("token", F.col(c).cast("int"))))), 1, 5))
+    by = tokens.groupBy("pair_id", "kind").agg(named("missing").alias("m"), named("unexpected").alias("u"), F.sum("missing").alias("nm"), F.sum("unexpected").alias("nu"))
+    note = lambda rank, text: F.struct(rank.alias("rank"), text.alias("text"))
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) * 2
+    of_tokens = by.select("pair_id", F.explode(F.array_compact(F.array(F.when(F.col("nm") > 0, note(rank, F.concat(F.lit("critical_"), "kind", F.lit("_changed: "), "m"))), F.when(F.col("nu") > 0, note(rank + 1, F.concat(F.lit("critical_"), "kind", F.lit("_unexpected: "), "u")))))).alias("w"))
+    of_terms = term_states(pairs, glossary).where("state = 'missing'").select("pair_id", note(F.lit(1000).cast("long"), F.concat(F.lit("glossary_term_changed: "), "term")).alias("w"))
+    of_script = pairs.where(T.target_script_missing(F.col("source"), F.col("target"), language)).select("pair_id", note(F.lit(2000).cast("long"), F.lit("target_language_mismatch")).alias("w"))
+    found = of_tokens.unionByName(of_terms).unionByName(of_script).groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["text"]).alias("warnings"))
+    return pairs.select("pair_id").join(found, "pair_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+
+
+def validator_metrics(segments: DataFrame) -> DataFrame:
+    """doc_id, total, flagged, status, kinds of segments(doc_id, status, warnings): a
+    document with a flagged segment is partial, else completed; kinds: what its
+    warnings begin with, each once, in order."""
+    flagged = F.col("status").isin("flagged_for_human_review", "unresolved") | (F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0)
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.substring_index(w, ":", 1))))))
+    by = segments.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(flagged).alias("flagged"), kinds.alias("kinds"))
+    return by.withColumn("status", F.when(F.col("flagged") > 0, "partial").otherwise("completed"))
+
+
+def translation_saved(models: DataFrame, segments: DataFrame, edits: DataFrame, glossary: DataFrame, language: str, kinds=tuple(T.CRITICAL)) -> tuple[DataFrame, DataFrame]:
+    """Manual finals put into translations, all edits of a document or none.
+
+    models(doc_id, revision, stale), segments(doc_id, id, source_text, final_text,
+    status, warnings), edits(doc_id, id, text, base_revision).  First: doc_id,
+    outcome (the first of not_found, source_changed, revision_conflict,
+    unknown_segment, unresolved_segment, else saved), total, flagged, status and
+    published, which only a document without flagged segments is.  Second: the
+    segments afterwards; those edited are judged anew.
+    """
+    there = segments.select("doc_id", "id", F.col("status").alias("_s"), "source_text")
+    got = edits.join(models, "doc_id", "left").join(there, ["doc_id", "id"], "left")
+    faults = ((F.col("revision").isNull(), "1 not_found"), (F.col("stale"), "2 source_changed"), (F.col("base_revision") != F.col("revision"), "3 revision_conflict"), (F.col("_s").isNull(), "4 unknown_segment"), (F.col("_s") == "unresolved", "5 unresolved_segment"))
+    fault = F.coalesce(*(F.when(c, F.lit(n)) for c, n in faults), F.lit("6 saved"))
+    outcome = got.groupBy("doc_id").agg(F.substring(F.min(fault), 3, 40).alias("outcome"))
+    good = got.join(outcome.where("outcome = 'saved'"), "doc_id", "left_semi").select("doc_id", "id", F.col("text").alias("_t"), "source_text")
+    key = F.to_json(F.struct("doc_id", "id"))
+    warned = translation_warnings(good.select(key.alias("pair_id"), F.col("source_text").alias("source"), F.col("_t").alias("target")), glossary, language, kinds)
+    good = good.drop("source_text").withColumn("pair_id", key).join(warned.withColumnRenamed("warnings", "_w"), "pair_id", "left").drop("pair_id")
+    after = segments.join(good, ["doc_id", "id"], "left")
+    new = F.col("_t").isNotNull()
+    after = after.withColumn("final_text", F.when(new, F.col("_t")).otherwise(F.col("final_text"))).withColumn("status", F.when(new, "manual-final").otherwise(F.col("status"))).withColumn("warnings", F.when(new, F.col("_w")).otherwise(F.col("warnings"))).withColumn("manual_edited", new).drop("_t", "_w")
+    metrics = validator_metrics(after.join(outcome.where("outcome = 'saved'"), "doc_id", "left_semi")).select("doc_id", "total", "flagged", "status")
+    return outcome.join(metrics, "doc_id", "left").withColumn("published", F.coalesce(F.col("flagged") == 0, F.lit(False))), after

@@ -30,15 +30,15 @@ bx AS (SELECT doc_id AS page_id, ln AS line_index, line AS text, (ln % 5) * 100.
 
 
 def styled(spark: SparkSession, d: str) -> DataFrame:
-    """page_id, ord, text, size, bold: short lines with an invented style and marker"""
+    """page_id, ord, text, size, bold: lines with an invented style and marker"""
     size, bold = 10.0 + (F.col("doc_id") + F.col("ln")) % 5, ((F.col("doc_id") * 7 + F.col("ln")) % 10) / 10.0
     k = (F.col("doc_id") + F.col("ln")) % 6
-    text = F.concat(F.when(k == 0, "- ").when(k == 1, F.concat((F.col("ln") % 90 + 1).cast("string"), F.lit(". "))).when(k == 2, "* ").otherwise(""), F.substring("line", 1, 60))
+    text = F.concat(F.when(k == 0, "- ").when(k == 1, F.concat((F.col("ln") % 90 + 1).cast("string"), F.lit(". "))).when(k == 2, "* ").otherwise(""), "line")
     return lines(spark, d).select(F.col("doc_id").alias("page_id"), F.col("ln").alias("ord"), text.alias("text"), size.alias("size"), bold.alias("bold"))
 
 
 STYLED = LINES + """,
-st AS (SELECT doc_id AS page_id, ln AS ord, (CASE (doc_id + ln) % 6 WHEN 0 THEN '- ' WHEN 1 THEN (ln % 90 + 1)::VARCHAR || '. ' WHEN 2 THEN '* ' ELSE '' END) || substr(line, 1, 60) AS text,
+st AS (SELECT doc_id AS page_id, ln AS ord, (CASE (doc_id + ln) % 6 WHEN 0 THEN '- ' WHEN 1 THEN (ln % 90 + 1)::VARCHAR || '. ' WHEN 2 THEN '* ' ELSE '' END) || line AS text,
   (10.0 + (doc_id + ln) % 5)::DOUBLE AS size, ((doc_id * 7 + ln) % 10) / 10.0::DOUBLE AS bold FROM ln)"""
 
 

@@ -245,9 +245,9 @@ def parents(spark, d):
     return layout.toc_levels(heads(spark, d)).select("doc_id", "ord", "level", "parent")
 
 
-@query("W23_heading_ids", f"WITH {I.LINES}, {_LEVELS}, b AS (SELECT lv.doc_id, lv.ord, coalesce(level, 'p') AS tag, page_id, substr(line, 1, 3) AS text, CASE WHEN ord % 4 = 0 THEN 's' || ord WHEN ord % 4 = 1 THEN '9bad' END AS source_id FROM lv JOIN ln ON ln.doc_id = lv.doc_id AND ln.ln = lv.ord), s AS (SELECT *, substr(sha256(tag || '|' || text || '|' || page_id), 1, 12) AS sig FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sig ORDER BY ord) AS k FROM s) SELECT doc_id, ord, CASE WHEN regexp_matches(source_id, '^[A-Za-z][A-Za-z0-9_.:-]*$') THEN source_id ELSE 'h-' || sig || CASE WHEN k > 1 THEN '-' || k ELSE '' END END AS id FROM n")
+@query("W23_heading_ids", f"WITH {I.LINES}, {_LEVELS}, b AS (SELECT lv.doc_id, lv.ord, coalesce(level, 'p') AS tag, page_id, line AS text, CASE WHEN ord % 4 = 0 THEN 's' || ord WHEN ord % 4 = 1 THEN '9bad' END AS source_id FROM lv JOIN ln ON ln.doc_id = lv.doc_id AND ln.ln = lv.ord), s AS (SELECT *, substr(sha256(tag || '|' || text || '|' || page_id), 1, 12) AS sig FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sig ORDER BY ord) AS k FROM s) SELECT doc_id, ord, CASE WHEN regexp_matches(source_id, '^[A-Za-z][A-Za-z0-9_.:-]*$') THEN source_id ELSE 'h-' || sig || CASE WHEN k > 1 THEN '-' || k ELSE '' END END AS id FROM n")
 def ids(spark, d):
-    b = levels(spark, d).withColumn("tag", F.coalesce("level", F.lit("p"))).withColumn("text", F.substring("text", 1, 3)).withColumnRenamed("page_id", "page")
+    b = levels(spark, d).withColumn("tag", F.coalesce("level", F.lit("p"))).withColumnRenamed("page_id", "page")
     b = b.withColumn("source_id", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("s"), F.col("ord").cast("string"))).when(F.col("ord") % 4 == 1, "9bad"))
     return layout.heading_ids(b).select("doc_id", "ord", "id")
 
@@ -329,3 +329,17 @@ def relinked(spark, d):
     e = entries(spark, d).withColumn("match_key", F.concat(F.lit("k"), (F.col("ord") % 5).cast("string")))
     t = e.where("ord % 3 <> 0").select("doc_id", F.when(F.col("ord") % 2 == 0, F.col("target_id")).otherwise(F.concat("target_id", F.lit("n"))).alias("target_id"), "match_key", "ord")
     return toc.relinked(e, t)
+
+
+_RETAG = f"""WITH {I.LINES}, a AS (SELECT doc_id, ln, CASE WHEN ln = 0 THEN 'h1' WHEN doc_id % 5 = 1 AND ln = 3 THEN 'h1' WHEN doc_id % 5 = 2 AND ln = 1 THEN 'h3' WHEN doc_id % 5 = 3 AND ln = 2 THEN 'div' WHEN ln % 4 = 1 THEN 'h2' ELSE 'p' END AS tag FROM ln WHERE doc_id % 5 <> 4),
+w AS (SELECT doc_id, arg_min(CASE WHEN doc_id % 5 = 1 AND ln = 3 THEN 'second_h1' WHEN doc_id % 5 = 2 AND ln = 1 THEN 'hierarchy' WHEN doc_id % 5 = 3 AND ln = 2 THEN 'tag' END, ln) FILTER ((doc_id % 5 = 1 AND ln = 3) OR (doc_id % 5 = 2 AND ln = 1) OR (doc_id % 5 = 3 AND ln = 2)) AS reason FROM a GROUP BY doc_id),
+r AS (SELECT l.doc_id, l.ln AS ord, CASE WHEN w.doc_id IS NULL THEN 'no_answer' ELSE w.reason END AS reason, a.tag FROM ln l LEFT JOIN w USING (doc_id) LEFT JOIN a ON a.doc_id = l.doc_id AND a.ln = l.ln)
+SELECT doc_id, ord, CASE WHEN reason IS NULL THEN 'ai' ELSE 'basic' END AS mode, reason, CASE WHEN reason IS NULL THEN tag ELSE 'p' END AS tag FROM r"""
+
+
+@query("H7_retagged_units", _RETAG)
+def retagged(spark, d):
+    u = I.lines(spark, d).select("doc_id", F.concat(F.lit("u"), F.col("ln").cast("string")).alias("unit"), F.col("ln").alias("ord"), F.lit("p").alias("tag"))
+    k, n = F.col("doc_id") % 5, F.col("ord")
+    tag = F.when(n == 0, "h1").when((k == 1) & (n == 3), "h1").when((k == 2) & (n == 1), "h3").when((k == 3) & (n == 2), "div").when(n % 4 == 1, " H2").otherwise("p")
+    return layout.retagged(u, u.where(k != 4).select("doc_id", "ord", "unit", tag.alias("tag"))).select("doc_id", "ord", "mode", "reason", "tag")

@@ -86,9 +86,22 @@ def attempt(spark, d):
     return jobs.next_attempt(events(spark, d).select("job_id", "attempt"))
 
 
-@query("T13_queue", f"WITH {I.JOBS} SELECT count(*) FILTER (status = 'running') AS active, count(*) FILTER (status = 'queued') AS queued, sha256(string_agg(job_id::VARCHAR, ',' ORDER BY created_at, job_id) FILTER (status = 'queued')) AS waiting FROM jb")
+@query("T13_queue", f"WITH {I.JOBS} SELECT count(*) FILTER (status = 'running') AS active, count(*) FILTER (status = 'queued') AS queued FROM jb")
 def queue(spark, d):
-    return jobs.queue(I.jobs(spark, d)).select("active", "queued", F.sha2(F.array_join(F.col("waiting").cast("array<string>"), ","), 256).alias("waiting"))
+    return jobs.queue(I.jobs(spark, d)).select("active", "queued")
+
+
+@query("T13_waiting", f"WITH {I.JOBS} SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) - 1 AS position FROM jb WHERE status = 'queued'")
+def waiting(spark, d):
+    return jobs.waiting(I.jobs(spark, d))
+
+
+@query("T1_head_of_line", "WITH q AS (SELECT o_custkey AS queue_id, o_orderkey AS job_id, o_orderkey % 3 = 0 AS model, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, sum((o_orderkey % 3 = 0)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m FROM orders) SELECT queue_id, job_id, n <= 1 + queue_id % 5 AND (m = 0 OR (m = 1 AND queue_id % 2 = 0)) AS starts FROM q")
+def started(spark, d):
+    q = I.table(spark, d, "orders").select(F.col("o_custkey").alias("queue_id"), F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 3 == 0).alias("uses_model"))
+    k = F.col("queue_id")
+    state = q.select("queue_id").distinct().select("queue_id", F.lit(1).alias("running"), (2 + k % 5).alias("capacity"), (k % 2 == 1).alias("model_busy"))
+    return jobs.started(q, state)
 
 
 def requests(spark, d):
@@ -106,13 +119,14 @@ def page_batches(spark, d):
     return jobs.page_batches(I.pages(spark, d), 3).select("job_id", "page_id", "batch")
 
 
-@query("D5_D11_saved_edits", "SELECT c_custkey AS page_id, CASE WHEN c_custkey % 10 = 9 THEN 'unknown_page' WHEN c_custkey % 3 <> c_custkey % 4 THEN 'conflict' ELSE 'saved' END AS outcome, CASE WHEN c_custkey % 10 = 9 THEN NULL WHEN c_custkey % 3 <> c_custkey % 4 THEN c_custkey % 4 ELSE c_custkey % 4 + 1 END AS revision FROM customer")
+@query("D5_saved_edits", "SELECT c_custkey AS page_id, CASE WHEN c_custkey % 10 = 9 THEN 'unknown_page' WHEN c_custkey % 3 <> c_custkey % 4 THEN 'conflict' ELSE 'saved' END AS outcome, CASE WHEN c_custkey % 10 = 9 THEN NULL WHEN c_custkey % 3 <> c_custkey % 4 THEN c_custkey % 4 ELSE c_custkey % 4 + 1 END AS revision, CASE WHEN c_custkey % 10 = 9 THEN NULL WHEN c_custkey % 3 <> c_custkey % 4 THEN c_custkey % 5 = 0 ELSE c_custkey % 5 = 0 OR c_custkey % 2 = 0 END AS manual, CASE WHEN c_custkey % 10 = 9 THEN NULL WHEN c_custkey % 3 <> c_custkey % 4 THEN 'reviewed' ELSE 'in_review' END AS review FROM customer")
 def edits(spark, d):
-    c = I.table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"))
-    return jobs.edits_saved(c.where("page_id % 10 <> 9").withColumn("revision", F.col("page_id") % 4), c.withColumn("expected", F.col("page_id") % 3).withColumn("text", F.lit("")))
+    c, k = I.table(spark, d, "customer").select(F.col("c_custkey").alias("page_id")), F.col("page_id")
+    pages = c.where("page_id % 10 <> 9").select("page_id", (k % 4).alias("revision"), (k % 5 == 0).alias("manual"), F.lit("reviewed").alias("review"))
+    return jobs.edits_saved(pages, c.select("page_id", (k % 3).alias("expected"), (k % 2 == 0).alias("manual")))
 
 
-@query("D7_D12_staleness", "SELECT c_custkey AS key, (c_custkey % 2 = 1 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS stale, concat_ws(',', CASE WHEN c_custkey % 2 = 1 OR c_custkey % 7 = 0 THEN 'source_changed' END, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'glossary_changed' END, CASE WHEN c_custkey % 7 = 0 THEN 'validator_changed' END) AS reasons FROM customer")
+@query("D7_staleness", "SELECT c_custkey AS key, (c_custkey % 2 = 1 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS stale, concat_ws(',', CASE WHEN c_custkey % 2 = 1 OR c_custkey % 7 = 0 THEN 'source_changed' END, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'glossary_changed' END, CASE WHEN c_custkey % 7 = 0 THEN 'validator_changed' END) AS reasons FROM customer")
 def stale(spark, d):
     c = I.table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     made = c.select("key", F.lit("a").alias("source"), F.lit("a").alias("glossary"), F.lit("a").alias("validator"))
@@ -133,10 +147,11 @@ def deletions(spark, d):
     return jobs.deletions(j, r)
 
 
-@query("S22_page_view", f"WITH {I.PAGES}, {I.JOBS} SELECT p.job_id, p.page_id, j.status AS job_status, coalesce(CASE WHEN p.page_id % 2 = 0 THEN 'corrected' END, 'raw') AS text FROM pg p LEFT JOIN jb j USING (job_id)")
+@query("S22_page_view", f"WITH {I.PAGES}, {I.JOBS}, x AS (SELECT job_id, page_id, CASE WHEN page_id % 4 <> 3 THEN route END AS raw, CASE WHEN page_id % 2 = 0 THEN status END AS corrected, CASE WHEN job_id % 3 = 0 THEN ai_status END AS final FROM pg) SELECT x.job_id, page_id, j.status AS job_status, coalesce(raw, '') AS raw, coalesce(corrected, raw, '') AS corrected, coalesce(final, corrected, raw, '') AS final, coalesce(final <> coalesce(raw, ''), false) OR coalesce(corrected <> coalesce(raw, ''), false) AS changed FROM x LEFT JOIN jb j ON j.job_id = x.job_id AND x.job_id % 7 <> 0")
 def page_view(spark, d):
-    j = I.jobs(spark, d).select("job_id", F.col("status").alias("job_status"))
-    return I.pages(spark, d).join(j, "job_id", "left").select("job_id", "page_id", "job_status", F.coalesce(F.when(F.col("page_id") % 2 == 0, "corrected"), F.lit("raw")).alias("text"))
+    p, k = I.pages(spark, d), F.col("page_id")
+    p = p.select("job_id", "page_id", F.when(k % 4 != 3, F.col("route")).alias("raw"), F.when(k % 2 == 0, F.col("status")).alias("corrected"), F.when(F.col("job_id") % 3 == 0, F.col("ai_status")).alias("final"))
+    return jobs.page_view(p, I.jobs(spark, d).where("job_id % 7 <> 0"))
 
 
 @query("S14_A13_job_json")
@@ -154,7 +169,36 @@ def library(spark, d):
     return b.select(F.col("job_id").alias("source"), F.col("batch").cast("long").alias("batch"), "n", "h")
 
 
-@query("U1_U2_U4_set_operations", "SELECT doc_id, lang, 'native' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, 'ocr' FROM documents WHERE doc_id % 3 = 0")
-def unions(spark, d):
-    t = I.table(spark, d, "documents").select("doc_id", "lang")
-    return t.where("doc_id % 2 = 0").withColumn("origin", F.lit("native")).unionByName(t.where("doc_id % 3 = 0").withColumn("origin", F.lit("ocr")))
+@query("U1_united_blocks", f"WITH {I.BOXES}, b AS (SELECT page_id, line_index, x0, y0, CASE WHEN line_index % 2 = 0 THEN 'native' ELSE 'ocr' END AS origin FROM bx) SELECT page_id, line_index, origin, (row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, origin, line_index) - 1)::INT AS position FROM b")
+def united(spark, d):
+    from pagewright.operators import assemble
+
+    b = I.boxes(spark, d)
+    return assemble.united_blocks(b.where("line_index % 2 = 0"), b.where("line_index % 2 = 1")).select("page_id", "line_index", "origin", "position")
+
+
+@query("U2_all_proposals", f"""WITH {I.PROPOSALS} SELECT doc_id, change_id, (row_number() OVER (PARTITION BY doc_id ORDER BY status <> 'accepted', "start", "end", change_id) - 1)::INT AS ord FROM pr""")
+def all_proposals(spark, d):
+    from pagewright.operators import correct
+
+    p = I.proposals(spark, d)
+    return correct.all_proposals(p.where("status = 'accepted'"), p.where("status <> 'accepted'")).select("doc_id", "change_id", "ord")
+
+
+@query("U3_missing_files", "WITH r(name) AS (VALUES ('mimetype'), ('META-INF/container.xml'), ('OEBPS/content.opf'), ('OEBPS/nav.xhtml')), p AS (SELECT DISTINCT o_custkey AS package_id FROM orders) SELECT package_id, name FROM p, r EXCEPT SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'mimetype' WHEN 1 THEN 'META-INF/container.xml' WHEN 2 THEN 'OEBPS/content.opf' WHEN 3 THEN 'OEBPS/nav.xhtml' ELSE 'other' END FROM orders")
+def missing_files(spark, d):
+    from pagewright.operators import package
+
+    k = F.col("o_orderkey") % 5
+    names = I.table(spark, d, "orders").select(F.col("o_custkey").alias("package_id"), F.when(k == 0, "mimetype").when(k == 1, "META-INF/container.xml").when(k == 2, "OEBPS/content.opf").when(k == 3, "OEBPS/nav.xhtml").otherwise("other").alias("name"))
+    return package.missing_files(names)
+
+
+@query("D12_toc_saved", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 11 = 0 THEN 'not_found' WHEN c_custkey % 6 = 0 AND c_custkey % 4 <> 0 THEN 'confirmation_required' WHEN c_custkey % 5 = 1 THEN 'source_changed' WHEN c_custkey % 7 = 1 THEN 'toc_changed' WHEN c_custkey % 9 = 1 THEN 'preview_changed' WHEN c_custkey % 8 = 0 THEN 'invalid' ELSE 'saved' END AS outcome FROM customer")
+def toc_saved(spark, d):
+    from pagewright.operators import toc
+
+    c, k = I.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")), F.col("doc_id")
+    states = c.where("doc_id % 11 <> 0").select("doc_id", F.lit("s").alias("source"), F.lit("t").alias("toc"), F.lit("p").alias("preview"))
+    asked = c.select("doc_id", F.when(k % 5 == 1, "x").otherwise("s").alias("base_source"), F.when(k % 7 != 1, "t").alias("base_toc"), F.when(k % 9 == 1, "x").otherwise("p").alias("base_preview"), (k % 6 == 0).alias("regenerate"), (k % 4 == 0).alias("confirmed"))
+    return toc.toc_saved(states, asked, c.where("doc_id % 8 = 0"))

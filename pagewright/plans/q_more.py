@@ -23,14 +23,14 @@ def query(name: str, sql: str | None = None):
 
 @query(
     "P24_inline_styles",
-    f"""WITH {I.LINES}, x AS (SELECT doc_id, ln, substr(line, 1, 20) AS t, (ln % 10) / 10.0::DOUBLE AS b, (doc_id % 10) / 10.0::DOUBLE AS i FROM ln)
+    f"""WITH {I.LINES}, x AS (SELECT doc_id, ln, line AS t, (ln % 10) / 10.0::DOUBLE AS b, (doc_id % 10) / 10.0::DOUBLE AS i FROM ln)
 SELECT doc_id, ln, CASE WHEN b >= 0.8 OR i >= 0.8 OR ln % 3 = 0 THEN CASE WHEN b >= 0.8 THEN '<b>' ELSE '' END || CASE WHEN i >= 0.8 THEN '<i>' ELSE '' END || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN i >= 0.8 THEN '</i>' ELSE '' END || CASE WHEN b >= 0.8 THEN '</b>' ELSE '' END
   ELSE '<b>' || replace(replace(replace(substr(t, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b>' || replace(replace(replace(substr(t, 6), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS html FROM x""",
 )
 def inline(spark, d):
-    t = F.substring("line", 1, 20)
+    t = F.col("line")
     part = lambda text, bold: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(False).alias("italic"))
-    spans = F.when(F.col("ln") % 3 == 0, F.array(part(F.lit("other\x00"), False))).otherwise(F.array(part(F.substring(t, 1, 5), True), part(F.substring(t, 6, 100), False)))
+    spans = F.when(F.col("ln") % 3 == 0, F.array(part(F.lit("other\x00"), False))).otherwise(F.array(part(F.substring(t, 1, 5), True), part(F.substring(t, 6, 1 << 30), False)))
     return I.lines(spark, d).select("doc_id", "ln", T.inline_styles(t, (F.col("ln") % 10) / 10.0, (F.col("doc_id") % 10) / 10.0, spans).alias("html"))
 
 
@@ -46,12 +46,11 @@ def settings(spark, d):
     return I.table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.source", "s.target", "s.style", "s.provider", F.array_join("s.errors", ",").alias("errors"))
 
 
-@query("P29_metadata", "SELECT doc_id, trim(substr(replace(text, chr(10), ''), 1, 50)) AS title, CASE WHEN doc_id % 3 = 0 THEN '2024' WHEN doc_id % 3 = 1 THEN '2024-02-30' ELSE '2024-05-06' END AS d0, CASE WHEN doc_id % 3 = 1 THEN NULL WHEN doc_id % 3 = 0 THEN '2024' ELSE '2024-05-06' END AS date FROM documents WHERE NOT regexp_matches(substr(replace(text, chr(10), ''), 1, 50), '^\\s|\\s$')")
+@query("P29_metadata", "SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'), '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g'), 1, 50) AS title, CASE WHEN doc_id % 3 = 0 THEN '2024' WHEN doc_id % 3 = 1 THEN '2024-02-30' ELSE '2024-05-06' END AS d0, CASE WHEN doc_id % 3 = 1 THEN NULL WHEN doc_id % 3 = 0 THEN '2024' ELSE '2024-05-06' END AS date FROM documents")
 def metadata(spark, d):
     k = F.col("doc_id")
     when = F.when(k % 3 == 0, "2024").when(k % 3 == 1, "2024-02-30").otherwise("2024-05-06")
-    own = I.table(spark, d, "documents").where(~F.substring(F.replace("text", F.lit("\n"), F.lit("")), 1, 50).rlike(r"^\s|\s$"))
-    return own.select("doc_id", T.clean_metadata(F.col("text"), 50).alias("title"), when.alias("d0"), T.iso_date(when).alias("date"))
+    return I.table(spark, d, "documents").select("doc_id", T.clean_metadata(F.col("text"), 50).alias("title"), when.alias("d0"), T.iso_date(when).alias("date"))
 
 
 @query("P32_json_in_answers", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE props END AS found FROM events")
@@ -121,9 +120,9 @@ def caps(spark, d):
     return kept.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
-@query("O2_O3_O4_orders", "SELECT doc_id, ln, (row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, ln) - 1)::INT AS position FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, ln) <= 20")
+@query("O2_O3_O4_orders", f"WITH {I.BOXES} SELECT page_id, line_index, (row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, line_index) - 1)::INT AS position, (row_number() OVER (PARTITION BY page_id ORDER BY line_index DESC) - 1)::INT AS right_to_left FROM bx")
 def orders(spark, d):
-    from pyspark.sql.window import Window
+    from pagewright.operators import assemble, correct
 
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("line").desc(), "ln"))
-    return I.lines(spark, d).select("doc_id", "ln", (nth - 1).alias("position")).where("position < 20")
+    b = assemble.blocks_in_order(I.boxes(spark, d))
+    return correct.right_to_left(b.withColumn("doc_id", F.col("page_id")).withColumn("start", F.col("line_index"))).select("page_id", "line_index", "position", F.col("turn").alias("right_to_left"))

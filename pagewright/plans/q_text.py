@@ -70,8 +70,9 @@ def known(spark, d):
 
 @query("P8_suspicious_spots")
 def spots(spark, d):
-    t = I.thai(spark, d).withColumn("s", F.explode(A.suspicious_spots(F.col("line"))))
-    return t.select("doc_id", "ln", "s.start", "s.end", "s.matched", "s.reason")
+    from pagewright.operators.correct import suspicious
+
+    return suspicious(I.thai(spark, d).select("doc_id", "ln", F.col("line").alias("text")))
 
 
 _EXACT = ("date", "time", "money", "url", "email", "citation")
@@ -134,8 +135,8 @@ def target_script(spark, d):
     return I.lines(spark, d).select("doc_id", "ln", T.target_script_missing(F.col("line"), target, "th").alias("missing"))
 
 
-_BEFORE = "rtrim(substr(line, 1, 40)) || (CASE (doc_id + ln) % 7 WHEN 0 THEN '-' WHEN 1 THEN ' -' WHEN 2 THEN chr(173) WHEN 3 THEN ' self-' WHEN 4 THEN '_x-' WHEN 5 THEN '9-' ELSE '' END)"
-_AFTER = "(CASE (doc_id + ln) % 4 WHEN 0 THEN 'Upper' WHEN 1 THEN '7' ELSE '' END) || lower(substr(line, 5, 20))"
+_BEFORE = "rtrim(line) || (CASE (doc_id + ln) % 7 WHEN 0 THEN '-' WHEN 1 THEN ' -' WHEN 2 THEN chr(173) WHEN 3 THEN ' self-' WHEN 4 THEN '_x-' WHEN 5 THEN '9-' ELSE '' END)"
+_AFTER = "(CASE (doc_id + ln) % 4 WHEN 0 THEN 'Upper' WHEN 1 THEN '7' ELSE '' END) || lower(line)"
 
 
 @query(
@@ -148,15 +149,19 @@ SELECT doc_id, ln, CASE WHEN b LIKE '%' || chr(173) THEN 'soft_hyphen_merge' WHE
 )
 def dehyphenation(spark, d):
     k, m = (F.col("doc_id") + F.col("ln")) % 7, (F.col("doc_id") + F.col("ln")) % 4
-    b = F.concat(F.rtrim(F.substring("line", 1, 40)), F.when(k == 0, "-").when(k == 1, " -").when(k == 2, "­").when(k == 3, " self-").when(k == 4, "_x-").when(k == 5, "9-").otherwise(""))
-    a = F.concat(F.when(m == 0, "Upper").when(m == 1, "7").otherwise(""), F.lower(F.substring("line", 5, 20)))
+    b = F.concat(F.rtrim("line"), F.when(k == 0, "-").when(k == 1, " -").when(k == 2, "­").when(k == 3, " self-").when(k == 4, "_x-").when(k == 5, "9-").otherwise(""))
+    a = F.concat(F.when(m == 0, "Upper").when(m == 1, "7").otherwise(""), F.lower("line"))
     return I.lines(spark, d).select("doc_id", "ln", T.dehyphenation(b, a)["rule"].alias("rule"))
 
 
-@query("P18_levenshtein", "SELECT a.doc_id, levenshtein(substr(a.text, 1, 40), substr(a.text, 3, 40))::INT AS distance FROM documents a WHERE regexp_matches(a.text, '^[\\x00-\\x7F]*$')")
+#: The oracle's distance counts bytes, so characters beyond ASCII are folded to one of them on both sides.
+_FOLDED = "regexp_replace(line, '[^\\x00-\\x7F]', '?', 'g')"
+
+
+@query("P18_levenshtein", f"WITH {I.LINES} SELECT doc_id, ln, levenshtein({_FOLDED}, lower(replace(substr({_FOLDED}, 3), ' t', 'tt')))::INT AS distance FROM ln")
 def distance(spark, d):
-    ascii_ = I.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return ascii_.select("doc_id", F.levenshtein(F.substring("text", 1, 40), F.substring("text", 3, 40)).alias("distance"))
+    folded = F.regexp_replace("line", r"[^\x00-\x7F]", "?")
+    return I.lines(spark, d).select("doc_id", "ln", F.levenshtein(folded, F.lower(F.replace(F.substring(folded, 3, 1 << 30), F.lit(" t"), F.lit("tt")))).alias("distance"))
 
 
 @query("P19_ui_highlight")
@@ -212,11 +217,17 @@ def hashes(spark, d):
     return I.table(spark, d, "documents").select("doc_id", T.stable_hash(F.col("text")).alias("h"))
 
 
+#: source, target, case_sensitive, do_not_translate
+_GLOSSARY = (("the", "the", False, False), ("and", "", True, True), ("de ", "", True, True))
+
+
 @query("P30_token_protection")
 def protection(spark, d):
-    t = I.lines(spark, d).withColumn("p", A.protect_tokens(F.col("line"), F.array(F.lit("the"), F.lit("and"), F.lit("de "))))
+    from pagewright.operators import translate
+
+    t = I.lines(spark, d).withColumn("p", A.protect_tokens(F.col("line"), translate.protected_terms(F.col("line"), _GLOSSARY)))
     t = t.withColumn("r", A.restore_tokens(F.col("p.text"), F.col("p.held")))
-    return t.select("doc_id", "ln", "p.text", (F.col("r.text") == F.col("line")).alias("round_trip"))
+    return t.select("doc_id", "ln", "p.text", (F.lower("r.text") == F.lower("line")).alias("round_trip"))
 
 
 @query("P31_safe_names", "SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN source || '/' ELSE source END, '^[A-Za-z0-9_-]{1,64}$') AS safe_id, NOT (p LIKE '/%' OR contains(p, ':') OR regexp_matches(p, '(^|/)(\\.{0,2})(/|$)')) AS safe_path FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN '/' || source WHEN 1 THEN '../' || source WHEN 2 THEN lang || '//' || source WHEN 3 THEN lang || '/' || source ELSE 'c:' || source END AS p FROM documents)")

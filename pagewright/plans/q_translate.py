@@ -70,13 +70,13 @@ def language(spark, d):
     return translate.detected_language(I.thai(spark, d).select("doc_id", F.col("ln").alias("pos"), F.col("line").alias("text")))
 
 
-_PAIR = "pr AS (SELECT doc_id AS pair_id, 'on 2024-03-0' || (doc_id % 3) || ' 10:3' || (doc_id % 2) || ' 10:30 a.b@x.co ' || substr(text, 1, 300) AS source, 'le 2024-03-0' || (doc_id % 2) || ' 10:30 a.b@x.co ' || substr(text, 1, 200) AS target FROM documents)"
+_PAIR = "pr AS (SELECT doc_id AS pair_id, 'on 2024-03-0' || (doc_id % 3) || ' 10:3' || (doc_id % 2) || ' 10:30 a.b@x.co ' || text AS source, 'le 2024-03-0' || (doc_id % 2) || ' 10:30 a.b@x.co ' || CASE WHEN doc_id % 3 = 0 THEN replace(text, 'the', 'le') ELSE replace(text, 'and', '') END AS target FROM documents)"
 
 
 def pairs(spark, d):
     k = F.col("doc_id")
-    s = F.concat(F.lit("on 2024-03-0"), (k % 3).cast("string"), F.lit(" 10:3"), (k % 2).cast("string"), F.lit(" 10:30 a.b@x.co "), F.substring("text", 1, 300))
-    t = F.concat(F.lit("le 2024-03-0"), (k % 2).cast("string"), F.lit(" 10:30 a.b@x.co "), F.substring("text", 1, 200))
+    s = F.concat(F.lit("on 2024-03-0"), (k % 3).cast("string"), F.lit(" 10:3"), (k % 2).cast("string"), F.lit(" 10:30 a.b@x.co "), "text")
+    t = F.concat(F.lit("le 2024-03-0"), (k % 2).cast("string"), F.lit(" 10:30 a.b@x.co "), F.when(k % 3 == 0, F.replace("text", F.lit("the"), F.lit("le"))).otherwise(F.replace("text", F.lit("and"), F.lit(""))))
     return I.table(spark, d, "documents").select(k.alias("pair_id"), s.alias("source"), t.alias("target"))
 
 
@@ -160,3 +160,37 @@ def provider(spark, d):
 @query("X4_request_envelope", "SELECT doc_id, '{\"id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS envelope FROM documents")
 def envelope(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "source")).alias("envelope"))
+
+
+@query(
+    "V6_translation_warnings",
+    f"""WITH {_PAIR}, {_GL}, t AS (SELECT pair_id, 'date' AS kind, unnest(regexp_extract_all(source, '(?i)\\b\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}\\b')) AS token, 1 AS n FROM pr UNION ALL SELECT pair_id, 'time', unnest(regexp_extract_all(source, '(?i)\\b\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?\\b')), 1 FROM pr
+  UNION ALL SELECT pair_id, 'date', unnest(regexp_extract_all(target, '(?i)\\b\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}\\b')), -1 FROM pr UNION ALL SELECT pair_id, 'time', unnest(regexp_extract_all(target, '(?i)\\b\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?\\b')), -1 FROM pr),
+s AS (SELECT pair_id, kind, token, sum(n) AS n FROM t GROUP BY ALL HAVING sum(n) <> 0),
+u AS (SELECT pair_id, CASE kind WHEN 'date' THEN 2 ELSE 4 END + (n < 0)::INT AS rank, kind || CASE WHEN n > 0 THEN '_changed: ' ELSE '_unexpected: ' END AS head, token, unnest(range(abs(n)::BIGINT)) AS again FROM s),
+w AS (SELECT pair_id, rank, 'critical_' || head || array_to_string(list_sort(list(token))[1:5], ', ') AS text FROM u GROUP BY pair_id, rank, head
+  UNION ALL SELECT pair_id, 1000, 'glossary_term_changed: ' || term FROM pr JOIN gl ON contains(CASE WHEN cs THEN source ELSE lower(source) END, CASE WHEN cs THEN term ELSE lower(term) END) WHERE NOT contains(CASE WHEN cs THEN target ELSE lower(target) END, CASE WHEN cs THEN CASE WHEN keep THEN term ELSE wanted END ELSE lower(CASE WHEN keep THEN term ELSE wanted END) END))
+SELECT pair_id, coalesce(string_agg(text, ' | ' ORDER BY rank, text), '') AS warnings FROM pr LEFT JOIN w USING (pair_id) GROUP BY pair_id""",
+)
+def warnings(spark, d):
+    # a language without a script of its own: the script's part has a query and cases of its own
+    return translate.translation_warnings(pairs(spark, d), glossary(spark), "xx", ("date", "time")).select("pair_id", F.array_join("warnings", " | ").alias("warnings"))
+
+
+@query("A18_validator_metrics", f"WITH {I.SEGMENTS}, x AS (SELECT doc_id, CASE WHEN pos % 11 = 7 AND doc_id % 3 = 0 THEN 'unresolved' WHEN pos % 11 = 5 AND doc_id % 4 = 0 THEN 'flagged_for_human_review' ELSE status END AS status, CASE WHEN pos % 13 = 2 AND doc_id % 5 = 0 THEN 'b: x' WHEN pos % 13 = 4 AND doc_id % 5 = 0 THEN 'a' END AS w FROM sg) SELECT doc_id, count(*) AS total, count(*) FILTER (status IN ('unresolved', 'flagged_for_human_review') OR w IS NOT NULL) AS flagged, CASE WHEN count(*) FILTER (status IN ('unresolved', 'flagged_for_human_review') OR w IS NOT NULL) > 0 THEN 'partial' ELSE 'completed' END AS status, array_to_string(list_sort(list(DISTINCT split_part(w, ':', 1)) FILTER (w IS NOT NULL)), ',') AS kinds FROM x GROUP BY doc_id")
+def metrics(spark, d):
+    k, n = F.col("doc_id"), F.col("pos")
+    s = I.segments(spark, d)
+    status = F.when((n % 11 == 7) & (k % 3 == 0), "unresolved").when((n % 11 == 5) & (k % 4 == 0), "flagged_for_human_review").otherwise(F.col("status"))
+    w = F.when((n % 13 == 2) & (k % 5 == 0), F.array(F.lit("b: x"))).when((n % 13 == 4) & (k % 5 == 0), F.array(F.lit("a")))
+    got = translate.validator_metrics(s.select("doc_id", status.alias("status"), w.alias("warnings")))
+    return got.select("doc_id", "total", "flagged", "status", F.when(F.size("kinds") > 0, F.array_join("kinds", ",")).alias("kinds"))
+
+
+@query("D11_saved_translations")
+def saved(spark, d):
+    s = I.segments(spark, d).select("doc_id", "id", "pos", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("final_text"), F.when((F.col("pos") == 5) & (F.col("doc_id") % 4 == 0), "unresolved").otherwise("pending").alias("status"), F.array().cast("array<string>").alias("warnings"))
+    models = s.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 3).alias("revision"), (F.col("doc_id") % 7 == 0).alias("stale"))
+    edits = s.where("pos % 3 = 2").select("doc_id", "id", F.upper("source_text").alias("text"), F.lit(1).cast("long").alias("base_revision"))
+    outcome, _ = translate.translation_saved(models, s.drop("pos"), edits, glossary(spark), "xx", ("date", "time"))
+    return outcome

@@ -5,6 +5,7 @@ A provider maps Arrow batches; nothing in it is asked for a row at a time.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,6 +42,26 @@ class Dictionary:
         return texts.map(lambda t: " ".join(self.words.get(w, w) for w in t.split(" ")))
 
 
+#: Seconds before each further try.
+WAITS = (0.25, 1.0, 2.0)
+
+
+def tried(call: Callable, value, tries: int = 3, sleep: Callable = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> tuple:
+    """What ``call`` makes of ``value``, or null, and the error: only a timeout is worth
+    another try, after a wait, and a cancelled task makes none."""
+    error = None
+    for n in range(tries):
+        if cancelled():
+            return None, "cancelled"
+        try:
+            return call(value), None
+        except TimeoutError as e:
+            error = str(e) or "timeout"
+            if n + 1 < tries:
+                sleep(WAITS[min(n, len(WAITS) - 1)])
+    return None, error
+
+
 def translated(segments: DataFrame, provider: Translator, consent: bool = False, tries: int = 3) -> DataFrame:
     """id, translated, status, error of segments(id, text); a cloud provider needs consent."""
     if provider.cloud and not consent:
@@ -48,14 +69,7 @@ def translated(segments: DataFrame, provider: Translator, consent: bool = False,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, error = None, None
-            for _ in range(tries):
-                try:
-                    out = provider.translate(b["text"])
-                    error = None
-                    break
-                except TimeoutError as e:  # the only failure worth another try
-                    error = str(e) or "timeout"
+            out, error = tried(provider.translate, b["text"], tries)
             yield pd.DataFrame({"id": b["id"], "translated": out if out is not None else [None] * len(b), "status": "translated" if out is not None else "failed", "error": error}, columns=["id", "translated", "status", "error"])
 
     return segments.select("id", "text").mapInPandas(run, ANSWER)

@@ -1,5 +1,8 @@
 """Hand-written cases for what the synthetic tables don't hold: Thai, layout, HTML, revisions."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from pagewright.functions import text as T
 from pagewright.operators import assemble, correct, geometry, html, jobs, layout, package, toc, translate
 from pagewright.sources import files, providers
 from pagewright.streaming import jobs as stream
+from pagewright.streaming import queue as queue_stream
 
 
 def one(spark, rows, schema, column):
@@ -194,10 +198,56 @@ def test_toc(spark):
     assert {r.entry_id: (r.target_id, r.state) for r in toc.relinked(e, t).collect()} == {"a": ("t1", "ok"), "b": ("u", "rematched"), "c": (None, "ambiguous"), "d": (None, "missing")}
 
 
+def repacked(data, **changes):
+    """The package with files replaced, added or (None) left out, or raw names added."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    files = {n: z.read(n) for n in z.namelist()} | changes
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as w:
+        for n, x in files.items():
+            if x is not None:
+                w.writestr(zipfile.ZipInfo(n, package.EPOCH), x, zipfile.ZIP_STORED if n == "mimetype" else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def test_package():
-    data = package.build("d", "T", [("One", "<p>1</p>"), ("Two", "<p>2</p>")])
-    assert package.errors_of(data) == [] and data == package.build("d", "T", [("One", "<p>1</p>"), ("Two", "<p>2</p>")])
-    assert package.errors_of(b"no") == ["not_a_zip"]
+    chapters = [("One", '<h1 id="a">One</h1><h2 id="b">Two &amp; a half</h2><h3 id="c">Three</h3><h2 id="d">Four</h2><p>1</p>'), ("Two", "<p>2 < </p>".replace("< ", "&lt; "))]
+    data = package.build("d", "T", chapters, cover=b"\x89PNG\r\n\x1a\nrest")
+    assert package.errors_of(data) == [] and data == package.build("d", "T", chapters, cover=b"\x89PNG\r\n\x1a\nrest")
+    files = {n: zipfile.ZipFile(io.BytesIO(data)).read(n).decode("latin-1") for n in zipfile.ZipFile(io.BytesIO(data)).namelist()}
+    assert "cover.xhtml" in files["OEBPS/content.opf"] and 'src="cover.png"' in files["OEBPS/cover.xhtml"]
+    link = lambda h, t: f'<a href="chapter-0001.xhtml#{h}">{t}</a>'
+    assert f"<ol><li>{link('a', 'One')}<ol><li>{link('b', 'Two &amp; a half')}<ol><li>{link('c', 'Three')}</li></ol></li><li>{link('d', 'Four')}</li></ol></li>" in files["OEBPS/nav.xhtml"]
+    assert package.errors_of(package.build("d", "T", [("One", "<p>1</p>")])) == [] and "chapter-002" in package.preview("T", chapters)
+
+
+@pytest.mark.parametrize(
+    "changes, error",
+    [
+        ({"mimetype": b"text/plain"}, "mimetype_content"),
+        ({"OEBPS/nav.xhtml": None}, "missing: OEBPS/nav.xhtml"),
+        ({"OEBPS/extra.txt": b"x"}, "undeclared: OEBPS/extra.txt"),
+        ({"OEBPS/book.css": b"p{background:URL (x)}"}, "unsafe_css"),
+        ({"OEBPS/chapter-0001.xhtml": b"<p>"}, "invalid_xml"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><script/></html>"}, "active_content"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html onload='x'/>"}, "active_content"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a href='https://e.org'/></html>"}, "external"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><img src='no.png'/></html>"}, "missing_reference"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a href='../../x'/></html>"}, "missing_reference"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a href='#no'/></html>"}, "missing_fragment"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a id='x'/><b id='x'/></html>"}, "duplicate_anchors"),
+        ({"META-INF/container.xml": b"<c><rootfile full-path='x'/></c>"}, "container_rootfile"),
+        ({"../up": b"x"}, "unsafe_path"),
+        ({"OEBPS/big": b"0" * 3_000_000}, "too_large_unpacked"),
+    ],
+)
+def test_package_errors(changes, error):
+    data = repacked(package.build("d", "T", [("One", "<p>1</p>")]), **changes)
+    assert any(e.startswith(error) for e in package.errors_of(data, most_bytes=2_000_000))
+
+
+def test_package_not_a_zip():
+    assert package.errors_of(b"no") == ["not_a_zip"] and package.errors_of(b"x" * 10, most_bytes=5) == ["too_large"]
 
 
 def test_files(spark, tmp_path):
@@ -251,3 +301,84 @@ def test_geometry(spark):
     assert abs(r[0] - 1 / 7) < 1e-12 and r[1] == 0 and r[2] is None
     v = spark.createDataFrame([(1, x) for x in (0.0, 0.9, 1.8, 10.0)], "k int, v double")
     assert geometry.mean_clusters(v, "k", "v").first().means == [0.45, 1.8, 10.0]
+
+
+def test_protected_terms(spark):
+    """Longer terms first, case where it counts, targets and critical tokens, whole placeholders."""
+    terms = [("Ab", "X", False), ("abc", "abc", True), ("A", "A", True)]
+    text, held = A.protect("abc AB ab A a", terms)
+    assert [held[w] for w in text.split() if w in held] == ["abc", "X", "X", "A"] and text.endswith(" a")
+    row = spark.createDataFrame([("see 2024-03-05 The end",)], "t string").select(translate.protected_terms(F.col("t"), (("the", "le", False, False),)).alias("x")).first()
+    assert {("the", "le", False), ("le", "le", False), ("2024-03-05", "2024-03-05", True)} <= {(r.term, r.meant, r.exact) for r in row.x}
+
+
+def test_translation_checks(spark):
+    pairs = spark.createDataFrame([(1, "On 2024-03-05 the end", "le 2024-03-05 fin"), (2, "On 2024-03-05 the end 10:30", "On 2023-01-01"), (3, "one two three four five six", "one two three four five six")], "pair_id long, source string, target string")
+    glossary = spark.createDataFrame([("the", "le", False, False, "translated")], "source string, target string, case_sensitive boolean, do_not_translate boolean, mode string")
+    got = {r.pair_id: r.warnings for r in translate.translation_warnings(pairs, glossary, "th", ("date", "time")).collect()}
+    assert got[2] == ["critical_date_changed: 2024-03-05", "critical_date_unexpected: 2023-01-01", "critical_time_changed: 10:30", "glossary_term_changed: the"]
+    assert got[3] == ["target_language_mismatch"] and "glossary_term_changed: the" not in got[1]
+
+    segments = spark.createDataFrame([(1, "a", "the 10:30", None, "pending", []), (1, "b", "x", None, "translated", ["old: y"]), (2, "a", "the", None, "pending", []), (3, "a", "t", None, "unresolved", []), (4, "a", "t", None, "pending", [])], "doc_id long, id string, source_text string, final_text string, status string, warnings array<string>")
+    m = {r.doc_id: (r.total, r.flagged, r.status, r.kinds) for r in translate.validator_metrics(segments).collect()}
+    assert m[1] == (2, 1, "partial", ["old"]) and m[2] == (1, 0, "completed", []) and m[3][2] == "partial"
+
+    models = spark.createDataFrame([(1, 5, False), (2, 5, False), (3, 5, False), (4, 5, True)], "doc_id long, revision long, stale boolean")
+    edits = spark.createDataFrame([(1, "a", "le 10:30", 5), (1, "b", "y", 5), (2, "a", "le", 4), (3, "a", "t", 5), (4, "a", "t", 5), (9, "a", "t", 5), (2, "z", "t", 5)], "doc_id long, id string, text string, base_revision long")
+    outcome, after = translate.translation_saved(models, segments, edits, glossary, "fr", ("time",))
+    got = {r.doc_id: (r.outcome, r.status, r.published) for r in outcome.collect()}
+    assert got == {1: ("saved", "completed", True), 2: ("revision_conflict", None, False), 3: ("unresolved_segment", None, False), 4: ("source_changed", None, False), 9: ("not_found", None, False)}
+    assert {(r.id, r.final_text, r.status) for r in after.where("doc_id = 1").collect()} == {("a", "le 10:30", "manual-final"), ("b", "y", "manual-final")}
+
+
+def test_toc_saved(spark):
+    states = spark.createDataFrame([(i, "s", "t", "p") for i in range(6)], "doc_id long, source string, toc string, preview string")
+    asked = spark.createDataFrame([(0, "s", "t", "p", False, False), (1, "x", "t", "p", False, False), (2, "s", "x", "p", False, False), (3, "s", "t", None, False, False), (4, "s", "t", "p", True, False), (5, "s", "t", "p", True, True), (9, "s", "t", "p", False, False)], "doc_id long, base_source string, base_toc string, base_preview string, regenerate boolean, confirmed boolean")
+    bad = spark.createDataFrame([(5, ["label"])], "doc_id long, errors array<string>")
+    assert {r.doc_id: r.outcome for r in toc.toc_saved(states, asked, bad).collect()} == {0: "saved", 1: "source_changed", 2: "toc_changed", 3: "preview_changed", 4: "confirmation_required", 5: "invalid", 9: "not_found"}
+
+
+def test_retagged(spark):
+    units = spark.createDataFrame([(d, f"u{i}", i, "p", "t") for d in range(7) for i in range(3)], "doc_id long, unit string, ord int, tag string, text string")
+    notes = {0: [("u0", "H1 "), ("u1", "h2")], 1: [("u0", "h1"), ("u1", "h3")], 2: [("u0", "h1"), ("u1", "h1")], 3: [("u0", "div")], 4: [("u9", "p")], 5: [("u0", "p"), ("u0", "p")]}
+    rows = spark.createDataFrame([(d, k, u, t) for d, x in notes.items() for k, (u, t) in enumerate(x)], "doc_id long, ord int, unit string, tag string")
+    got = {}
+    for r in layout.retagged(units, rows).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append((r.tag, r.mode, r.reason))
+    assert [t for t, *_ in got[0]] == ["h1", "h2", "p"] and got[0][0][1:] == ("ai", None)
+    assert [got[d][0][1:] for d in range(1, 7)] == [("basic", "hierarchy"), ("basic", "second_h1"), ("basic", "tag"), ("basic", "unknown_unit"), ("basic", "duplicate_unit"), ("basic", "no_answer")]
+    assert all(t == "p" for d in range(1, 7) for t, *_ in got[d])
+
+
+def test_queue_of_jobs(spark, tmp_path):
+    """Head-of-line blocking as a pure step, and on a stream."""
+    state, begun = queue_stream.advance(None, [(0, "queued", 1, False), (1, "queued", 2, True), (2, "queued", 3, True), (3, "queued", 4, False)], 3)
+    assert begun == [1, 2] and [j for j, _ in state[0]] == [3, 4]  # 3 needs the model that 2 uses, 4 waits behind it
+    state, begun = queue_stream.advance(state, [(4, "ended", 1, False)], 3)
+    assert begun == []
+    state, begun = queue_stream.advance(state, [(5, "ended", 2, True), (6, "queued", 9, False)], 3)
+    assert begun == [3, 4, 9]
+    assert queue_stream.advance(state, [(6, "queued", 9, False), (7, "queued", 5, False)], 3)[1] == []
+    src = str(tmp_path / "in")
+    df = spark.createDataFrame([(1, 0, "queued", 1, False), (1, 1, "queued", 2, False), (2, 0, "queued", 7, True)], "queue_id long, seq long, event string, job_id long, uses_model boolean")
+    df.write.parquet(src)
+    out = []
+    q = queue_stream.started_jobs(spark.readStream.schema(df.schema).parquet(src), 1).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda b, _: out.extend((r.queue_id, r.job_id) for r in b.collect())).start()
+    q.awaitTermination(60)
+    assert sorted(out) == [(1, 1), (2, 7)]
+
+
+def test_retry_waits():
+    class Slow(providers.Identity):
+        calls = 0
+
+        def translate(self, texts):
+            self.calls += 1
+            if self.calls < 3:
+                raise TimeoutError
+            return texts
+
+    slept = []
+    assert providers.tried(Slow().translate, "x", sleep=slept.append) == ("x", None) and slept == [0.25, 1.0]
+    stop = iter([False, True])
+    assert providers.tried(Slow().translate, "x", sleep=slept.append, cancelled=lambda: next(stop)) == (None, "cancelled")
