@@ -543,6 +543,17 @@ def test_fillings(lengths):
             used[n] += times * c
     assert used == counts
     assert out == [] or sum(n * c for n, c in out[0][1]) == max(brute_fill(lengths, 40)[:1])
+    left = [n for n, k in enumerate(counts) for _ in range(k)]
+    for times, picks in out:  # every filling is the best for the longest piece that is left
+        longest = max(left)
+        sums = {longest}
+        for n in sorted(left)[:-1]:
+            sums |= {s + n for s in sums if s + n <= 40}
+        assert picks[0][0] == longest and sum(n * c for n, c in picks) == max(sums)
+        for n, c in picks:
+            for _ in range(times * c):
+                left.remove(n)
+    assert not left
 
 
 def test_packing_cases(spark, odd, none):
