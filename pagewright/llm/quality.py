@@ -13,7 +13,11 @@ document whole.
 
 Defined cases: a null text is an empty text and gets a score like any other; null
 labels aren't learned from; without pairs (no labels, or one class only) every
-score is the share of label 1, or 0.5; an empty table gives an empty result.
+score is the share of label 1, or 0.5; an id that is labelled twice is learned
+from twice; repeated rows are scored each and equal texts alike, so ties need no
+order, and one at the threshold is kept; a very long text is scored whole, in one
+batch; other columns, whatever they are called, play no part and keep_good
+returns them; an empty table gives an empty result.
 """
 
 from __future__ import annotations

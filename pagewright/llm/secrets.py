@@ -15,8 +15,10 @@ count UTF-16 units.  The interval join is an equi-join on (text, bin of SCOPE
 code points): a bin holds a bounded number of parts however long the text.
 
 Defined cases: a null text is an empty one and has no spans; documents with an
-equal text have equal spans, whatever their ids; an empty table gives an empty
-result.
+equal text have equal spans, whatever their ids, and repeated rows stay rows of
+their own; spans that begin together are ordered by kind; a very long text is
+scanned whole, in one row; other columns are ignored, whatever they are called;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,17 +124,12 @@ def op4_credential_links(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_as_text(F.col("strong")), 256).alias("base_sha256"), _as_text(every).alias("spans"))
 
 
-#: The SQL's own endpoint pattern, whose separator binds to the last name alone.  With its ceiling of
-#: 128 characters on opaque tokens it is where the SQL gives fewer spans than the query.
-_SQL_ENDPOINT = r"(https?://|" + _names("host", "endpoint", "server")[1:-1] + _SET + r")" + _PLACE
-
-
 def _sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     parts = []
     for kind, rank, role, strong, pattern, group, least in KINDS:
-        good = "length(v) <= 128 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')" if kind == "opaque" else f"length(v) >= {least}"
-        p = quote(_SQL_ENDPOINT if kind == "endpoint" else pattern)
+        good = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')" if kind == "opaque" else f"length(v) >= {least}"
+        p = quote(pattern)
         parts.append(f"""
 SELECT doc_id, '{kind}' AS kind, {rank} AS rank, '{role}' AS role, {str(strong).lower()} AS strong, e - length(m) AS s, e FROM (
   SELECT doc_id, m, v, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (

@@ -11,7 +11,12 @@ page is laid out and compressed follows from the payload's checksum, so equal
 payloads give equal files.
 
 Defined cases: a null file has no pages; an empty one gives a row with an error;
-directories that form a loop are read once each; long files are read whole; an
+directories that form a loop are read once each; a page that declares more than
+its bytes can hold is an error, and nothing beyond what it declares is unpacked;
+long files and texts are read and stored whole, one to a batch; null and empty
+texts are stored as one row of blanks; equal texts are stored alike, so ties and
+repeated rows need no order and stay rows of their own; other columns are kept,
+and one that is called like a page's goes by its name with _file behind it; an
 empty table gives an empty result.
 """
 

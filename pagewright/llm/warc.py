@@ -13,7 +13,10 @@ capture.
 Defined cases: a null payload is an empty one; a null id or address is written
 as an empty field and read back as null; repeated rows are captures of their
 own; a record that names no known response makes no capture; an archive that is
-null, empty or cut off gives the whole records before the damage.
+null, empty or cut off gives the whole records before the damage; of equal
+payloads the one with the largest id is the response, and rows that repeat that
+id are all responses; a very long payload is one record, read whole; other columns are ignored,
+whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,8 +115,8 @@ _RECORD = "record_id string, type string, concurrent_to string, refers_to string
 def read_records(archives: DataFrame, column: str = "archive", payloads: bool = False) -> DataFrame:
     """One row a record of the archives; ``payloads``: with the bodies too.
 
-    payload_bytes and payload_digest are of the full payload: of the body where
-    the record has it, else as its headers state them.  verified: whether the
+    payload_bytes and payload_digest are of the full payload: computed from the body
+    where the record has it, else as its headers state them.  verified: whether the
     stated digest is that of the body; null without a body.
     """
 
@@ -129,7 +132,7 @@ def read_records(archives: DataFrame, column: str = "archive", payloads: bool =
                         size = len(body)
                         if kind == "response":
                             found = base32_sha1(body)
-                            digest, verified = digest or found, digest in (None, found)
+                            digest, verified = found, digest in (None, found)
                         else:
                             stated = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                             size, body = int(stated[0]) if stated and stated[0].isdigit() else None, None
