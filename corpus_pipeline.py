@@ -6,6 +6,13 @@ ranking rejects go, repeated lines go, one document of each group of
 near-duplicates stays, sources are mixed to target weights (documents go or are
 repeated), and what is left is packed into windows.  All stages but the last
 return the columns of documents.
+
+Defined cases, the same in all stages: a null text is an empty one; a null id is
+a document of its own; rows that repeat an id and a text are treated alike, ids
+with several texts are one document to the near-duplicate stage alone; ties go to
+the smaller id; a very long text is handled whole, one to a batch; columns beside
+those of documents are passed on, whatever they are called; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
