@@ -94,24 +94,25 @@ def grid(spark, d):
     return layout.grid_cells(pixels, sizes)
 
 
-@query("V8_covers", "SELECT p_partkey AS cover_id, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE p_partkey % 4 WHEN 1 THEN 'type' WHEN 2 THEN 'too_many_pixels' WHEN 3 THEN 'encoding' END AS error FROM part")
+@query("V8_covers", "WITH x AS (SELECT p_partkey AS cover_id, p_partkey % 4 AS k, (p_size - 1) * 137 * (p_partkey % 9000) AS pixels FROM part) SELECT cover_id, CASE k WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE WHEN k = 1 THEN 'type' WHEN k = 3 THEN 'encoding' WHEN k = 2 AND pixels > 16000000 THEN 'too_many_pixels' WHEN k = 2 AND pixels <= 0 THEN 'damaged' END AS error FROM x")
 def covers(spark, d):
     k = F.col("p_partkey") % 4
-    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\xff\xff\0\0\xff\xff"
-    content = F.when(k == 0, F.lit(b"\xff\xd8\xff\xe0data")).when(k == 1, F.col("p_name").cast("binary")).otherwise(F.lit(png))
+    side = lambda n: F.lpad(F.hex(n), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), side((F.col("p_size") - 1) * 137), side(F.col("p_partkey") % 9000)))
+    content = F.when(k == 0, F.lit(b"\xff\xd8\xff\xe0data")).when(k == 1, F.col("p_name").cast("binary")).otherwise(png)
     encoded = F.when(k == 3, "***").otherwise(F.base64(content))
     out = files.checked_covers(I.table(spark, d, "part").select(F.col("p_partkey").alias("cover_id"), encoded.alias("encoded")))
     return out.select("cover_id", F.when(F.col("error").eqNullSafe("encoding"), None).otherwise(F.col("type")).alias("type"), "error")
 
 
-@query("S19_uploads", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a_b.pdf' WHEN 1 THEN 'x.PNG' WHEN 2 THEN 'no.exe' WHEN 3 THEN 'big.pdf' ELSE 'zero.jpg' END AS safe_name, CASE p_partkey % 5 WHEN 2 THEN 'extension' WHEN 3 THEN 'too_large' WHEN 4 THEN 'empty' END AS error FROM part")
+@query("S19_uploads", f"""WITH {I.LINES}, x AS (SELECT doc_id, ln, CASE ln % 3 WHEN 0 THEN replace(line, ',', '/') WHEN 1 THEN replace(line, ' t', chr(92) || 't') ELSE line END || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.exe' WHEN 3 THEN '' ELSE '.j:peg' END AS name, length(line) * 1000000 AS size FROM ln),
+b AS (SELECT *, split_part(replace(name, chr(92), '/'), '/', -1) AS base FROM x), e AS (SELECT *, lower(regexp_extract(base, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM b)
+SELECT doc_id, ln, right(regexp_replace(base, '[^\\p{{L}}\\p{{M}}\\p{{N}}._ -]', '_', 'g'), 120) AS safe_name, CASE WHEN trim(base) = '' THEN 'name' WHEN ext NOT IN ('pdf', 'png', 'jpg', 'jpeg') THEN 'extension' WHEN size > 314572800 THEN 'too_large' WHEN size <= 0 THEN 'empty' END AS error FROM e""")
 def uploads(spark, d):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "dir/../a:b.pdf").when(k == 1, "c\\x.PNG").when(k == 2, "no.exe").when(k == 3, "big.pdf").otherwise("zero.jpg")
-    size = F.when(k == 3, F.lit(400 << 20)).when(k == 4, F.lit(0)).otherwise(F.lit(10))
-    rows = I.table(spark, d, "part").select("p_partkey", name.alias("name"), size.alias("size_bytes"))
-    got = files.accepted_uploads(rows).distinct()
-    return rows.join(got, "name").select("p_partkey", "safe_name", "error")
+    k, n = F.col("doc_id") % 5, F.col("ln") % 3
+    name = F.concat(F.when(n == 0, F.replace("line", F.lit(","), F.lit("/"))).when(n == 1, F.replace("line", F.lit(" t"), F.lit("\\t"))).otherwise(F.col("line")), F.when(k == 0, ".pdf").when(k == 1, ".PNG").when(k == 2, ".exe").when(k == 3, "").otherwise(".j:peg"))
+    rows = I.lines(spark, d).select("doc_id", "ln", name.alias("name"), (F.length("line").cast("long") * 1_000_000).alias("size_bytes"))
+    return files.accepted_uploads(rows).select("doc_id", "ln", "safe_name", "error")
 
 
 @query("O6_caps", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 5) GROUP BY ALL")

@@ -75,12 +75,12 @@ def checked_covers(covers: DataFrame, most_bytes: int = 10 << 20, most_pixels: i
 
 
 def accepted_uploads(files: DataFrame, extensions=("pdf", "png", "jpg", "jpeg"), most_bytes: int = 300 << 20) -> DataFrame:
-    """name, safe_name, error of files(name, size_bytes)."""
+    """files(name, size_bytes, ...) with safe_name and error."""
     base = F.element_at(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), -1)
     safe = F.substring(F.regexp_replace(base, r"[^\p{L}\p{M}\p{N}._ -]", "_"), -120, 120)
     extension = F.lower(F.regexp_extract(base, r"\.([A-Za-z0-9]+)$", 1))
     error = F.when(F.trim(base) == "", "name").when(~extension.isin(*extensions), "extension").when(F.col("size_bytes") > most_bytes, "too_large").when(F.col("size_bytes") <= 0, "empty")
-    return files.select("name", safe.alias("safe_name"), error.alias("error"))
+    return files.withColumn("safe_name", safe).withColumn("error", error)
 
 
 def capped(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
