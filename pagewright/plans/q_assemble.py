@@ -103,9 +103,12 @@ def job_text(spark, d):
     return assemble.job_text(I.pages(spark, d).withColumn("final_text", F.concat("route", F.col("page_id").cast("string"))).withColumn("raw_text", F.lit("")))
 
 
-@query("S16_text_to_html")
+@query("S16_text_to_html", """WITH x AS (SELECT doc_id, replace(replace(text, '.' || chr(10), '.' || chr(13) || chr(10) || chr(10)), ' und ', chr(12)) AS t FROM documents)
+SELECT doc_id, '<!doctype html><html><head><meta charset="utf-8"></head><body>' || array_to_string(list_transform(string_split(t, chr(12)), lambda p, i: '<section data-page="' || i || '">' || array_to_string(list_transform(string_split_regex(p, '(\\r?\\n){2,}'),
+  lambda b, j: CASE WHEN regexp_full_match(b, '\\s*') THEN '' ELSE '<p data-block-id="text-p' || i || '-' || j || '" data-page="' || i || '">' || replace(replace(replace(replace(replace(regexp_replace(b, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</p>' END), '') || '</section>'), '') || '</body></html>' AS html FROM x""")
 def to_html(spark, d):
-    return html.text_to_html(I.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text")))
+    text = F.replace(F.replace("text", F.lit(".\n"), F.lit(".\r\n\n")), F.lit(" und "), F.lit("\f"))
+    return html.text_to_html(I.table(spark, d, "documents").select("doc_id", text.alias("text")))
 
 
 # ---- geometry

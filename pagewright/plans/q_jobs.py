@@ -154,7 +154,7 @@ def page_view(spark, d):
     return jobs.page_view(p, I.jobs(spark, d).where("job_id % 7 <> 0"))
 
 
-@query("S14_A13_job_json")
+@query("S14_A13_job_json", f"""WITH {I.PAGES} SELECT job_id, '[' || string_agg('{{"page_id":' || page_id || ',"status":"' || status || '","route":"' || route || '"}}', ',' ORDER BY page_id) || ']' AS document FROM pg GROUP BY job_id""")
 def job_json(spark, d):
     p = I.pages(spark, d)
     return p.groupBy("job_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("page_id", "status", "route")))).alias("document"))
