@@ -134,3 +134,13 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 SEGMENTS = LINES + """,
 sg AS (SELECT doc_id, ln AS pos, 'seg-' || ln AS id, line AS text, length(line) AS size, CASE WHEN ln % 9 IN (3, 4) THEN 'row-' || (ln // 9) END AS group_id, CASE WHEN ln % 9 = 8 THEN 'preserved' ELSE 'pending' END AS status FROM ln)"""
+
+
+#: The characters beyond ASCII that the documents hold, and the ASCII ones, which they don't hold, that stand for them.
+BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_SPARE = [n for n in range(1, 32) if n not in (9, 10, 13)]
+
+
+def one_byte(sql: str) -> str:
+    """The expression with a byte a character: the oracle's edit distance counts bytes, Spark's characters."""
+    return f"translate({sql}, '{BEYOND}', {' || '.join(f'chr({n})' for n in _SPARE[: len(BEYOND)])})"

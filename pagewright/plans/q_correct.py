@@ -39,7 +39,20 @@ def span_at(spark, d):
     return correct.span_at(I.proposals(spark, d).select("doc_id", "start", "end").distinct(), I.spans(spark, d))
 
 
-@query("V1_W14_validated_proposals")
+@query(
+    "V1_W14_validated_proposals",
+    f"""WITH RECURSIVE {I.PROPOSALS}, n AS (SELECT p.doc_id, p.change_id, s.line_index, row_number() OVER (PARTITION BY p.doc_id, p.change_id ORDER BY NOT (s."start" <= p."start" AND p."end" <= s."end"), s.ord) AS r
+  FROM pr p JOIN sp s ON s.doc_id = p.doc_id AND s.block_id = p.block_id AND ((s."start" <= p."start" AND p."end" <= s."end") OR (s."start" <= p."start" AND p."start" < s."end"))),
+kb AS (SELECT DISTINCT doc_id, block_id FROM sp),
+x AS (SELECT p.*, d.text, n.line_index AS line, kb.block_id IS NOT NULL AS known FROM pr p JOIN documents d USING (doc_id) LEFT JOIN n ON n.doc_id = p.doc_id AND n.change_id = p.change_id AND n.r = 1 LEFT JOIN kb ON kb.doc_id = p.doc_id AND kb.block_id = p.block_id),
+v AS (SELECT *, CASE WHEN "start" < 0 OR "end" > length(text) OR "start" >= "end" THEN 'out_of_bounds' WHEN substr(text, "start" + 1, "end" - "start") <> original THEN 'content_mismatch' END AS before,
+  CASE WHEN NOT known THEN 'invalid_block' WHEN line IS NULL THEN 'mapping_mismatch' WHEN length(original) > 25 OR length(trim(original)) - length(replace(trim(original), ' ', '')) > 1 THEN 'phrase_level'
+    WHEN levenshtein({I.one_byte("original")}, {I.one_byte("corrected")}) > greatest(2, length(original) // 2) OR abs(length(original) - length(corrected)) > 3 THEN 'edit_distance' END AS after FROM x),
+g AS (SELECT doc_id, change_id, "start" AS s, "end" AS e, after IS NULL AS ok, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", change_id) AS k FROM v WHERE before IS NULL),
+f AS (SELECT doc_id, change_id, k, true AS free, CASE WHEN ok THEN e ELSE -1 END AS last FROM g WHERE k = 1 UNION ALL SELECT g.doc_id, g.change_id, g.k, g.s >= f.last, CASE WHEN g.s >= f.last AND g.ok THEN g.e ELSE f.last END FROM f JOIN g ON g.doc_id = f.doc_id AND g.k = f.k + 1),
+r AS (SELECT v.*, coalesce(before, CASE WHEN NOT f.free THEN 'overlap' END, after, 'accepted') AS verdict FROM v LEFT JOIN f ON f.doc_id = v.doc_id AND f.change_id = v.change_id)
+SELECT doc_id, change_id, verdict, verdict = 'accepted' AND regexp_matches(original || corrected, '[0-9\\x{{0E50}}-\\x{{0E59}}]') AS flagged FROM r""",
+)
 def validated(spark, d):
     return correct.validated(I.proposals(spark, d), texts(spark, d), I.spans(spark, d)).select("doc_id", "change_id", "verdict", "flagged")
 
