@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, fim, lines, minhash, mixing, packing, quality, secrets, tiff, vectors, warc
+from . import ctw, fim, lines, minhash, mixing, packing, quality, ranking, secrets, tiff, vectors, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_ranking": quality.op8_quality_ranking,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_source_mix": mixing.op10_source_mix,
+        "op11_max_tree_search": ranking.op11_max_tree_search,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_segment_line_dedup": lines.OP6_SQL,
         "op7_pca_vector_dedup": vectors.OP7_SQL,
         "op10_source_mix": mixing.OP10_SQL,
+        "op11_max_tree_search": ranking.OP11_SQL,
         "op12_fill_in_middle": fim.OP12_SQL,
     }
