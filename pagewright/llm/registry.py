@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, fim, lines, minhash, mixing, packing, quality, ranking, secrets, tiff, vectors, warc
+from . import ctw, fim, lines, minhash, mixing, packing, quality, ranking, secrets, substrings, tiff, vectors, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_source_mix": mixing.op10_source_mix,
         "op11_max_tree_search": ranking.op11_max_tree_search,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_suffix_array_dedup": substrings.op13_suffix_array_dedup,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_source_mix": mixing.OP10_SQL,
         "op11_max_tree_search": ranking.OP11_SQL,
         "op12_fill_in_middle": fim.OP12_SQL,
+        "op13_suffix_array_dedup": substrings.OP13_SQL,
     }
