@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from string import ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column
@@ -92,13 +93,14 @@ def unified_diff(raw: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series(["".join(difflib.unified_diff(lines(a), lines(b), "a/text.raw.txt", "b/text.corrected.txt", n=2)) for a, b in zip(raw, corrected, strict=True)], dtype=object)
 
 
-def _name(n: int) -> str:
-    out = ""
-    while True:
-        out = chr(65 + n % 26) + out
-        n = n // 26 - 1
-        if n < 0:
-            return f"__PHASE_TOKEN_{out}__"
+def placeholder(n: int) -> str:
+    """The n-th name, from 0: all of one letter, then all of two, and so on."""
+    letters = 1
+    while n >= 26**letters:
+        n -= 26**letters
+        letters += 1
+    digits = (n // 26**k % 26 for k in reversed(range(letters)))
+    return f"__PHASE_TOKEN_{''.join(map(ascii_uppercase.__getitem__, digits))}__"
 
 
 def protect(text: str, terms: list[tuple[str, str, bool]]) -> tuple[str, dict[str, str]]:
@@ -116,23 +118,40 @@ def protect(text: str, terms: list[tuple[str, str, bool]]) -> tuple[str, dict[st
                 continue
             for k, part in enumerate(find.split(piece)):
                 if k % 2:
-                    part = _name(len(held))
+                    part = placeholder(len(held))
                     held[part] = meant
                 out.append(part)
         pieces = out
     return "".join(pieces), held
 
 
+_EXACT = re.compile(r"(__PHASE_TOKEN_[A-Z]+__)")
+# of the underscores between two placeholders the second keeps some
+_LOOSE = re.compile(r"_+\s*(PHASE_TOKEN_[A-Z]+)\s*_+?(?=_+\s*PHASE_TOKEN_|[^_]|\Z)", re.I)
+
+
 def restore(text: str, held: dict[str, str]) -> tuple[str, list[str]]:
-    """Placeholders back to terms, tolerating blanks for underscores; and those that are missing."""
-    missing = []
-    for name in sorted(held, key=len, reverse=True):
-        loose = r"[_\s]*" + r"[_\s]+".join(map(re.escape, name.strip("_").split("_"))) + r"[_\s]*?(?:__|\b)"
-        new, n = re.subn(re.escape(name) + "|" + loose, lambda _, t=held[name]: t, text, count=0)
-        if not n:
-            missing.append(name)
-        text = new
-    return text, missing
+    """Placeholders back to terms, and those that are missing.
+
+    A placeholder is taken as it was written.  Only one that isn't there is looked
+    for with its case changed, or with blanks or other numbers of underscores at its
+    ends.  Nothing outside the underscores is touched, and no term is searched.
+    """
+    pieces = _EXACT.split(text)
+    missing = set(held).difference(pieces[1::2])
+    found: set[str] = set()
+
+    def loose(m: re.Match) -> str:
+        name = f"__{m[1].upper()}__"
+        if name not in missing:
+            return m[0]
+        found.add(name)
+        return held[name]
+
+    pieces[1::2] = [held.get(name, name) for name in pieces[1::2]]
+    if missing:
+        pieces[::2] = [_LOOSE.sub(loose, literal) for literal in pieces[::2]]
+    return "".join(pieces), sorted(missing - found)
 
 
 @F.pandas_udf(StructType([StructField("text", TEXT), StructField("held", MapType(TEXT, TEXT))]))

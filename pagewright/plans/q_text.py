@@ -217,13 +217,16 @@ def hashes(spark, d):
 _GLOSSARY = (("the", "the", False, False), ("and", "", True, True), ("de ", "", True, True))
 
 
-@query("P30_token_protection")
+@query("P30_token_protection", "WITH " + I.LINES + " SELECT doc_id, ln, true AS as_written, true AS changed_form, true AS all_missing FROM ln")
 def protection(spark, d):
     from pagewright.operators import translate
 
     t = I.lines(spark, d).withColumn("p", A.protect_tokens(F.col("line"), translate.protected_terms(F.col("line"), _GLOSSARY)))
-    t = t.withColumn("r", A.restore_tokens(F.col("p.text"), F.col("p.held")))
-    return t.select("doc_id", "ln", "p.text", (F.lower("r.text") == F.lower("line")).alias("round_trip"))
+    same = lambda back: F.lower(back["text"]) == F.lower("line")
+    changed = F.regexp_replace(F.lower("p.text"), "__(phase_token_[a-z]+)__", "__ $1\t_")
+    gone = F.regexp_replace("p.text", "__PHASE_TOKEN_[A-Z]+__", "")
+    back = lambda text: A.restore_tokens(text, F.col("p.held"))
+    return t.select("doc_id", "ln", same(back(F.col("p.text"))).alias("as_written"), same(back(changed)).alias("changed_form"), (F.size(back(gone)["missing"]) == F.size("p.held")).alias("all_missing"))
 
 
 @query("P31_safe_names", "SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN source || '/' ELSE source END, '^[A-Za-z0-9_-]{1,64}$') AS safe_id, NOT (p LIKE '/%' OR contains(p, ':') OR regexp_matches(p, '(^|/)(\\.{0,2})(/|$)')) AS safe_path FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN '/' || source WHEN 1 THEN '../' || source WHEN 2 THEN lang || '//' || source WHEN 3 THEN lang || '/' || source ELSE 'c:' || source END AS p FROM documents)")

@@ -308,6 +308,11 @@ def test_protected_terms(spark):
     terms = [("Ab", "X", False), ("abc", "abc", True), ("A", "A", True)]
     text, held = A.protect("abc AB ab A a", terms)
     assert [held[w] for w in text.split() if w in held] == ["abc", "X", "X", "A"] and text.endswith(" a")
+    assert [A.placeholder(n)[14:-2] for n in (0, 25, 26, 51, 52, 701, 702)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
+    hidden, held = A.protect("keep the cat and dog", [("cat", "chat", True), ("dog", "chien", True)])
+    assert hidden == "keep the __PHASE_TOKEN_A__ and __PHASE_TOKEN_B__" and A.restore(hidden, held) == ("keep the chat and chien", [])
+    assert A.restore("x _ phase_token_a ___ y PHASE TOKEN B", held) == ("x chat y PHASE TOKEN B", ["__PHASE_TOKEN_B__"])
+    assert A.restore("__PHASE_TOKEN_A__ _phase_token_a_ __PHASE_TOKEN_AB__", held) == ("chat _phase_token_a_ __PHASE_TOKEN_AB__", ["__PHASE_TOKEN_B__"])
     row = spark.createDataFrame([("see 2024-03-05 The end",)], "t string").select(translate.protected_terms(F.col("t"), (("the", "le", False, False),)).alias("x")).first()
     assert {("the", "le", False), ("le", "le", False), ("2024-03-05", "2024-03-05", True)} <= {(r.term, r.meant, r.exact) for r in row.x}
 

@@ -1,5 +1,7 @@
 """Round trips and invariants over generated input."""
 
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,6 +34,14 @@ def test_protected_text_comes_back(text, terms):
     assert not missing and back == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["cat", "dog", " ", "  ", "\n", "_", "and", "The"]), max_size=14).map("".join), st.lists(st.sampled_from(["cat", "do", "a", "Th"]), max_size=3))
+def test_blanks_around_terms_stay(text, terms):
+    hidden, held = A.protect(text, [(t, t.upper(), True) for t in terms])
+    want = re.sub("|".join(sorted(map(re.escape, terms), key=lambda t: (-len(t), t))) or "(?!)", lambda m: m[0].upper(), text)
+    assert A.restore(hidden, held) == (want, [])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=30), st.text(max_size=30))
 def test_diff_covers_all(a, b):
