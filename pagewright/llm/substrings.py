@@ -2,11 +2,12 @@
 
 A byte goes where a string of ``LENGTH`` bytes covers it that also starts in a
 document with a smaller id.  Every string of that length is filed under one
-anchor, the 24-byte gram of it with the smallest hash (the leftmost of equals).
+anchor, the 20-byte gram of it with the smallest hash (the leftmost of equals).
 Equal strings have equal anchors, so all that can match meets under one anchor.
 
-1. One pass deals the anchors of all documents into buckets of hashes, packed, and
-   each bucket names the anchors that more than one document has.
+1. Whole copies of a smaller document's text go at once.  One pass deals the
+   anchors of all documents into buckets of hashes, packed, and each bucket names
+   the anchors that more than one document has.
 2. Neighbouring strings of a document under one such anchor are a run; its bytes are
    the run's content.  Equal contents are aggregated to the smallest and the
    largest document that hold them, before anything is shuffled.
@@ -35,17 +36,20 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, materialize, mix64, slices, trim, utf8
+from .common import discard, documents_only, materialize, mix64, slices, trim, utf8
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 #: Grams of a string; their minimum is its anchor.
 WINDOW = LENGTH - GRAM + 1
 #: Strings of a run at most, and strings of a document looked at in one go.
@@ -54,14 +58,16 @@ RUN, SEGMENT = 64, 1 << 17
 BUCKET, CROWD = 1 << 20, 4096
 #: Bytes of contents that are suffix-sorted together, about.
 TEXT = 1 << 21
+#: Rows that are told at once.
+ROWS = 20_000
 
 _RANDOM = np.random.default_rng(50).integers(0, 1 << 32, 256, dtype=np.uint32)
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """32-bit hashes of all grams: hashes of 2, 4, 8, 16 and then 24 bytes."""
+    """32-bit hashes of all grams: hashes of 2, 4, 8, 16 and then GRAM bytes."""
     x = _RANDOM[raw]
     for step in (1, 2, 4, 8, GRAM - 16):
         y = x[:-step] * _M1
@@ -91,8 +97,10 @@ def runs(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raw = np.frombuffer(text, np.uint8)[base : base + SEGMENT + LENGTH - 1]
         at = _anchors(raw)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        words = np.lib.stride_tricks.sliding_window_view(raw, GRAM)[at[first]].view(np.uint64)
-        key = mix64(mix64(mix64(words[:, 0] * _PRIMES[0]) + words[:, 1] * _PRIMES[1]) + words[:, 2] * _PRIMES[2])
+        words = np.lib.stride_tricks.sliding_window_view(raw, GRAM)[at[first]].view(np.uint32).astype(np.uint64)
+        key = np.zeros(len(first), np.uint64)
+        for k in range(GRAM // 4):
+            key = mix64(key * _PRIME + words[:, k])
         new = np.concatenate(([True], key[1:] != key[:-1]))  # a gram that repeats at once goes on
         first, key = first[new], key[new]
         n = np.diff(np.concatenate((first, [len(at)])))
@@ -287,39 +295,53 @@ def _sorted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def done(held: list[tuple]) -> pa.RecordBatch:
         # m, d, off, lo, hi, content
-        found = judged([x[5] for x in held], np.array([x[3] for x in held], np.int64))
+        found = judged([x[5] for x in held], np.array([x[3] for x in held], np.int64)) if held else ()
         out = [(x[0], x[1], x[3], x[4], _ranges(g + x[2])) for x, g in zip(held, found, strict=True) if len(g) or x[4] is not None]
+        out += [(x[0], x[1], x[3], x[4], []) for x in alone]
         kinds = (*[pa.int64()] * 4, pa.list_(pa.int32()))
         trim()
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["m", "d", "lo", "hi", "gone"])
 
     held: list[tuple] = []
-    size, last = 0, None
-    for batch in batches:
-        for key, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= TEXT and key != last:
-                yield done(held)
-                held, size = [], 0
-            held.append(tuple(x))
-            size += len(x[5])
-            last = key
-    if held:
-        yield done(held)
-
-
-def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, th (hash of the text), ranges (first, end, first, end ... in bytes, in
-    any order, overlapping): what goes of each document that loses anything."""
-    texts = documents_only(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(int(size * 2 / (WINDOW + 1)) // BUCKET, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
-    dealt = texts.mapInArrow(_dealt(bits), "bucket long, h binary, docs binary")
+    alone: list[tuple] = []  # the only content of a key: no other has a string of it
+    size = 0
+    for _, rows in groupby((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=itemgetter(0)):
+        group = [x[1:] for x in rows]
+        if len(group) == 1:
+            alone += [x for x in group if x[4] is not None]
+        else:
+            held += group
+            size += sum(len(x[5]) for x in group)
+        if size >= TEXT or len(alone) >= ROWS:
+            yield done(held)
+            held, alone, size = [], [], 0
+    yield done(held)
+
+
+def _sums(texts: DataFrame) -> DataFrame:
+    """doc_id, th, n, lo of each row: hash and bytes of its text, and the smallest document that has it."""
+    rows = texts.select("doc_id", "th", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sum"))
+    least = rows.groupBy("sum").agg(F.min("doc_id").alias("lo"))
+    return materialize(rows.join(least, "sum").select("doc_id", "th", "n", "lo"), "sums")
+
+
+def _runs(texts: DataFrame, sums: DataFrame, crowd: int) -> DataFrame:
+    """doc, th, at, m, busy, content, d: the runs under anchors that several documents have."""
+    size = sums.agg(F.sum("n")).first()[0] or 0
+    bits = max(int(size * 2 / (WINDOW + 1)) // BUCKET, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    dealt = texts.select("doc_id", "text").mapInArrow(_dealt(bits), "bucket long, h binary, docs binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared(crowd), "doc long, places binary")
-    asked = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("places").alias("places"))
-    some = texts.withColumn("th", F.xxhash64("text")).join(asked, "doc_id").select("doc_id", "text", "th", "places")
+    # whole copies go without a look inside
+    first = sums.groupBy("doc_id").agg(F.max("lo").alias("lo")).where("lo = doc_id").select("doc_id")
+    asked = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("places").alias("places")).join(first, "doc_id")
+    some = texts.join(asked, "doc_id").select("doc_id", "text", "th", "places")
     found = some.mapInArrow(_candidates(bits), "doc long, th long, at int, m long, busy boolean, content binary")
-    found = materialize(found.withColumn("d", F.xxhash64("content")), "runs")
+    return materialize(found.withColumn("d", F.xxhash64("content")), "runs")
+
 
+def _gone(found: DataFrame, crowd: int) -> DataFrame:
+    """m, d, lo, hi, gone: for contents that something goes of, their smallest document,
+    their largest if it is another, and the places whose strings a smaller one has."""
     distinct = found.groupBy("m", "d", "content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     crowded = found.where("busy").select("m", "d").distinct().groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowded"))
     hi = F.when(F.col("hi") > F.col("lo"), F.col("hi")).alias("hi")
@@ -330,14 +352,40 @@ def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     key = F.when(F.col("crowded"), F.xxhash64("content")).otherwise(F.col("m"))
     hi = F.when(F.col("off") == 0, F.col("hi")).alias("hi")  # told once
     cut = cut.select(key.alias("key"), "m", "d", "off", "lo", hi, "content")
-    gone = materialize(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_texts, "m long, d long, lo long, hi long, gone array<int>"), "gone")
+    return materialize(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_texts, "m long, d long, lo long, hi long, gone array<int>"), "gone")
 
+
+def _ranges_of(found: DataFrame, gone: DataFrame) -> DataFrame:
     runs_ = found.select("doc", "th", "at", "m", "d", F.octet_length("content").alias("n"))
     met = runs_.join(gone, ["m", "d"]).where((F.col("doc") == F.col("lo")) & (F.size("gone") > 0) | (F.col("doc") > F.col("lo")) & F.col("hi").isNotNull())
     # a string's range ends LENGTH - 1 bytes after the last place where one starts
     inner = F.transform("gone", lambda x, i: x + F.col("at") + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
     met = met.select(F.col("doc").alias("doc_id"), "th", F.when(F.col("doc") == F.col("lo"), inner).otherwise(F.array("at", F.col("at") + F.col("n"))).alias("r"))
-    return met.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    return materialize(met.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
+
+
+def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, th (hash of the text), ranges (first, end, first, end ... in bytes, in
+    any order, overlapping): what goes of each document that loses anything."""
+    spark = docs.sparkSession
+    texts = documents_only(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).withColumn("th", F.xxhash64("text"))
+    sums = _sums(texts)
+    found = _runs(texts, sums, crowd)
+    free_shuffles(spark)
+    gone = _gone(found, crowd)
+    free_shuffles(spark)
+    out = _ranges_of(found, gone)
+    discard(found, gone)
+    free_shuffles(spark)
+    copies = sums.where("lo < doc_id").select("doc_id", "th", F.array(F.lit(0), "n").alias("ranges")).distinct()
+    return out.join(copies, ["doc_id", "th"], "left_anti").unionByName(copies)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets executors delete what finished jobs have shuffled: they keep it as long as
+    the driver has a plan of such a job, so those that nobody uses are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def spans(ranges: list[int] | None) -> np.ndarray:
