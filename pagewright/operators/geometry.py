@@ -93,9 +93,22 @@ def mean_clusters(values: DataFrame, key: str, value: str, tolerance: float = 1.
     return values.groupBy(key).agg(F.transform(folded, lambda c: c["total"] / c["n"]).alias("means"))
 
 
+def pixel_runs(pixels: DataFrame) -> DataFrame:
+    """page_id, line, first, last: the runs of neighbouring dark pixels(page_id, y, x) of a row."""
+    own = Window.partitionBy("page_id", "y").orderBy("x")
+    rows = pixels.withColumn("_new", F.coalesce((F.col("x") - F.lag("x").over(own) > 1).cast("int"), F.lit(0)))
+    return rows.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("page_id", F.col("y").alias("line"), "_run").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("_run")
+
+
+def longest_runs(runs: DataFrame, gap: int = 2) -> DataFrame:
+    """page_id, line, longest of runs(page_id, line, first, last): the longest once gaps
+    of up to ``gap`` pixels are bridged."""
+    own = Window.partitionBy("page_id", "line").orderBy("first")
+    rows = runs.withColumn("_new", F.coalesce((F.col("first") - F.lag("last").over(own) > gap + 1).cast("int"), F.lit(0)))
+    joined = rows.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("page_id", "line", "_run").agg((F.max("last") - F.min("first") + 1).alias("n"))
+    return joined.groupBy("page_id", "line").agg(F.max("n").alias("longest"))
+
+
 def dark_runs(pixels: DataFrame, gap: int = 2) -> DataFrame:
     """page_id, y, longest: the longest run of dark pixels of a row, bridging gaps of up to ``gap``."""
-    own = Window.partitionBy("page_id", "y").orderBy("x")
-    dark = pixels.where("dark").withColumn("_new", F.coalesce((F.col("x") - F.lag("x").over(own) > gap + 1).cast("int"), F.lit(0)))
-    runs = dark.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("page_id", "y", "_run").agg((F.max("x") - F.min("x") + 1).alias("n"))
-    return runs.groupBy("page_id", "y").agg(F.max("n").alias("longest"))
+    return longest_runs(pixel_runs(pixels.where("dark")), gap).withColumnRenamed("line", "y")

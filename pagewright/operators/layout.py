@@ -113,37 +113,38 @@ def heading_ids(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(F.col("source_id").rlike("^[A-Za-z][A-Za-z0-9_.:-]*$"), F.col("source_id")).otherwise(made)).drop("_sig")
 
 
-def grid_cells(pixels: DataFrame, sizes: DataFrame, wide: float = 0.18, tall: float = 0.05, crossing: float = 0.7) -> DataFrame:
+def grid_cells(rows: DataFrame, columns: DataFrame, sizes: DataFrame, wide: float = 0.18, tall: float = 0.05, crossing: float = 0.7, most: int = 20_001) -> DataFrame:
     """page_id, row_index, column_index, x0, y0, x1, y1: the cells of a ruled table.
 
-    pixels(page_id, x, y) are the dark ones, sizes(page_id, width, height).  Rows
-    of pixels with a run of ``wide`` of the width, and columns with one of
-    ``tall`` of the height, are ruled lines, thick ones merged.  A line stays if
-    it meets ``crossing`` of the other axis's lines within two pixels; three of
-    each axis make a grid.
+    rows and columns(page_id, line, first, last) are runs of dark pixels, sizes has
+    page_id, width, height.  A row with a run of ``wide`` of the width, and a column
+    with one of ``tall`` of the height, is a ruled line, thick ones merged.  Three of
+    each axis may make a grid: of the rows stay those that meet ``crossing`` of the
+    columns within two pixels, then of the columns those that meet as much of the
+    rows left; again three of each are needed, and ``most`` intersections at most.
     """
-    from .geometry import dark_runs, line_clusters
-
-    dark = pixels.withColumn("dark", F.lit(True))
-    flat = dark_runs(dark).join(sizes, "page_id").where(F.col("longest") >= wide * F.col("width")).select("page_id", F.col("y").alias("at"))
-    up = dark_runs(dark.select("page_id", F.col("x").alias("y"), F.col("y").alias("x"), "dark")).join(sizes, "page_id").where(F.col("longest") >= tall * F.col("height")).select("page_id", F.col("y").alias("at"))
-    ys = line_clusters(flat, "page_id", "at").select("page_id", F.col("centre").alias("y"))
-    xs = line_clusters(up, "page_id", "at").select("page_id", F.col("centre").alias("x"))
-    near = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    places = ys.join(xs, "page_id").select("page_id", "x", "y", near.alias("dx")).select("page_id", "x", "y", "dx", near.alias("dy")).select("page_id", F.col("x").alias("lx"), F.col("y").alias("ly"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    met = places.join(pixels, ["page_id", "x", "y"], "left_semi").select("page_id", "lx", "ly").distinct()
-    of = lambda axis, own: Window.partitionBy("page_id", axis) if own else Window.partitionBy("page_id")
-    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
-    good = met.join(count(ys, "ny"), "page_id").join(count(xs, "nx"), "page_id")
-    good = good.withColumn("cx", F.count("*").over(of("lx", True))).withColumn("cy", F.count("*").over(of("ly", True)))
-    rows = good.where(F.col("cy") >= crossing * F.col("nx")).select("page_id", F.col("ly").alias("y")).distinct()
-    columns = good.where(F.col("cx") >= crossing * F.col("ny")).select("page_id", F.col("lx").alias("x")).distinct()
+    from .geometry import line_clusters, longest_runs
+
+    def ruled(runs: DataFrame, side: str, share: float, name: str) -> DataFrame:
+        found = longest_runs(runs).join(sizes, "page_id").where(F.col("longest") >= share * F.col(side)).select("page_id", F.col("line").alias("at"))
+        lines = line_clusters(found, "page_id", "at").select("page_id", F.col("centre").alias(name))
+        return lines.withColumn(f"n{name}", F.count("*").over(Window.partitionBy("page_id"))).where(F.col(f"n{name}") >= 3)
+
+    ys, xs = ruled(rows, "width", wide, "y"), ruled(columns, "height", tall, "x")
+    # a run crosses (x, y) if it lies within two rows of y and reaches within two pixels of x
+    nearby = rows.select("page_id", F.explode(F.sequence(F.col("line").cast("long") - 2, F.col("line").cast("long") + 2)).alias("y"), "first", "last")
+    met = ys.join(nearby, ["page_id", "y"]).join(xs, "page_id").where((F.col("first") <= F.col("x") + 2) & (F.col("last") >= F.col("x") - 2)).select("page_id", "x", "y", "nx", "ny").distinct()
+    share = lambda axis, of: F.count("*").over(Window.partitionBy("page_id", axis)) >= crossing * F.col(of)
+    met = met.withColumn("_keep", share("y", "nx")).where("_keep")
+    met = met.withColumn("ny", F.size(F.collect_set("y").over(Window.partitionBy("page_id")))).withColumn("_keep", share("x", "ny"))
+    kept_rows, kept_columns = met.select("page_id", "y").distinct(), met.where("_keep").select("page_id", "x").distinct()
 
     def steps(df: DataFrame, at: str, index: str) -> DataFrame:
-        own = Window.partitionBy("page_id").orderBy(at)
-        return df.withColumn("_n", F.count("*").over(Window.partitionBy("page_id"))).where("_n >= 3").withColumn(f"{at}1", F.lead(at).over(own)).withColumn(index, F.row_number().over(own) - 1).where(f"{at}1 is not null").withColumnRenamed(at, f"{at}0").drop("_n")
+        own, page = Window.partitionBy("page_id").orderBy(at), Window.partitionBy("page_id")
+        return df.withColumn(f"n{at}", F.count("*").over(page)).where(F.col(f"n{at}") >= 3).withColumn(f"{at}1", F.lead(at).over(own)).withColumn(index, F.row_number().over(own) - 1).where(f"{at}1 is not null").withColumnRenamed(at, f"{at}0")
 
-    return steps(rows, "y", "row_index").join(steps(columns, "x", "column_index"), "page_id").select("page_id", "row_index", "column_index", "x0", "y0", "x1", "y1")
+    cells = steps(kept_rows, "y", "row_index").join(steps(kept_columns, "x", "column_index"), "page_id").where(F.col("nx") * F.col("ny") <= most)
+    return cells.select("page_id", "row_index", "column_index", "x0", "y0", "x1", "y1")
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

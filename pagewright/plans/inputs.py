@@ -144,3 +144,48 @@ _SPARE = [n for n in range(1, 32) if n not in (9, 10, 13)]
 def one_byte(sql: str) -> str:
     """The expression with a byte a character: the oracle's edit distance counts bytes, Spark's characters."""
     return f"translate({sql}, '{BEYOND}', {' || '.join(f'chr({n})' for n in _SPARE[: len(BEYOND)])})"
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """page_id, content: a PNG of each page, its table ruled as the page's length says.
+
+    Every fifth page is empty, every fifth has two faint specks; the others have
+    ``n % 4 + 3`` rows and ``page_id % 3 + 3`` columns (n: characters), lines of one to
+    three pixels, some with gaps of two, some in colour; all are stored turned.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.sources import raster
+
+    def drawn(page: int, n: int) -> np.ndarray:
+        rows, columns, thick, kind = 3 + n % 4, 3 + page % 3, 1 + page % 3, page % 5
+        image = np.full((15 * rows + 20, 20 * columns + 20), 250, np.uint8)
+        if kind == 1:
+            image[5, 5:7] = 240
+        elif kind:
+            for r in range(rows + 1):
+                image[10 + 15 * r : 10 + 15 * r + thick, 10 : 10 + 20 * columns + thick] = 40
+            for c in range(columns + 1):
+                image[10 : 10 + 15 * rows + thick, 10 + 20 * c : 10 + 20 * c + thick] = 40
+        if kind == 4:
+            image[:, 17::20] = image[:, 18::20] = 250  # between the columns
+        return np.repeat(image[:, :, None], 3, axis=2) if kind == 3 else image
+
+    def stored(page: int, n: int) -> bytes:
+        # turned so that looking at it with its orientation gives what was drawn
+        image, o = drawn(page, n), 1 + page % 8
+        back = {6: 8, 8: 6}.get(o, o)
+        planes = [raster.turned(p, back) for p in (np.moveaxis(image, 2, 0) if image.ndim == 3 else [image])]
+        return raster.written(np.stack(planes, axis=2) if image.ndim == 3 else planes[0], orientation=o)
+
+    def run(batches):
+        for b in batches:
+            pages, sizes = (b.column(i).to_pylist() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stored(p, n) for p, n in zip(pages, sizes, strict=True)], pa.binary())], ["page_id", "content"])
+
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n")).mapInArrow(run, "page_id long, content binary")
+
+
+PAGE_IMAGES = """im AS (SELECT page_id, 3 + coalesce(length(html), 0) % 4 AS nr, 3 + page_id % 3 AS nc, 1 + page_id % 3 AS thick, page_id % 5 AS kind, 1 + page_id % 8 AS orientation FROM pages),
+sz AS (SELECT *, 20 * nc + 20 AS width, 15 * nr + 20 AS height FROM im)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import layout
-from pagewright.sources import files
+from pagewright.sources import files, raster
 
 from . import inputs as I
 
@@ -83,15 +83,13 @@ def sections(spark, d):
     return layout.page_sections(I.pages(spark, d).withColumn("text", F.concat("route", F.lit("&\n\n b".replace(" b", "b")))))
 
 
-@query("W9_grid_cells", "WITH p AS (SELECT DISTINCT c_custkey % 5 AS page_id FROM customer), r AS (SELECT page_id, unnest(range(3 + page_id)) AS row_index FROM p), c AS (SELECT r.*, k.column_index FROM r, (SELECT unnest(range(4)) AS column_index) k) SELECT page_id, row_index::INT AS row_index, column_index::INT AS column_index, 10 + 20 * column_index AS x0, 10 + 15 * row_index AS y0, 30 + 20 * column_index AS x1, 25 + 15 * row_index AS y1 FROM c")
+@query("W9_grid_cells", f"""WITH {I.PAGE_IMAGES}, c AS (SELECT page_id, thick, unnest(range(nr)) AS row_index, nc FROM sz WHERE kind >= 2), g AS (SELECT page_id, thick, row_index, unnest(range(nc)) AS column_index FROM c)
+SELECT page_id, row_index::INT AS row_index, column_index::INT AS column_index, round_even(10 + 20 * column_index + (thick - 1) / 2.0, 0)::BIGINT AS x0, round_even(10 + 15 * row_index + (thick - 1) / 2.0, 0)::BIGINT AS y0,
+  round_even(30 + 20 * column_index + (thick - 1) / 2.0, 0)::BIGINT AS x1, round_even(25 + 15 * row_index + (thick - 1) / 2.0, 0)::BIGINT AS y1 FROM g""")
 def grid(spark, d):
-    p = I.table(spark, d, "customer").select((F.col("c_custkey") % 5).alias("page_id")).distinct()
-    rows = 3 + F.col("page_id")
-    flat = p.select("page_id", F.explode(F.sequence(F.lit(0), rows)).alias("r")).select("page_id", F.explode(F.sequence(F.lit(10), F.lit(90))).alias("x"), (10 + 15 * F.col("r")).alias("y"))
-    up = p.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c"), rows.alias("n")).select("page_id", (10 + 20 * F.col("c")).alias("x"), F.explode(F.sequence(F.lit(10).cast("long"), 10 + 15 * F.col("n"))).alias("y"))
-    pixels = flat.select("page_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).union(up.select("page_id", F.col("x").cast("long"), F.col("y").cast("long"))).distinct()
-    sizes = p.select("page_id", F.lit(100).alias("width"), F.lit(150).alias("height"))
-    return layout.grid_cells(pixels, sizes)
+    """Ruled tables found in the pixels of the pages' images."""
+    seen = raster.rasters(I.page_images(spark, d))
+    return layout.grid_cells(raster.runs_of(seen, "rows"), raster.runs_of(seen, "columns"), seen.select("page_id", "width", "height"))
 
 
 @query("V8_covers", "WITH x AS (SELECT p_partkey AS cover_id, p_partkey % 4 AS k, (p_size - 1) * 137 * (p_partkey % 9000) AS pixels FROM part) SELECT cover_id, CASE k WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE WHEN k = 1 THEN 'type' WHEN k = 3 THEN 'encoding' WHEN k = 2 AND pixels > 16000000 THEN 'too_many_pixels' WHEN k = 2 AND pixels <= 0 THEN 'damaged' END AS error FROM x")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import arrow as A
 from pagewright.functions import text as T
-from pagewright.sources import files
+from pagewright.operators import geometry
+from pagewright.sources import files, raster, structure
 
 from . import inputs as I
 
@@ -236,12 +237,76 @@ def names(spark, d):
     return I.table(spark, d, "documents").select("doc_id", T.safe_job_id(F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/"))).otherwise(F.col("source"))).alias("safe_id"), T.safe_member_path(p).alias("safe_path"))
 
 
-@query("S1_S3_file_validation", "SELECT p_partkey AS path, CASE p_partkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unsupported' ELSE 'jpeg' END AS type, sha256(CASE p_partkey % 4 WHEN 0 THEN '%PDF-'::BLOB || encode(p_name) WHEN 1 THEN encode(p_name) WHEN 2 THEN ''::BLOB ELSE '\\xFF\\xD8\\xFF'::BLOB || encode(p_name) END) AS sha256, p_partkey % 4 IN (0, 3) AS valid, CASE p_partkey % 4 WHEN 1 THEN 'unsupported_type' WHEN 2 THEN 'empty' END AS error FROM part")
+#: Files made of parts: a PDF with a page tree of two levels, a JPEG with an Exif block, and what isn't whole.
+_FILES = """f0 AS (SELECT p_partkey AS path, p_partkey % 6 AS k, p_partkey % 7 AS n, p_size % 5 = 0 AS locked, 1 + p_size % 8 AS turned, p_name, p_partkey % 200 + 1 AS w, p_size AS h FROM part),
+f1 AS (SELECT *, array_to_string(list_transform(range(n), lambda i: (10 + i) || ' 0 R'), ' ') AS kids, array_to_string(list_transform(range(n), lambda i: (10 + i) || ' 0 obj << /Type /Page >> endobj' || chr(10)), '') AS leaves FROM f0),
+f2 AS (SELECT *, CASE k WHEN 0 THEN encode('%PDF-1.4' || chr(10) || '1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj' || chr(10) || '2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj' || chr(10) || '3 0 obj << /Type /Pages /Kids [' || kids || '] >> endobj' || chr(10) || leaves || 'trailer << /Root 1 0 R' || CASE WHEN locked THEN ' /Encrypt 9 0 R' ELSE '' END || ' >>')
+  WHEN 1 THEN encode('%PDF-1.4 ' || p_name) WHEN 2 THEN encode(p_name) WHEN 3 THEN ''::BLOB
+  ELSE unhex('FFD8FFE10022' || '4578696600004D4D002A00000008000101120003000000010' || '00' || turned || '000000000000' || 'FFC0000B08' || printf('%04X', h) || printf('%04X', w) || '01011100' || 'FFDA0008010100003F00' || '12FF0034' || CASE WHEN k = 4 THEN 'FFD9' ELSE '' END) END AS content FROM f1)"""
+
+
+def made_files(spark, d):
+    p = I.table(spark, d, "part")
+    k, n, newline = F.col("p_partkey") % 6, (F.col("p_partkey") % 7).cast("int"), F.lit("\n")
+    each = F.when(n > 0, F.sequence(F.lit(10), 9 + n)).otherwise(F.array().cast("array<int>"))
+    kids = F.array_join(F.transform(each, lambda i: F.concat(i.cast("string"), F.lit(" 0 R"))), " ")
+    leaves = F.array_join(F.transform(each, lambda i: F.concat(i.cast("string"), F.lit(" 0 obj << /Type /Page >> endobj\n"))), "")
+    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj\n3 0 obj << /Type /Pages /Kids ["), kids, F.lit("] >> endobj\n"), leaves, F.lit("trailer << /Root 1 0 R"), F.when(F.col("p_size") % 5 == 0, " /Encrypt 9 0 R").otherwise(""), F.lit(" >>"))
+    word = lambda c: F.lpad(F.hex(c), 4, "0")
+    jpeg = F.concat(F.lit("FFD8FFE100224578696600004D4D002A0000000800010112000300000001000"), (1 + F.col("p_size") % 8).cast("string"), F.lit("000000000000FFC0000B08"), word(F.col("p_size")), word(F.col("p_partkey") % 200 + 1), F.lit("01011100FFDA0008010100003F0012FF0034"), F.when(k == 4, "FFD9").otherwise(""))
+    content = F.when(k == 0, pdf.cast("binary")).when(k == 1, F.concat(F.lit("%PDF-1.4 "), "p_name").cast("binary")).when(k == 2, F.col("p_name").cast("binary")).when(k == 3, F.lit(b"")).otherwise(F.unhex(jpeg))
+    return p.select(F.col("p_partkey").alias("path"), content.alias("content"))
+
+
+@query(
+    "S1_S3_file_validation",
+    f"""WITH {_FILES} SELECT path, CASE WHEN k < 2 THEN 'pdf' WHEN k < 4 THEN 'unsupported' ELSE 'jpeg' END AS type, sha256(content) AS sha256,
+  CASE WHEN k = 0 AND NOT locked THEN n WHEN k = 4 THEN 1 END AS page_count, CASE WHEN k >= 4 THEN CASE WHEN turned >= 5 THEN h ELSE w END END AS width, CASE WHEN k >= 4 THEN CASE WHEN turned >= 5 THEN w ELSE h END END AS height, CASE WHEN k >= 4 THEN turned END AS orientation,
+  k = 0 AND NOT locked OR k = 4 AS valid, CASE k WHEN 0 THEN CASE WHEN locked THEN 'encrypted' END WHEN 1 THEN 'damaged_pdf' WHEN 2 THEN 'unsupported_type' WHEN 3 THEN 'empty' WHEN 5 THEN 'damaged_image' END AS error FROM f2""",
+)
 def file_check(spark, d):
-    k, name = F.col("p_partkey") % 4, F.col("p_name").cast("binary")
-    content = F.when(k == 0, F.concat(F.lit(b"%PDF-"), name)).when(k == 1, name).when(k == 2, F.lit(b"")).otherwise(F.concat(F.lit(b"\xff\xd8\xff"), name))
-    got = files.validated_files(I.table(spark, d, "part").select(F.col("p_partkey").alias("path"), content.alias("content")))
-    return got.select("path", "type", "sha256", "valid", "error")
+    return files.validated_files(made_files(spark, d)).drop("size_bytes")
+
+
+@query("S4_S9_file_pages", f"""WITH {_FILES}, v AS (SELECT path, CASE WHEN k = 0 THEN n ELSE 1 END AS total FROM f2 WHERE k = 0 AND NOT locked OR k = 4),
+g AS (SELECT path, unnest(range(2, least(4, total) + 1)) AS page_id FROM v), c AS (SELECT path, count(*) AS m FROM g GROUP BY path)
+SELECT f2.path, CASE WHEN total IS NULL THEN 'failed' ELSE 'completed' END AS status, coalesce(total, 0) AS total_pages, coalesce(m, 0) AS processed_pages FROM f2 LEFT JOIN v USING (path) LEFT JOIN c USING (path)""")
+def file_page_totals(spark, d):
+    """Pages 2 to 4 of every file: an image, which is page 1 alone, is done with none."""
+    return files.page_totals(files.validated_files(made_files(spark, d)), 2, 4)
+
+
+@query("S2_file_parts", f"""WITH {I.PAGE_IMAGES}, p AS (SELECT *, CASE WHEN orientation >= 5 THEN height ELSE width END AS w, CASE WHEN orientation >= 5 THEN width ELSE height END AS h, CASE WHEN kind = 3 THEN 3 ELSE 1 END AS per FROM sz),
+k AS (SELECT *, unnest(CASE WHEN orientation = 1 THEN ['chunk IHDR', 'chunk IDAT', 'chunk IEND', 'pixels'] ELSE ['chunk IHDR', 'chunk eXIf', 'chunk IDAT', 'chunk IEND', 'pixels'] END) AS part FROM p)
+SELECT page_id, part AS kind, true AS ok, CASE part WHEN 'chunk IHDR' THEN w || ',' || h || ',8,' || (per - 1) || ',0' WHEN 'chunk eXIf' THEN orientation::VARCHAR WHEN 'pixels' THEN ((1 + w * per) * h)::VARCHAR ELSE '' END AS value FROM k""")
+def parts(spark, d):
+    got = structure.file_parts(I.page_images(spark, d), "page_id")
+    return got.select("page_id", "kind", "ok", F.array_join(F.col("value").cast("array<string>"), ",").alias("value"))
+
+
+@query("P2_blank_images", f"WITH {I.PAGE_IMAGES} SELECT page_id, width, height, kind < 2 AS blank FROM sz")
+def blank_images(spark, d):
+    seen = raster.rasters(I.page_images(spark, d))
+    return seen.select("page_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), T.visually_blank(F.col("low"), F.col("high"), F.col("variance")).alias("blank"))
+
+
+@query("S9_oriented_boxes", f"""WITH {I.PAGE_IMAGES}, b AS (SELECT *, 10 AS x0, 10 AS y0, 10 + 20 * nc + thick AS x1, 10 + 15 * nr + thick AS y1 FROM sz WHERE kind >= 2)
+SELECT page_id, orientation::INT AS orientation, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, true AS as_pixels FROM b""")
+def oriented_boxes(spark, d):
+    """The box of what is drawn, found in the stored pixels and carried by the orientation's
+    matrix, against the box of the pixels once turned."""
+    images = I.page_images(spark, d)
+    s = images.select("page_id", "content", structure.structure("content").alias("s")).where(F.col("page_id") % 5 >= 2)
+    upright = F.concat(F.substring("content", F.lit(1), F.lit(33)), F.when(F.col("s.orientation") == 1, F.substring("content", F.lit(34), F.octet_length("content"))).otherwise(F.substring("content", F.lit(34 + 12 + 26), F.octet_length("content"))))
+    span = lambda seen: seen.select("page_id", F.array_min(F.transform("columns", lambda r: r["line"])).alias("a"), F.array_min(F.transform("rows", lambda r: r["line"])).alias("b"), (F.array_max(F.transform("columns", lambda r: r["line"])) + 1).alias("c"), (F.array_max(F.transform("rows", lambda r: r["line"])) + 1).alias("d"))
+    stored = span(raster.rasters(s.select("page_id", upright.alias("content"))))
+    seen = span(raster.rasters(images)).select("page_id", F.struct("a", "b", "c", "d").alias("seen"))
+    m = structure.orienting(F.col("s.width"), F.col("s.height"), F.col("s.orientation"))
+    at = lambda x, y: geometry.applied(m, F.col(x).cast("double"), F.col(y).cast("double"))
+    got = stored.join(s.select("page_id", "s"), "page_id").join(seen, "page_id").withColumns({"p": at("a", "b"), "q": at("c", "d")})
+    box = {n: f(F.col(f"p.{c}"), F.col(f"q.{c}")) for n, c, f in (("x0", "x", F.least), ("y0", "y", F.least), ("x1", "x", F.greatest), ("y1", "y", F.greatest))}
+    same = (box["x0"] == F.col("seen.a")) & (box["y0"] == F.col("seen.b")) & (box["x1"] == F.col("seen.c")) & (box["y1"] == F.col("seen.d"))
+    return got.select("page_id", F.col("s.orientation").alias("orientation"), *(c.alias(n) for n, c in box.items()), same.alias("as_pixels"))
 
 
 @query("S4_page_numbers", "SELECT doc_id, unnest(generate_series(2, least(6, 1 + n_chars // 500))) AS page_id FROM documents WHERE 1 + n_chars // 500 >= 2")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .structure import oriented_size, structure
+
 
 def magic_type(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
@@ -12,14 +14,21 @@ def magic_type(content: Column) -> Column:
 
 
 def validated_files(files: DataFrame, most_bytes: int = 300 << 20) -> DataFrame:
-    """Files (path, length, content) with type, sha256, valid and error; never fails on a bad file."""
+    """Files (path, content) with type, sha256, page_count, width and height (as an image
+    is looked at), orientation, valid and error; never fails on a bad file.
+
+    The first of these is the error: missing, empty, too_large, unsupported_type,
+    encrypted, damaged_pdf, damaged_image, no_area.
+    """
     kind = magic_type(F.col("content"))
     size = F.octet_length("content")
-    # width and height follow the header chunk of a PNG; encrypted PDFs say so
-    png_bad = (kind == "png") & ((F.conv(F.hex(F.substring("content", 17, 4)), 16, 10).cast("long") <= 0) | (F.conv(F.hex(F.substring("content", 21, 4)), 16, 10).cast("long") <= 0) | (size < 33))
-    locked = (kind == "pdf") & F.contains(F.col("content"), F.lit(b"/Encrypt"))
-    error = F.when(F.col("content").isNull(), "missing").when(size == 0, "empty").when(size > most_bytes, "too_large").when(kind == "unsupported", "unsupported_type").when(locked, "encrypted").when(F.coalesce(png_bad, F.lit(False)), "damaged_image")
-    return files.select("path", kind.alias("type"), size.cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), error.isNull().alias("valid"), error.alias("error"))
+    fits = F.col("content").isNotNull() & (size <= most_bytes)
+    rows = files.select("path", "content", kind.alias("type"), size.cast("long").alias("size_bytes"))
+    seen = rows.withColumn("s", structure(F.when(fits & (kind != "unsupported"), F.col("content"))))
+    error = F.when(F.col("content").isNull(), "missing").when(size == 0, "empty").when(size > most_bytes, "too_large").when(F.col("type") == "unsupported", "unsupported_type").when(F.col("s.locked"), "encrypted").otherwise(F.col("s.fault"))
+    sides = oriented_size(F.col("s.width"), F.col("s.height"), F.coalesce("s.orientation", F.lit(1)))
+    valid = error.isNull()
+    return seen.select("path", "type", "size_bytes", F.sha2("content", 256).alias("sha256"), F.when(valid, F.col("s.pages")).alias("page_count"), sides["width"].alias("width"), sides["height"].alias("height"), F.col("s.orientation").alias("orientation"), valid.alias("valid"), error.alias("error"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +43,19 @@ def page_numbers(documents: DataFrame, first: int | None = None, last: int | Non
     return pages.where((F.col("page_id") >= (first or 1)) & F.lit(last is None) | F.col("page_id").between(first or 1, last or 0))
 
 
+def file_pages(files: DataFrame, first: int | None = None, last: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """path, page_id of valid files: the pages of a PDF; an image is exactly page 1."""
+    return page_numbers(files.where("valid").select(F.col("path").alias("doc_id"), F.col("page_count").alias("n_pages")), first, last, only).withColumnRenamed("doc_id", "path")
+
+
+def page_totals(files: DataFrame, first: int | None = None, last: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """path, status, total_pages, processed_pages: a valid file none of whose pages are
+    asked for is completed with none, another one fails."""
+    asked = file_pages(files, first, last, only).groupBy("path").agg(F.count("*").alias("processed_pages"))
+    got = files.select("path", F.when(F.col("valid"), "completed").otherwise("failed").alias("status"), F.coalesce("page_count", F.lit(0)).alias("total_pages"))
+    return got.join(asked, "path", "left").withColumn("processed_pages", F.coalesce("processed_pages", F.lit(0).cast("long")))
+
+
 def parsed_glossary(lines: DataFrame) -> DataFrame:
     """Lines (set_id, ord, line) of ``!term``, ``~a => b`` or ``a => b``; others have an error."""
     t = F.trim("line")
