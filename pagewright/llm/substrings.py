@@ -37,9 +37,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,6 @@ RUN, SEGMENT = 64, 1 << 17
 BUCKET, CROWD = 1 << 20, 4096
 #: Bytes of contents that are suffix-sorted together, about.
 TEXT = 1 << 21
-#: Rows that are told at once.
-ROWS = 20_000
 
 _RANDOM = np.random.default_rng(50).integers(0, 1 << 32, 256, dtype=np.uint32)
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -91,24 +89,67 @@ def _anchors(raw: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32)  # the low half
 
 
-def runs(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Starts, ends (of strings, end exclusive) and 64-bit keys of a text's runs, by segment."""
-    for base in range(0, len(text) - LENGTH + 1, SEGMENT):
-        raw = np.frombuffer(text, np.uint8)[base : base + SEGMENT + LENGTH - 1]
+class Runs(NamedTuple):
+    """Runs of the texts of a slice: the text's number, the first string's place in it,
+    the strings, the key, and where the first string is in ``raw``."""
+
+    text: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    key: np.ndarray
+    at: np.ndarray
+    raw: np.ndarray
+
+
+def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts in lots of about SEGMENT bytes, as (number, place, part); a longer text is
+    cut into parts that overlap by a string less one byte."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for base in range(0, max(1, len(text) - LENGTH + 1), SEGMENT):
+            part = text[base : base + SEGMENT + LENGTH - 1]
+            if held and size + len(part) > SEGMENT:
+                yield held
+                held, size = [], 0
+            held.append((i, base, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+def runs(texts: list[bytes]) -> Iterator[Runs]:
+    """The runs of texts, lot by lot."""
+    for lot in segments(texts):
+        raw = np.frombuffer(b"".join(p for *_, p in lot), np.uint8)
+        if len(raw) < LENGTH:
+            continue
         at = _anchors(raw)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        sizes = np.array([len(p) for *_, p in lot])
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(lot)), sizes)[: len(at)]
+        inside = np.arange(len(at)) + LENGTH <= ends[owner]  # no string crosses into the next text
+        edge = np.ones(len(at), bool)
+        apart = (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+        np.logical_or(at[1:] != at[:-1], apart, out=edge[1:])
+        first = np.flatnonzero(edge)
         words = np.lib.stride_tricks.sliding_window_view(raw, GRAM)[at[first]].view(np.uint32).astype(np.uint64)
         key = np.zeros(len(first), np.uint64)
         for k in range(GRAM // 4):
             key = mix64(key * _PRIME + words[:, k])
-        new = np.concatenate(([True], key[1:] != key[:-1]))  # a gram that repeats at once goes on
+        new = np.ones(len(first), bool)  # a gram that repeats at once goes on
+        np.logical_or(key[1:] != key[:-1], apart[first[1:] - 1], out=new[1:])
         first, key = first[new], key[new]
-        n = np.diff(np.concatenate((first, [len(at)])))
-        if n.max() > RUN:
+        n = np.diff(np.append(first, len(at)))
+        keep = inside[first]
+        first, key, n = first[keep], key[keep], n[keep]
+        if len(n) and n.max() > RUN:
             parts = -(-n // RUN)
             inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             first, key, n = np.repeat(first, parts) + RUN * inner, np.repeat(key, parts), np.minimum(np.repeat(n, parts) - RUN * inner, RUN)
-        yield first + base, first + base + n, key
+        number, base = np.array([i for i, *_ in lot]), np.array([b for _, b, _ in lot])
+        own = owner[first]
+        yield Runs(number[own], first - (ends - sizes)[own] + base[own], n, key, first, raw)
 
 
 def _place(key: np.ndarray, bits: int) -> np.ndarray:
@@ -123,16 +164,11 @@ def _dealt(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            places, docs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if len(text) >= LENGTH:
-                    p = np.unique(np.concatenate([_place(key, bits) for _, _, key in runs(text)]))
-                    places.append(p)
-                    docs.append((doc, len(p)))
-            if not places:
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            found = [(_place(r.key, bits), ids[r.text]) for r in runs(utf8(batch.column(1)))]
+            if not found:
                 continue
-            place = np.concatenate(places)
-            doc = np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
+            place, doc = (np.concatenate(x) for x in zip(*found, strict=True))
             bucket = (place >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             bucket, h, doc = bucket[order], place[order].astype(np.uint32), doc[order]
@@ -146,7 +182,7 @@ def _dealt(bits: int):
 
 def _shared(crowd: int):
     """doc, places: of a bucket, for each document the anchors that others have too;
-    the lowest bit tells whether ``crowd`` documents or more have one."""
+    the lowest bit tells whether one occurs ``crowd`` times or more."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -174,23 +210,33 @@ def _candidates(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            out: list[tuple] = []
-            for doc, text, th, packed in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                wanted = np.sort(np.frombuffer(b"".join(packed), np.uint64))
-                known = wanted >> np.uint64(1)
-                for first, last, key in runs(text) if len(text) >= LENGTH else ():
-                    place = _place(key, bits)
-                    at = np.minimum(np.searchsorted(known, place), len(known) - 1)
-                    hit = np.flatnonzero(known[at] == place)
-                    busy = (wanted[at[hit]] & np.uint64(1)).astype(bool).tolist()
-                    out += [(doc, th, a, m, c, text[a : b + LENGTH - 1]) for a, b, m, c in zip(first[hit].tolist(), last[hit].tolist(), key[hit].view(np.int64).tolist(), busy, strict=True)]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "th", "at", "m", "busy", "content"])
+            doc, th = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 2))
+            # an anchor that one document shares is shared by each that has it, so the slice's are taken together
+            wanted = np.unique(np.frombuffer(b"".join(x for xs in batch.column(3).to_pylist() for x in xs), np.uint64))
+            known = wanted >> np.uint64(1)
+            for r in runs(utf8(batch.column(1))):
+                place = _place(r.key, bits)
+                at = np.minimum(np.searchsorted(known, place), len(known) - 1)
+                hit = np.flatnonzero(known[at] == place)
+                content = binaries(r.raw, r.at[hit], r.n[hit] + LENGTH - 1)
+                own = r.text[hit]
+                busy = (wanted[at[hit]] & np.uint64(1)).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(th[own]), pa.array(r.first[hit].astype(np.int32)), pa.array(r.key[hit].view(np.int64)), pa.array(busy), content], ["doc", "th", "at", "m", "busy", "content"])
 
     return run
 
 
+def gathered(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``raw`` from ``at`` on, ``size`` of each, one after another, and where each begins and the last ends."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return raw[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def binaries(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    data, ends = gathered(raw, at, size)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The first 56 bytes of the suffixes ``at`` as seven numbers that sort like them."""
     padded = np.concatenate((text, np.zeros(56, np.uint8)))
@@ -266,56 +312,65 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.where(x == 0, 56, 8 * first + same)))
 
 
-def judged(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each content the places of its strings that a content of a smaller document has too."""
-    sizes = np.array([len(c) for c in contents])
-    text = np.frombuffer(b"".join(contents), np.uint8)
+def judged(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What goes of contents that stand one after another in ``text``: the number of the
+    content, the first and the end of the places where a string starts that a content of
+    a smaller document has, too; in order."""
     start = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(contents)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     wanted = np.arange(len(text)) + LENGTH <= np.repeat(start + sizes, sizes)
     order = suffix_order(text, wanted)
     group = np.flatnonzero(common_prefixes(text, order) < LENGTH)
     own = docs[owner[order]]
-    least = np.repeat(np.minimum.reduceat(own, group), np.diff(np.concatenate((group, [len(order)]))))
+    least = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order))))
     gone = np.sort(order[least < own])
-    by = np.searchsorted(gone, np.concatenate((start, [len(text)])))
-    return [gone[a:b] - s for a, b, s in zip(by[:-1].tolist(), by[1:].tolist(), start.tolist(), strict=True)]
-
-
-def _ranges(places: np.ndarray) -> list[int]:
-    """Neighbouring places as first, end, first, end and so on."""
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return np.stack((places[np.concatenate(([0], cut + 1))], places[np.concatenate((cut, [len(places) - 1]))] + 1), axis=1).ravel().tolist()
+    new = np.ones(len(gone), bool)
+    new[1:] = (np.diff(gone) > 1) | (owner[gone[1:]] != owner[gone[:-1]])
+    at = np.flatnonzero(new)
+    whose = owner[gone[at]]
+    last = gone[np.append(at[1:], len(gone)) - 1] if len(gone) else gone
+    return whose, gone[at] - start[whose], last - start[whose] + 1
+
+
+def _judged_rows(rows: pa.Table) -> pa.RecordBatch:
+    """m, d, lo, hi, gone of the rows (key, m, d, off, lo, hi, content) of whole keys, in order."""
+    key, off, lo = (rows.column(c).to_numpy() for c in ("key", "off", "lo"))
+    content = rows.column("content").chunk(0)
+    ends = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+    raw = np.frombuffer(content.buffers()[2], np.uint8) if content.buffers()[2] else np.zeros(0, np.uint8)
+    same = key[1:] == key[:-1]
+    several = np.flatnonzero(np.append(same, False) | np.append(False, same))  # the only content of a key has no string of another
+    n, gone = np.zeros(len(key), np.int64), np.zeros(0, np.int32)
+    if len(several):
+        sizes = (ends[1:] - ends[:-1])[several]
+        whose, first, end = judged(gathered(raw, ends[:-1][several], sizes)[0], sizes, lo[several])
+        whose = several[whose]
+        n = 2 * np.bincount(whose, minlength=len(key))
+        gone = np.stack((first + off[whose], end + off[whose]), axis=1).ravel().astype(np.int32)
+    told = pa.array((n > 0) | rows.column("hi").is_valid().to_numpy())
+    ranges = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(gone))
+    trim()
+    return pa.RecordBatch.from_arrays([*(rows.column(c).chunk(0) for c in ("m", "d", "lo", "hi")), ranges], ["m", "d", "lo", "hi", "gone"]).filter(told)
 
 
 def _sorted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """m, d, lo, hi, gone: contents that something goes of; rows of a key come together."""
-
-    def done(held: list[tuple]) -> pa.RecordBatch:
-        # m, d, off, lo, hi, content
-        found = judged([x[5] for x in held], np.array([x[3] for x in held], np.int64)) if held else ()
-        out = [(x[0], x[1], x[3], x[4], _ranges(g + x[2])) for x, g in zip(held, found, strict=True) if len(g) or x[4] is not None]
-        out += [(x[0], x[1], x[3], x[4], []) for x in alone]
-        kinds = (*[pa.int64()] * 4, pa.list_(pa.int32()))
-        trim()
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["m", "d", "lo", "hi", "gone"])
-
-    held: list[tuple] = []
-    alone: list[tuple] = []  # the only content of a key: no other has a string of it
+    held: list[pa.RecordBatch] = []
     size = 0
-    for _, rows in groupby((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=itemgetter(0)):
-        group = [x[1:] for x in rows]
-        if len(group) == 1:
-            alone += [x for x in group if x[4] is not None]
-        else:
-            held += group
-            size += sum(len(x[5]) for x in group)
-        if size >= TEXT or len(alone) >= ROWS:
-            yield done(held)
-            held, alone, size = [], [], 0
-    yield done(held)
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(6).nbytes
+        if size < TEXT:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = rows.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if cut:
+            yield _judged_rows(rows.slice(0, cut).combine_chunks())
+        held = rows.slice(cut).combine_chunks().to_batches()
+        size = sum(b.column(6).nbytes for b in held) if cut else 0  # a key larger than a text is looked at again when it has doubled
+    if held and sum(b.num_rows for b in held):
+        yield _judged_rows(pa.Table.from_batches(held).combine_chunks())
 
 
 def _sums(texts: DataFrame) -> DataFrame:
@@ -383,9 +438,12 @@ def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets executors delete what finished jobs have shuffled: they keep it as long as
-    the driver has a plan of such a job, so those that nobody uses are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    the driver has a plan of such a job, so those that nobody uses are collected.  The
+    driver's Python lets go of its side first, which takes the JVM a moment."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def spans(ranges: list[int] | None) -> np.ndarray:

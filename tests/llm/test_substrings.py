@@ -36,25 +36,28 @@ def test_contents_are_judged_alone():
     for c, d in zip(contents, docs.tolist(), strict=True):
         for o in range(len(c) - 49):
             least[c[o : o + 50]] = min(d, least.get(c[o : o + 50], d))
-    for c, d, got in zip(contents, docs.tolist(), S.judged(contents, docs), strict=True):
-        assert got.tolist() == [o for o in range(len(c) - 49) if least[c[o : o + 50]] < d]
+    gone = [[] for _ in contents]
+    text = np.frombuffer(b"".join(contents), np.uint8)
+    for i, a, b in zip(*(x.tolist() for x in S.judged(text, np.array(list(map(len, contents))), docs)), strict=True):
+        gone[i] += range(a, b)
+    for c, d, got in zip(contents, docs.tolist(), gone, strict=True):
+        assert got == [o for o in range(len(c) - 49) if least[c[o : o + 50]] < d]
 
 
 def test_runs_cover_every_string_once_whatever_stands_around():
     rng = random.Random(5)
     passage = "".join(rng.choices("abcdefgh ", k=300)).encode()
-    keys = []
-    for lead in (b"", b"x" * 17, "é".encode() * 40, b"ab" * 500):
-        text = lead + passage + lead
-        of = np.zeros(len(text) - 49, np.uint64)
-        seen = np.zeros(len(text) - 49, int)
-        for first, last, key in S.runs(text):
-            for a, b, k in zip(first, last, key, strict=True):
-                of[a:b], seen[a:b] = k, seen[a:b] + 1
-                assert b - a <= S.RUN
-        assert (seen == 1).all()
-        keys.append(of[len(lead) : len(lead) + 251].tolist())
-    assert keys.count(keys[0]) == len(keys)
+    leads = (b"", b"x" * 17, "é".encode() * 40, b"ab" * 500, b"z" * 200_000)
+    texts = [lead + passage + lead for lead in leads] + [b"short", b"", passage[:50]]
+    of, seen = [np.zeros(max(0, len(t) - 49), np.uint64) for t in texts], [np.zeros(max(0, len(t) - 49), int) for t in texts]
+    for r in S.runs(texts):
+        for i, a, n, key, at in zip(r.text, r.first, r.n, r.key, r.at, strict=True):
+            of[i][a : a + n] = key
+            seen[i][a : a + n] += 1
+            assert n <= S.RUN and r.raw[at : at + n + 49].tobytes() == texts[i][a : a + n + 49]
+    assert all((x == 1).all() for x in seen)
+    keys = [of[i][len(lead) : len(lead) + 251].tolist() for i, lead in enumerate(leads)]
+    assert keys.count(keys[0]) == len(keys) and of[-1][0] == keys[0][0]
 
 
 def brute(docs):
