@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import re
 import zipfile
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from html import escape
-from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .html import events
 
 MIMETYPE = "application/epub+zip"
 REQUIRED = ("mimetype", "META-INF/container.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml")
-OPF = REQUIRED[2]
+CONTAINER, OPF = REQUIRED[1:3]
 EPOCH = (1980, 1, 1, 0, 0, 0)
 CSS = "body{line-height:1.5}table{border-collapse:collapse}td,th{border:1px solid}.pre-wrap{white-space:pre-wrap}.page-marker{color:gray}"
 COVERS = {"png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff"}
@@ -122,94 +120,167 @@ def preview(title: str, chapters: list[tuple[str, str]]) -> str:
     return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{plain(title)}</title><style>{CSS}</style></head><body><nav><ol>{links}</ol></nav>{parts}</body></html>"
 
 
-def safe_path(name: str) -> bool:
-    return bool(name) and not name.startswith("/") and "\\" not in name and ":" not in name and not {"", ".", ".."} & set(name.rstrip("/").split("/"))
-
-
-def _local(tag) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
-
-
-def _manifest_errors(opf: ElementTree.Element, names: set[str]) -> Iterator[str]:
-    items = [e for e in opf.iter() if _local(e.tag) == "item"]
-    known = Counter(e.get("id") for e in items)
-    if any(n > 1 for n in known.values()):
-        yield "duplicate_ids"
-    at = {e: posixpath.normpath(posixpath.join(posixpath.dirname(OPF), e.get("href") or "")) for e in items}
-    for e, path in at.items():
-        if not e.get("id") or not e.get("href") or not safe_path(path):
-            yield f"manifest_item: {e.get('id') or '?'}"
-        elif path not in names:
-            yield f"declared_missing: {path}"
-    yield from (f"spine: {e.get('idref')}" for e in opf.iter() if _local(e.tag) == "itemref" and e.get("idref") not in known)
-    yield from (f"undeclared: {n}" for n in sorted(names - set(at.values()) - {"mimetype", "META-INF/container.xml", OPF}))
-    if not any("nav" in (e.get("properties") or "").split() for e in items):
-        yield "no_nav"
-
-
-def _document_errors(name: str, page: ElementTree.Element, names: set[str], anchors: dict[str, list[str]]) -> Iterator[str]:
-    if len(set(anchors[name])) < len(anchors[name]):
-        yield f"duplicate_anchors: {name}"
-    if any(_local(e.tag) in ACTIVE or any(_local(k).lower().startswith("on") for k in e.attrib) for e in page.iter()):
-        yield f"active_content: {name}"
-    for ref in (r for e in page.iter() for r in (e.get("href"), e.get("src")) if r is not None):
-        parts = urlsplit(ref)
-        path = posixpath.normpath(posixpath.join(posixpath.dirname(name), parts.path)) if parts.path else name
-        if parts.scheme or parts.netloc:
-            yield f"external: {ref}"
-        elif not safe_path(path) or path not in names:
-            yield f"missing_reference: {ref}"
-        elif parts.fragment and parts.fragment not in anchors.get(path, ()):
-            yield f"missing_fragment: {ref}"
-
-
-def errors_of(data: bytes, most_bytes: int = 100 << 20, most_entries: int = 1000) -> list[str]:
-    """What is wrong with a package, from the outside in: nothing is unpacked before
-    its names and sizes are known to be safe."""
-    if len(data) > most_bytes:
-        return ["too_large"]
+def _local(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
+
+
+def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict:
+    """The members of an archive, and the elements of its XML files with their attributes.
+
+    Only the list of members is read of an archive that isn't safe to unpack;
+    ``broken`` has what can't be read and ``css`` the style sheets that load something.
+    """
+    out: dict = {"members": [], "elements": [], "broken": [], "css": [], "mimetype": None, "size": len(data or b"")}
+    if out["size"] > most_bytes:
+        return out
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = zipfile.ZipFile(io.BytesIO(data or b""))
     except (zipfile.BadZipFile, ValueError, OSError):
-        return ["not_a_zip"]
-    infos = z.infolist()
-    listed = [i.filename for i in infos]
-    names = set(listed)
-    outer = [e for bad, e in ((not infos, "empty"), (len(infos) > most_entries, "too_many_entries"), (len(names) < len(listed), "duplicate_names"), (sum(i.file_size for i in infos) > most_bytes, "too_large_unpacked")) if bad]
-    outer += [f"unsafe_path: {n}" for n in listed if not safe_path(n)]
-    if outer:
-        return outer
-    try:
-        if (bad := z.testzip()) is not None:
-            return [f"corrupt: {bad}"]
-        files = {n: z.read(n) for n in listed}
-    except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError) as e:
-        return [f"corrupt: {e}"]
-    out = [f"missing: {n}" for n in REQUIRED if n not in names]
-    if listed[0] != "mimetype" or infos[0].compress_type != zipfile.ZIP_STORED:
-        out.append("mimetype_not_first_and_stored")
-    elif files["mimetype"] != MIMETYPE.encode():
-        out.append("mimetype_content")
-    trees: dict[str, ElementTree.Element] = {}
-    for name, content in files.items():
-        if name.endswith(".css") and re.search(rb"@import|\burl\s*\(", content, re.I):
-            out.append(f"unsafe_css: {name}")
-        if name.endswith((".xml", ".opf", ".xhtml")):
+        return out | {"broken": [("", "not_a_zip")]}
+    out["members"] = [(i.filename, i.compress_type == zipfile.ZIP_STORED, i.file_size) for i in z.infolist()]
+    if len(out["members"]) > most_entries or sum(m[2] for m in out["members"]) > most_bytes:
+        return out
+    for name in dict.fromkeys(m[0] for m in out["members"]):
+        try:
+            content = z.read(name)  # checks the sum, too
+        except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError):
+            out["broken"].append((name, "corrupt"))
+            continue
+        if name == "mimetype":
+            out["mimetype"] = content.decode("latin-1")
+        elif name.endswith(".css") and _LOADS.search(content):
+            out["css"].append(name)
+        elif name.endswith((".xml", ".opf", ".xhtml")):
             try:
-                trees[name] = ElementTree.fromstring(content)
-            except (ElementTree.ParseError, ValueError) as e:
-                out.append(f"invalid_xml: {name}: {e}")
-    if OPF in trees:
-        out += _manifest_errors(trees[OPF], names)
-    if REQUIRED[1] in trees and [e.get("full-path") for e in trees[REQUIRED[1]].iter() if _local(e.tag) == "rootfile"] != [OPF]:
-        out.append("container_rootfile")
-    pages = {n: t for n, t in trees.items() if n.endswith(".xhtml")}
-    anchors = {n: [i for e in t.iter() if (i := e.get("id"))] for n, t in pages.items()}
-    for name, page in pages.items():
-        out += _document_errors(name, page, names, anchors)
+                root = ElementTree.fromstring(content)
+            except (ElementTree.ParseError, ValueError):
+                out["broken"].append((name, "invalid_xml"))
+                continue
+            out["elements"] += [(name, _local(e.tag), {_local(k): v for k, v in e.attrib.items()}) for e in root.iter() if isinstance(e.tag, str)]
     return out
 
 
+_LOADS = re.compile(rb"@import|\burl\s*\(", re.I)
+_CONTENTS = "struct<size:long,mimetype:string,members:array<struct<name:string,stored:boolean,bytes:long>>,elements:array<struct<member:string,tag:string,attrs:map<string,string>>>,broken:array<struct<member:string,why:string>>,css:array<string>>"
+
+
+def safe_path(name: Column) -> Column:
+    """A path that stays where it is unpacked: relative, no drive, no step up, nothing empty."""
+    return (name != "") & ~name.startswith("/") & ~F.contains(name, F.lit("\\")) & ~F.contains(name, F.lit(":")) & ~F.rtrim(name, F.lit("/")).rlike(r"(^|/)(\.{1,2})?(/|$)")
+
+
+def resolved(folder: Column, path: Column) -> Column:
+    """A relative path as seen from a folder, its steps taken; steps up beyond the top stay."""
+    up = F.lit("..")
+
+    def step(acc: Column, part: Column) -> Column:
+        above = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) == up)
+        shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), acc).when((part == up) & ~above, shorter).otherwise(F.array_append(acc, part))
+
+    parts = F.split(F.when((folder == "") | path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path)), "/")
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+
+
+def package_faults(c: Column, most_bytes: int = 100 << 20, most_entries: int = 1000) -> Column:
+    """array<string>: what is wrong with packages whose contents ``c`` are as read.
+
+    Sets of names are compared: required against there, declared against there,
+    spine against manifest, references against members and anchors.  If an archive's
+    size, number of members or paths aren't safe, that is all that is told.
+    """
+    said = lambda word, names: F.transform(names, lambda n: F.concat(F.lit(f"{word}: "), n))
+    told = lambda word, bad: F.array_compact(F.array(F.when(bad, F.lit(word))))
+    repeated = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
+    listed = F.transform(c["members"], lambda m: m["name"])
+    names = F.array_distinct(listed)
+    bytes_ = F.aggregate(c["members"], F.lit(0).cast("long"), lambda acc, m: acc + m["bytes"])
+    broken = lambda why: F.transform(F.filter(c["broken"], lambda b: b["why"] == why), lambda b: b["member"])
+    readable = (c["size"] <= most_bytes) & (F.size(broken("not_a_zip")) == 0)
+    outer = F.concat(
+        told("too_large", c["size"] > most_bytes),
+        told("not_a_zip", F.size(broken("not_a_zip")) > 0),
+        told("empty", readable & (F.size(listed) == 0)),
+        told("too_many_entries", F.size(listed) > most_entries),
+        told("duplicate_names", repeated(listed)),
+        told("too_large_unpacked", bytes_ > most_bytes),
+        said("unsafe_path", F.filter(names, lambda n: ~safe_path(n))),
+    )
+
+    of = lambda member, tag: F.filter(c["elements"], lambda e: (e["member"] == member) & (e["tag"] == tag))
+    given = lambda es, name: F.transform(es, lambda e: F.coalesce(e["attrs"][name], F.lit("")))
+    parsed = lambda member: F.array_contains(names, member) & ~F.array_contains(broken("invalid_xml"), member)
+    items = F.transform(of(OPF, "item"), lambda e: F.struct(F.coalesce(e["attrs"]["id"], F.lit("")).alias("id"), F.coalesce(e["attrs"]["href"], F.lit("")).alias("href"), resolved(F.lit(OPF.rpartition("/")[0]), F.coalesce(e["attrs"]["href"], F.lit(""))).alias("path"), F.split(F.coalesce(e["attrs"]["properties"], F.lit("")), r"\s+").alias("properties")))
+    ids, declared = F.transform(items, lambda i: i["id"]), F.transform(items, lambda i: i["path"])
+    whole = lambda i: (i["id"] != "") & (i["href"] != "") & safe_path(i["path"])
+    fixed = F.array(*map(F.lit, ("mimetype", CONTAINER, OPF)))
+    manifest = F.concat(
+        told("duplicate_ids", repeated(ids)),
+        said("manifest_item", F.transform(F.filter(items, lambda i: ~whole(i)), lambda i: F.when(i["id"] == "", "?").otherwise(i["id"]))),
+        said("declared_missing", F.array_except(F.transform(F.filter(items, whole), lambda i: i["path"]), names)),
+        said("spine", F.array_except(given(of(OPF, "itemref"), "idref"), ids)),
+        said("undeclared", F.array_sort(F.array_except(names, F.concat(declared, fixed)))),
+        told("no_nav", ~F.exists(items, lambda i: F.array_contains(i["properties"], "nav"))),
+    )
+
+    pages = F.filter(c["elements"], lambda e: F.endswith(e["member"], F.lit(".xhtml")))
+    anchors = F.transform(F.filter(pages, lambda e: F.coalesce(e["attrs"]["id"], F.lit("")) != ""), lambda e: F.concat(e["member"], F.lit("#"), e["attrs"]["id"]))
+    member_of = lambda key: F.substring_index(key, "#", 1)
+    twice = F.when(repeated(anchors), F.array_distinct(F.transform(F.filter(anchors, lambda a: F.size(F.filter(anchors, lambda x: x == a)) > 1), member_of))).otherwise(F.array().cast("array<string>"))
+    runs = lambda e: e["tag"].isin(*sorted(ACTIVE)) | F.exists(F.map_keys(e["attrs"]), lambda k: F.lower(k).startswith("on"))
+    refs = F.flatten(F.transform(pages, lambda e: F.transform(F.array_compact(F.array(e["attrs"]["href"], e["attrs"]["src"])), lambda r: F.struct(e["member"].alias("member"), r.alias("ref")))))
+    outside = lambda r: r["ref"].rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)")
+    path = lambda r: F.regexp_extract(r["ref"], "^[^?#]*", 0)
+    folder = lambda m: F.when(F.contains(m, F.lit("/")), F.regexp_replace(m, "/[^/]*$", "")).otherwise("")
+    local = F.transform(F.filter(refs, lambda r: ~outside(r)), lambda r: F.struct(F.when(path(r) == "", r["member"]).otherwise(resolved(folder(r["member"]), path(r))).alias("path"), F.regexp_extract(r["ref"], "#(.*)$", 1).alias("anchor")))
+    places = F.transform(local, lambda r: r["path"])
+    there = F.filter(local, lambda r: (r["anchor"] != "") & F.array_contains(names, r["path"]))
+    documents = F.concat(
+        said("duplicate_anchors", twice),
+        said("active_content", F.array_distinct(F.transform(F.filter(pages, runs), lambda e: e["member"]))),
+        said("external", F.array_distinct(F.transform(F.filter(refs, outside), lambda r: r["ref"]))),
+        said("missing_reference", F.array_except(places, names)),
+        said("missing_fragment", F.array_except(F.transform(there, lambda r: F.concat(r["path"], F.lit("#"), r["anchor"])), anchors)),
+    )
+
+    first = c["members"][0]
+    none = F.array().cast("array<string>")
+    inner = F.concat(
+        said("corrupt", broken("corrupt")),
+        said("missing", F.array_except(F.array(*map(F.lit, REQUIRED)), names)),
+        told("mimetype_not_first_and_stored", ~((first["name"] == "mimetype") & first["stored"])),
+        told("mimetype_content", F.array_contains(names, "mimetype") & ~c["mimetype"].eqNullSafe(F.lit(MIMETYPE))),
+        said("unsafe_css", c["css"]),
+        said("invalid_xml", broken("invalid_xml")),
+        F.when(parsed(OPF), manifest).otherwise(none),
+        told("container_rootfile", parsed(CONTAINER) & (given(of(CONTAINER, "rootfile"), "full-path") != F.array(F.lit(OPF)))),
+        documents,
+    )
+    return F.when(F.size(outer) > 0, outer).otherwise(inner)
+
+
+def package_errors(files: DataFrame, column: str = "content", most_bytes: int = 100 << 20, most_entries: int = 1000) -> DataFrame:
+    """``files`` with errors (array<string>) in place of the packages in ``column``."""
+    others = [f for f in files.columns if f != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in enumerate(b.column(len(others))):  # a package at a time
+                got = read_package(x.as_py(), most_bytes, most_entries)
+                got["elements"] = [(m, t, list(a.items())) for m, t, a in got["elements"]]
+                row = {k: [dict(zip(names, v, strict=True)) for v in got[k]] if names else got[k] for k, names in _SHAPE.items()}
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(len(others))), pa.array([row], to_arrow_type(contents))], [*others, "_contents"])
+
+    contents = StructType.fromDDL(f"c {_CONTENTS}")["c"].dataType
+    rows = files.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{column}`"))
+    schema = StructType([*(files.schema[c] for c in others), StructField("_contents", contents)])
+    return rows.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in others), package_faults(F.col("_contents"), most_bytes, most_entries).alias("errors"))
+
+
+_SHAPE = {"size": (), "mimetype": (), "members": ("name", "stored", "bytes"), "elements": ("member", "tag", "attrs"), "broken": ("member", "why"), "css": ()}
+
+
 def missing_files(names: DataFrame) -> DataFrame:
     """package_id, name: the required files that packages (package_id, name) lack."""
     required = names.select("package_id").distinct().select("package_id", F.explode(F.array(*map(F.lit, REQUIRED))).alias("name"))
@@ -217,21 +288,12 @@ def missing_files(names: DataFrame) -> DataFrame:
 
 
 def packages(chapters: DataFrame) -> DataFrame:
-    """doc_id, package, errors of chapters(doc_id, chapter, title, body), a document at a time."""
+    """doc_id, package of chapters(doc_id, chapter, title, body), a document at a time."""
 
     def run(own: pa.Table) -> pa.Table:
         rows = sorted(zip(*(own.column(c).to_pylist() for c in ("chapter", "title", "body")), strict=True))
         doc = own.column("doc_id")[0].as_py()
         data = build(f"doc-{doc}", rows[0][1], [(title, body) for _, title, body in rows])
-        return pa.table({"doc_id": pa.array([doc], pa.int64()), "package": pa.array([data], pa.binary()), "errors": pa.array([errors_of(data)], pa.list_(pa.string()))})
-
-    return chapters.groupBy("doc_id").applyInArrow(run, "doc_id long, package binary, errors array<string>")
-
-
-def package_errors(files: DataFrame, column: str = "content") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns=[column]).assign(errors=[errors_of(bytes(x)) for x in b[column]])
+        return pa.table({"doc_id": pa.array([doc], pa.int64()), "package": pa.array([data], pa.binary())})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != column)
-    return files.mapInPandas(run, f"{fields}{', ' if fields else ''}errors array<string>")
+    return chapters.groupBy("doc_id").applyInArrow(run, "doc_id long, package binary")

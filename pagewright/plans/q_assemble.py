@@ -296,7 +296,8 @@ def rendered(spark, d):
 def epub(spark, d):
     b = levels(spark, d).withColumn("tag", F.coalesce("level", F.lit("p"))).withColumnRenamed("page_id", "page")
     c = layout.chapters(b).select("doc_id", "chapter", "title", "body")
-    return package.packages(c).select("doc_id", F.octet_length("package").alias("n"), F.sha2("package", 256).alias("h"), F.size("errors").alias("errors"))
+    made = package.packages(c).select("doc_id", F.octet_length("package").alias("n"), F.sha2("package", 256).alias("h"), "package")
+    return package.package_errors(made, "package").select("doc_id", "n", "h", F.size("errors").alias("errors"))
 
 
 @query("J6_J7_line_reconciliation")

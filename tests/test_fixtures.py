@@ -1,6 +1,7 @@
 """Hand-written cases for what the synthetic tables don't hold: Thai, layout, HTML, revisions."""
 
 import io
+import warnings
 import zipfile
 
 import pytest
@@ -210,20 +211,20 @@ def repacked(data, **changes):
     return out.getvalue()
 
 
-def test_package():
+def test_package(spark):
     chapters = [("One", '<h1 id="a">One</h1><h2 id="b">Two &amp; a half</h2><h3 id="c">Three</h3><h2 id="d">Four</h2><p>1</p>'), ("Two", "<p>2 < </p>".replace("< ", "&lt; "))]
     data = package.build("d", "T", chapters, cover=b"\x89PNG\r\n\x1a\nrest")
-    assert package.errors_of(data) == [] and data == package.build("d", "T", chapters, cover=b"\x89PNG\r\n\x1a\nrest")
+    assert data == package.build("d", "T", chapters, cover=b"\x89PNG\r\n\x1a\nrest")
+    assert package.package_errors(spark.createDataFrame([(data,)], "content binary")).first().errors == []
     files = {n: zipfile.ZipFile(io.BytesIO(data)).read(n).decode("latin-1") for n in zipfile.ZipFile(io.BytesIO(data)).namelist()}
     assert "cover.xhtml" in files["OEBPS/content.opf"] and 'src="cover.png"' in files["OEBPS/cover.xhtml"]
     link = lambda h, t: f'<a href="chapter-0001.xhtml#{h}">{t}</a>'
     assert f"<ol><li>{link('a', 'One')}<ol><li>{link('b', 'Two &amp; a half')}<ol><li>{link('c', 'Three')}</li></ol></li><li>{link('d', 'Four')}</li></ol></li>" in files["OEBPS/nav.xhtml"]
-    assert package.errors_of(package.build("d", "T", [("One", "<p>1</p>")])) == [] and "chapter-002" in package.preview("T", chapters)
+    assert "chapter-002" in package.preview("T", chapters)
 
 
-@pytest.mark.parametrize(
-    "changes, error",
-    [
+#: What is changed in a package that is right, and what its errors are then.
+DAMAGES = [
         ({"mimetype": b"text/plain"}, "mimetype_content"),
         ({"OEBPS/nav.xhtml": None}, "missing: OEBPS/nav.xhtml"),
         ({"OEBPS/extra.txt": b"x"}, "undeclared: OEBPS/extra.txt"),
@@ -239,15 +240,42 @@ def test_package():
         ({"META-INF/container.xml": b"<c><rootfile full-path='x'/></c>"}, "container_rootfile"),
         ({"../up": b"x"}, "unsafe_path"),
         ({"OEBPS/big": b"0" * 3_000_000}, "too_large_unpacked"),
-    ],
-)
-def test_package_errors(changes, error):
-    data = repacked(package.build("d", "T", [("One", "<p>1</p>")]), **changes)
-    assert any(e.startswith(error) for e in package.errors_of(data, most_bytes=2_000_000))
-
-
-def test_package_not_a_zip():
-    assert package.errors_of(b"no") == ["not_a_zip"] and package.errors_of(b"x" * 10, most_bytes=5) == ["too_large"]
+        ({"mimetype": None}, "missing: mimetype"),
+        ({"mimetype": None}, "mimetype_not_first_and_stored"),
+        ({"OEBPS/book.css": None}, "declared_missing: OEBPS/book.css"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a href='/etc/x'/><a href='chapter-0001.xhtml?q=1#z'/></html>"}, "missing_reference: /etc/x"),
+        ({"OEBPS/chapter-0001.xhtml": b"<html><a href='/etc/x'/><a href='./chapter-0001.xhtml?q=1#z'/></html>"}, "missing_fragment: OEBPS/chapter-0001.xhtml#z"),
+        ({"OEBPS/content.opf": b"<package><manifest><item id='a' href='nav.xhtml'/><item id='a' href=''/></manifest><spine><itemref idref='b'/></spine></package>"}, "duplicate_ids"),
+        ({"OEBPS/content.opf": b"<package><manifest><item id='a' href='nav.xhtml'/><item id='a' href=''/></manifest><spine><itemref idref='b'/></spine></package>"}, "spine: b"),
+        ({"OEBPS/content.opf": b"<package><manifest><item id='a' href='nav.xhtml'/><item href='../../x'/></manifest></package>"}, "manifest_item: ?"),
+        ({"OEBPS/content.opf": b"<package/>"}, "no_nav"),
+]
+
+
+def test_package_errors(spark):
+    right = package.build("d", "T", [("One", "<p>1</p>")])
+    twice = io.BytesIO()
+    with zipfile.ZipFile(twice, "w") as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        z.writestr("mimetype", "a")
+        z.writestr("mimetype", "a")
+    none = io.BytesIO()
+    zipfile.ZipFile(none, "w").close()
+    rows = [(i, repacked(right, **c)) for i, (c, _) in enumerate(DAMAGES)] + [(100, right), (101, b"no"), (102, b"x" * 2_000_001), (103, twice.getvalue()), (104, none.getvalue()), (105, None)]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    got = {r.id: r.errors for r in package.package_errors(df, most_bytes=2_000_000).collect()}
+    for i, (_, error) in enumerate(DAMAGES):
+        assert any(e.startswith(error) for e in got[i]), (error, got[i])
+    assert got[100] == [] and got[101] == got[105] == ["not_a_zip"] and got[102] == ["too_large"] and got[103] == ["duplicate_names"] and got[104] == ["empty"]
+    assert package.package_errors(df.where("id = 100"), most_entries=2).first().errors == ["too_many_entries"]
+
+
+def test_paths(spark):
+    rows = [("OEBPS", "a.x", "OEBPS/a.x"), ("OEBPS", "../a/./b//c", "a/b/c"), ("", "x", "x"), ("a/b", "../../..", ".."), ("a", "/r", "/r"), ("a", "../../x/../y", "../y")]
+    df = spark.createDataFrame(rows, "f string, p string, want string")
+    assert all(r.got == r.want for r in df.select(package.resolved(F.col("f"), F.col("p")).alias("got"), "want").collect())
+    names = [("a/b.x", True), ("a/", True), ("/a", False), ("a//b", False), ("..", False), ("a/../b", False), ("./a", False), ("c:x", False), ("a\\b", False), ("", False), ("..a/b..", True)]
+    assert all(r.got == r.want for r in spark.createDataFrame(names, "n string, want boolean").select(package.safe_path(F.col("n")).alias("got"), "want").collect())
 
 
 def test_files(spark, tmp_path):
