@@ -10,7 +10,7 @@ Equal strings have equal anchors, so all that can match meets under one anchor.
    the anchors that more than one document has.
 2. Neighbouring strings of a document under one such anchor are a run; its bytes are
    the run's content.  Equal contents are aggregated to the smallest and the
-   largest document that hold them, before anything is shuffled.
+   largest document that hold them, those of frequent anchors before any shuffle.
 3. The distinct contents, dealt by anchor, are concatenated to texts of about
    ``TEXT`` bytes, and each text gets its suffix array by two-stage sorting: the
    suffixes that are smaller than their successors are sorted directly, the others
@@ -381,7 +381,7 @@ def _sums(texts: DataFrame) -> DataFrame:
 
 
 def _runs(texts: DataFrame, sums: DataFrame, crowd: int) -> DataFrame:
-    """doc, th, at, m, busy, content, d: the runs under anchors that several documents have."""
+    """doc, th, at, m, busy, content: the runs under anchors that several documents have."""
     size = sums.agg(F.sum("n")).first()[0] or 0
     bits = max(int(size * 2 / (WINDOW + 1)) // BUCKET, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
     dealt = texts.select("doc_id", "text").mapInArrow(_dealt(bits), "bucket long, h binary, docs binary")
@@ -391,27 +391,35 @@ def _runs(texts: DataFrame, sums: DataFrame, crowd: int) -> DataFrame:
     asked = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("places").alias("places")).join(first, "doc_id")
     some = texts.join(asked, "doc_id").select("doc_id", "text", "th", "places")
     found = some.mapInArrow(_candidates(bits), "doc long, th long, at int, m long, busy boolean, content binary")
-    return materialize(found.withColumn("d", F.xxhash64("content")), "runs")
+    return materialize(found, "runs")
 
 
 def _gone(found: DataFrame, crowd: int) -> DataFrame:
-    """m, d, lo, hi, gone: for contents that something goes of, their smallest document,
-    their largest if it is another, and the places whose strings a smaller one has."""
-    distinct = found.groupBy("m", "d", "content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    crowded = found.where("busy").select("m", "d").distinct().groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowded"))
-    hi = F.when(F.col("hi") > F.col("lo"), F.col("hi")).alias("hi")
-    distinct = distinct.select("m", "d", "lo", hi, "content").join(crowded, "m", "left")
-    last = F.octet_length("content") - LENGTH
-    offs = F.when(F.col("crowded"), F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))
-    cut = distinct.withColumn("off", F.explode(offs)).withColumn("content", F.when(F.col("crowded"), F.substring("content", F.col("off") + 1, F.lit(LENGTH))).otherwise(F.col("content")))
-    key = F.when(F.col("crowded"), F.xxhash64("content")).otherwise(F.col("m"))
-    hi = F.when(F.col("off") == 0, F.col("hi")).alias("hi")  # told once
-    cut = cut.select(key.alias("key"), "m", "d", "off", "lo", hi, "content")
-    return materialize(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_texts, "m long, d long, lo long, hi long, gone array<int>"), "gone")
+    """m, d, lo, hi, gone: for contents (d: their hash) that something goes of, their
+    smallest document, their largest if it is another, and the places whose strings a
+    smaller one has."""
+
+    def distinct(runs: DataFrame) -> DataFrame:
+        rows = runs.groupBy("m", "content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        return rows.withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi"))).withColumn("d", F.xxhash64("content"))
+
+    def judged_by_key(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "m", "d", "off", "lo", "hi", "content").sortWithinPartitions("key").mapInArrow(_sorted_texts, "m long, d long, lo long, hi long, gone array<int>")
+
+    # dealt once, by anchor, which has few runs; equal contents meet there
+    few = distinct(found.where("not busy").select("m", "content", "doc").repartition("m")).withColumns({"key": F.col("m"), "off": F.lit(0)})
+    # aggregated where they are before they are dealt by content, then by anchor or string
+    many = distinct(found.where("busy"))
+    crowded = many.groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowded"))
+    many = many.join(crowded, "m", "left")
+    offs = F.when(F.col("crowded"), F.sequence(F.lit(0), F.octet_length("content") - LENGTH)).otherwise(F.array(F.lit(0)))
+    many = many.withColumn("off", F.explode(offs)).withColumn("content", F.when(F.col("crowded"), F.substring("content", F.col("off") + 1, F.lit(LENGTH))).otherwise(F.col("content")))
+    many = many.withColumn("key", F.when(F.col("crowded"), F.xxhash64("content")).otherwise(F.col("m"))).withColumn("hi", F.when(F.col("off") == 0, F.col("hi")))  # told once
+    return materialize(judged_by_key(few).unionByName(judged_by_key(many.repartition("key"))), "gone")
 
 
 def _ranges_of(found: DataFrame, gone: DataFrame) -> DataFrame:
-    runs_ = found.select("doc", "th", "at", "m", "d", F.octet_length("content").alias("n"))
+    runs_ = found.select("doc", "th", "at", "m", F.xxhash64("content").alias("d"), F.octet_length("content").alias("n"))
     met = runs_.join(gone, ["m", "d"]).where((F.col("doc") == F.col("lo")) & (F.size("gone") > 0) | (F.col("doc") > F.col("lo")) & F.col("hi").isNotNull())
     # a string's range ends LENGTH - 1 bytes after the last place where one starts
     inner = F.transform("gone", lambda x, i: x + F.col("at") + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
