@@ -80,7 +80,8 @@ def hierarchy_errors(headings: DataFrame) -> DataFrame:
 
 
 def chapters(blocks: DataFrame, title: str = "Book") -> DataFrame:
-    """doc_id, chapter, title, n_blocks, body (XHTML) of blocks (doc_id, ord, tag, page, text): cut at h1 where there is one, else at pages."""
+    """doc_id, chapter, title, n_blocks, body (XHTML) of blocks (doc_id, ord, tag, page, text): cut at h1 where there is one, else at pages.
+    A chapter is called by its first heading, its page, the book if it's the first, or its number."""
     own = Window.partitionBy("doc_id")
     order = own.orderBy("ord")
     rows = blocks.withColumn("_any", F.max((F.col("tag") == "h1").cast("int")).over(own) == 1)
@@ -90,7 +91,13 @@ def chapters(blocks: DataFrame, title: str = "Book") -> DataFrame:
     head = F.when(F.col("tag").isin("h1", "h2", "h3"), F.struct("ord", "text"))
     html = F.concat(F.lit("<"), "tag", F.lit(">"), T.escape_html(F.coalesce("text", F.lit(""))), F.lit("</"), "tag", F.lit(">"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", html.alias("html")))), lambda x: x["html"]), "\n")
-    return rows.groupBy("doc_id", "chapter").agg(F.substring(F.coalesce(F.min(head)["text"], F.when(F.max("page").isNotNull(), F.concat(F.lit("Page "), F.min_by("page", "ord").cast("string"))), F.lit(title)), 1, 200).alias("title"), F.count("*").alias("n_blocks"), body.alias("body"))
+    page, nth = F.min(F.when(F.col("page").isNotNull(), F.struct("ord", "page")))["page"], (F.col("chapter") + 1).cast("string")
+    named = F.coalesce(F.min(head)["text"], F.concat(F.lit(PAGE_TITLE), page.cast("string")), F.when(F.col("chapter") == 0, F.lit(title)).otherwise(F.concat(F.lit(PART_TITLE), nth)))
+    return rows.groupBy("doc_id", "chapter").agg(F.substring(named, 1, 200).alias("title"), F.count("*").alias("n_blocks"), body.alias("body"))
+
+
+#: What a chapter without a heading is called, by its page or else its number.
+PAGE_TITLE, PART_TITLE = "หน้า ", "ส่วนที่ "
 
 
 def toc_levels(headings: DataFrame) -> DataFrame:

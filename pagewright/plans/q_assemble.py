@@ -237,7 +237,7 @@ def hierarchy(spark, d):
     return layout.hierarchy_errors(heads(spark, d))
 
 
-@query("W24_chapters", f"WITH {I.LINES}, {_LEVELS}, b AS (SELECT lv.doc_id, lv.ord, CASE WHEN lv.doc_id % 3 = 0 THEN coalesce(nullif(level, 'h1'), 'p') ELSE coalesce(level, 'p') END AS tag, page_id AS page, line AS text FROM lv JOIN ln ON ln.doc_id = lv.doc_id AND ln.ln = lv.ord), a AS (SELECT *, max((tag = 'h1')::INT) OVER (PARTITION BY doc_id) = 1 AS anyh FROM b), c AS (SELECT *, coalesce(CASE WHEN anyh THEN tag = 'h1' ELSE page <> lag(page) OVER (PARTITION BY doc_id ORDER BY ord) END, false)::INT AS cut FROM a), s AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM c), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chapter FROM s) SELECT doc_id, chapter, substr(coalesce(arg_min(text, ord) FILTER (tag IN ('h1', 'h2', 'h3')), 'Page ' || arg_min(page, ord)), 1, 200) AS title, count(*) AS n_blocks FROM r GROUP BY ALL")
+@query("W24_chapters", f"WITH {I.LINES}, {_LEVELS}, b AS (SELECT lv.doc_id, lv.ord, CASE WHEN lv.doc_id % 3 = 0 THEN coalesce(nullif(level, 'h1'), 'p') ELSE coalesce(level, 'p') END AS tag, page_id AS page, line AS text FROM lv JOIN ln ON ln.doc_id = lv.doc_id AND ln.ln = lv.ord), a AS (SELECT *, max((tag = 'h1')::INT) OVER (PARTITION BY doc_id) = 1 AS anyh FROM b), c AS (SELECT *, coalesce(CASE WHEN anyh THEN tag = 'h1' ELSE page <> lag(page) OVER (PARTITION BY doc_id ORDER BY ord) END, false)::INT AS cut FROM a), s AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM c), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chapter FROM s) SELECT doc_id, chapter, substr(coalesce(arg_min(text, ord) FILTER (tag IN ('h1', 'h2', 'h3')), 'หน้า ' || arg_min(page, ord)), 1, 200) AS title, count(*) AS n_blocks FROM r GROUP BY ALL")
 def chapters(spark, d):
     b = levels(spark, d).withColumn("tag", F.when(F.col("doc_id") % 3 == 0, F.coalesce(F.nullif("level", F.lit("h1")), F.lit("p"))).otherwise(F.coalesce("level", F.lit("p"))))
     return layout.chapters(b.withColumnRenamed("page_id", "page")).select("doc_id", F.col("chapter").cast("long").alias("chapter"), "title", "n_blocks")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,8 +42,25 @@ class Dictionary:
         return texts.map(lambda t: " ".join(self.words.get(w, w) for w in t.split(" ")))
 
 
+class Reply(NamedTuple):
+    """What a provider may give for a text instead of a string: a truncated one is no success."""
+
+    text: str
+    truncated: bool = False
+
+
+class Outcome(NamedTuple):
+    """translated has a content, truncated what there is of it, failed and cancelled none."""
+
+    status: str
+    content: str | None
+    error: str | None
+
+
 #: Seconds before each further try.
 WAITS = (0.25, 1.0, 2.0)
+#: Failed calls without any success between them after which a provider is given up.
+PATIENCE = 40
 
 
 def tried(call: Callable, value, tries: int = 3, sleep: Callable = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> tuple:
@@ -59,27 +76,77 @@ def tried(call: Callable, value, tries: int = 3, sleep: Callable = time.sleep, c
             error = str(e) or "timeout"
             if n + 1 < tries:
                 sleep(WAITS[min(n, len(WAITS) - 1)])
+        except Exception as e:  # a provider may raise anything; the rows tell
+            return None, str(e) or type(e).__name__
     return None, error
 
 
+def _replies(provider: Translator, texts: pd.Series) -> list[Reply]:
+    found = list(provider.translate(texts.reset_index(drop=True)))
+    if len(found) != len(texts) or not all(isinstance(x, str | Reply) for x in found):
+        raise ValueError("invalid_response")
+    return [x if isinstance(x, Reply) else Reply(x) for x in found]
+
+
+def outcomes(provider: Translator, texts: pd.Series, tries: int = 3, sleep: Callable = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> list[Outcome]:
+    """An outcome for each text.  A batch that fails is halved until what fails stands
+    alone, so one bad text costs about two calls for each halving, not the batch.  A
+    provider that only fails is given up after PATIENCE calls."""
+    out: list[Outcome | None] = [None] * len(texts)
+    todo, failed, last = [(0, len(texts))] if len(texts) else [], 0, None
+    while todo:
+        a, b = todo.pop()
+        if failed >= PATIENCE or last == "cancelled":
+            got, error = None, last
+        else:
+            got, error = tried(lambda t: _replies(provider, t), texts.iloc[a:b], tries, sleep, cancelled)
+        if got is not None:
+            failed = 0
+            out[a:b] = [Outcome("truncated", r.text, "truncated") if r.truncated else Outcome("translated", r.text, None) for r in got]
+        elif b - a == 1 or failed >= PATIENCE or error == "cancelled":
+            out[a:b] = [Outcome("cancelled" if error == "cancelled" else "failed", None, error)] * (b - a)
+            failed, last = failed + 1, error
+        else:
+            middle = (a + b) // 2
+            todo += [(middle, b), (a, middle)]
+            failed, last = failed + 1, error
+    return out
+
+
+def _allowed(consent: bool, *providers: Translator) -> None:
+    if not consent and any(p.cloud for p in providers):
+        raise PermissionError("a cloud provider needs consent")
+
+
+def _rows(ids: pd.Series, found: list[Outcome]) -> pd.DataFrame:
+    return pd.DataFrame({"id": ids.to_numpy(), "translated": [o.content for o in found], "status": [o.status for o in found], "error": [o.error for o in found]}, dtype=object)
+
+
 def translated(segments: DataFrame, provider: Translator, consent: bool = False, tries: int = 3) -> DataFrame:
     """id, translated, status, error of segments(id, text); a cloud provider needs consent."""
-    if provider.cloud and not consent:
-        raise PermissionError("a cloud provider needs consent")
+    _allowed(consent, provider)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, error = tried(provider.translate, b["text"], tries)
-            yield pd.DataFrame({"id": b["id"], "translated": out if out is not None else [None] * len(b), "status": "translated" if out is not None else "failed", "error": error}, columns=["id", "translated", "status", "error"])
+            yield _rows(b["id"], outcomes(provider, b["text"], tries))
 
     return segments.select("id", "text").mapInPandas(run, ANSWER)
 
 
-def hybrid(segments: DataFrame, first: Translator, then: Translator) -> DataFrame:
-    """A baseline and a polish over it; where the polish fails the baseline stays."""
-    base = translated(segments, first)
-    polish = translated(base.select("id", F.col("translated").alias("text")), then).select("id", F.col("translated").alias("_t"))
-    return base.join(polish, "id", "left").select("id", F.coalesce("_t", "translated").alias("translated"), "status", "error")
+def hybrid(segments: DataFrame, first: Translator, then: Translator, consent: bool = False, tries: int = 3) -> DataFrame:
+    """A baseline and a polish over it, each asked once for a text: where the polish isn't
+    a success the baseline stays, with the polish's error beside it."""
+    _allowed(consent, first, then)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = outcomes(first, b["text"], tries)
+            good = [i for i, o in enumerate(found) if o.status == "translated"]
+            for i, o in zip(good, outcomes(then, pd.Series([found[i].content for i in good], dtype=object), tries), strict=True):
+                found[i] = o if o.status == "translated" else found[i]._replace(error=o.error)
+            yield _rows(b["id"], found)
+
+    return segments.select("id", "text").mapInPandas(run, ANSWER)
 
 
 def recognised(pages: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -88,12 +155,25 @@ def recognised(pages: DataFrame, recorded: DataFrame) -> DataFrame:
     return pages.join(recorded.where("line_index < 1000"), "page_id", "left").withColumn("error", F.when(~good, "image_size").when(F.col("line_index").isNull(), "no_text"))
 
 
-def answers(rows: DataFrame, column: str, handler: Callable[[str], str]) -> DataFrame:
-    """A language model's replies to prompts, by a handler that stands in for it."""
+def answers(rows: DataFrame, column: str, handler: Callable[[str], str | Reply], tries: int = 3) -> DataFrame:
+    """A language model's replies to prompts, by a handler that stands in for it: answer
+    (struct of success, status, content, error); one reply that fails leaves the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _Handler(handler)
         for b in batches:
-            yield b.assign(answer=b[column].map(handler))
+            found = [outcomes(model, pd.Series([x], dtype=object), tries)[0] for x in b[column]]
+            yield b.assign(answer=[{"success": o.status == "translated", "status": {"translated": "completed"}.get(o.status, o.status), "content": o.content, "error": o.error} for o in found])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, answer string")
+    return rows.mapInPandas(run, f"{fields}{', ' if fields else ''}answer struct<success:boolean,status:string,content:string,error:string>")
+
+
+class _Handler:
+    name, cloud = "handler", False
+
+    def __init__(self, handler: Callable[[str], str | Reply]):
+        self.handler = handler
+
+    def translate(self, texts: pd.Series) -> list:
+        return [self.handler(t) for t in texts]

@@ -29,7 +29,7 @@ def brute_chapters(doc, text):
             out.append([])
         out[-1].append((tag, page, x))
     shown = lambda x: escape(x.replace("\x01", ""), quote=False)
-    return [(next((x for tag, _, x in c if tag != "p"), f"Page {c[0][1]}")[:200], "\n".join(f"<{tag}>{shown(x)}</{tag}>" for tag, _, x in c)) for c in out]
+    return [(next((x for tag, _, x in c if tag != "p"), f"หน้า {c[0][1]}")[:200], "\n".join(f"<{tag}>{shown(x)}</{tag}>" for tag, _, x in c)) for c in out]
 
 
 def test_epub_packages(spark, small):
