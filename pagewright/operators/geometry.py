@@ -81,16 +81,28 @@ def line_clusters(values: DataFrame, key: str, value: str, gap: float = 4.0) ->
 
 
 def mean_clusters(values: DataFrame, key: str, value: str, tolerance: float = 1.0) -> DataFrame:
-    """key, means: sorted values join a cluster while within ``tolerance`` of its running mean."""
-    state = "array<struct<total:double,n:int>>"
+    """key, cluster (from 0), mean, n: sorted values join a cluster while within
+    ``tolerance`` of its running mean.
 
-    def step(acc: Column, v: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (F.abs(v - last["total"] / last["n"]) <= tolerance), grown).otherwise(F.concat(acc, F.array(F.struct(v.alias("total"), F.lit(1).alias("n")))))
+    The mean never passes the last value, so a gap above the tolerance always ends a
+    cluster: values are cut into islands there, and only islands are folded.
+    """
+    order = Window.partitionBy(key).orderBy(value)
+    gap = F.coalesce((F.col(value) - F.lag(value).over(order) > tolerance).cast("int"), F.lit(0))
+    islands = values.where(F.col(value).isNotNull()).withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    state = "struct<done:array<struct<total:double,n:int>>,total:double,n:int>"
 
-    folded = F.aggregate(F.array_sort(F.collect_list(F.col(value).cast("double"))), F.array().cast(state), step)
-    return values.groupBy(key).agg(F.transform(folded, lambda c: c["total"] / c["n"]).alias("means"))
+    def step(acc: Column, v: Column) -> Column:
+        joins = (acc["n"] == 0) | (v - acc["total"] / acc["n"] <= tolerance)
+        closed = F.array_append(acc["done"], F.struct(acc["total"].alias("total"), acc["n"].alias("n")))
+        grown = F.struct(acc["done"].alias("done"), (acc["total"] + v).alias("total"), (acc["n"] + 1).alias("n"))
+        return F.when(joins, grown).otherwise(F.struct(closed.alias("done"), v.alias("total"), F.lit(1).alias("n")))
+
+    zero = F.struct(F.array().cast("array<struct<total:double,n:int>>").alias("done"), F.lit(0.0).alias("total"), F.lit(0).alias("n")).cast(state)
+    folded = F.aggregate(F.array_sort(F.collect_list(F.col(value).cast("double"))), zero, step, lambda acc: F.array_append(acc["done"], F.struct(acc["total"].alias("total"), acc["n"].alias("n"))))
+    found = islands.groupBy(key, "_island").agg(folded.alias("_c")).select(key, "_island", F.posexplode("_c").alias("_i", "_c"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_island", "_i")) - 1
+    return found.select(key, nth.alias("cluster"), (F.col("_c.total") / F.col("_c.n")).alias("mean"), F.col("_c.n").alias("n"))
 
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:

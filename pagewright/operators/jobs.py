@@ -115,8 +115,11 @@ def page_range(pages: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def page_batches(pages: DataFrame, size: int = 200) -> DataFrame:
+    """Pages with the batch of ``size`` that they are in, by number within their job.
+    Numbers alone are sorted; what else a page has joins them afterwards."""
     nth = F.row_number().over(Window.partitionBy("job_id").orderBy("page_id")) - 1
-    return pages.withColumn("batch", F.floor(nth / size).cast("int"))
+    ranked = pages.select("job_id", "page_id").distinct().withColumn("batch", F.floor(nth / size).cast("int"))
+    return pages.join(ranked, ["job_id", "page_id"])
 
 
 def edits_saved(pages: DataFrame, edits: DataFrame) -> DataFrame:
@@ -131,6 +134,11 @@ def edits_saved(pages: DataFrame, edits: DataFrame) -> DataFrame:
     return got.select("page_id", outcome.alias("outcome"), F.when(saved, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), F.when(saved, F.col("_m") | F.col("manual")).otherwise(F.col("_m")).alias("manual"), F.when(saved, "in_review").otherwise(F.col("_r")).alias("review"))
 
 
+#: The size of a page whose image isn't known, and the transform of one that isn't turned.
+PAGE_SIZE = (1000, 1400)
+UPRIGHT = {"angle": 0.0, "scale_x": 1.0, "scale_y": 1.0, "translate_x": 0.0, "translate_y": 0.0}
+
+
 def page_view(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """Pages (job_id, page_id, raw, corrected, final) with their job's status, the three
     texts with the raw one where there is no other, and whether they differ from it."""
@@ -138,7 +146,27 @@ def page_view(pages: DataFrame, jobs: DataFrame) -> DataFrame:
 
     own = pages.join(jobs.select("job_id", F.col("status").alias("job_status")), "job_id", "left")
     raw = F.coalesce("raw", F.lit(""))
-    return own.select("job_id", "page_id", "job_status", raw.alias("raw"), F.coalesce("corrected", raw).alias("corrected"), F.coalesce("final", "corrected", raw).alias("final"), changed(raw, F.col("corrected"), F.col("final")).alias("changed"))
+    return own.select("job_id", "page_id", "job_status", raw.alias("raw"), F.coalesce("corrected", raw).alias("corrected"), F.coalesce("final", raw).alias("final"), changed(raw, F.col("corrected"), F.col("final")).alias("changed"))
+
+
+def page_data(pages: DataFrame, jobs: DataFrame, spans: DataFrame, changes: DataFrame, images: DataFrame) -> DataFrame:
+    """``page_view`` with what a page's editor needs beside the texts.
+
+    spans and changes (arrays in order) come from spans(job_id, page_id, block_id,
+    line_index, start, end) and changes(job_id, page_id, change_id, start, end, original,
+    corrected, status); width, height and transform from images(job_id, page_id, width,
+    height, transform), 1000 x 1400 and upright where there is none.  Spans say where
+    lines are in the raw text.
+    """
+    key = ["job_id", "page_id"]
+    listed = lambda df, name, *columns: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    got = page_view(pages, jobs)
+    got = got.join(listed(spans, "spans", "start", "end", "block_id", "line_index"), key, "left")
+    got = got.join(listed(changes, "changes", "start", "end", "change_id", "original", "corrected", "status"), key, "left")
+    got = got.join(images.select(*key, "width", "height", "transform"), key, "left")
+    upright = F.struct(*(F.lit(v).alias(n) for n, v in UPRIGHT.items()))
+    none = lambda c: F.coalesce(c, F.array().cast(got.schema[c].dataType)).alias(c)
+    return got.select(*key, "job_status", "raw", "corrected", "final", "changed", none("spans"), none("changes"), F.coalesce("width", F.lit(PAGE_SIZE[0])).alias("width"), F.coalesce("height", F.lit(PAGE_SIZE[1])).alias("height"), F.coalesce("transform", upright).alias("transform"))
 
 
 def staleness(exports: DataFrame, now: DataFrame, parts=("source", "glossary", "validator")) -> DataFrame:

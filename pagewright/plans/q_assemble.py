@@ -92,6 +92,16 @@ def style(spark, d):
     return assemble.line_style(s).select("page_id", "line_index", "size_max", "bold_ratio", "italic_ratio")
 
 
+@query("A4_block_style", f"""WITH {I.WORDS}, s AS (SELECT *, 10.0 + word_index % 4 AS size, (word_index % 3) * 8 AS flags, CASE word_index % 5 WHEN 0 THEN 'Bold' WHEN 1 THEN 'Oblique' ELSE 'Roman' END AS font FROM wd),
+l AS (SELECT page_id, line_index // 5 AS block, line_index, max(size) AS size_max, round_even(sum(CASE WHEN flags & 16 <> 0 OR font = 'Bold' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 4) AS bold_ratio, round_even(sum(CASE WHEN flags & 2 <> 0 OR font = 'Oblique' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 4) AS italic_ratio FROM s GROUP BY ALL)
+SELECT page_id, block, max(size_max)::DOUBLE AS size_max, round_even(avg(bold_ratio), 2) AS bold_ratio, round_even(avg(italic_ratio), 2) AS italic_ratio FROM l GROUP BY ALL""")
+def blocks_style(spark, d):
+    k = F.col("word_index")
+    s = I.words(spark, d).withColumn("size", 10.0 + k % 4).withColumn("flags", (k % 3) * 8).withColumn("font", F.when(k % 5 == 0, "Bold").when(k % 5 == 1, "Oblique").otherwise("Roman")).withColumn("ord", k)
+    lines = assemble.line_style(s).withColumn("block", F.floor(F.col("line_index") / 5))
+    return assemble.block_style(lines).select("page_id", "block", "size_max", "bold_ratio", "italic_ratio")
+
+
 @query("S6_native_lines", f"WITH {_BLOCKED}, k AS (SELECT page_id, block, string_agg(text, chr(10) ORDER BY line_index) AS text, min(y0) AS y0, max(y1) AS y1 FROM bl GROUP BY ALL), l AS (SELECT page_id, block, y0, y1, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS a FROM k), u AS (SELECT page_id, block, y0, y1, len(a) AS n, unnest(a) AS text, generate_subscripts(a, 1) - 1 AS i FROM l) SELECT page_id, block AS block_id, i AS line_index, text, round_even(y0 * (144 / 72.0::DOUBLE) + i * ((y1 - y0) * (144 / 72.0::DOUBLE) / n), 2) AS y0 FROM u")
 def native(spark, d):
     b = assemble.block_boxes(assemble.lines_to_blocks(I.boxes(spark, d))).withColumnRenamed("block", "block_id")
@@ -161,10 +171,12 @@ def clusters(spark, d):
     return geometry.line_clusters(v, "k", "v")
 
 
-@query("W6_mean_clusters")
+@query("W6_mean_clusters", """WITH RECURSIVE v AS (SELECT l_orderkey % 200 AS k, (l_extendedprice % 1000)::DOUBLE AS v, row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_extendedprice % 1000) AS i FROM lineitem),
+f(k, i, cluster, total, n) AS (SELECT k, i, 0, v, 1 FROM v WHERE i = 1 UNION ALL SELECT f.k, v.i, CASE WHEN v.v - total / n <= 1 THEN cluster ELSE cluster + 1 END, CASE WHEN v.v - total / n <= 1 THEN total + v.v ELSE v.v END, CASE WHEN v.v - total / n <= 1 THEN n + 1 ELSE 1 END FROM f JOIN v ON v.k = f.k AND v.i = f.i + 1)
+SELECT k, cluster, round_even(arg_max(total / n, i), 6) AS mean, max(n) AS n FROM f GROUP BY k, cluster""")
 def means(spark, d):
-    v = I.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), (F.col("l_extendedprice") % 100).alias("v"))
-    return geometry.mean_clusters(v, "k", "v").select("k", F.size("means").alias("n"), F.array_max("means").alias("last"))
+    v = I.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("k"), (F.col("l_extendedprice") % 1000).alias("v"))
+    return geometry.mean_clusters(v, "k", "v").withColumn("mean", F.bround("mean", 6))
 
 
 @query("W8_dark_runs", "WITH x AS (SELECT DISTINCT l_orderkey % 20 AS page_id, l_suppkey % 10 AS y, l_partkey % 120 AS x FROM lineitem), n AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY page_id, y ORDER BY x) > 3 THEN 1 ELSE 0 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY page_id, y ORDER BY x) AS run FROM n), l AS (SELECT page_id, y, run, max(x) - min(x) + 1 AS n FROM r GROUP BY ALL) SELECT page_id, y, max(n) AS longest FROM l GROUP BY ALL")
@@ -292,6 +304,22 @@ def rendered(spark, d):
     return render(tokens, seg).select("doc_id", F.length("html").alias("n"), F.sha2("html", 256).alias("h"))
 
 
+@query("V4_package_faults", """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey % 7 AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+f AS (SELECT *, 'OEBPS/chapter-' || lpad(i::VARCHAR, 4, '0') || '.xhtml' AS own, 'OEBPS/chapter-' || lpad((i + 1)::VARCHAR, 4, '0') || '.xhtml' AS next FROM o)
+SELECT doc_id, CASE k WHEN 0 THEN 'missing_reference: ' || next WHEN 2 THEN 'missing_fragment: ' || own || '#no' WHEN 3 THEN 'external: https://e.org/' || o_orderkey WHEN 4 THEN 'duplicate_anchors: ' || own WHEN 5 THEN 'active_content: ' || own END AS error FROM f WHERE k IN (2, 3, 4, 5) OR k = 0 AND i = n""")
+def package_faults(spark, d):
+    """A package of each customer, a chapter an order; some chapters aren't as they should be."""
+    from pyspark.sql.window import Window
+
+    o = I.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 7).alias("k"))
+    o = o.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
+    following = F.concat(F.lit("<a href=\"./chapter-"), F.lpad((F.col("i") + 1).cast("string"), 4, "0"), F.lit(".xhtml\">on</a>"))
+    body = F.when(F.col("k") == 0, following).when(F.col("k") == 1, '<p id="x">1</p><a href="#x">1</a>').when(F.col("k") == 2, '<a href="#no">1</a>').when(F.col("k") == 3, F.concat(F.lit('<a href="https://e.org/'), F.col("key").cast("string"), F.lit('">1</a>')))
+    body = body.when(F.col("k") == 4, '<b id="a">1</b><i id="a">2</i>').when(F.col("k") == 5, '<p onclick="x">1</p>').otherwise("<p>1</p>")
+    made = package.packages(o.select("doc_id", (F.col("i") - 1).alias("chapter"), F.concat(F.lit("Order "), F.col("key").cast("string")).alias("title"), body.alias("body")))
+    return package.package_errors(made, "package").select("doc_id", F.explode("errors").alias("error"))
+
+
 @query("S17_V4_epub_packages")
 def epub(spark, d):
     b = levels(spark, d).withColumn("tag", F.coalesce("level", F.lit("p"))).withColumnRenamed("page_id", "page")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import jobs
+from pagewright.operators import jobs, merge
+from pagewright.streaming import progress as events_progress
 
 from . import inputs as I
 
@@ -147,19 +148,71 @@ def deletions(spark, d):
     return jobs.deletions(j, r)
 
 
-@query("S22_page_view", f"WITH {I.PAGES}, {I.JOBS}, x AS (SELECT job_id, page_id, CASE WHEN page_id % 4 <> 3 THEN route END AS raw, CASE WHEN page_id % 2 = 0 THEN status END AS corrected, CASE WHEN job_id % 3 = 0 THEN ai_status END AS final FROM pg) SELECT x.job_id, page_id, j.status AS job_status, coalesce(raw, '') AS raw, coalesce(corrected, raw, '') AS corrected, coalesce(final, corrected, raw, '') AS final, coalesce(final <> coalesce(raw, ''), false) OR coalesce(corrected <> coalesce(raw, ''), false) AS changed FROM x LEFT JOIN jb j ON j.job_id = x.job_id AND x.job_id % 7 <> 0")
+@query("S22_page_view", f"WITH {I.PAGES}, {I.JOBS}, x AS (SELECT job_id, page_id, CASE WHEN page_id % 4 <> 3 THEN route END AS raw, CASE WHEN page_id % 2 = 0 THEN status END AS corrected, CASE WHEN job_id % 3 = 0 THEN ai_status END AS final FROM pg) SELECT x.job_id, page_id, j.status AS job_status, coalesce(raw, '') AS raw, coalesce(corrected, raw, '') AS corrected, coalesce(final, raw, '') AS final, coalesce(final <> coalesce(raw, ''), false) OR coalesce(corrected <> coalesce(raw, ''), false) AS changed FROM x LEFT JOIN jb j ON j.job_id = x.job_id AND x.job_id % 7 <> 0")
 def page_view(spark, d):
     p, k = I.pages(spark, d), F.col("page_id")
     p = p.select("job_id", "page_id", F.when(k % 4 != 3, F.col("route")).alias("raw"), F.when(k % 2 == 0, F.col("status")).alias("corrected"), F.when(F.col("job_id") % 3 == 0, F.col("ai_status")).alias("final"))
     return jobs.page_view(p, I.jobs(spark, d).where("job_id % 7 <> 0"))
 
 
+_EDITED = """ed AS (SELECT doc_id AS job_id, doc_id % 4 + 1 AS page_id, CASE WHEN doc_id % 9 <> 0 THEN text END AS raw, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e', 'E') END AS corrected, CASE WHEN doc_id % 3 = 0 THEN source END AS final, doc_id % 5 < 2 AS pictured FROM documents)"""
+
+
+@query("S22_page_data", f"""WITH {I.PROPOSALS}, {I.JOBS}, {_EDITED}, s AS (SELECT doc_id, sha256(string_agg("start" || ':' || "end" || ':' || block_id || ':' || line_index, ',' ORDER BY "start", "end", block_id, line_index)) AS spans FROM sp GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n, sha256(string_agg("start" || ':' || change_id || ':' || original || ':' || corrected || ':' || status, ',' ORDER BY "start", "end", change_id)) AS changes FROM pr GROUP BY doc_id)
+SELECT ed.job_id, page_id, jb.status AS job_status, sha256(coalesce(raw, '')) AS raw, sha256(coalesce(corrected, raw, '')) AS corrected, sha256(coalesce(final, raw, '')) AS final,
+  coalesce(final <> coalesce(raw, ''), false) OR coalesce(corrected <> coalesce(raw, ''), false) AS changed, s.spans, coalesce(c.changes, sha256('')) AS changes, coalesce(c.n, 0) AS n_changes, CASE WHEN pictured THEN 800 + ed.job_id ELSE 1000 END AS width, CASE WHEN pictured THEN 600 ELSE 1400 END AS height, CASE WHEN pictured THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END AS angle
+FROM ed LEFT JOIN jb ON jb.job_id = ed.job_id LEFT JOIN s ON s.doc_id = ed.job_id LEFT JOIN c ON c.doc_id = ed.job_id""")
+def page_data(spark, d):
+    docs = I.table(spark, d, "documents")
+    k, page = F.col("doc_id"), (F.col("doc_id") % 4 + 1).alias("page_id")
+    pages = docs.select(k.alias("job_id"), page, F.when(k % 9 != 0, F.col("text")).alias("raw"), F.when(k % 2 == 0, F.replace("text", F.lit("e"), F.lit("E"))).alias("corrected"), F.when(k % 3 == 0, F.col("source")).alias("final"))
+    turned = F.struct(*(F.lit(90.0 if n == "angle" else v).alias(n) for n, v in jobs.UPRIGHT.items()))
+    images = docs.where(k % 5 < 2).select(k.alias("job_id"), page, (800 + k).alias("width"), F.lit(600).alias("height"), turned.alias("transform"))
+    own = lambda df: df.select(k.alias("job_id"), page, *(c for c in df.columns if c != "doc_id"))
+    got = jobs.page_data(pages, I.jobs(spark, d), own(I.spans(spark, d)), own(I.proposals(spark, d)), images)
+    text = lambda xs, *names: F.sha2(F.array_join(F.transform(xs, lambda x: F.concat_ws(":", *(x[n].cast("string") for n in names))), ","), 256)
+    hashed = [F.sha2(c, 256).alias(c) for c in ("raw", "corrected", "final")]
+    return got.select("job_id", "page_id", "job_status", *hashed, "changed", text("spans", "start", "end", "block_id", "line_index").alias("spans"), text("changes", "start", "change_id", "original", "corrected", "status").alias("changes"), F.size("changes").cast("long").alias("n_changes"), "width", F.col("height").cast("long").alias("height"), F.col("transform.angle").alias("angle"))
+
+
 @query("S14_A13_job_json", f"""WITH {I.PAGES} SELECT job_id, '[' || string_agg('{{"page_id":' || page_id || ',"status":"' || status || '","route":"' || route || '"}}', ',' ORDER BY page_id) || ']' AS document FROM pg GROUP BY job_id""")
 def job_json(spark, d):
     p = I.pages(spark, d)
     return p.groupBy("job_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("page_id", "status", "route")))).alias("document"))
 
 
+_WRITTEN = """wr AS (SELECT job_id, page_id, CASE (job_id + page_id) % 7 WHEN 3 THEN '{"pages": [' WHEN 5 THEN NULL WHEN 6 THEN '[1]' ELSE '{"pages":[{"page_id":' || page_id || ',"route":"' || route || '"}]}' END AS ocr,
+  CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 AND job_id % 5 = 0 THEN 'nope' ELSE '{"n":' || page_id || '}' END AS changes FROM pg)"""
+
+
+def written(spark, d):
+    """What the pages of jobs have written: some not at all, some not as it should be."""
+    k, page = (F.col("job_id") + F.col("page_id")) % 7, F.col("page_id")
+    ocr = F.when(k == 3, '{"pages": [').when(k == 6, "[1]").when(k != 5, F.concat(F.lit('{"pages":[{"page_id":'), page.cast("string"), F.lit(',"route":"'), "route", F.lit('"}]}')))
+    changes = F.when((page % 3 == 1) & (F.col("job_id") % 5 == 0), "nope").when(page % 3 != 0, F.concat(F.lit('{"n":'), page.cast("string"), F.lit("}")))
+    return I.pages(spark, d).select("job_id", "page_id", ocr.alias("ocr"), changes.alias("changes"))
+
+
+@query("S14_merged_documents", f"""WITH {I.PAGES}, {_WRITTEN}, o AS (SELECT job_id, string_agg(ocr[11:-3], ',' ORDER BY page_id) FILTER ((job_id + page_id) % 7 NOT IN (3, 5, 6)) AS o, string_agg(changes, ',' ORDER BY page_id) FILTER (changes <> 'nope') AS c FROM wr GROUP BY job_id)
+SELECT o_orderkey AS job_id, '{{"job_id":' || o_orderkey || ',"pages":[' || coalesce(o, '') || ']}}' AS ocr, '{{"job_id":' || o_orderkey || ',"pages":[' || coalesce(c, '') || ']}}' AS changes FROM orders LEFT JOIN o ON job_id = o_orderkey""".replace("ocr[11:-3]", "ocr[11:length(ocr) - 2]"))
+def merged(spark, d):
+    return merge.merged_pages(I.jobs(spark, d), written(spark, d))[0]
+
+
+@query("S14_pages_set_aside", f"WITH {I.PAGES}, {_WRITTEN} SELECT job_id, page_id, 'ocr' AS file, CASE (job_id + page_id) % 7 WHEN 3 THEN 'not_json' ELSE 'not_an_object' END AS reason FROM wr WHERE (job_id + page_id) % 7 IN (3, 6) UNION ALL SELECT job_id, page_id, 'changes', 'not_json' FROM wr WHERE changes = 'nope'")
+def set_aside(spark, d):
+    return merge.merged_pages(I.jobs(spark, d), written(spark, d))[1]
+
+
+@query("T8_progress", """WITH e AS (SELECT user_id AS job_id, date_trunc('day', ts) AS begins, event_id, ts, event_type AS stage, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events)
+SELECT job_id, strftime(begins, '%Y-%m-%d %H:%M:%S') AS begins, count(*) AS n_events, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status = 'completed') / nullif(count(*) FILTER (status IN ('completed', 'failed')), 0)::DOUBLE AS share, arg_max(stage, (ts, event_id)) AS stage FROM e GROUP BY job_id, begins""")
+def progress_by_day(spark, d):
+    e = I.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"))
+    return events_progress.progress(e, "1 day").withColumn("begins", F.date_format("begins", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("S21_library_batches", "SELECT source, batch, count(*) AS n, sha256(trim(string_agg(text, chr(10) || chr(10) ORDER BY doc_id))) AS h FROM (SELECT source, doc_id, trim(text) AS text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch FROM documents) GROUP BY source, batch")
 def library(spark, d):
     from pagewright.operators.assemble import ordered_concat

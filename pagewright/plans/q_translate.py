@@ -157,6 +157,24 @@ def provider(spark, d):
     return providers.hybrid(s, providers.Identity(), providers.Dictionary({})).select("id", "translated", "status")
 
 
+class _Fussy(providers.Identity):
+    """Fails on a word, and gives no more than some characters of a text."""
+
+    name, word, most = "fussy", "password", 2000
+
+    def translate(self, texts):
+        if texts.str.contains(self.word, regex=False).any():
+            raise ValueError("refused")
+        return [providers.Reply(t[: self.most], True) if len(t) > self.most else t for t in texts]
+
+
+@query("X2_T7_outcomes", f"WITH {I.SEGMENTS} SELECT doc_id || '/' || id AS id, CASE WHEN contains(text, 'password') THEN 'failed' WHEN length(text) > 2000 THEN 'truncated' ELSE 'translated' END AS status, CASE WHEN contains(text, 'password') THEN 'refused' WHEN length(text) > 2000 THEN 'truncated' END AS error, CASE WHEN NOT contains(text, 'password') THEN length(left(text, 2000)) END AS n FROM sg")
+def outcomes(spark, d):
+    """Lines by a provider that refuses some: each of these fails alone."""
+    s = I.segments(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "id").alias("id"), "text")
+    return providers.translated(s, _Fussy()).select("id", "status", "error", F.length("translated").cast("long").alias("n"))
+
+
 @query("X4_request_envelope", "SELECT doc_id, '{\"id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS envelope FROM documents")
 def envelope(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "source")).alias("envelope"))
