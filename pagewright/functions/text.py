@@ -67,13 +67,15 @@ TARGET_SCRIPTS = {
     "id": r"[A-Za-z]",
     "ms": r"[A-Za-z]",
 }
-#: Code shapes; the first looks at the text as it is, the others at it stripped.
+#: Code shapes, each from the first character that isn't blank.
 CODE_SHAPES = (
-    r"^(?:def|class)\s+[A-Za-z_]\w*",
-    r"^function\s+[A-Za-z_]\w*\s*\(",
-    r"^(?:const|let|var)\s+[A-Za-z_]\w*\s*=",
-    r"^(?:import\s+|#include\b|</?[A-Za-z][^>]*>)",
-    r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\([^\n)]*\);?$",
+    r"(?:def|class)\s+[A-Za-z_]\w*",
+    r"function\s+[A-Za-z_]\w*\s*\(",
+    r"(?:const|let|var)\s+[A-Za-z_]\w*\s*=",
+    r"import\s+(?=(?U:\s*\S))",
+    r"#include\b",
+    r"</?[A-Za-z][^>]*>",
+    r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\([^\n)]*\);?(?U:\s*)\z",
 )
 LIST_BULLETS = r"^\s*(?:([-*•▪◦])|(\d{1,3})[.)])\s+(.+)$"
 HEADING_PREFIX = r"^(บทที่|ตอนที่|ส่วนที่|ภาคผนวก|หัวข้อที่|\d+(\.\d+)*)\s+"
@@ -141,9 +143,10 @@ def strip(text: Column) -> Column:
 
 
 def looks_like_code(text: Column) -> Column:
-    own = strip(text)
-    braces = own.contains("{") & (own.contains("}") | own.endswith(";"))
-    return text.rlike(r"^\s{2,}\S") | any_match(own, CODE_SHAPES) | own.contains("=>") | braces
+    """Indented, or of a code's shape once blanks at both ends are passed over, which the
+    patterns do themselves: one look at the text for all shapes."""
+    braces = text.contains("{") & (text.contains("}") | text.rlike(r";(?U:\s*)\z"))
+    return text.rlike(r"^\s{2,}\S") | text.rlike(r"^(?U:\s*)(?:" + "|".join(CODE_SHAPES) + ")") | text.contains("=>") | braces
 
 
 def critical(text: Column, kind: str) -> Column:
@@ -194,8 +197,8 @@ def has_digit(text: Column) -> Column:
 def dehyphenation(before: Column, after: Column) -> Column:
     """struct(rule, merge, separator): how a line that may end in a hyphen joins the next."""
     outcome = lambda rule, merge, separator: F.struct(F.lit(rule).alias("rule"), F.lit(merge).alias("merge"), F.lit(separator).alias("separator"))
-    address = r"https?://|\S+@\S+"
-    technical = before.rlike(address) | after.rlike(address) | looks_like_code(before) | looks_like_code(after) | before.rlike(r"[`_]|\b[A-Za-z0-9]+_[A-Za-z0-9]+\b") | before.rlike(r"\[\d+\]|\(\w+,\s*\d{4}\)")
+    address = r"https?://|\S@\S"
+    technical = before.rlike(address + r"|[`_]|\[\d+\]|\(\w+,\s*\d{4}\)") | after.rlike(address) | looks_like_code(before) | looks_like_code(after)
     head, tail = F.regexp_extract(before, r"([A-Za-z]+)-$", 1), F.regexp_extract(after, r"^([A-Za-z]+)", 1)
     return (
         F.when(before.endswith("­"), outcome("soft_hyphen_merge", True, ""))
@@ -215,6 +218,60 @@ def joined_lines(before: Column, after: Column) -> Column:
     return F.concat(kept, how["separator"], after)
 
 
+# ---- spots
+
+#: What a page scan looks for, in order; of equal spans the first stays.
+SPOTS = (
+    (r"[\u0e01-\u0e2e][ \u00a0]+[\u0e48-\u0e4b]?\u0e32", "split_sara_am"),
+    (r"[\u0e48-\u0e4b]{2,}", "double_tone_mark"),
+    (r"[\u0e31\u0e34-\u0e37]{2,}", "double_upper_vowel"),
+    (r"[\u0e38\u0e39]{2,}", "double_lower_vowel"),
+    (r"[\u0e48-\u0e4b][\u0e31\u0e34-\u0e37]", "inverted_tone_vowel"),
+    (r"[\u0e40-\u0e44][\s,.\-!?]", "orphan_leading_vowel"),
+    (r"\u0e40\u0e40", "double_sara_e"),
+    (r"วันที(?=[\s\d]|$)", "missing_mai_ek"),
+    (r"อนุญาติ", "superfluous_vowel"),
+    (r"เพือ(?=[\s\u0e01-\u0e2e]|$)", "missing_mai_ek"),
+    (r"อยาง(?=[\s\u0e01-\u0e2e]|$)", "missing_mai_ek"),
+    (r"พดโวยวาย", "missing_vowel"),
+    (r"ป้ามี่(?=[\s\u0e01-\u0e2e]|$)", "confused_consonant"),
+    (r"เทคโนโลยี่", "superfluous_tone"),
+)
+
+_SPANS = "array<struct<start:int,ord:int,end:int,matched:string,reason:string>>"
+
+
+def suspicious_spots(text: Column) -> Column:
+    """array<struct<start, end, matched, reason>>: spans (code points) of likely
+    recognition errors, by where they start; of equal spans the first pattern's stays.
+
+    Where a match is comes from the lengths of the matches and of what is between them.
+    """
+
+    def found(ord_: int, pattern: str, reason: str) -> Column:
+        pattern = "(?U)" + pattern
+        pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            one = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), end.alias("end"), x["hit"].alias("matched"), F.lit(reason).alias("reason"))
+            return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["spans"], one).alias("spans")))
+
+        return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPANS))
+
+    slim = "array<struct<start:int,end:int,matched:string,reason:string>>"
+    every = F.array_sort(F.concat(*(found(i, p, r) for i, (p, r) in enumerate(SPOTS))))
+
+    def once(acc: Column, x: Column) -> Column:
+        same = F.exists(acc, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
+        return F.when(same, acc).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["matched"].alias("matched"), x["reason"].alias("reason"))))
+
+    kept = F.aggregate(every, F.array().cast(slim), once)
+    return F.when(text.rlike("(?U)" + "|".join(p for p, _ in SPOTS)), kept).otherwise(F.array().cast(slim))
+
+
 # ---- output
 
 

@@ -172,9 +172,7 @@ def replace_near(texts: DataFrame) -> DataFrame:
 def suspicious(texts: DataFrame) -> DataFrame:
     """Spots (start, end, matched, reason) that look like recognition errors in the
     texts, a row each, with the correction of those that have a certain one."""
-    from pagewright.functions import arrow as A
-
-    rows = texts.select(*(c for c in texts.columns if c != "text"), F.explode(A.suspicious_spots(F.col("text"))).alias("s"))
+    rows = texts.select(*(c for c in texts.columns if c != "text"), F.explode(T.suspicious_spots(F.col("text"))).alias("s"))
     return rows.select(*(c for c in texts.columns if c != "text"), "s.start", "s.end", "s.matched", "s.reason", T.known_correction(F.col("s.matched"))["corrected"].alias("suggested"))
 
 

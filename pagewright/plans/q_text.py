@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagewright.functions import arrow as A
@@ -69,7 +71,26 @@ def known(spark, d):
     return w.withColumn("k", T.known_correction(F.col("word"))).where("k.corrected is not null").select("doc_id", "ln", "pos", "word", "k.corrected", "k.category")
 
 
-@query("P8_suspicious_spots")
+def _spots_sql() -> str:
+    """Spots by pattern: literals with a look ahead by their places, others by the lengths between matches."""
+    parts = []
+    for i, (pattern, _) in enumerate(T.SPOTS):
+        word, ahead, rest = pattern.partition("(?=")
+        p = re.sub(r"\\u(....)", r"\\x{\1}", pattern)
+        if ahead:
+            follows = re.sub(r"\\u(....)", r"\\x{\1}", rest.partition("|")[0])
+            parts.append(f"SELECT doc_id, ln, {i} AS i, pos - 1 AS s, pos - 1 + {len(word)} AS e, '{word}' AS m FROM (SELECT doc_id, ln, line, unnest(range(1, length(line) + 1)) AS pos FROM th WHERE contains(line, '{word}')) WHERE substr(line, pos, {len(word)}) = '{word}' AND (pos + {len(word)} > length(line) OR regexp_matches(substr(line, pos + {len(word)}, 1), '{follows}'))")
+        else:
+            parts.append(f"""SELECT doc_id, ln, {i} AS i, (e - length(m))::BIGINT AS s, e::BIGINT AS e, m FROM (SELECT doc_id, ln, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, ln ORDER BY k) AS e FROM (SELECT doc_id, ln, unnest(regexp_extract_all(line, '{p}')) AS m,
+  unnest(string_split_regex(line, '{p}')[:len(regexp_extract_all(line, '{p}'))]) AS g, generate_subscripts(regexp_extract_all(line, '{p}'), 1) AS k FROM th WHERE regexp_matches(line, '{p}')))""")
+    reasons = " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(T.SPOTS))
+    known = " ".join(f"WHEN '{k}' THEN '{c}'" for k, (c, _) in T.KNOWN_CORRECTIONS.items())
+    split = "([\\x{0E01}-\\x{0E2E}])[ \\x{00A0}]+([\\x{0E48}-\\x{0E4B}]?)\\x{0E32}"
+    return f"""WITH {I.THAI_SQL}, x AS ({" UNION ALL ".join(parts)}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ln, s, e ORDER BY i) AS r FROM x)
+SELECT doc_id, ln, s::INT AS start, e::INT AS "end", m AS matched, CASE i {reasons} END AS reason, coalesce(CASE m {known} END, CASE WHEN regexp_full_match(m, '{split}') THEN regexp_replace(m, '{split}', '\\1\\2ำ') END) AS suggested FROM o WHERE r = 1"""
+
+
+@query("P8_suspicious_spots", _spots_sql())
 def spots(spark, d):
     from pagewright.operators.correct import suspicious
 
@@ -152,7 +173,7 @@ def dehyphenation(spark, d):
     k, m = (F.col("doc_id") + F.col("ln")) % 7, (F.col("doc_id") + F.col("ln")) % 4
     b = F.concat(F.rtrim("line"), F.when(k == 0, "-").when(k == 1, " -").when(k == 2, "­").when(k == 3, " self-").when(k == 4, "_x-").when(k == 5, "9-").otherwise(""))
     a = F.concat(F.when(m == 0, "Upper").when(m == 1, "7").otherwise(""), F.lower("line"))
-    return I.lines(spark, d).select("doc_id", "ln", T.dehyphenation(b, a)["rule"].alias("rule"))
+    return I.lines(spark, d).select("doc_id", "ln", b.alias("b"), a.alias("a")).select("doc_id", "ln", T.dehyphenation(F.col("b"), F.col("a"))["rule"].alias("rule"))
 
 
 @query("P18_levenshtein", f"WITH {I.LINES}, x AS (SELECT doc_id, ln, line AS a, lower(replace(substr(line, 3), ' t', 'tt')) AS b FROM ln) SELECT doc_id, ln, levenshtein({I.one_byte('a')}, {I.one_byte('b')})::INT AS distance FROM x")

@@ -25,10 +25,12 @@ def test_sara_am_repair(spark):
     assert got == list(cases.values())
 
 
-def test_suspicious_spots():
+def test_suspicious_spots(spark):
     text = "วันที 5 อนุญาติ ท างาน กก่้ เเมว"
-    assert [(s["start"], s["end"], s["reason"]) for s in A.spots_of(text)] == [(0, 5, "missing_mai_ek"), (8, 15, "superfluous_vowel"), (16, 19, "split_sara_am"), (25, 27, "double_tone_mark"), (28, 30, "double_sara_e")]
-    assert A.spots_of("😀 วันที 5")[0]["start"] == 2
+    spots_of = lambda t: spark.createDataFrame([(t,)], "t string").select(T.suspicious_spots(F.col("t")).alias("s")).first().s
+    assert spots_of("") == [] == spots_of("plain") and spots_of(None) in (None, [])
+    assert [(s["start"], s["end"], s["reason"]) for s in spots_of(text)] == [(0, 5, "missing_mai_ek"), (8, 15, "superfluous_vowel"), (16, 19, "split_sara_am"), (25, 27, "double_tone_mark"), (28, 30, "double_sara_e")]
+    assert spots_of("😀 วันที 5")[0]["start"] == 2
 
 
 def test_routing(spark):
