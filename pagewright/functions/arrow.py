@@ -7,11 +7,13 @@ import re
 import unicodedata
 from string import ascii_uppercase
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from . import matching
 
 TEXT = StringType()  # types as objects: workers have no session to parse names with
 
@@ -36,16 +38,13 @@ DIFF = StructType([StructField(n, IntegerType()) for n in ("raw", "corrected", "
 
 
 def diff_counts(raw: str, corrected: str) -> dict:
-    out = dict.fromkeys(("substitutions", "insertions", "deletions", "unchanged"), 0)
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, raw, corrected).get_opcodes():
-        if tag == "equal":
-            out["unchanged"] += j - i
-            continue
-        both = min(j - i, m - k)
-        out["substitutions"] += both
-        out["deletions"] += j - i - both
-        out["insertions"] += m - k - both
-    return {"raw": len(raw), "corrected": len(corrected)} | out
+    """Characters of two texts that are the same, put for others, put in and taken out: of
+    what is between two matching blocks as much counts as replaced as both sides have."""
+    ops = np.array([(i1 - i0, j1 - j0) for kind, i0, i1, j0, j1 in matching.operations(raw, corrected, matching.matching(raw, corrected)) if kind != "equal"], np.int64).reshape(-1, 2)
+    both = ops.min(axis=1)
+    taken, put = (ops.sum(axis=0) - both.sum()).tolist()
+    same = len(raw) - int(ops[:, 0].sum())
+    return {"raw": len(raw), "corrected": len(corrected), "substitutions": int(both.sum()), "insertions": put, "deletions": taken, "unchanged": same}
 
 
 @F.pandas_udf(DIFF)

@@ -139,14 +139,19 @@ PAGE_SIZE = (1000, 1400)
 UPRIGHT = {"angle": 0.0, "scale_x": 1.0, "scale_y": 1.0, "translate_x": 0.0, "translate_y": 0.0}
 
 
+def _with_texts(pages: DataFrame) -> DataFrame:
+    """The texts with the raw one where there is no other, and whether they differ from it."""
+    from .correct import changed
+
+    raw = F.coalesce("raw", F.lit(""))
+    return pages.withColumns({"raw": raw, "corrected": F.coalesce("corrected", raw), "final": F.coalesce("final", raw), "changed": changed(raw, F.col("corrected"), F.col("final"))})
+
+
 def page_view(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """Pages (job_id, page_id, raw, corrected, final) with their job's status, the three
     texts with the raw one where there is no other, and whether they differ from it."""
-    from .correct import changed
-
     own = pages.join(jobs.select("job_id", F.col("status").alias("job_status")), "job_id", "left")
-    raw = F.coalesce("raw", F.lit(""))
-    return own.select("job_id", "page_id", "job_status", raw.alias("raw"), F.coalesce("corrected", raw).alias("corrected"), F.coalesce("final", raw).alias("final"), changed(raw, F.col("corrected"), F.col("final")).alias("changed"))
+    return _with_texts(own).select("job_id", "page_id", "job_status", "raw", "corrected", "final", "changed")
 
 
 def page_data(pages: DataFrame, jobs: DataFrame, spans: DataFrame, changes: DataFrame, images: DataFrame) -> DataFrame:
@@ -160,12 +165,15 @@ def page_data(pages: DataFrame, jobs: DataFrame, spans: DataFrame, changes: Data
     """
     key = ["job_id", "page_id"]
     listed = lambda df, name, *columns: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-    got = page_view(pages, jobs)
-    got = got.join(listed(spans, "spans", "start", "end", "block_id", "line_index"), key, "left")
-    got = got.join(listed(changes, "changes", "start", "end", "change_id", "original", "corrected", "status"), key, "left")
-    got = got.join(images.select(*key, "width", "height", "transform"), key, "left")
+    # what is narrow is put together first, so the texts are moved once
+    beside = listed(spans, "spans", "start", "end", "block_id", "line_index")
+    beside = beside.join(listed(changes, "changes", "start", "end", "change_id", "original", "corrected", "status"), key, "full")
+    beside = beside.join(images.select(*key, "width", "height", "transform"), key, "full")
+    states = jobs.select("job_id", F.col("status").alias("job_status"))
+    beside = pages.select(*key).distinct().join(states, "job_id", "left").join(beside, key, "left")
+    got = _with_texts(pages.join(beside, key))
     upright = F.struct(*(F.lit(v).alias(n) for n, v in UPRIGHT.items()))
-    none = lambda c: F.coalesce(c, F.array().cast(got.schema[c].dataType)).alias(c)
+    none = lambda c: F.coalesce(c, F.array().cast(beside.schema[c].dataType)).alias(c)
     return got.select(*key, "job_status", "raw", "corrected", "final", "changed", none("spans"), none("changes"), F.coalesce("width", F.lit(PAGE_SIZE[0])).alias("width"), F.coalesce("height", F.lit(PAGE_SIZE[1])).alias("height"), F.coalesce("transform", upright).alias("transform"))
 
 

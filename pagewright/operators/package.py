@@ -156,7 +156,8 @@ def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict
             except (ElementTree.ParseError, ValueError):
                 out["broken"].append((name, "invalid_xml"))
                 continue
-            out["elements"] += [(name, _local(e.tag), {_local(k): v for k, v in e.attrib.items()}) for e in root.iter() if isinstance(e.tag, str)]
+            # an element without attributes is of interest only if it runs something
+            out["elements"] += [(name, _local(e.tag), [(_local(k), v) for k, v in e.attrib.items()]) for e in root.iter() if isinstance(e.tag, str) and (e.attrib or _local(e.tag) in ACTIVE)]
     return out
 
 
@@ -265,12 +266,16 @@ def package_errors(files: DataFrame, column: str = "content", most_bytes: int =
     others = [f for f in files.columns if f != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(contents)
         for b in batches:
-            for i, x in enumerate(b.column(len(others))):  # a package at a time
+            packages, rows, begun, size = b.column(len(others)), [], 0, 0
+            for i, x in enumerate(packages):
                 got = read_package(x.as_py(), most_bytes, most_entries)
-                got["elements"] = [(m, t, list(a.items())) for m, t, a in got["elements"]]
-                row = {k: [dict(zip(names, v, strict=True)) for v in got[k]] if names else got[k] for k, names in _SHAPE.items()}
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(len(others))), pa.array([row], to_arrow_type(contents))], [*others, "_contents"])
+                rows.append({k: [dict(zip(names, v, strict=True)) for v in got[k]] if names else got[k] for k, names in _SHAPE.items()})
+                size += got["size"]
+                if size > TOGETHER or i + 1 == len(packages):
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(begun, i + 1 - begun) for k in range(len(others))), pa.array(rows, kind)], [*others, "_contents"])
+                    rows, begun, size = [], i + 1, 0
 
     contents = StructType.fromDDL(f"c {_CONTENTS}")["c"].dataType
     rows = files.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{column}`"))
@@ -278,6 +283,8 @@ def package_errors(files: DataFrame, column: str = "content", most_bytes: int =
     return rows.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in others), package_faults(F.col("_contents"), most_bytes, most_entries).alias("errors"))
 
 
+#: Bytes of packages whose contents are handed on together.
+TOGETHER = 1 << 20
 _SHAPE = {"size": (), "mimetype": (), "members": ("name", "stored", "bytes"), "elements": ("member", "tag", "attrs"), "broken": ("member", "why"), "css": ()}
 
 

@@ -96,8 +96,9 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     own = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(own), F.lit(0))
-    return lines(spark, d).select("doc_id", F.col("ln").alias("ord"), F.concat(F.lit("b"), F.floor(F.col("ln") / 4).cast("string")).alias("block_id"), (F.col("ln") % 4).alias("line_index"), start.alias("start"), (start + F.length("line")).alias("end"))
+    n = lines(spark, d).select("doc_id", "ln", F.length("line").alias("n"))  # lengths alone are sorted
+    start = F.coalesce(F.sum(F.col("n") + 1).over(own), F.lit(0))
+    return n.select("doc_id", F.col("ln").alias("ord"), F.concat(F.lit("b"), F.floor(F.col("ln") / 4).cast("string")).alias("block_id"), (F.col("ln") % 4).alias("line_index"), start.alias("start"), (start + F.col("n")).alias("end"))
 
 
 SPANS = LINES + """,

@@ -158,7 +158,7 @@ def page_view(spark, d):
 _EDITED = """ed AS (SELECT doc_id AS job_id, doc_id % 4 + 1 AS page_id, CASE WHEN doc_id % 9 <> 0 THEN text END AS raw, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e', 'E') END AS corrected, CASE WHEN doc_id % 3 = 0 THEN source END AS final, doc_id % 5 < 2 AS pictured FROM documents)"""
 
 
-@query("S22_page_data", f"""WITH {I.PROPOSALS}, {I.JOBS}, {_EDITED}, s AS (SELECT doc_id, sha256(string_agg("start" || ':' || "end" || ':' || block_id || ':' || line_index, ',' ORDER BY "start", "end", block_id, line_index)) AS spans FROM sp GROUP BY doc_id),
+@query("S22_page_data", f"""WITH {I.SPANS}, pr AS (SELECT doc_id, 'c' || ord AS change_id, "start", "start" + 3 AS "end", block_id AS original, 'x' || ord AS corrected, CASE WHEN ord % 8 = 1 THEN 'accepted' ELSE 'pending' END AS status FROM sp WHERE ord % 4 = 1), {I.JOBS}, {_EDITED}, s AS (SELECT doc_id, sha256(string_agg("start" || ':' || "end" || ':' || block_id || ':' || line_index, ',' ORDER BY "start", "end", block_id, line_index)) AS spans FROM sp GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) AS n, sha256(string_agg("start" || ':' || change_id || ':' || original || ':' || corrected || ':' || status, ',' ORDER BY "start", "end", change_id)) AS changes FROM pr GROUP BY doc_id)
 SELECT ed.job_id, page_id, jb.status AS job_status, sha256(coalesce(raw, '')) AS raw, sha256(coalesce(corrected, raw, '')) AS corrected, sha256(coalesce(final, raw, '')) AS final,
   coalesce(final <> coalesce(raw, ''), false) OR coalesce(corrected <> coalesce(raw, ''), false) AS changed, s.spans, coalesce(c.changes, sha256('')) AS changes, coalesce(c.n, 0) AS n_changes, CASE WHEN pictured THEN 800 + ed.job_id ELSE 1000 END AS width, CASE WHEN pictured THEN 600 ELSE 1400 END AS height, CASE WHEN pictured THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END AS angle
@@ -169,8 +169,10 @@ def page_data(spark, d):
     pages = docs.select(k.alias("job_id"), page, F.when(k % 9 != 0, F.col("text")).alias("raw"), F.when(k % 2 == 0, F.replace("text", F.lit("e"), F.lit("E"))).alias("corrected"), F.when(k % 3 == 0, F.col("source")).alias("final"))
     turned = F.struct(*(F.lit(90.0 if n == "angle" else v).alias(n) for n, v in jobs.UPRIGHT.items()))
     images = docs.where(k % 5 < 2).select(k.alias("job_id"), page, (800 + k).alias("width"), F.lit(600).alias("height"), turned.alias("transform"))
+    spans, ord_ = I.spans(spark, d), F.col("ord")
+    changes = spans.where(ord_ % 4 == 1).select("doc_id", F.concat(F.lit("c"), ord_.cast("string")).alias("change_id"), "start", (F.col("start") + 3).alias("end"), F.col("block_id").alias("original"), F.concat(F.lit("x"), ord_.cast("string")).alias("corrected"), F.when(ord_ % 8 == 1, "accepted").otherwise("pending").alias("status"))
     own = lambda df: df.select(k.alias("job_id"), page, *(c for c in df.columns if c != "doc_id"))
-    got = jobs.page_data(pages, I.jobs(spark, d), own(I.spans(spark, d)), own(I.proposals(spark, d)), images)
+    got = jobs.page_data(pages, I.jobs(spark, d), own(spans), own(changes), images)
     text = lambda xs, *names: F.sha2(F.array_join(F.transform(xs, lambda x: F.concat_ws(":", *(x[n].cast("string") for n in names))), ","), 256)
     hashed = [F.sha2(c, 256).alias(c) for c in ("raw", "corrected", "final")]
     return got.select("job_id", "page_id", "job_status", *hashed, "changed", text("spans", "start", "end", "block_id", "line_index").alias("spans"), text("changes", "start", "change_id", "original", "corrected", "status").alias("changes"), F.size("changes").cast("long").alias("n_changes"), "width", F.col("height").cast("long").alias("height"), F.col("transform.angle").alias("angle"))

@@ -281,12 +281,13 @@ def test_paths(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 ...")
-    (tmp_path / "b.txt").write_bytes(b"text")
-    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff\xe0")
-    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.7 /Encrypt ")
+    from test_structure import jpeg, pdf
+
+    # heads alone aren't files: these are whole ones
+    for name, content in {"a.pdf": pdf(2), "b.txt": b"text", "c.jpg": jpeg(), "d.pdf": pdf(2, locked=True), "e.pdf": b"%PDF-1.7 ...", "f.jpg": b"\xff\xd8\xff\xe0"}.items():
+        (tmp_path / name).write_bytes(content)
     got = {r.path.rsplit("/", 1)[1]: (r.type, r.error) for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.pdf": ("pdf", None), "b.txt": ("unsupported", "unsupported_type"), "c.jpg": ("jpeg", None), "d.pdf": ("pdf", "encrypted")}
+    assert got == {"a.pdf": ("pdf", None), "b.txt": ("unsupported", "unsupported_type"), "c.jpg": ("jpeg", None), "d.pdf": ("pdf", "encrypted"), "e.pdf": ("pdf", "damaged_pdf"), "f.jpg": ("jpeg", "damaged_image")}
     gone = spark.createDataFrame([("x", b""), ("y", None)], "path string, content binary")
     assert [r.error for r in files.validated_files(gone).orderBy("path").collect()] == ["empty", "missing"]
     docs = spark.createDataFrame([(1, 5), (2, 0)], "doc_id int, n_pages int")
