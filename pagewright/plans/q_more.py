@@ -92,15 +92,28 @@ def grid(spark, d):
     return layout.grid_cells(raster.runs_of(seen, "rows"), raster.runs_of(seen, "columns"), seen.select("page_id", "width", "height"))
 
 
-@query("V8_covers", "WITH x AS (SELECT p_partkey AS cover_id, p_partkey % 4 AS k, (p_size - 1) * 137 * (p_partkey % 9000) AS pixels FROM part) SELECT cover_id, CASE k WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE WHEN k = 1 THEN 'type' WHEN k = 3 THEN 'encoding' WHEN k = 2 AND pixels > 16000000 THEN 'too_many_pixels' WHEN k = 2 AND pixels <= 0 THEN 'damaged' END AS error FROM x")
+@query("V8_covers", "WITH x AS (SELECT p_partkey AS cover_id, p_partkey % 4 AS k, (p_size - 1) * 137 * (p_partkey % 9000) AS pixels, p_size % 2 = 0 AS whole FROM part) SELECT cover_id, CASE k WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE WHEN k = 1 THEN 'type' WHEN k = 3 THEN 'encoding' WHEN k = 2 AND pixels > 16000000 THEN 'too_many_pixels' WHEN k = 2 OR NOT whole THEN 'damaged' END AS error FROM x")
 def covers(spark, d):
+    """Covers of which none but some JPEGs are whole: a PNG that is only a header can't be opened."""
     k = F.col("p_partkey") % 4
-    side = lambda n: F.lpad(F.hex(n), 8, "0")
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), side((F.col("p_size") - 1) * 137), side(F.col("p_partkey") % 9000)))
-    content = F.when(k == 0, F.lit(b"\xff\xd8\xff\xe0data")).when(k == 1, F.col("p_name").cast("binary")).otherwise(png)
+    side = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), side((F.col("p_size") - 1) * 137, 8), side(F.col("p_partkey") % 9000, 8), F.lit("0800000000")))
+    jpeg = F.unhex(F.concat(F.lit("FFD8FFC0000B08"), side(F.col("p_size"), 4), side(F.col("p_partkey") % 200 + 1, 4), F.lit("01011100FFDA0008010100003F0012FF0034"), F.when(F.col("p_size") % 2 == 0, "FFD9").otherwise("")))
+    content = F.when(k == 0, jpeg).when(k == 1, F.col("p_name").cast("binary")).otherwise(png)
     encoded = F.when(k == 3, "***").otherwise(F.base64(content))
-    out = files.checked_covers(I.table(spark, d, "part").select(F.col("p_partkey").alias("cover_id"), encoded.alias("encoded")))
-    return out.select("cover_id", F.when(F.col("error").eqNullSafe("encoding"), None).otherwise(F.col("type")).alias("type"), "error")
+    return files.checked_covers(I.table(spark, d, "part").select(F.col("p_partkey").alias("cover_id"), encoded.alias("encoded"))).select("cover_id", "type", "error")
+
+
+@query("V8_clean_covers", f"WITH {I.PAGE_IMAGES} SELECT page_id AS cover_id, CASE WHEN orientation >= 5 THEN height ELSE width END AS width, CASE WHEN orientation >= 5 THEN width ELSE height END AS height, 3 AS parts, CASE kind WHEN 0 THEN 250 WHEN 1 THEN 240 ELSE 40 END AS darkest, CAST(NULL AS VARCHAR) AS error FROM sz")
+def clean_covers(spark, d):
+    """Pages' images as covers: encoded anew, without the orientation that they held."""
+    from pagewright.sources import structure
+
+    images = I.page_images(spark, d)
+    got = files.checked_covers(images.select(F.col("page_id").alias("cover_id"), F.base64("content").alias("encoded")))
+    chunks = structure.file_parts(got.select("cover_id", F.col("clean").alias("content")), "cover_id").where("at >= 0 and ok").groupBy("cover_id").agg(F.count("*").alias("parts"))
+    seen = raster.rasters(got.select("cover_id", F.col("clean").alias("content")), "cover_id").select("cover_id", F.col("low").cast("long").alias("darkest"))
+    return got.select("cover_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "error").join(chunks, "cover_id").join(seen, "cover_id")
 
 
 @query("S19_uploads", f"""WITH {I.LINES}, x AS (SELECT doc_id, ln, CASE ln % 3 WHEN 0 THEN replace(line, ',', '/') WHEN 1 THEN replace(line, ' t', chr(92) || 't') ELSE line END || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.exe' WHEN 3 THEN '' ELSE '.j:peg' END AS name, length(line) * 1000000 AS size FROM ln),

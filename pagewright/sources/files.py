@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .raster import clean_png
 from .structure import oriented_size, structure
 
 
@@ -87,13 +88,25 @@ def written_equal(df: DataFrame, path: str) -> bool:
     return back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
 
 
-def checked_covers(covers: DataFrame, most_bytes: int = 10 << 20, most_pixels: int = 16_000_000) -> DataFrame:
-    """cover_id, type, error of covers(cover_id, encoded): base64 of a PNG or JPEG of bounded size."""
-    content = F.try_to_binary(F.col("encoded"), F.lit("base64"))
-    kind = magic_type(content)
-    side = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-    error = F.when(content.isNull(), "encoding").when(F.octet_length(content) > most_bytes, "too_large").when(~kind.isin("png", "jpeg"), "type").when((kind == "png") & (side(17) * side(21) > most_pixels), "too_many_pixels").when((kind == "png") & (F.coalesce(side(17) * side(21), F.lit(0)) <= 0), "damaged")
-    return covers.select("cover_id", kind.alias("type"), error.alias("error"))
+def checked_covers(covers: DataFrame, most_bytes: int = 10 << 20, most_pixels: int = 16_000_000, most_clean: int = 20 << 20) -> DataFrame:
+    """cover_id, type, width, height, clean, error of covers(cover_id, encoded): base64 of a
+    PNG or JPEG of bounded size.
+
+    The first of these is the error: too_large, encoding, type, too_many_pixels, damaged,
+    too_large_decoded.  ``clean`` is what a package takes: a PNG encoded anew from its
+    pixels, without anything else that the file held; a JPEG, which is decoded by the
+    host, as it is.
+    """
+    content = F.when(F.length("encoded") <= most_bytes * 7 // 5, F.try_to_binary(F.col("encoded"), F.lit("base64")))
+    rows = covers.select("cover_id", (F.length("encoded") > most_bytes * 7 // 5).alias("_long"), content.alias("_c"))
+    rows = rows.withColumn("type", magic_type(F.col("_c"))).withColumn("_s", structure(F.when(F.col("type").isin("png", "jpeg") & (F.octet_length("_c") <= most_bytes), F.col("_c"))))
+    size = F.col("_s.width").cast("long") * F.col("_s.height")
+    error = F.when(F.col("_long") | (F.octet_length("_c") > most_bytes), "too_large").when(F.col("_c").isNull(), "encoding").when(~F.col("type").isin("png", "jpeg"), "type").when(size > most_pixels, "too_many_pixels").when(F.col("_s.fault").isNotNull(), "damaged")
+    rows = rows.withColumn("error", error)
+    rows = rows.withColumn("clean", F.when(F.col("error").isNull() & (F.col("type") == "jpeg"), F.col("_c")).otherwise(clean_png(F.when(F.col("error").isNull() & (F.col("type") == "png"), F.col("_c")))))
+    late = F.when(F.col("clean").isNull(), "damaged").when(F.octet_length("clean") > most_clean, "too_large_decoded")
+    rows = rows.withColumn("error", F.coalesce("error", late))
+    return rows.select("cover_id", F.when(F.col("_c").isNotNull(), F.col("type")).alias("type"), F.col("_s.width").alias("width"), F.col("_s.height").alias("height"), F.when(F.col("error").isNull(), F.col("clean")).alias("clean"), "error")
 
 
 def accepted_uploads(files: DataFrame, extensions=("pdf", "png", "jpg", "jpeg"), most_bytes: int = 300 << 20) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from . import structure as S
 
@@ -67,8 +67,8 @@ def _samples(lines: np.ndarray, width: int, depth: int, per: int) -> np.ndarray:
     return lines[:, : width * per].reshape(len(lines), width, per)
 
 
-def luminance(data: bytes) -> np.ndarray:
-    """height x width of 0 to 255; alpha is left out, as nothing is behind the page."""
+def pixels(data: bytes) -> np.ndarray:
+    """height x width x 1 or 3, of 0 to 255; alpha is left out, as nothing is behind the page."""
     head, palette, packed = None, b"", []
     for name, at, size, ok in S.png_chunks(data):
         body = data[at : at + size]
@@ -99,10 +99,30 @@ def luminance(data: bytes) -> np.ndarray:
         out = table[out[:, :, 0]]
     elif depth < 8:
         out = out * np.uint8(255 // (2**depth - 1))
-    if out.shape[2] < 3:
+    return out[:, :, : 3 if out.shape[2] >= 3 else 1]
+
+
+def luminance(data: bytes) -> np.ndarray:
+    """height x width of 0 to 255."""
+    out = pixels(data)
+    if out.shape[2] == 1:
         return out[:, :, 0]
     # The weights of red, green and blue in 65,536ths.
-    return ((out[:, :, :3].astype(np.uint32) @ np.array([19595, 38470, 7471], np.uint32) + 0x8000) >> 16).astype(np.uint8)
+    return ((out.astype(np.uint32) @ np.array([19595, 38470, 7471], np.uint32) + 0x8000) >> 16).astype(np.uint8)
+
+
+def encoded_anew(data: bytes) -> bytes | None:
+    """A PNG of the same pixels, as red, green and blue, and nothing else; None where it can't be decoded."""
+    try:
+        out = pixels(data)
+    except (ValueError, zlib.error):
+        return None
+    return written(np.repeat(out, 3, axis=2) if out.shape[2] == 1 else out, (0,))
+
+
+@F.arrow_udf(BinaryType())
+def clean_png(content: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else encoded_anew(x) for x in content.to_pylist()], pa.binary())
 
 
 def turned(image: np.ndarray, orientation: int) -> np.ndarray:
