@@ -184,81 +184,103 @@ def resolved(folder: Column, path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
 
 
-def package_faults(c: Column, most_bytes: int = 100 << 20, most_entries: int = 1000) -> Column:
-    """array<string>: what is wrong with packages whose contents ``c`` are as read.
+def package_faults(packages: DataFrame, contents: str, most_bytes: int = 100 << 20, most_entries: int = 1000) -> DataFrame:
+    """``packages`` with errors (array<string>) in place of ``contents``, as ``read_package`` gives them.
 
     Sets of names are compared: required against there, declared against there,
     spine against manifest, references against members and anchors.  If an archive's
-    size, number of members or paths aren't safe, that is all that is told.
+    size, number of members or paths aren't safe, that is all that is told.  What is
+    compared with each element is a column of its own, so it is made once a package.
     """
+    c, columns = F.col(contents), [x for x in packages.columns if x != contents]
+    none = F.array().cast("array<string>")
     said = lambda word, names: F.transform(names, lambda n: F.concat(F.lit(f"{word}: "), n))
     told = lambda word, bad: F.array_compact(F.array(F.when(bad, F.lit(word))))
     repeated = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
-    listed = F.transform(c["members"], lambda m: m["name"])
-    names = F.array_distinct(listed)
-    bytes_ = F.aggregate(c["members"], F.lit(0).cast("long"), lambda acc, m: acc + m["bytes"])
     broken = lambda why: F.transform(F.filter(c["broken"], lambda b: b["why"] == why), lambda b: b["member"])
-    readable = (c["size"] <= most_bytes) & (F.size(broken("not_a_zip")) == 0)
+    of = lambda member, tag: F.filter(c["elements"], lambda e: (e["member"] == member) & (e["tag"] == tag))
+    given = lambda es, name: F.transform(es, lambda e: F.coalesce(e["attrs"][name], F.lit("")))
+    text = lambda e, name: F.coalesce(e["attrs"][name], F.lit(""))
+
+    item = lambda e: F.struct(text(e, "id").alias("id"), text(e, "href").alias("href"), resolved(F.lit(OPF.rpartition("/")[0]), text(e, "href")).alias("path"), F.split(text(e, "properties"), r"\s+").alias("properties"))
+    rows = packages.withColumns(
+        {
+            "_listed": F.transform(c["members"], lambda m: m["name"]),
+            "_bytes": F.aggregate(c["members"], F.lit(0).cast("long"), lambda acc, m: acc + m["bytes"]),
+            "_torn": broken("corrupt"),
+            "_unparsed": broken("invalid_xml"),
+            "_zip": F.size(broken("not_a_zip")) == 0,
+            "_items": F.transform(of(OPF, "item"), item),
+            "_spine": given(of(OPF, "itemref"), "idref"),
+            "_roots": given(of(CONTAINER, "rootfile"), "full-path"),
+            "_pages": F.filter(c["elements"], lambda e: F.endswith(e["member"], F.lit(".xhtml"))),
+            "_first": F.get(c["members"], F.lit(0)),
+            "_size": c["size"],
+            "_css": c["css"],
+            "_mimetype": c["mimetype"],
+        }
+    )
+    # a page's references, and the members and anchors that those of its own package lead to
+    refs = F.flatten(F.transform("_pages", lambda e: F.transform(F.array_compact(F.array(e["attrs"]["href"], e["attrs"]["src"])), lambda r: F.struct(e["member"].alias("member"), r.alias("ref")))))
+    runs = lambda e: e["tag"].isin(*sorted(ACTIVE)) | F.exists(F.map_keys(e["attrs"]), lambda k: F.lower(k).startswith("on"))
+    rows = rows.withColumns(
+        {
+            "_names": F.array_distinct("_listed"),
+            "_anchors": F.transform(F.filter("_pages", lambda e: text(e, "id") != ""), lambda e: F.concat(e["member"], F.lit("#"), e["attrs"]["id"])),
+            "_refs": F.transform(refs, lambda r: F.struct(r["member"], r["ref"], r["ref"].rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)").alias("outside"), F.regexp_extract(r["ref"], "^[^?#]*", 0).alias("path"))),
+            "_active": F.array_distinct(F.transform(F.filter("_pages", runs), lambda e: e["member"])),
+        }
+    ).drop(contents, "_pages")
+    folder = lambda m: F.when(F.contains(m, F.lit("/")), F.regexp_replace(m, "/[^/]*$", "")).otherwise("")
+    place = lambda r: F.struct(F.when(r["path"] == "", r["member"]).otherwise(resolved(folder(r["member"]), r["path"])).alias("path"), F.regexp_extract(r["ref"], "#(.*)$", 1).alias("anchor"))
+    rows = rows.withColumn("_local", F.transform(F.filter("_refs", lambda r: ~r["outside"]), place))
+    rows = rows.withColumn("_absent", F.array_except(F.transform("_local", lambda r: r["path"]), F.col("_names")))
+
+    names, unparsed = F.col("_names"), F.col("_unparsed")
+    readable = (F.col("_size") <= most_bytes) & F.col("_zip")
     outer = F.concat(
-        told("too_large", c["size"] > most_bytes),
-        told("not_a_zip", F.size(broken("not_a_zip")) > 0),
-        told("empty", readable & (F.size(listed) == 0)),
-        told("too_many_entries", F.size(listed) > most_entries),
-        told("duplicate_names", repeated(listed)),
-        told("too_large_unpacked", bytes_ > most_bytes),
+        told("too_large", F.col("_size") > most_bytes),
+        told("not_a_zip", ~F.col("_zip")),
+        told("empty", readable & (F.size("_listed") == 0)),
+        told("too_many_entries", F.size("_listed") > most_entries),
+        told("duplicate_names", repeated(F.col("_listed"))),
+        told("too_large_unpacked", F.col("_bytes") > most_bytes),
         said("unsafe_path", F.filter(names, lambda n: ~safe_path(n))),
     )
-
-    of = lambda member, tag: F.filter(c["elements"], lambda e: (e["member"] == member) & (e["tag"] == tag))
-    given = lambda es, name: F.transform(es, lambda e: F.coalesce(e["attrs"][name], F.lit("")))
-    parsed = lambda member: F.array_contains(names, member) & ~F.array_contains(broken("invalid_xml"), member)
-    items = F.transform(of(OPF, "item"), lambda e: F.struct(F.coalesce(e["attrs"]["id"], F.lit("")).alias("id"), F.coalesce(e["attrs"]["href"], F.lit("")).alias("href"), resolved(F.lit(OPF.rpartition("/")[0]), F.coalesce(e["attrs"]["href"], F.lit(""))).alias("path"), F.split(F.coalesce(e["attrs"]["properties"], F.lit("")), r"\s+").alias("properties")))
-    ids, declared = F.transform(items, lambda i: i["id"]), F.transform(items, lambda i: i["path"])
+    parsed = lambda member: F.array_contains(names, member) & ~F.array_contains(unparsed, member)
+    ids, declared = F.transform("_items", lambda i: i["id"]), F.transform("_items", lambda i: i["path"])
     whole = lambda i: (i["id"] != "") & (i["href"] != "") & safe_path(i["path"])
     fixed = F.array(*map(F.lit, ("mimetype", CONTAINER, OPF)))
     manifest = F.concat(
         told("duplicate_ids", repeated(ids)),
-        said("manifest_item", F.transform(F.filter(items, lambda i: ~whole(i)), lambda i: F.when(i["id"] == "", "?").otherwise(i["id"]))),
-        said("declared_missing", F.array_except(F.transform(F.filter(items, whole), lambda i: i["path"]), names)),
-        said("spine", F.array_except(given(of(OPF, "itemref"), "idref"), ids)),
+        said("manifest_item", F.transform(F.filter("_items", lambda i: ~whole(i)), lambda i: F.when(i["id"] == "", "?").otherwise(i["id"]))),
+        said("declared_missing", F.array_except(F.transform(F.filter("_items", whole), lambda i: i["path"]), names)),
+        said("spine", F.array_except(F.col("_spine"), ids)),
         said("undeclared", F.array_sort(F.array_except(names, F.concat(declared, fixed)))),
-        told("no_nav", ~F.exists(items, lambda i: F.array_contains(i["properties"], "nav"))),
+        told("no_nav", ~F.exists("_items", lambda i: F.array_contains(i["properties"], "nav"))),
     )
-
-    pages = F.filter(c["elements"], lambda e: F.endswith(e["member"], F.lit(".xhtml")))
-    anchors = F.transform(F.filter(pages, lambda e: F.coalesce(e["attrs"]["id"], F.lit("")) != ""), lambda e: F.concat(e["member"], F.lit("#"), e["attrs"]["id"]))
-    member_of = lambda key: F.substring_index(key, "#", 1)
-    twice = F.when(repeated(anchors), F.array_distinct(F.transform(F.filter(anchors, lambda a: F.size(F.filter(anchors, lambda x: x == a)) > 1), member_of))).otherwise(F.array().cast("array<string>"))
-    runs = lambda e: e["tag"].isin(*sorted(ACTIVE)) | F.exists(F.map_keys(e["attrs"]), lambda k: F.lower(k).startswith("on"))
-    refs = F.flatten(F.transform(pages, lambda e: F.transform(F.array_compact(F.array(e["attrs"]["href"], e["attrs"]["src"])), lambda r: F.struct(e["member"].alias("member"), r.alias("ref")))))
-    outside = lambda r: r["ref"].rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)")
-    path = lambda r: F.regexp_extract(r["ref"], "^[^?#]*", 0)
-    folder = lambda m: F.when(F.contains(m, F.lit("/")), F.regexp_replace(m, "/[^/]*$", "")).otherwise("")
-    local = F.transform(F.filter(refs, lambda r: ~outside(r)), lambda r: F.struct(F.when(path(r) == "", r["member"]).otherwise(resolved(folder(r["member"]), path(r))).alias("path"), F.regexp_extract(r["ref"], "#(.*)$", 1).alias("anchor")))
-    places = F.transform(local, lambda r: r["path"])
-    there = F.filter(local, lambda r: (r["anchor"] != "") & F.array_contains(names, r["path"]))
+    # how often an anchor stands in a sorted list shows where its neighbour is the same
+    again = F.transform(F.filter(F.arrays_zip(F.array_sort("_anchors").alias("a"), F.slice(F.array_sort("_anchors"), 2, 1 << 30).alias("b")), lambda p: p["a"] == p["b"]), lambda p: F.substring_index(p["a"], "#", 1))
+    led = F.filter("_local", lambda r: (r["anchor"] != "") & ~F.array_contains("_absent", r["path"]))
     documents = F.concat(
-        said("duplicate_anchors", twice),
-        said("active_content", F.array_distinct(F.transform(F.filter(pages, runs), lambda e: e["member"]))),
-        said("external", F.array_distinct(F.transform(F.filter(refs, outside), lambda r: r["ref"]))),
-        said("missing_reference", F.array_except(places, names)),
-        said("missing_fragment", F.array_except(F.transform(there, lambda r: F.concat(r["path"], F.lit("#"), r["anchor"])), anchors)),
+        said("duplicate_anchors", F.array_distinct(again)),
+        said("active_content", F.col("_active")),
+        said("external", F.array_distinct(F.transform(F.filter("_refs", lambda r: r["outside"]), lambda r: r["ref"]))),
+        said("missing_reference", F.col("_absent")),
+        said("missing_fragment", F.array_except(F.transform(led, lambda r: F.concat(r["path"], F.lit("#"), r["anchor"])), F.col("_anchors"))),
     )
-
-    first = c["members"][0]
-    none = F.array().cast("array<string>")
     inner = F.concat(
-        said("corrupt", broken("corrupt")),
+        said("corrupt", F.col("_torn")),
         said("missing", F.array_except(F.array(*map(F.lit, REQUIRED)), names)),
-        told("mimetype_not_first_and_stored", ~((first["name"] == "mimetype") & first["stored"])),
-        told("mimetype_content", F.array_contains(names, "mimetype") & ~c["mimetype"].eqNullSafe(F.lit(MIMETYPE))),
-        said("unsafe_css", c["css"]),
-        said("invalid_xml", broken("invalid_xml")),
+        told("mimetype_not_first_and_stored", ~((F.col("_first.name") == "mimetype") & F.col("_first.stored"))),
+        told("mimetype_content", F.array_contains(names, "mimetype") & ~F.col("_mimetype").eqNullSafe(F.lit(MIMETYPE))),
+        said("unsafe_css", F.col("_css")),
+        said("invalid_xml", unparsed),
         F.when(parsed(OPF), manifest).otherwise(none),
-        told("container_rootfile", parsed(CONTAINER) & (given(of(CONTAINER, "rootfile"), "full-path") != F.array(F.lit(OPF)))),
+        told("container_rootfile", parsed(CONTAINER) & (F.col("_roots") != F.array(F.lit(OPF)))),
         documents,
     )
-    return F.when(F.size(outer) > 0, outer).otherwise(inner)
+    return rows.select(*(F.col(f"`{x}`") for x in columns), F.when(F.size(outer) > 0, outer).otherwise(inner).alias("errors"))
 
 
 def package_errors(files: DataFrame, column: str = "content", most_bytes: int = 100 << 20, most_entries: int = 1000) -> DataFrame:
@@ -280,7 +302,7 @@ def package_errors(files: DataFrame, column: str = "content", most_bytes: int =
     contents = StructType.fromDDL(f"c {_CONTENTS}")["c"].dataType
     rows = files.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{column}`"))
     schema = StructType([*(files.schema[c] for c in others), StructField("_contents", contents)])
-    return rows.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in others), package_faults(F.col("_contents"), most_bytes, most_entries).alias("errors"))
+    return package_faults(rows.mapInArrow(run, schema), "_contents", most_bytes, most_entries)
 
 
 #: Bytes of packages whose contents are handed on together.
