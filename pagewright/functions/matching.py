@@ -1,10 +1,17 @@
 """Matching blocks of two sequences: the longest common run first, then what is left and right of it.
 
-Runs of equal elements are found at once, on the diagonals of the pairs of equal
-elements.  A block takes the longest of its runs, the earliest of equals, grows it by
-equal elements on both sides, and hands its other runs, cut where they reach over, to
-the blocks beside it; so no run is looked for twice.  In a sequence of 200 elements or
-more those that make up more than a hundredth of it start no run.
+In a block with few pairs of equal elements all runs are found at once, on the
+diagonals of these pairs.  The block takes the longest of its runs, the earliest of
+equals, grows it by equal elements on both sides, and hands its other runs, cut where
+they reach over, to the blocks beside it; so no run is looked for twice.
+
+In a block with more pairs no pair is listed.  The length of the longest run is found
+by bisection, as a run of some length implies all shorter ones: whether there is one
+is asked of rolling hashes of that length.  The run is then the first place whose hash
+the other side has.
+
+In a sequence of 200 elements or more those that make up more than a hundredth of it
+start no run.
 """
 
 from __future__ import annotations
@@ -21,34 +28,88 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """(length, -first in a, -first in b) of the maximal runs of equal elements; the largest is the one to take."""
-    order = np.argsort(b, kind="stable")
-    in_order = b[order]
-    low = np.searchsorted(in_order, a, "left")
-    n = np.searchsorted(in_order, a, "right") - low
-    if len(b) >= LONG:
-        n[n > len(b) // SHARE + 1] = 0
-    total = int(n.sum())
-    if not total:
-        return []
-    i = np.repeat(np.arange(len(a)), n)
-    j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)]
-    key = (j - i + len(a)) * (len(a) + 1) + i  # by diagonal, then along it
-    key.sort()
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1] + 1)))
-    diagonal, first = np.divmod(key[at], len(a) + 1)
-    length = np.diff(np.append(at, total))
-    return list(zip(length.tolist(), (-first).tolist(), (len(a) - first - diagonal).tolist(), strict=True))
-
-
-def blocks(a: Sequence, b: Sequence, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+#: Pairs of equal elements up to which a block's runs are listed.
+PAIRS = 20_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _run_lengths(ok: np.ndarray) -> np.ndarray:
+    """For each place how many places from it on are in a row."""
+    n = len(ok)
+    bad = np.append(np.flatnonzero(~ok), n)
+    return bad[np.searchsorted(bad, np.arange(n))] - np.arange(n)
+
+
+class Pair:
+    """Two sequences as numbers, with what all blocks need of them."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        values, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        self.a, self.b, self.n_values = at[: len(a)], at[len(a) :], len(values)
+        often = np.bincount(self.b, minlength=len(values)) > len(b) // SHARE + 1 if len(b) >= LONG else np.zeros(len(values), bool)
+        self.rare = ~often
+        self.sides: list[tuple] | None = None
+
+    def pairs(self, a0: int, a1: int, b0: int, b1: int) -> int:
+        count = lambda x: np.bincount(x, minlength=self.n_values)
+        return int((count(self.a[a0:a1]) * count(self.b[b0:b1]))[self.rare].sum())
+
+    def runs(self, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int, int]]:
+        """(length, -first in a, -first in b) of a block's maximal runs; the largest is the one to take."""
+        a, b = self.a[a0:a1], self.b[b0:b1]
+        order = np.argsort(b, kind="stable")
+        in_order = b[order]
+        low = np.searchsorted(in_order, a, "left")
+        n = (np.searchsorted(in_order, a, "right") - low) * self.rare[a]
+        total = int(n.sum())
+        if not total:
+            return []
+        i = np.repeat(np.arange(len(a)), n)
+        j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)]
+        key = (j - i + len(a)) * (len(a) + 1) + i  # by diagonal, then along it
+        key.sort()
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1] + 1)))
+        diagonal, first = np.divmod(key[at], len(a) + 1)
+        length = np.diff(np.append(at, total))
+        return list(zip(length.tolist(), (-first - a0).tolist(), (len(a) - first - diagonal - b0).tolist(), strict=True))
+
+    def _hashes(self, side: int, first: int, end: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of ``n`` rare elements in a part of a side, and where they begin."""
+        if self.sides is None:
+            value = np.random.default_rng(7).integers(0, 1 << 63, self.n_values, dtype=np.uint64)
+            self.sides = []
+            power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(len(self.a), len(self.b)), _ODD))), dtype=np.uint64)
+            for x in (self.a, self.b):
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(value[x] * power[: len(x)], dtype=np.uint64)))
+                self.sides.append((sums, power[::-1], _run_lengths(self.rare[x])))
+        sums, lift, good = self.sides[side]
+        at = first + np.flatnonzero(good[first : max(first, end - n + 1)] >= n)
+        return (sums[at + n] - sums[at]) * lift[at], at  # lifted to one power, so equal runs have equal hashes
+
+    def longest(self, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+        """The run to take of a block, as ``runs`` has it, without listing any."""
+        found, low, high = (0, -a0, -b0), 1, min(a1 - a0, b1 - b0)
+        while low <= high:
+            n = (low + high) // 2 if found[0] else min(high, 2 * low - 1)
+            (x, i), (y, j) = self._hashes(0, a0, a1, n), self._hashes(1, b0, b1, n)
+            hit = np.flatnonzero(np.isin(x, y))
+            if len(hit):
+                k = hit[0]
+                found, low = (n, -int(i[k]), -int(j[np.flatnonzero(y == x[k])[0]])), n + 1
+            else:
+                high = n - 1
+        return found
+
+
+def blocks(a: Sequence, b: Sequence, pair: Pair) -> list[tuple[int, int, int]]:
     """(first in a, first in b, length) of the matching blocks, in order, none next to another."""
     out = []
-    todo = [(0, len(a), 0, len(b), found)]
+    todo: list[tuple] = [(0, len(a), 0, len(b), None)]
     while todo:
         a0, a1, b0, b1, here = todo.pop()
-        n, i, j = max(here) if here else (0, -a0, -b0)
+        if here is None and pair.pairs(a0, a1, b0, b1) <= PAIRS:
+            here = pair.runs(a0, a1, b0, b1)
+        n, i, j = pair.longest(a0, a1, b0, b1) if here is None else max(here) if here else (0, -a0, -b0)
         i, j = -i, -j
         ei, ej = i + n, j + n
         while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
@@ -59,9 +120,9 @@ def blocks(a: Sequence, b: Sequence, found: list[tuple[int, int, int]]) -> list[
             continue
         out.append((i, j, ei - i))
         if i > a0 and j > b0:
-            todo.append((a0, i, b0, j, [(k, x, y) for n, x, y in here if (k := min(n, i + x, j + y)) > 0]))
+            todo.append((a0, i, b0, j, here and [(k, x, y) for n, x, y in here if (k := min(n, i + x, j + y)) > 0]))
         if ei < a1 and ej < b1:
-            todo.append((ei, a1, ej, b1, [(n - k, x - k, y - k) for n, x, y in here if (k := max(0, ei + x, ej + y)) < n]))
+            todo.append((ei, a1, ej, b1, here and [(n - k, x - k, y - k) for n, x, y in here if (k := max(0, ei + x, ej + y)) < n]))
     whole: list[tuple[int, int, int]] = []
     for i, j, n in sorted(out):
         if whole and whole[-1][0] + whole[-1][2] == i and whole[-1][1] + whole[-1][2] == j:
@@ -74,7 +135,7 @@ def matching(a: str, b: str) -> list[tuple[int, int, int]]:
     """The matching blocks of two texts, by characters."""
     if a == b:
         return [(0, 0, len(a))] if a else []
-    return blocks(a, b, runs(codes(a), codes(b)))
+    return blocks(a, b, Pair(codes(a), codes(b)))
 
 
 def operations(a: Sequence, b: Sequence, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int]]:

@@ -325,4 +325,6 @@ def packages(chapters: DataFrame) -> DataFrame:
         data = build(f"doc-{doc}", rows[0][1], [(title, body) for _, title, body in rows])
         return pa.table({"doc_id": pa.array([doc], pa.int64()), "package": pa.array([data], pa.binary())})
 
-    return chapters.groupBy("doc_id").applyInArrow(run, "doc_id long, package binary")
+    # building costs more than bytes tell, so small partitions aren't put together
+    dealt = chapters.repartition(int(chapters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.groupBy("doc_id").applyInArrow(run, "doc_id long, package binary")

@@ -131,7 +131,9 @@ def context(spark, d):
 def diff(spark, d):
     t = I.lines(spark, d)
     t = t.withColumn("s", A.diff_summary(F.col("line"), F.translate("line", "eno", "aE")))
-    return t.select("doc_id", "ln", "s.*", (F.levenshtein("line", F.translate("line", "eno", "aE")) <= F.col("s.substitutions") + F.col("s.insertions") + F.col("s.deletions")).alias("bounded"))
+    # what one side has and the other hasn't accounts for both lengths
+    sides = (F.col("s.unchanged") + F.col("s.substitutions") + F.col("s.deletions") == F.length("line")) & (F.col("s.unchanged") + F.col("s.substitutions") + F.col("s.insertions") == F.length(F.translate("line", "eno", "aE")))
+    return t.select("doc_id", "ln", "s.*", sides.alias("bounded"))
 
 
 @query("D6_unified_diff")

@@ -307,7 +307,7 @@ def parts(spark, d):
 
 @query("P2_blank_images", f"WITH {I.PAGE_IMAGES} SELECT page_id, width, height, kind < 2 AS blank FROM sz")
 def blank_images(spark, d):
-    seen = raster.rasters(I.page_images(spark, d))
+    seen = raster.rasters(I.page_images(spark, d), with_runs=False)
     return seen.select("page_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), T.visually_blank(F.col("low"), F.col("high"), F.col("variance")).alias("blank"))
 
 

@@ -20,6 +20,8 @@ from . import structure as S
 
 #: Luminance under which a pixel is dark, and pixels of an image at most.
 DARK, MOST_PIXELS = 180, 100_000_000
+#: Images whose numbers and runs are handed on together; their pixels never are.
+TOGETHER = 64
 
 
 def unfiltered(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarray:
@@ -45,14 +47,14 @@ def unfiltered(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarr
 def _sequential(kind: int, x: list[int], up: list[int], to: np.ndarray, step: int) -> None:
     """Average and Paeth, where each byte needs the one before it."""
     done = [0] * step  # what stands left of the line
-    for i, v in enumerate(x):
-        left = done[i]
+    corners = [0] * step + up
+    for v, left, above, corner in zip(x, done, up, corners, strict=False):
         if kind == 3:
-            near = (left + up[i]) >> 1
-        else:
-            corner = up[i - step] if i >= step else 0
-            # the one of the three that is closest to left + up - corner, in this order
-            near = min((abs(up[i] - corner), 0, left), (abs(left - corner), 1, up[i]), (abs(left + up[i] - 2 * corner), 2, corner))[2]
+            near = (left + above) >> 1
+        else:  # the one of the three that is closest to left + above - corner, in this order
+            to_left, to_above = abs(above - corner), abs(left - corner)
+            to_corner = abs(left + above - 2 * corner)
+            near = left if to_left <= to_above and to_left <= to_corner else above if to_above <= to_corner else corner
         done.append((v + near) & 255)
     to[:] = done[step:]
 
@@ -136,42 +138,59 @@ def turned(image: np.ndarray, orientation: int) -> np.ndarray:
     return image
 
 
-def runs(dark: np.ndarray) -> list[dict]:
+def runs(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """line, first, last of the runs of dark pixels along the rows."""
     edge = np.zeros((dark.shape[0], dark.shape[1] + 2), np.int8)
     edge[:, 1:-1] = dark
     line, at = np.nonzero(np.diff(edge, axis=1))
-    return [{"line": a, "first": b, "last": c - 1} for a, b, c in zip(line[::2].tolist(), at[::2].tolist(), at[1::2].tolist(), strict=True)]
+    return line[::2], at[::2], at[1::2] - 1
 
 
 _RUN = StructType([StructField(n, IntegerType()) for n in ("line", "first", "last")])
 RASTER = StructType([StructField(n, IntegerType()) for n in ("width", "height", "low", "high")] + [StructField("variance", DoubleType())] + [StructField(n, ArrayType(_RUN)) for n in ("rows", "columns")])
 
 
-def measured(data: bytes) -> dict | None:
+def measured(data: bytes, with_runs: bool = True) -> tuple | None:
+    """width, height, low, high, variance, and the runs by row and by column."""
     try:
         image = luminance(data)
     except (ValueError, zlib.error):
         return None
-    image = turned(image, S.described(data)["orientation"] or 1)
-    dark = image < DARK
-    return {"width": image.shape[1], "height": image.shape[0], "low": int(image.min()), "high": int(image.max()), "variance": float(image.var()), "rows": runs(dark), "columns": runs(dark.T)}
-
-
-def rasters(files: DataFrame, key: str = "page_id") -> DataFrame:
+    none = (np.zeros(0, np.int64),) * 3
+    if with_runs:
+        image = turned(image, S.described(data)["orientation"] or 1)
+    else:  # the rest needs the sides alone
+        across = (S.described(data)["orientation"] or 1) >= 5
+        image = image.T if across else image
+    dark = image < DARK if with_runs else None
+    return image.shape[1], image.shape[0], int(image.min()), int(image.max()), float(image.var()), runs(dark) if with_runs else none, runs(dark.T) if with_runs else none
+
+
+def _run_lists(found: list[tuple | None], at: int) -> pa.Array:
+    """The runs of images as lists of structs, null where an image couldn't be decoded."""
+    mine = [f[at] if f else None for f in found]
+    ends = np.cumsum([0, *(len(m[0]) if m else 0 for m in mine)]).astype(np.int32)
+    parts = [np.concatenate([np.zeros(0, np.int64), *(m[k] for m in mine if m)]).astype(np.int32) for k in range(3)]
+    values = pa.StructArray.from_arrays([pa.array(p) for p in parts], ["line", "first", "last"])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([m is None for m in mine]))
+
+
+def rasters(files: DataFrame, key: str = "page_id", with_runs: bool = True) -> DataFrame:
     """key, width, height, low, high, variance, rows, columns of files(key, content): the
     extremes and the variance of each PNG's luminance, and its dark runs by row and by
-    column (line, first, last).  All are null where an image can't be decoded."""
+    column (line, first, last).  All are null where an image can't be decoded; without
+    ``with_runs`` no run is looked for."""
     kind = files.schema[key].dataType.simpleString()
     schema = StructType([*StructType.fromDDL(f"`{key}` {kind}").fields, *RASTER.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image = pa.struct([(n, pa.int32()) for n in ("line", "first", "last")])
-        kinds = [pa.int32()] * 4 + [pa.float64()] + [pa.list_(image)] * 2
+        kinds = [pa.int32()] * 4 + [pa.float64()]
         for batch in batches:
-            for i, content in enumerate(batch.column(1)):  # an image at a time
-                got = measured(content.as_py() or b"") or dict.fromkeys(RASTER.names)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([got[n]], k) for n, k in zip(RASTER.names, kinds, strict=True))], [key, *RASTER.names])
+            for begun in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(begun, TOGETHER)
+                found = [measured(x.as_py() or b"", with_runs) for x in part.column(1)]
+                numbers = [pa.array([f[k] if f else None for f in found], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, _run_lists(found, 5), _run_lists(found, 6)], [key, *RASTER.names])
 
     return files.select(key, "content").mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,23 @@ def test_texts(n):
         assert ours(a, b) == theirs(a, b)
 
 
+def test_long_texts_list_no_pairs(monkeypatch):
+    """The same whether runs are listed or the longest is searched for; long lines stay quick."""
+    rng = random.Random(4)
+    for limit in (0, 30):
+        monkeypatch.setattr(M, "PAIRS", limit)
+        for _ in range(200):
+            letters = "abcdefghijklmnopqrstuvwxyz"[: rng.choice((1, 2, 5, 26))]
+            a = "".join(rng.choices(letters, k=rng.choice((1, 30, 199, 300))))
+            b = "".join(c for c in a if rng.random() < 0.9) + "".join(rng.choices(letters, k=rng.randrange(40)))
+            assert ours(a, b) == theirs(a, b)
+    monkeypatch.undo()
+    long = "".join(rng.choices("etaoin shrdlucmfwypvbgkjqxz", [12, 9, 8, 8, 7, 7, 18, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1.5, 2, 0.8, 0.2, 0.1, 0.2, 0.1], k=60_000))
+    began = time.time()
+    ops = ours(long, long.translate(str.maketrans("en", "aE", "o")))
+    assert time.time() - began < 60 and sum(i1 - i0 for k, i0, i1, *_ in ops if k == "equal") > 5_000
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40), st.text(max_size=40))
 def test_any_text(a, b):
