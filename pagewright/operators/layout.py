@@ -120,38 +120,77 @@ def heading_ids(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(F.col("source_id").rlike("^[A-Za-z][A-Za-z0-9_.:-]*$"), F.col("source_id")).otherwise(made)).drop("_sig")
 
 
-def grid_cells(rows: DataFrame, columns: DataFrame, sizes: DataFrame, wide: float = 0.18, tall: float = 0.05, crossing: float = 0.7, most: int = 20_001) -> DataFrame:
-    """page_id, row_index, column_index, x0, y0, x1, y1: the cells of a ruled table.
-
-    rows and columns(page_id, line, first, last) are runs of dark pixels, sizes has
-    page_id, width, height.  A row with a run of ``wide`` of the width, and a column
-    with one of ``tall`` of the height, is a ruled line, thick ones merged.  Three of
-    each axis may make a grid: of the rows stay those that meet ``crossing`` of the
-    columns within two pixels, then of the columns those that meet as much of the
-    rows left; again three of each are needed, and ``most`` intersections at most.
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is looked at."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _longest_by_line(runs: Column, gap: int = 2) -> Column:
+    """array<struct<line, longest>> of runs(line, first, last) in order: the longest run of
+    each line once gaps of up to ``gap`` pixels are bridged."""
+    done = "array<struct<line:int,longest:int>>"
+    state = f"struct<done:{done},line:int,first:int,last:int,longest:int>"
+    zero = F.struct(F.array().cast(done).alias("done"), *(F.lit(None).cast("int").alias(n) for n in ("line", "first", "last", "longest"))).cast(state)
+    closed = lambda acc: F.when(acc["line"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["line"].alias("line"), acc["longest"].alias("longest"))))
+
+    def step(acc: Column, r: Column) -> Column:
+        on = F.coalesce(acc["line"] == r["line"], F.lit(False))
+        first = F.when(on & (r["first"] - acc["last"] <= gap + 1), acc["first"]).otherwise(r["first"])
+        n = r["last"] - first + 1
+        return F.struct(F.when(on, acc["done"]).otherwise(closed(acc)).alias("done"), r["line"].alias("line"), first.alias("first"), r["last"].alias("last"), F.when(on, F.greatest(acc["longest"], n)).otherwise(n).alias("longest"))
+
+    return F.aggregate(runs, zero, step, closed)
+
+
+def _merged_lines(lines: Column, gap: int = 4) -> Column:
+    """Centres of sorted places that stand no more than ``gap`` apart."""
+    state = "array<struct<total:bigint,n:int,last:int>>"
+
+    def step(acc: Column, v: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"), v.alias("last")))
+        return F.when(F.size(acc) == 0, F.array(F.struct(v.cast("bigint").alias("total"), F.lit(1).alias("n"), v.alias("last")))).when(v - last["last"] <= gap, grown).otherwise(F.array_append(acc, F.struct(v.cast("bigint").alias("total"), F.lit(1).alias("n"), v.alias("last"))))
+
+    return F.transform(F.aggregate(lines, F.array().cast(state), step), lambda c: F.bround(c["total"] / c["n"]).cast("bigint"))
+
+
+def grid_cells(pages: DataFrame, wide: float = 0.18, tall: float = 0.05, crossing: float = 0.7, most: int = 20_001) -> DataFrame:
+    """page_id, row_index, column_index, x0, y0, x1, y1: the cells of a page's ruled table.
+
+    pages has page_id, width, height and the runs of dark pixels by row and by column
+    (rows, columns: line, first, last), as ``sources.raster`` gives them.  A row with a
+    run of ``wide`` of the width, and a column with one of ``tall`` of the height, is a
+    ruled line, thick ones merged.  Three of each axis may make a grid: of the rows stay
+    those that meet ``crossing`` of the columns within two pixels, then of the columns
+    those that meet as much of the rows left; again three of each are needed, and ``most``
+    intersections at most.  A page is one row throughout, so nothing is shuffled.
     """
-    from .geometry import line_clusters, longest_runs
-
-    def ruled(runs: DataFrame, side: str, share: float, name: str) -> DataFrame:
-        found = longest_runs(runs).join(sizes, "page_id").where(F.col("longest") >= share * F.col(side)).select("page_id", F.col("line").alias("at"))
-        lines = line_clusters(found, "page_id", "at").select("page_id", F.col("centre").alias(name))
-        return lines.withColumn(f"n{name}", F.count("*").over(Window.partitionBy("page_id"))).where(F.col(f"n{name}") >= 3)
-
-    ys, xs = ruled(rows, "width", wide, "y"), ruled(columns, "height", tall, "x")
-    # a run crosses (x, y) if it lies within two rows of y and reaches within two pixels of x
-    nearby = rows.select("page_id", F.explode(F.sequence(F.col("line").cast("long") - 2, F.col("line").cast("long") + 2)).alias("y"), "first", "last")
-    met = ys.join(nearby, ["page_id", "y"]).join(xs, "page_id").where((F.col("first") <= F.col("x") + 2) & (F.col("last") >= F.col("x") - 2)).select("page_id", "x", "y", "nx", "ny").distinct()
-    share = lambda axis, of: F.count("*").over(Window.partitionBy("page_id", axis)) >= crossing * F.col(of)
-    met = met.withColumn("_keep", share("y", "nx")).where("_keep")
-    met = met.withColumn("ny", F.size(F.collect_set("y").over(Window.partitionBy("page_id")))).withColumn("_keep", share("x", "ny"))
-    kept_rows, kept_columns = met.select("page_id", "y").distinct(), met.where("_keep").select("page_id", "x").distinct()
-
-    def steps(df: DataFrame, at: str, index: str) -> DataFrame:
-        own, page = Window.partitionBy("page_id").orderBy(at), Window.partitionBy("page_id")
-        return df.withColumn(f"n{at}", F.count("*").over(page)).where(F.col(f"n{at}") >= 3).withColumn(f"{at}1", F.lead(at).over(own)).withColumn(index, F.row_number().over(own) - 1).where(f"{at}1 is not null").withColumnRenamed(at, f"{at}0")
-
-    cells = steps(kept_rows, "y", "row_index").join(steps(kept_columns, "x", "column_index"), "page_id").where(F.col("nx") * F.col("ny") <= most)
-    return cells.select("page_id", "row_index", "column_index", "x0", "y0", "x1", "y1")
+    ruled = lambda runs, share, side: _merged_lines(F.transform(F.filter(_longest_by_line(F.col(runs)), lambda x: x["longest"] >= share * F.col(side)), lambda x: x["line"]))
+    none = F.array().cast("array<bigint>")
+    crosses = lambda near, x: F.exists(near, lambda r: (r["first"] <= x + 2) & (r["last"] >= x - 2))
+
+    def met(p: Column) -> Column:
+        """Each row with the columns that it meets: a run crosses (x, y) if it lies within
+        two rows of y and reaches within two pixels of x."""
+        near = lambda y: F.filter(p["runs"], lambda r: F.abs(r["line"] - y) <= 2)
+        return F.transform(p["ys"], lambda y: F.struct(y.alias("y"), _bound(near(y), lambda n: F.filter(p["xs"], lambda x: crosses(n, x))).alias("xs")))
+
+    def kept(p: Column) -> Column:
+        rows = F.filter(met(p), lambda m: F.size(m["xs"]) >= crossing * F.size(p["xs"]))
+        columns = lambda ms: F.filter(p["xs"], lambda x: F.size(F.filter(ms, lambda m: F.array_contains(m["xs"], x))) >= crossing * F.size(ms))
+        return _bound(rows, lambda ms: F.struct(F.transform(ms, lambda m: m["y"]).alias("ys"), columns(ms).alias("xs")))
+
+    def grid(p: Column) -> Column:
+        enough = lambda g: (F.size(g["ys"]) >= 3) & (F.size(g["xs"]) >= 3)
+        empty = F.struct(none.alias("ys"), none.alias("xs"))
+        return F.when(enough(p), _bound(kept(p), lambda g: F.when(enough(g) & (F.size(g["ys"]) * F.size(g["xs"]) <= most), g).otherwise(empty))).otherwise(empty)
+
+    page = F.struct(ruled("rows", wide, "width").alias("ys"), ruled("columns", tall, "height").alias("xs"), F.col("rows").alias("runs"))
+    got = pages.where(F.col("width").isNotNull()).select("page_id", _bound(page, grid).alias("g"))
+    between = lambda c, a, b: F.posexplode(F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda v, i: F.struct(v.alias(a), F.get(c, i + 1).alias(b))))
+    rows = got.select("page_id", F.col("g.xs").alias("xs"), between(F.col("g.ys"), "y0", "y1").alias("row_index", "r"))
+    cells = rows.select("page_id", "row_index", "r", between(F.col("xs"), "x0", "x1").alias("column_index", "c"))
+    return cells.select("page_id", "row_index", "column_index", "c.x0", "r.y0", "c.x1", "r.y1")
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

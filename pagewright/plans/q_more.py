@@ -88,8 +88,7 @@ SELECT page_id, row_index::INT AS row_index, column_index::INT AS column_index,
   round_even(30 + 20 * column_index + (thick - 1) / 2.0, 0)::BIGINT AS x1, round_even(25 + 15 * row_index + (thick - 1) / 2.0, 0)::BIGINT AS y1 FROM g""")
 def grid(spark, d):
     """Ruled tables found in the pixels of the pages' images."""
-    seen = raster.rasters(I.page_images(spark, d))
-    return layout.grid_cells(raster.runs_of(seen, "rows"), raster.runs_of(seen, "columns"), seen.select("page_id", "width", "height"))
+    return layout.grid_cells(raster.rasters(I.page_images(spark, d)))
 
 
 @query("V8_covers", "WITH x AS (SELECT p_partkey AS cover_id, p_partkey % 4 AS k, (p_size - 1) * 137 * (p_partkey % 9000) AS pixels, p_size % 2 = 0 AS whole FROM part) SELECT cover_id, CASE k WHEN 0 THEN 'jpeg' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'png' END AS type, CASE WHEN k = 1 THEN 'type' WHEN k = 3 THEN 'encoding' WHEN k = 2 AND pixels > 16000000 THEN 'too_many_pixels' WHEN k = 2 OR NOT whole THEN 'damaged' END AS error FROM x")

@@ -225,7 +225,11 @@ def test_grids_of_images_against_brute_force(spark):
         images.append(image)
     docs = spark.createDataFrame([(i, raster.written(x)) for i, x in enumerate(images)], "page_id long, content binary")
     seen = raster.rasters(docs)
-    cells = layout.grid_cells(raster.runs_of(seen, "rows"), raster.runs_of(seen, "columns"), seen.select("page_id", "width", "height")).collect()
+    cells = layout.grid_cells(seen).collect()
+    # the longest run of each row as by the table of runs
+    by_table = {(r.page_id, r.line): r.longest for r in geometry.longest_runs(raster.runs_of(seen, "rows")).collect()}
+    by_page = {(r.page_id, x.line): x.longest for r in seen.select("page_id", layout._longest_by_line(F.col("rows")).alias("x")).collect() for x in r.x}
+    assert by_page == by_table
     got = {i: sorted((r.row_index, r.column_index, r.x0, r.y0, r.x1, r.y1) for r in cells if r.page_id == i) for i in range(len(images))}
     assert got == {i: brute_grid(x) for i, x in enumerate(images)}
     assert sum(bool(x) for x in got.values()) >= 5
