@@ -106,7 +106,8 @@ def block_style(lines: DataFrame) -> DataFrame:
     """page_id, block, size_median, size_max, bold_ratio, italic_ratio, fonts of lines as
     ``line_style`` gives them, with their block: the plain mean of the lines' ratios, the
     median of the sizes above zero (0 where there is none), fonts as first seen."""
-    mean = lambda c: F.bround(F.avg(c), 2).alias(c)
+    # ratios have four digits: whole numbers add up alike in any order
+    mean = lambda c: (F.bround(F.sum(F.round(F.col(c) * 10_000).cast("long")) / (F.count(c) * 100)) / 100).alias(c)
     seen = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "fonts"))), lambda x: x["fonts"])))
     median = F.coalesce(F.bround(F.median(F.when(F.col("size_median") > 0, F.col("size_median"))), 2), F.lit(0.0))
     return lines.groupBy("page_id", "block").agg(median.alias("size_median"), F.bround(F.max("size_max"), 2).alias("size_max"), mean("bold_ratio"), mean("italic_ratio"), seen.alias("fonts"))

@@ -94,7 +94,7 @@ def style(spark, d):
 
 @query("A4_block_style", f"""WITH {I.WORDS}, s AS (SELECT *, 10.0 + word_index % 4 AS size, (word_index % 3) * 8 AS flags, CASE word_index % 5 WHEN 0 THEN 'Bold' WHEN 1 THEN 'Oblique' ELSE 'Roman' END AS font FROM wd),
 l AS (SELECT page_id, line_index // 5 AS block, line_index, max(size) AS size_max, round_even(sum(CASE WHEN flags & 16 <> 0 OR font = 'Bold' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 4) AS bold_ratio, round_even(sum(CASE WHEN flags & 2 <> 0 OR font = 'Oblique' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 4) AS italic_ratio FROM s GROUP BY ALL)
-SELECT page_id, block, max(size_max)::DOUBLE AS size_max, round_even(avg(bold_ratio), 2) AS bold_ratio, round_even(avg(italic_ratio), 2) AS italic_ratio FROM l GROUP BY ALL""")
+SELECT page_id, block, max(size_max)::DOUBLE AS size_max, round_even(sum(round(bold_ratio * 10000)::BIGINT)::DOUBLE / (count(*) * 100), 0) / 100 AS bold_ratio, round_even(sum(round(italic_ratio * 10000)::BIGINT)::DOUBLE / (count(*) * 100), 0) / 100 AS italic_ratio FROM l GROUP BY ALL""")
 def blocks_style(spark, d):
     k = F.col("word_index")
     s = I.words(spark, d).withColumn("size", 10.0 + k % 4).withColumn("flags", (k % 3) * 8).withColumn("font", F.when(k % 5 == 0, "Bold").when(k % 5 == 1, "Oblique").otherwise("Roman")).withColumn("ord", k)
