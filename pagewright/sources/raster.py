@@ -47,15 +47,21 @@ def unfiltered(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarr
 def _sequential(kind: int, x: list[int], up: list[int], to: np.ndarray, step: int) -> None:
     """Average and Paeth, where each byte needs the one before it."""
     done = [0] * step  # what stands left of the line
-    corners = [0] * step + up
-    for v, left, above, corner in zip(x, done, up, corners, strict=False):
-        if kind == 3:
-            near = (left + above) >> 1
-        else:  # the one of the three that is closest to left + above - corner, in this order
-            to_left, to_above = abs(above - corner), abs(left - corner)
-            to_corner = abs(left + above - 2 * corner)
-            near = left if to_left <= to_above and to_left <= to_corner else above if to_above <= to_corner else corner
-        done.append((v + near) & 255)
+    put = done.append
+    if kind == 3:
+        for v, left, above in zip(x, done, up, strict=False):
+            put((v + ((left + above) >> 1)) & 255)
+    else:
+        for v, left, above, corner in zip(x, done, up, [0] * step + up, strict=False):
+            # the one of the three that is closest to left + above - corner, in this order
+            if above == corner:
+                near = left
+            elif left == corner:
+                near = above
+            else:
+                to_left, to_above, to_corner = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+                near = left if to_left <= to_above and to_left <= to_corner else above if to_above <= to_corner else corner
+            put((v + near) & 255)
     to[:] = done[step:]
 
 
