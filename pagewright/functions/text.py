@@ -149,9 +149,15 @@ def looks_like_code(text: Column) -> Column:
     return text.rlike(r"^\s{2,}\S") | text.rlike(r"^(?U:\s*)(?:" + "|".join(CODE_SHAPES) + ")") | text.contains("=>") | braces
 
 
+#: Characters of which a token of a kind has one at least; kinds that aren't here have a digit.
+_HAS = {"url": ("://",), "email": ("@",), "citation": ("[", "("), "code": ("`", "(", ".")}
+
+
 def critical(text: Column, kind: str) -> Column:
-    """All tokens of one kind, in order."""
-    return F.regexp_extract_all(text, F.lit("(?iu)" + CRITICAL[kind]), F.lit(0))
+    """All tokens of one kind, in order.  Texts without what any such token has aren't searched."""
+    may = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in _HAS[kind])) if kind in _HAS else text.rlike("[0-9]")
+    found = F.regexp_extract_all(text, F.lit("(?iu)" + CRITICAL[kind]), F.lit(0))
+    return F.when(may, found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def language_tag(value: Column) -> Column:
