@@ -179,7 +179,7 @@ def dehyphenation(spark, d):
 @query("P18_levenshtein", f"WITH {I.LINES}, x AS (SELECT doc_id, ln, line AS a, lower(replace(substr(line, 3), ' t', 'tt')) AS b FROM ln) SELECT doc_id, ln, levenshtein({I.one_byte('a')}, {I.one_byte('b')})::INT AS distance FROM x")
 def distance(spark, d):
     other = F.lower(F.replace(F.substring("line", 3, 1 << 30), F.lit(" t"), F.lit("tt")))
-    return I.lines(spark, d).select("doc_id", "ln", F.levenshtein("line", other).alias("distance"))
+    return I.lines(spark, d).select("doc_id", "ln", A.edit_distance(F.col("line"), other).alias("distance"))
 
 
 @query("P19_ui_highlight")
