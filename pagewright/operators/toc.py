@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -30,26 +32,58 @@ def toc_errors(entries: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules)))).drop("_pl", "_po", "_known")
 
 
+def claims(own: list[dict], there: list[dict]) -> list[tuple]:
+    """(entry_id, target_id, state) of a document's entries, each list by ord.  What is
+    unclaimed of a key is kept as a number of places and their sum, which is the place
+    where only one is left."""
+    ids = {t["target_id"] for t in there}
+    places: dict[str, list[int]] = {}
+    number: dict[str, int] = {}
+    total: dict[str, int] = {}
+    for i, t in enumerate(there):
+        if t["match_key"] is not None:
+            places.setdefault(t["target_id"], []).append(i)
+            number[t["match_key"]] = number.get(t["match_key"], 0) + 1
+            total[t["match_key"]] = total.get(t["match_key"], 0) + i
+
+    def use(target: str | None) -> None:
+        for i in places.pop(target, ()):
+            number[there[i]["match_key"]] -= 1
+            total[there[i]["match_key"]] -= i
+
+    for e in own:
+        if e["target_id"] in ids:
+            use(e["target_id"])
+    out = []
+    for e in own:
+        if e["target_id"] in ids:
+            out.append((e["entry_id"], e["target_id"], "ok"))
+            continue
+        free = number.get(e["match_key"], 0)
+        target = there[total[e["match_key"]]]["target_id"] if free == 1 else None
+        if free == 1:
+            use(target)
+        out.append((e["entry_id"], target, "rematched" if free == 1 else "ambiguous" if free else "missing"))
+    return out
+
+
+_CLAIM = StructType([StructField(n, StringType()) for n in ("entry_id", "target_id", "state")])
+
+
+@F.arrow_udf(ArrayType(_CLAIM))
+def _claims(own: pa.Array, there: pa.Array) -> pa.Array:
+    names = _CLAIM.fieldNames()
+    out = [[dict(zip(names, c, strict=True)) for c in claims(x.as_py(), y.as_py() or [])] for x, y in zip(own, there, strict=True)]
+    return pa.array(out, to_arrow_type(ArrayType(_CLAIM)))
+
+
 def relinked(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, entry_id, target_id, state: by id, else by match key where just one
     target of that key is unclaimed; claims are made in the entries' order."""
-
-    def claim(own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        ids = set(there["target_id"])
-        used = {t for t in own["target_id"] if t in ids}
-        by_key = there.sort_values("ord").groupby("match_key")["target_id"].apply(list).to_dict()
-        out = []
-        for e in own.sort_values("ord").itertuples(index=False):
-            if e.target_id in ids:
-                out.append((e.doc_id, e.entry_id, e.target_id, "ok"))
-                continue
-            free = [t for t in by_key.get(e.match_key, []) if t not in used]
-            if len(free) == 1:
-                used.add(free[0])
-            out.append((e.doc_id, e.entry_id, free[0] if len(free) == 1 else None, "rematched" if len(free) == 1 else "ambiguous" if free else "missing"))
-        return pd.DataFrame(out, columns=["doc_id", "entry_id", "target_id", "state"])
-
-    return entries.groupBy("doc_id").cogroup(targets.groupBy("doc_id")).applyInPandas(claim, "doc_id long, entry_id string, target_id string, state string")
+    listed = lambda df, name, *columns: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias(name))
+    both = listed(entries, "own", "entry_id", "target_id", "match_key").join(listed(targets, "there", "target_id", "match_key"), "doc_id", "left")
+    got = both.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_claims("own", "there")).alias("c"))
+    return got.select("doc_id", "c.entry_id", "c.target_id", "c.state")
 
 
 def toc_saved(states: DataFrame, requests: DataFrame, invalid: DataFrame) -> DataFrame:
