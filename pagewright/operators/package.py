@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
 from html import escape
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,6 +32,8 @@ COVERS = {"png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff"}
 ACTIVE = frozenset("script iframe object svg math form button textarea select template".split())
 _PAGE = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{0}</title><link rel="stylesheet" type="text/css" href="book.css"/></head><body>{1}</body></html>'
 _CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ufffe\uffff]")
+# what a body with a named heading has to hold
+_HEADING, _NAMED = re.compile("<h[1-3]", re.I), re.compile(r"id\s*=", re.I)
 
 
 def plain(text: str) -> str:
@@ -37,6 +43,8 @@ def plain(text: str) -> str:
 
 def headings(body: str) -> list[tuple[int, str, str]]:
     """(level, id, text) of the headings of a chapter's body that have an id."""
+    if not (_HEADING.search(body) and _NAMED.search(body)):
+        return []
     out: list[list] = []
     inside = False
     for e in events(body):
@@ -104,13 +112,50 @@ def build(doc: str, title: str, chapters: list[tuple[str, str]], cover: bytes |
         "OEBPS/nav.xhtml": _PAGE.format(plain(title), f'<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc">{contents(own)}</nav>'),
         "OEBPS/book.css": CSS,
     } | files | {f"OEBPS/{n}": _PAGE.format(plain(t), body) for n, t, body in own}
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in files.items():
-            info = zipfile.ZipInfo(name, EPOCH)
-            info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
-            z.writestr(info, text)
-    return out.getvalue()
+    return zipped({n: text if isinstance(text, bytes) else text.encode() for n, text in files.items()})
+
+
+#: Fields of a member's header, of its entry in the directory and of the directory's end.
+_HEAD, _ENTRY, _END = struct.Struct("<4s5H3L2H"), struct.Struct("<4s6H3L5H2L"), struct.Struct("<4s4H2LH")
+_DATE = EPOCH[0] - 1980 << 9 | EPOCH[1] << 5 | EPOCH[2]
+#: Bytes and members up to which all fields of an archive have 32 or 16 bits.
+_SMALL = ((1 << 31) - (1 << 24), 65_000)
+
+
+@functools.lru_cache(16)
+def _fixed(content: bytes) -> bytes:
+    return _deflated(content)
+
+
+def _deflated(content: bytes) -> bytes:
+    z = zlib.compressobj(-1, zlib.DEFLATED, -15)
+    return z.compress(content) + z.flush()
+
+
+def zipped(files: dict[str, bytes]) -> bytes:
+    """An archive of members with ASCII names, byte for byte what ``zipfile`` writes, which
+    takes over where fields need 64 bits; ``mimetype`` is stored, the others are deflated."""
+    if sum(map(len, files.values())) > _SMALL[0] or len(files) > _SMALL[1]:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, content in files.items():
+                info = zipfile.ZipInfo(name, EPOCH)
+                info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
+                z.writestr(info, content)
+        return out.getvalue()
+    parts, entries, at = [], [], 0
+    for name, content in files.items():
+        own, stored = name.encode("ascii"), name == "mimetype"
+        data = content if stored else _fixed(content) if name in _SAME else _deflated(content)
+        method, check = 0 if stored else 8, zlib.crc32(content)
+        parts += (_HEAD.pack(b"PK\3\4", 20, 0, method, 0, _DATE, check, len(data), len(content), len(own), 0), own, data)
+        entries += (_ENTRY.pack(b"PK\1\2", 20 | 3 << 8, 20, 0, method, 0, _DATE, check, len(data), len(content), len(own), 0, 0, 0, 0, 0o600 << 16, at), own)
+        at += _HEAD.size + len(own) + len(data)
+    return b"".join((*parts, *entries, _END.pack(b"PK\5\6", 0, 0, len(files), len(files), sum(map(len, entries)), at, 0)))
+
+
+#: Members that are the same in every package.
+_SAME = frozenset((CONTAINER, "OEBPS/book.css"))
 
 
 def preview(title: str, chapters: list[tuple[str, str]]) -> str:
@@ -124,28 +169,87 @@ def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1]
 
 
+def plain_members(data: bytes) -> dict[str, tuple] | None:
+    """name: (deflated, first byte, end, checksum, size) of the members of an archive, if
+    they lie one after another with nothing between, before or after them, in the order of
+    the directory, under different ASCII names, and nothing is encrypted or has extra fields."""
+    if len(data) < _END.size or data[-_END.size :][:4] != b"PK\5\6":
+        return None
+    _, disk, first, here, n, size, start, comment = _END.unpack_from(data, len(data) - _END.size)
+    if disk or first or comment or here != n or n == 0xFFFF or start + size + _END.size != len(data):
+        return None
+    out: dict[str, tuple] = {}
+    at, place = start, 0
+    for _ in range(n):
+        if at + _ENTRY.size > len(data):
+            return None
+        sign, _, version, flags, method, _, _, check, packed, whole, named, extra, comment, disk, _, _, offset = _ENTRY.unpack_from(data, at)
+        own = data[at + _ENTRY.size : at + _ENTRY.size + named]
+        if sign != b"PK\1\2" or version & 255 > 20 or flags or method not in (0, 8) or extra or comment or disk or offset != place or not own.isascii() or b"\0" in own:
+            return None
+        if place + _HEAD.size + named + packed > start:
+            return None
+        head = _HEAD.unpack_from(data, place)
+        begins = place + _HEAD.size + named
+        if head[0] != b"PK\3\4" or head[2] or head[9] != named or head[10] or data[begins - named : begins] != own:
+            return None
+        at, place = at + _ENTRY.size + named, begins + packed
+        out[own.decode("ascii")] = (method == 8, begins, place, check, whole)
+    return out if at == start + size and place == start and len(out) == n else None
+
+
+def _plain_content(data: bytes, deflated: bool, begins: int, end: int, check: int, size: int) -> bytes | None:
+    """A member's bytes, or nothing where they aren't as the directory says."""
+    content = data[begins:end]
+    if deflated:
+        z = zlib.decompressobj(-15)
+        try:
+            content = z.decompress(content, size + 1)
+        except zlib.error:
+            return None
+        if not z.eof or z.unused_data:
+            return None
+    return content if len(content) == size and zlib.crc32(content) == check else None
+
+
+def _base(member: str, ref: str) -> str:
+    """What a reference is seen from: its file if it leads into it, the file's folder otherwise."""
+    return member if ref[:1] in ("", "#", "?") else member.rpartition("/")[0]
+
+
 def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict:
-    """The members of an archive, and the elements of its XML files with their attributes.
+    """The members of an archive, and what its XML files declare and refer to.
 
-    Only the list of members is read of an archive that isn't safe to unpack;
-    ``broken`` has what can't be read and ``css`` the style sheets that load something.
+    ``items`` (id, href, properties), ``spine`` and ``roots`` are those of the package and
+    container files; ``anchors`` (member#id), ``refs`` (what it is seen from, reference; each
+    once) and ``active`` (members that run something) those of the pages.  Only the list of
+    members is read of an archive that isn't safe to unpack; ``broken`` has what can't be
+    read and ``css`` the style sheets that load something.
     """
-    out: dict = {"members": [], "elements": [], "broken": [], "css": [], "mimetype": None, "size": len(data or b"")}
+    out: dict = {k: [] for k in _SHAPE} | {"mimetype": None, "size": len(data or b"")}
     if out["size"] > most_bytes:
         return out
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data or b""))
-    except (zipfile.BadZipFile, ValueError, OSError):
-        return out | {"broken": [("", "not_a_zip")]}
-    out["members"] = [(i.filename, i.compress_type == zipfile.ZIP_STORED, i.file_size) for i in z.infolist()]
+    z, plain = None, plain_members(data or b"")
+    if plain is None:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data or b""))
+        except (zipfile.BadZipFile, ValueError, OSError):
+            return out | {"broken": [("", "not_a_zip")]}
+        out["members"] = [(i.filename, i.compress_type == zipfile.ZIP_STORED, i.file_size) for i in z.infolist()]
+    else:
+        out["members"] = [(name, not m[0], m[4]) for name, m in plain.items()]
     if len(out["members"]) > most_entries or sum(m[2] for m in out["members"]) > most_bytes:
         return out
+    refs: dict[tuple[str, str], None] = {}
     for name in dict.fromkeys(m[0] for m in out["members"]):
-        try:
-            content = z.read(name)  # checks the sum, too
-        except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError):
-            out["broken"].append((name, "corrupt"))
-            continue
+        content = _plain_content(data, *plain[name]) if plain else None
+        if content is None:
+            z = z or zipfile.ZipFile(io.BytesIO(data))
+            try:
+                content = z.read(name)  # checks the sum, too
+            except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError, ValueError):  # an offset may be negative
+                out["broken"].append((name, "corrupt"))
+                continue
         if name == "mimetype":
             out["mimetype"] = content.decode("latin-1")
         elif name.endswith(".css") and _LOADS.search(content):
@@ -156,13 +260,56 @@ def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict
             except (ElementTree.ParseError, ValueError):
                 out["broken"].append((name, "invalid_xml"))
                 continue
-            # an element without attributes is of interest only if it runs something
-            out["elements"] += [(name, _local(e.tag), [(_local(k), v) for k, v in e.attrib.items()]) for e in root.iter() if isinstance(e.tag, str) and (e.attrib or _local(e.tag) in ACTIVE)]
-    return out
+            if name in (OPF, CONTAINER):
+                _declared(name, root, out)
+            elif name.endswith(".xhtml"):
+                _referred(name, root, out, refs)
+    return out | {"refs": list(refs)}
+
+
+def _attributes(e: ElementTree.Element) -> dict[str, str]:
+    """By local names; of equal ones the first counts."""
+    if "}" not in "".join(e.attrib):
+        return e.attrib
+    found: dict[str, str] = {}
+    for k, v in e.attrib.items():
+        found.setdefault(_local(k), v)
+    return found
+
+
+def _declared(name: str, root: ElementTree.Element, out: dict) -> None:
+    for e in root.iter():
+        if isinstance(e.tag, str) and e.attrib:
+            tag = _local(e.tag)
+            if name == CONTAINER and tag == "rootfile":
+                out["roots"].append(_attributes(e).get("full-path", ""))
+            elif name == OPF and tag == "item":
+                a = _attributes(e)
+                out["items"].append((a.get("id", ""), a.get("href", ""), a.get("properties", "")))
+            elif name == OPF and tag == "itemref":
+                out["spine"].append(_attributes(e).get("idref", ""))
+
+
+def _referred(name: str, root: ElementTree.Element, out: dict, refs: dict[tuple[str, str], None]) -> None:
+    active = False
+    for e in root.iter():
+        if not isinstance(e.tag, str):
+            continue
+        active = active or _local(e.tag) in ACTIVE
+        if e.attrib:
+            a = _attributes(e)
+            active = active or any(k[:2].lower() == "on" for k in a)
+            if a.get("id"):
+                out["anchors"].append(f"{name}#{a['id']}")
+            for k in ("href", "src"):
+                if k in a:
+                    refs[_base(name, a[k]), a[k]] = None
+    if active:
+        out["active"].append(name)
 
 
 _LOADS = re.compile(rb"@import|\burl\s*\(", re.I)
-_CONTENTS = "struct<size:long,mimetype:string,members:array<struct<name:string,stored:boolean,bytes:long>>,elements:array<struct<member:string,tag:string,attrs:map<string,string>>>,broken:array<struct<member:string,why:string>>,css:array<string>>"
+_CONTENTS = "struct<size:long,mimetype:string,members:array<struct<name:string,stored:boolean,bytes:long>>,items:array<struct<id:string,href:string,properties:string>>,spine:array<string>,roots:array<string>,anchors:array<string>,refs:array<struct<base:string,ref:string>>,active:array<string>,broken:array<struct<member:string,why:string>>,css:array<string>>"
 
 
 def safe_path(name: Column) -> Column:
@@ -198,11 +345,7 @@ def package_faults(packages: DataFrame, contents: str, most_bytes: int = 100 <<
     told = lambda word, bad: F.array_compact(F.array(F.when(bad, F.lit(word))))
     repeated = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
     broken = lambda why: F.transform(F.filter(c["broken"], lambda b: b["why"] == why), lambda b: b["member"])
-    of = lambda member, tag: F.filter(c["elements"], lambda e: (e["member"] == member) & (e["tag"] == tag))
-    given = lambda es, name: F.transform(es, lambda e: F.coalesce(e["attrs"][name], F.lit("")))
-    text = lambda e, name: F.coalesce(e["attrs"][name], F.lit(""))
-
-    item = lambda e: F.struct(text(e, "id").alias("id"), text(e, "href").alias("href"), resolved(F.lit(OPF.rpartition("/")[0]), text(e, "href")).alias("path"), F.split(text(e, "properties"), r"\s+").alias("properties"))
+    item = lambda i: F.struct(i["id"], i["href"], resolved(F.lit(OPF.rpartition("/")[0]), i["href"]).alias("path"), F.split(i["properties"], r"\s+").alias("properties"))
     rows = packages.withColumns(
         {
             "_listed": F.transform(c["members"], lambda m: m["name"]),
@@ -210,29 +353,21 @@ def package_faults(packages: DataFrame, contents: str, most_bytes: int = 100 <<
             "_torn": broken("corrupt"),
             "_unparsed": broken("invalid_xml"),
             "_zip": F.size(broken("not_a_zip")) == 0,
-            "_items": F.transform(of(OPF, "item"), item),
-            "_spine": given(of(OPF, "itemref"), "idref"),
-            "_roots": given(of(CONTAINER, "rootfile"), "full-path"),
-            "_pages": F.filter(c["elements"], lambda e: F.endswith(e["member"], F.lit(".xhtml"))),
+            "_items": F.transform(c["items"], item),
+            "_spine": c["spine"],
+            "_roots": c["roots"],
+            "_anchors": c["anchors"],
+            "_refs": F.transform(c["refs"], lambda r: F.struct(r["base"], r["ref"], r["ref"].rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)").alias("outside"), F.regexp_extract(r["ref"], "^[^?#]*", 0).alias("path"))),
+            "_active": c["active"],
             "_first": F.get(c["members"], F.lit(0)),
             "_size": c["size"],
             "_css": c["css"],
             "_mimetype": c["mimetype"],
         }
     )
-    # a page's references, and the members and anchors that those of its own package lead to
-    refs = F.flatten(F.transform("_pages", lambda e: F.transform(F.array_compact(F.array(e["attrs"]["href"], e["attrs"]["src"])), lambda r: F.struct(e["member"].alias("member"), r.alias("ref")))))
-    runs = lambda e: e["tag"].isin(*sorted(ACTIVE)) | F.exists(F.map_keys(e["attrs"]), lambda k: F.lower(k).startswith("on"))
-    rows = rows.withColumns(
-        {
-            "_names": F.array_distinct("_listed"),
-            "_anchors": F.transform(F.filter("_pages", lambda e: text(e, "id") != ""), lambda e: F.concat(e["member"], F.lit("#"), e["attrs"]["id"])),
-            "_refs": F.transform(refs, lambda r: F.struct(r["member"], r["ref"], r["ref"].rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)").alias("outside"), F.regexp_extract(r["ref"], "^[^?#]*", 0).alias("path"))),
-            "_active": F.array_distinct(F.transform(F.filter("_pages", runs), lambda e: e["member"])),
-        }
-    ).drop(contents, "_pages")
-    folder = lambda m: F.when(F.contains(m, F.lit("/")), F.regexp_replace(m, "/[^/]*$", "")).otherwise("")
-    place = lambda r: F.struct(F.when(r["path"] == "", r["member"]).otherwise(resolved(folder(r["member"]), r["path"])).alias("path"), F.regexp_extract(r["ref"], "#(.*)$", 1).alias("anchor"))
+    # the members and anchors that the references of a package's pages to itself lead to
+    rows = rows.withColumn("_names", F.array_distinct("_listed")).drop(contents)
+    place = lambda r: F.struct(F.when(r["path"] == "", r["base"]).otherwise(resolved(r["base"], r["path"])).alias("path"), F.regexp_extract(r["ref"], "#(.*)$", 1).alias("anchor"))
     rows = rows.withColumn("_local", F.transform(F.filter("_refs", lambda r: ~r["outside"]), place))
     rows = rows.withColumn("_absent", F.array_except(F.transform("_local", lambda r: r["path"]), F.col("_names")))
 
@@ -292,11 +427,10 @@ def package_errors(files: DataFrame, column: str = "content", most_bytes: int =
         for b in batches:
             packages, rows, begun, size = b.column(len(others)), [], 0, 0
             for i, x in enumerate(packages):
-                got = read_package(x.as_py(), most_bytes, most_entries)
-                rows.append({k: [dict(zip(names, v, strict=True)) for v in got[k]] if names else got[k] for k, names in _SHAPE.items()})
-                size += got["size"]
+                rows.append(read_package(x.as_py(), most_bytes, most_entries))
+                size += rows[-1]["size"]
                 if size > TOGETHER or i + 1 == len(packages):
-                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(begun, i + 1 - begun) for k in range(len(others))), pa.array(rows, kind)], [*others, "_contents"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(begun, i + 1 - begun) for k in range(len(others))), _columnar(rows, kind)], [*others, "_contents"])
                     rows, begun, size = [], i + 1, 0
 
     contents = StructType.fromDDL(f"c {_CONTENTS}")["c"].dataType
@@ -307,7 +441,21 @@ def package_errors(files: DataFrame, column: str = "content", most_bytes: int =
 
 #: Bytes of packages whose contents are handed on together.
 TOGETHER = 1 << 20
-_SHAPE = {"size": (), "mimetype": (), "members": ("name", "stored", "bytes"), "elements": ("member", "tag", "attrs"), "broken": ("member", "why"), "css": ()}
+_SHAPE = ("size", "mimetype", "members", "items", "spine", "roots", "anchors", "refs", "active", "broken", "css")
+
+
+def _columnar(rows: list[dict], kind: pa.StructType) -> pa.StructArray:
+    """What was read of packages, field by field; lists of tuples as flat columns with offsets."""
+
+    def column(field: pa.Field) -> pa.Array:
+        own, t = [r[field.name] for r in rows], field.type
+        if not (pa.types.is_list(t) and pa.types.is_struct(t.value_type)):
+            return pa.array(own, t)
+        flat = list(zip(*chain.from_iterable(own), strict=True)) or [()] * t.value_type.num_fields
+        values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, t.value_type, strict=True)], fields=list(t.value_type))
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, own))], pa.int32()), values, type=t)
+
+    return pa.StructArray.from_arrays([column(f) for f in kind], fields=list(kind))
 
 
 def missing_files(names: DataFrame) -> DataFrame:
@@ -319,12 +467,24 @@ def missing_files(names: DataFrame) -> DataFrame:
 def packages(chapters: DataFrame) -> DataFrame:
     """doc_id, package of chapters(doc_id, chapter, title, body), a document at a time."""
 
-    def run(own: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(own.column(c).to_pylist() for c in ("chapter", "title", "body")), strict=True))
-        doc = own.column("doc_id")[0].as_py()
-        data = build(f"doc-{doc}", rows[0][1], [(title, body) for _, title, body in rows])
-        return pa.table({"doc_id": pa.array([doc], pa.int64()), "package": pa.array([data], pa.binary())})
-
-    # building costs more than bytes tell, so small partitions aren't put together
-    dealt = chapters.repartition(int(chapters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return dealt.groupBy("doc_id").applyInArrow(run, "doc_id long, package binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, made, size = [], [], 0
+        pieces = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+        rows = (row for p in pieces for row in zip(*(p.column(k).to_pylist() for k in range(4)), strict=True))
+        for doc, own in groupby(rows, key=itemgetter(0)):
+            chapters = sorted(row[1:] for row in own)
+            docs.append(doc)
+            made.append(build(f"doc-{doc}", chapters[0][1], [row[1:] for row in chapters]))
+            size += len(made[-1])
+            if size > TOGETHER:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "package"])
+                docs, made, size = [], [], 0
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "package"])
+
+    # building costs more than bytes tell, so small partitions mustn't be put together: dealt by
+    # a number of its own, as a repartition by doc_id is left out where rows already lie by it
+    spark = chapters.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = chapters.select(F.col("doc_id").cast("long").alias("doc_id"), "chapter", "title", "body", F.xxhash64("doc_id").alias("_deal")).repartition(parts, "_deal").drop("_deal")
+    return dealt.sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, package binary")
