@@ -129,7 +129,8 @@ def context(spark, d):
 
 @query("A5_diff_summary")
 def diff(spark, d):
-    t = I.lines(spark, d)
+    # comparing costs more than bytes tell, so the lines of a file's few splits are dealt over the cores
+    t = I.lines(spark, d).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "doc_id", "ln")
     t = t.withColumn("s", A.diff_summary(F.col("line"), F.translate("line", "eno", "aE")))
     # what one side has and the other hasn't accounts for both lengths
     sides = (F.col("s.unchanged") + F.col("s.substitutions") + F.col("s.deletions") == F.length("line")) & (F.col("s.unchanged") + F.col("s.substitutions") + F.col("s.insertions") == F.length(F.translate("line", "eno", "aE")))

@@ -81,6 +81,32 @@ def test_diff_counts(a, b):
     assert A.diff_counts(a, b) == {"raw": len(a), "corrected": len(b)} | want
 
 
+def test_many_texts_at_once(monkeypatch):
+    """The same as one by one, in pieces or together, and much sooner."""
+    rng = random.Random(6)
+    olds, news = [], []
+    for n in (0, 1, 3, 20, 100, 199, 200, 400) * 60:
+        letters = "abcdefghij"[: rng.choice((1, 2, 10))] + ("klmnopqrstuvwxyz é\U0001f600" if rng.random() < 0.5 else "")
+        a = "".join(rng.choices(letters, k=n))
+        olds.append(a)
+        news.append("".join(c for c in a if rng.random() < 0.9) + "".join(rng.choices(letters, k=rng.randrange(40))) if rng.random() < 0.8 else rng.choice(("", a, a[::-1])))
+    want = [list(A.diff_counts(a, b).values()) for a, b in zip(olds, news, strict=True)]
+    assert A.diff_counts_many(olds, news).tolist() == want and A.diff_counts_many([], []).tolist() == []
+    for pairs, together in ((50, 4_000_000), (20_000, 1)):
+        monkeypatch.setattr(M, "PAIRS", pairs)
+        monkeypatch.setattr(M, "TOGETHER", together)
+        assert A.diff_counts_many(olds, news).tolist() == want
+    monkeypatch.undo()
+    lines = ["".join(rng.choices("etaoin shrdlu", k=260)) for _ in range(1000)]
+    changed = [x.translate(str.maketrans("en", "aE", "o")) for x in lines]
+    began = time.process_time()
+    A.diff_counts_many(lines, changed)
+    middle = time.process_time()
+    for a, b in zip(lines, changed, strict=True):
+        A.diff_counts(a, b)
+    assert 2 * (middle - began) < time.process_time() - middle
+
+
 def test_lines_are_linked_as_by_the_standard_matcher(spark):
     rng = random.Random(8)
     words = ["one", "two", "three four five", "", "six seven eight nine", "ten eleven"]
