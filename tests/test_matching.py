@@ -81,6 +81,19 @@ def test_diff_counts(a, b):
     assert A.diff_counts(a, b) == {"raw": len(a), "corrected": len(b)} | want
 
 
+def test_a_text_that_begins_with_the_other(monkeypatch):
+    """As by the standard matcher, without listing or looking for runs."""
+    rng, pairs = random.Random(9), []
+    for n in (0, 1, 5, 40, 150, 199, 200, 260, 420) * 40:
+        letters = "abcdefghijklmnopqrstuvwxyz "[: rng.choice((1, 2, 5, 27))]
+        a = "".join(rng.choices(letters, k=n))
+        b = a + (rng.choices(("x", a[: rng.randrange(n + 1)], "".join(rng.choices(letters, k=rng.randrange(30)))))[0])
+        pairs += [(a, b), (b, a)]
+    want = [theirs(a, b) for a, b in pairs]
+    monkeypatch.setattr(M, "Pair", None)
+    assert [ours(a, b) for a, b in pairs] == want
+
+
 def test_many_texts_at_once(monkeypatch):
     """The same as one by one, in pieces or together, and much sooner."""
     rng = random.Random(6)
