@@ -44,25 +44,24 @@ result; without training documents all estimates are those of an untrained tree.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_only, materialize, mix64, slices, trim, utf8
+from .common import discard, documents_only, materialize, mix64, slices, trim
 
 #: Bytes of context, 6 at most: with the byte itself and a count they fill 64 bits.
 DEPTH = 6
 BUCKET_BYTES = 16 << 20
 SHARD_BYTES = 16 << 20
 CHUNK = 2 << 20
-#: Positions that are looked up at once: their numbers take the low bits beside a hash.
-LOOK = 1 << 20
+#: Positions whose keys are made and looked up at once; they stay in a core's cache.
+LOOK = 1 << 16
 WORDS, GRAMS, MODEL, UP = 0, 1, 2, 3
 #: The end's word in messages; no other word holds a line feed.
 END = b"\n"
@@ -96,15 +95,12 @@ def _log_rising(n: np.ndarray, x: float, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: bytes, depth: int) -> np.ndarray:
-    """(context, byte) of each byte after the first ``depth``, eight bits a byte,
-    the latest context byte next to the lowest eight."""
-    b = np.frombuffer(data, np.uint8)
-    n = len(b) - depth
-    key = np.zeros(n, np.uint64)
-    for i in range(depth + 1):
-        key <<= np.uint64(8)
-        key |= b[i : i + n]
+def grams(data: np.ndarray, begin: int, end: int, depth: int) -> np.ndarray:
+    """(context, byte) of the bytes that stand ``depth`` after the places from ``begin`` to
+    ``end``, eight bits a byte, the latest context byte next to the lowest eight.
+    Eight bytes are read at each place, so ``data`` has some to spare."""
+    key = np.ndarray((end - begin,), ">u8", data, begin, (1,)).astype(np.uint64)
+    key >>= np.uint64(8 * (7 - depth))
     return key
 
 
@@ -117,15 +113,16 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def entries(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sorted distinct keys with their counts in the lowest byte; a key of a larger
     count has several entries that add up to it."""
-    if not len(n) or n.max() < 256:
-        out = keys << np.uint64(8)
+    out = keys << np.uint64(8)
+    large = np.flatnonzero(n > 255)
+    if not len(large):
         out |= n.view(np.uint64)
         return out
-    times = np.maximum(1, -(-n // 255))
-    last = np.cumsum(times) - 1
-    out = np.repeat(keys << np.uint64(8), times) | _BYTE
-    out[last] = keys << np.uint64(8) | (n - 255 * (times - 1)).astype(np.uint64)
-    # an entry of 255 may follow the smaller last one; equal keys must stay together, in order
+    more = (n[large] - 1) // 255
+    further = np.repeat(out[large] | _BYTE, more)
+    out |= np.minimum(n, 255).view(np.uint64)
+    out[large] = keys[large] << np.uint64(8) | (n[large] - 255 * more).view(np.uint64)
+    out = np.concatenate([out, further])
     out.sort()
     return out
 
@@ -168,61 +165,214 @@ def unpacked_words(raw: bytes) -> list[bytes]:
     return [w or END for w in raw.split(END)]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def laid_out(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The bytes of the model's texts, each behind ``depth`` line feeds and all before eight
+    bytes to spare, and where in them the line feeds before all texts but the first are; the
+    words of all texts in turn; each text's numbers of words and of bytes."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    own = ~_BLANK[raw]
+    # a word's first byte has a blank or another text before it, its last byte after it
+    first, last = own.copy(), own.copy()
+    first[1:] &= ~own[:-1]
+    last[:-1] &= ~own[1:]
+    edge = ends[:-1][ends[:-1] < len(raw)]
+    first[edge] = own[edge]
+    edge = ends[1:][ends[1:] > 0] - 1
+    last[edge] = own[edge]
+    first = np.flatnonzero(first)
+    size = np.flatnonzero(last)
+    size -= first
+    size += 1
+    del last
+    text = np.searchsorted(ends[1:], first, side="right")
+    n_words = np.bincount(text, minlength=len(texts))
+    letters, offsets = _LOWER[raw[own]], np.r_[0, np.cumsum(size)]
+    words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)])
+    n_bytes = np.diff(offsets[np.r_[0, np.cumsum(n_words)]]) + np.maximum(n_words, 1)
+    begins = np.r_[0, np.cumsum(n_bytes + depth)]
+    # before the separator behind a word are all letters up to it and a separator for each word
+    # before it, line feeds before its text and those before it, and the ends of empty texts
+    after = offsets[1:] + np.arange(len(size)) + (depth * np.arange(1, len(texts) + 1) + np.r_[0, np.cumsum(n_words == 0)[:-1]])[text]
+    data, of_word = np.full(begins[-1] + 8, 10, np.uint8), np.ones(begins[-1] + 8, bool)
+    before = (begins[:-1, None] + np.arange(depth)).ravel()
+    of_word[before] = False
+    of_word[begins[1:] - 1] = False
+    of_word[after] = False
+    of_word[-8:] = False
+    data[of_word] = letters
+    data[after] = 32
+    data[begins[1:] - 1] = 10
+    return data, before[depth:], words, n_words, n_bytes
+
+
+def spelt(words: pa.Array) -> list[bytes]:
+    """Words of an array, none of which is empty or holds a line feed."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), END)[0].as_py()
+    return joined.split(END) if len(words) else []
+
+
+class Places:
+    """Where keys stand in a sorted array of distinct ones that has them all.
+
+    A table has the place of each key whose slot no other key has; the others go on to the
+    next table, and few are left to search for.  A key that isn't there gets any place."""
+
+    #: Odd factors whose products' high bits are slots.
+    FACTORS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)))
+
+    def __init__(self, keys: np.ndarray):
+        self.tables, at = [], np.arange(len(keys), dtype=np.int32)
+        for factor in self.FACTORS:
+            bits = max(int(2 * len(keys)).bit_length(), 4)
+            shift = np.uint64(64 - bits)
+            table, more = np.full(1 << bits, -1, np.int32), np.ones(len(keys), bool)
+            blocks = [slice(i, i + LOOK) for i in range(0, len(keys), LOOK)]
+            slot = lambda own: ((keys[own] * factor) >> shift).view(np.int64)  # noqa: B023, E731
+            for own in blocks:
+                table[slot(own)] = at[own]
+            for own in blocks:
+                x = slot(own)
+                # the mark of a slot stays where its last key comes later
+                table[x[(table[x] != at[own])]] = -1
+            for own in blocks:
+                more[own] = table[slot(own)] < 0
+            self.tables.append((factor, shift, table))
+            keys, at = keys[more], at[more]
+        self.keys, self.at = keys, at
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = more = None
+        for factor, shift, table in self.tables:
+            got = table[((keys * factor) >> shift).view(np.int64)]
+            if out is None:
+                out, more = got, np.flatnonzero(got < 0)
+                keys = keys[more]
+            else:
+                out[more] = got
+                lost = got < 0
+                keys, more = keys[lost], more[lost]
+        if len(self.keys):
+            out[more] = self.at[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)]
+        return out
+
+
 class Bucket:
-    """The documents of one bucket, and what it asks for.  Texts stay in Arrow; only
-    a chunk of them at a time is taken apart."""
+    """The documents of one bucket, and what it asks for: the bytes of their texts, laid out a
+    chunk of documents at a time, and numbers of their words.  Keys are made of the bytes
+    whenever they are needed, a few at a time."""
 
     def __init__(self, table: pa.Table, shards: int, depth: int):
-        self.table, self.shards, self.depth = table.select(["doc_id", "text", "held_out"]), shards, depth
-
-    def chunks(self, size: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-        """Runs of documents of about ``size`` bytes, or one longer document: the
-        rows, their tokens, keys, each document's first key, and whether a key's byte
-        belongs to a document and not to the padding before it."""
-        before = END * self.depth
-        for batch in slices(self.table.to_batches(), "text", size):
-            tokens = [t.lower().split() for t in utf8(batch.column(1))]
-            parts = [before + b" ".join(own) + END for own in tokens]
-            starts = np.cumsum([0, *map(len, parts[:-1])])
-            keys = grams(b"".join(parts), self.depth)
-            own = np.ones(len(keys), bool)
-            own[(starts[1:, None] - np.arange(1, self.depth + 1)).ravel()] = False
-            yield batch, tokens, keys, starts, own
-
-    def asked(self) -> tuple[dict[bytes, int], np.ndarray]:
-        """Words with their training counts, and the sorted entries of all keys."""
-        words: Counter = Counter({END: 0})
-        held: list[np.ndarray] = []
-        for batch, tokens, keys, starts, own in self.chunks(CHUNK):
-            folds = batch.column(2).to_pylist()
-            for t, fold in zip(tokens, folds, strict=True):
-                if fold:
-                    words.update(dict.fromkeys(t, 0))
-                else:
-                    words.update(t)
-                    words[END] += 1
-            trained = np.repeat(~np.array(folds, bool), np.diff(np.r_[starts, len(keys)]))
-            held.append(entries(*counted([(keys << np.uint64(8) | trained)[own]])))
-            # like sizes are merged, so a key is moved a few times and the rest stays small
-            while len(held) > 1 and 2 * len(held[-1]) >= len(held[-2]):
-                held[-2:] = [entries(*counted(held[-2:]))]
-        return words, held[0] if len(held) == 1 else entries(*counted(held))
-
-    def by_shard(self, words: dict[bytes, int]) -> dict[int, list[bytes]]:
-        out: dict[int, list[bytes]] = {}
-        for w in sorted(words):
-            out.setdefault(xxhash.xxh3_64_intdigest(w) % self.shards, []).append(w)
+        self.shards, self.depth, self.chunks, words = shards, depth, [], []
+        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), "text", CHUNK):
+            data, padding, own, n_words, n_bytes = laid_out(batch.column(1), depth)
+            self.chunks.append((batch.column(0), batch.column(2), data, padding, n_words, n_bytes))
+            words.append(own.dictionary_encode())
+            del own
+        coded = pa.chunked_array(words).unify_dictionaries()
+        del words
+        self.words = [x.indices.to_numpy() for x in coded.chunks]
+        #: The distinct words in the order of their numbers, the end as the last one.
+        self.named = [*spelt(coded.chunk(0).dictionary), END]
+        del coded
+        trim()
+
+    def keys(self, data: np.ndarray, padding: np.ndarray) -> Iterator[np.ndarray]:
+        """The keys of a chunk's bytes but those before texts."""
+        size = len(data) - 8 - self.depth
+        for i in range(0, size, LOOK):
+            j = min(i + LOOK, size)
+            a, b = np.searchsorted(padding, (i + self.depth, j + self.depth))
+            keys = grams(data, i, j, self.depth)
+            yield np.delete(keys, padding[a:b] - (i + self.depth)) if a < b else keys
+
+    def found(self) -> np.ndarray:
+        """All distinct keys, sorted.  A table of those met last keeps most repeated ones from being sorted."""
+        last, shift, factor = np.full(1 << 18, ~np.uint64(0)), np.uint64(64 - 18), Places.FACTORS[0]
+        held, new, size = [], [], 0
+        for *_, data, padding, _, _ in self.chunks:
+            for keys in self.keys(data, padding):
+                slot = ((keys * factor) >> shift).view(np.int64)
+                new.append(keys[last[slot] != keys])
+                last[slot] = keys
+                size += len(new[-1])
+                if size >= SORTED:
+                    held.append(distinct(new))
+                    new, size = [], 0
+                    # like sizes are merged, so a key is moved a few times and the rest stays small
+                    while len(held) > 1 and 2 * len(held[-1]) >= len(held[-2]):
+                        held[-2:] = [distinct(held[-2:])]
+        del last
+        out = distinct([*held, *new])
+        del held, new
+        trim()
         return out
 
+    def asked_words(self) -> np.ndarray:
+        """Training counts of the words."""
+        out = np.zeros(len(self.named), np.int64)
+        for (_, folds, _, _, many, _), words in zip(self.chunks, self.words, strict=True):
+            train = trained(folds)
+            out += np.bincount(words[np.repeat(train, many)], minlength=len(out))
+            out[-1] += train.sum()
+        return out
+
+    def asked_keys(self) -> np.ndarray:
+        """The sorted entries of all keys."""
+        found = self.found()
+        places, n = Places(found), np.zeros(len(found), np.int64)
+        for _, folds, data, padding, _, n_bytes in self.chunks:
+            at, train = 0, np.repeat(trained(folds), n_bytes)
+            for keys in self.keys(data, padding):
+                np.add.at(n, places(keys)[train[at : at + len(keys)]], 1)
+                at += len(keys)
+        del places
+        return entries(found, n)
+
+    def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards with the numbers of their words, in the same order whatever the numbers are."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.named), np.uint64, len(self.named))
+        order = np.argsort(hashes)
+        if (hashes[order[1:]] == hashes[order[:-1]]).any():
+            order = np.array(sorted(range(len(hashes)), key=lambda i: (int(hashes[i]), self.named[i])))
+        for s, own in grouped((hashes[order] % np.uint64(self.shards)).astype(np.int64)):
+            yield s, order[own]
+
+
+def trained(folds: pa.Array) -> np.ndarray:
+    return ~folds.to_numpy(zero_copy_only=False).astype(bool)
+
+
+#: Keys that are sorted together at first.
+SORTED = 1 << 20
 
-def dealt(keys: np.ndarray, shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards with the places of their keys, by the last bytes of the context."""
-    ending = keys >> np.uint64(8) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
-    shard = (mix64(ending) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+
+def grouped(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with its places, in their order."""
+    order = np.argsort(shard, kind="stable")
     first, n = runs(shard[order])
     for at, many in zip(first.tolist(), n.tolist(), strict=True):
-        yield int(shard[order[at]]), order[at : at + many]
+        own = order[at : at + many]
+        yield int(shard[own[0]]), own
+
+
+def dealt(keys: np.ndarray, shards: int, depth: int, low: int = 8) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards with the places of their keys, by the last bytes of the context; ``low``: the
+    bits below it."""
+    shard = np.empty(len(keys), np.uint16 if shards < 1 << 16 else np.int64)
+    for i in range(0, len(keys), LOOK):
+        ending = keys[i : i + LOOK] >> np.uint64(low) & np.uint64((1 << 8 * max(depth - 2, 1)) - 1)
+        shard[i : i + LOOK] = mix64(ending) % np.uint64(shards)
+    yield from grouped(shard)
 
 
 _TYPES = {"shard": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "asked": pa.binary(), "counts": pa.binary(), "code": pa.int64(), "zeros": pa.float64(), "ones": pa.float64(), "log_p": pa.float64(), "n": pa.int64(), "v": pa.int64()}
@@ -240,9 +390,14 @@ def ask(shards: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         trim()
         bucket, at = Bucket(table, shards, depth), table.column("bucket")[0].as_py()
-        words, found = bucket.asked()
-        out = [(s, WORDS, packed_words(w), planes(np.array([words[x] for x in w], np.uint64))) for s, w in bucket.by_shard(words).items()]
-        out += [(s, GRAMS, packed_keys(found[own]), None) for s, own in dealt(found >> np.uint64(8), shards, depth)]
+        n_words = bucket.asked_words()
+        out = [(s, WORDS, packed_words([bucket.named[i] for i in own.tolist()]), planes(n_words[own].view(np.uint64))) for s, own in bucket.by_shard()]
+        bucket.named, bucket.words = [], []
+        found = bucket.asked_keys()
+        del bucket
+        out += [(s, GRAMS, packed_keys(found[own]), None) for s, own in dealt(found, shards, depth, 16)]
+        del found
+        trim()
         shard, kind, asked, n = zip(*out, strict=True)
         return rows_of({"shard": shard, "kind": kind, "bucket": [at] * len(out), "asked": asked, "counts": n}, len(out), _ASK_NAMES)
 
@@ -407,83 +562,51 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes lo
 _SCORE_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
-class Numbers(dict):
-    """Numbers words from 0 in the order in which they first come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def kinds_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, in the order of their hashes, and which of them each key is.
-
-    One sort of hashes with positions in their low bits brings equal keys together;
-    of keys that the other bits don't tell apart some may be listed more than once."""
-    n = len(keys)
-    bits = np.uint64(max(n - 1, 1).bit_length())
-    h = mix64(keys)
-    h >>= bits
-    h <<= bits
-    h |= np.arange(n, dtype=np.uint64)
-    h.sort()
-    h &= np.uint64((1 << int(bits)) - 1)
-    at = h.view(np.int64)
-    found = keys[at]
-    new = np.ones(n, bool)
-    np.not_equal(found[1:], found[:-1], out=new[1:])
-    which = np.empty(n, np.int32)
-    which[at] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    return found[new], which
-
-
 def distinct(parts: Sequence[np.ndarray]) -> np.ndarray:
     every = np.concatenate(parts)
     every.sort()
-    return every[runs(every)[0]]
+    new = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    return every[new]
 
 
 def score(shards: int, depth: int):
-    """One bucket's documents: texts are taken apart once, into numbers of words and of
-    kinds of keys; when the bucket's distinct keys are known, so is what each answer is for."""
+    """One bucket's documents: when the bucket's distinct words and keys are known, so is what
+    each answer is for, and then each word and each byte's key finds its own."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _SCORE.split(", ")]
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in _SCORE_TYPES], names=names)
         trim()
-        bucket, numbers, parts, held = Bucket(table, shards, depth), Numbers({END: 0}), [], []
-        for batch, tokens, keys, starts, own in bucket.chunks(LOOK):
-            sizes = np.array([len(t) for t in tokens], np.int64)
-            words = np.fromiter(map(numbers.__getitem__, chain.from_iterable(tokens)), np.int32, int(sizes.sum()))
-            mine = keys[own]
-            pieces = [kinds_of(mine[i : i + LOOK]) for i in range(0, len(mine), LOOK)]
-            parts.append((batch.column(0), batch.column(2), sizes, words, np.add.reduceat(own, starts, dtype=np.int64), pieces))
-            held.append(distinct([kinds for kinds, _ in pieces]))
-            while len(held) > 1 and 2 * len(held[-1]) >= len(held[-2]):
-                held[-2:] = [distinct(held[-2:])]
-        found = distinct(held)
-        del held
-        got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), strict=True), answers.column("asked").to_pylist(), strict=True))
-        counts = np.zeros(len(numbers), np.int64)
-        for s, own in bucket.by_shard(numbers).items():
-            counts[[numbers[w] for w in own]] = unplaned(got[WORDS, s], np.uint64)
+        bucket = Bucket(table, shards, depth)
+        del table
+        got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), strict=True), answers.column("asked"), strict=True))
+        counts = np.zeros(len(bucket.named), np.int64)
+        for s, own in bucket.by_shard():
+            counts[own] = unplaned(got[WORDS, s].as_buffer(), np.uint64)
+        bucket.named = []
+        found = bucket.found()
         log_p = np.empty(len(found), np.float32)
         for s, own in dealt(found, shards, depth):
-            log_p[own] = np.frombuffer(got[GRAMS, s], np.float32)
-        del got
-        hashes = mix64(found)
-        order = np.argsort(hashes)
-        hashes, log_p = hashes[order], log_p[order]
-        del found, order
+            log_p[own] = np.frombuffer(got[GRAMS, s].as_buffer(), np.float32)
+        del got, answers
+        places = Places(found)
+        del found
         known, logs = (counts > 0).astype(float), np.log10(counts + 1.0)
+        trim()
         out = []
-        for ids, folds, sizes, words, n_bytes, pieces in parts:
-            value = np.concatenate([log_p[np.searchsorted(hashes, mix64(kinds))][which] for kinds, which in pieces])
-            ends = np.r_[0, np.cumsum(sizes)]
-            n_known, log_counts = (np.diff(np.r_[0.0, np.cumsum(x[words])][ends]) + x[0] for x in (known, logs))
-            columns = (ids, folds, sizes + 1, np.rint(n_known).astype(np.int64), n_bytes, log_counts, np.add.reduceat(value, np.r_[0, np.cumsum(n_bytes)[:-1]], dtype=np.float64))
+        for (ids, folds, data, padding, n_words, n_bytes), words in zip(bucket.chunks, bucket.words, strict=True):
+            value, at = np.empty(n_bytes.sum(), np.float32), 0
+            for keys in bucket.keys(data, padding):
+                value[at : at + len(keys)] = log_p[places(keys)]
+                at += len(keys)
+            text = np.repeat(np.arange(len(ids)), n_words)
+            n_known, log_counts = (np.bincount(text, x[words], len(ids)) + x[-1] for x in (known, logs))
+            columns = (ids, folds, n_words + 1, np.rint(n_known).astype(np.int64), n_bytes, log_counts, np.add.reduceat(value, np.r_[0, np.cumsum(n_bytes)[:-1]], dtype=np.float64))
             out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _SCORE_TYPES, strict=True)], names=names))
+        del bucket, places, log_p, data, value, words
+        trim()
         return pa.Table.from_batches(out)
 
     return run
