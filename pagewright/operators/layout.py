@@ -82,12 +82,13 @@ def hierarchy_errors(headings: DataFrame) -> DataFrame:
 def chapters(blocks: DataFrame, title: str = "Book") -> DataFrame:
     """doc_id, chapter, title, n_blocks, body (XHTML) of blocks (doc_id, ord, tag, page, text): cut at h1 where there is one, else at pages.
     A chapter is called by its first heading, its page, the book if it's the first, or its number."""
-    own = Window.partitionBy("doc_id")
-    order = own.orderBy("ord")
-    rows = blocks.withColumn("_any", F.max((F.col("tag") == "h1").cast("int")).over(own) == 1)
+    # one order for all windows, so texts are sorted once
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("_any", F.max((F.col("tag") == "h1").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1)
     cut = F.when(F.col("_any"), F.col("tag") == "h1").otherwise(F.col("page") != F.lag("page").over(order))
-    rows = rows.withColumn("chapter", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("chapter", F.dense_rank().over(own.orderBy("chapter")) - 1)
+    rows = rows.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int"))
+    rows = rows.withColumn("chapter", (F.sum("_cut").over(so_far) - F.first("_cut").over(so_far)).cast("int"))
     head = F.when(F.col("tag").isin("h1", "h2", "h3"), F.struct("ord", "text"))
     html = F.concat(F.lit("<"), "tag", F.lit(">"), T.escape_html(F.coalesce("text", F.lit(""))), F.lit("</"), "tag", F.lit(">"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", html.alias("html")))), lambda x: x["html"]), "\n")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html import escape
 from itertools import accumulate, chain, groupby
 from operator import itemgetter
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,7 +43,7 @@ def plain(text: str) -> str:
 
 def headings(body: str) -> list[tuple[int, str, str]]:
     """(level, id, text) of the headings of a chapter's body that have an id."""
-    if not (_HEADING.search(body) and _NAMED.search(body)):
+    if "=" not in body or not (_HEADING.search(body) and _NAMED.search(body)):
         return []
     out: list[list] = []
     inside = False
@@ -212,6 +212,18 @@ def _plain_content(data: bytes, deflated: bool, begins: int, end: int, check: in
     return content if len(content) == size and zlib.crc32(content) == check else None
 
 
+@functools.lru_cache(16)
+def _short_content(packed: bytes, deflated: bool, check: int, size: int) -> bytes | None:
+    return _plain_content(packed, deflated, 0, len(packed), check, size)
+
+
+def _plain_member(data: bytes, name: str, member: tuple) -> bytes | None:
+    deflated, begins, end, check, size = member
+    if name in _SAME and end - begins < _SHORT and size < _SHORT:
+        return _short_content(data[begins:end], deflated, check, size)
+    return _plain_content(data, *member)
+
+
 def _base(member: str, ref: str) -> str:
     """What a reference is seen from: its file if it leads into it, the file's folder otherwise."""
     return member if ref[:1] in ("", "#", "?") else member.rpartition("/")[0]
@@ -242,7 +254,7 @@ def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict
         return out
     refs: dict[tuple[str, str], None] = {}
     for name in dict.fromkeys(m[0] for m in out["members"]):
-        content = _plain_content(data, *plain[name]) if plain else None
+        content = _plain_member(data, name, plain[name]) if plain else None
         if content is None:
             z = z or zipfile.ZipFile(io.BytesIO(data))
             try:
@@ -252,63 +264,94 @@ def read_package(data: bytes | None, most_bytes: int, most_entries: int) -> dict
                 continue
         if name == "mimetype":
             out["mimetype"] = content.decode("latin-1")
-        elif name.endswith(".css") and _LOADS.search(content):
-            out["css"].append(name)
+        elif name.endswith(".css"):
+            if _loads(content):
+                out["css"].append(name)
         elif name.endswith((".xml", ".opf", ".xhtml")):
-            try:
-                root = ElementTree.fromstring(content)
-            except (ElementTree.ParseError, ValueError):
+            found = _known(content) if name == CONTAINER and len(content) < _SHORT else elements(content)
+            if found is None:
                 out["broken"].append((name, "invalid_xml"))
-                continue
-            if name in (OPF, CONTAINER):
-                _declared(name, root, out)
+            elif name in (OPF, CONTAINER):
+                _declared(name, found[1], out)
             elif name.endswith(".xhtml"):
-                _referred(name, root, out, refs)
+                _referred(name, *found, out, refs)
     return out | {"refs": list(refs)}
 
 
-def _attributes(e: ElementTree.Element) -> dict[str, str]:
+def elements(content: bytes) -> tuple[frozenset[str], list[tuple[str, dict[str, str]]]] | None:
+    """The local names of an XML file's elements, and (local name, attributes) of those that
+    have any, in their order; nothing where it isn't well-formed or has an entity from elsewhere."""
+    parser, names, found = expat.ParserCreate(namespace_separator="}"), set(), []
+
+    def begins(name: str, attributes: dict[str, str]) -> None:
+        names.add(name)
+        if attributes:
+            found.append((name, attributes))
+
+    parser.StartElementHandler, parser.SkippedEntityHandler, parser.ExternalEntityRefHandler = begins, _elsewhere, lambda *_: 0
+    try:
+        parser.Parse(content, True)
+    except (expat.ExpatError, ValueError, LookupError):  # the latter two by encodings
+        return None
+    finally:  # it refers to itself by what it calls
+        parser.StartElementHandler = parser.SkippedEntityHandler = parser.ExternalEntityRefHandler = None
+    local = {name: _local(name) for name in names}
+    return frozenset(local.values()), [(local[name], _attributes(a)) for name, a in found]
+
+
+def _elsewhere(name: str, parameter: bool) -> None:
+    if not parameter:
+        raise ValueError(name)
+
+
+def _attributes(own: dict[str, str]) -> dict[str, str]:
     """By local names; of equal ones the first counts."""
-    if "}" not in "".join(e.attrib):
-        return e.attrib
+    if "}" not in "".join(own):
+        return own
     found: dict[str, str] = {}
-    for k, v in e.attrib.items():
+    for k, v in own.items():
         found.setdefault(_local(k), v)
     return found
 
 
-def _declared(name: str, root: ElementTree.Element, out: dict) -> None:
-    for e in root.iter():
-        if isinstance(e.tag, str) and e.attrib:
-            tag = _local(e.tag)
-            if name == CONTAINER and tag == "rootfile":
-                out["roots"].append(_attributes(e).get("full-path", ""))
-            elif name == OPF and tag == "item":
-                a = _attributes(e)
-                out["items"].append((a.get("id", ""), a.get("href", ""), a.get("properties", "")))
-            elif name == OPF and tag == "itemref":
-                out["spine"].append(_attributes(e).get("idref", ""))
-
-
-def _referred(name: str, root: ElementTree.Element, out: dict, refs: dict[tuple[str, str], None]) -> None:
-    active = False
-    for e in root.iter():
-        if not isinstance(e.tag, str):
-            continue
-        active = active or _local(e.tag) in ACTIVE
-        if e.attrib:
-            a = _attributes(e)
-            active = active or any(k[:2].lower() == "on" for k in a)
-            if a.get("id"):
-                out["anchors"].append(f"{name}#{a['id']}")
-            for k in ("href", "src"):
-                if k in a:
-                    refs[_base(name, a[k]), a[k]] = None
+def _declared(name: str, found: list[tuple[str, dict[str, str]]], out: dict) -> None:
+    for tag, a in found:
+        if name == CONTAINER and tag == "rootfile":
+            out["roots"].append(a.get("full-path", ""))
+        elif name == OPF and tag == "item":
+            out["items"].append((a.get("id", ""), a.get("href", ""), a.get("properties", "")))
+        elif name == OPF and tag == "itemref":
+            out["spine"].append(a.get("idref", ""))
+
+
+def _referred(name: str, tags: frozenset[str], found: list[tuple[str, dict[str, str]]], out: dict, refs: dict[tuple[str, str], None]) -> None:
+    active = not tags.isdisjoint(ACTIVE)
+    for _, a in found:
+        active = active or any(k[:2].lower() == "on" for k in a)
+        if a.get("id"):
+            out["anchors"].append(f"{name}#{a['id']}")
+        for k in ("href", "src"):
+            if k in a:
+                refs[_base(name, a[k]), a[k]] = None
     if active:
         out["active"].append(name)
 
 
 _LOADS = re.compile(rb"@import|\burl\s*\(", re.I)
+#: Bytes up to which what was found in members that are mostly the same is kept for the next package.
+_SHORT = 1 << 14
+_known = functools.lru_cache(16)(elements)
+
+
+@functools.lru_cache(16)
+def _short_loads(content: bytes) -> bool:
+    return bool(_LOADS.search(content))
+
+
+def _loads(content: bytes) -> bool:
+    return _short_loads(content) if len(content) < _SHORT else bool(_LOADS.search(content))
+
+
 _CONTENTS = "struct<size:long,mimetype:string,members:array<struct<name:string,stored:boolean,bytes:long>>,items:array<struct<id:string,href:string,properties:string>>,spine:array<string>,roots:array<string>,anchors:array<string>,refs:array<struct<base:string,ref:string>>,active:array<string>,broken:array<struct<member:string,why:string>>,css:array<string>>"
 
 
@@ -326,9 +369,10 @@ def resolved(folder: Column, path: Column) -> Column:
         shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         return F.when(part.isin("", "."), acc).when((part == up) & ~above, shorter).otherwise(F.array_append(acc, part))
 
-    parts = F.split(F.when((folder == "") | path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path)), "/")
-    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+    whole = F.when((folder == "") | path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))
+    joined = F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+    # most have no step that is empty or made of dots
+    return F.when(~whole.rlike(r"(^|/)\.{0,2}(/|$)"), whole).when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
 
 
 def package_faults(packages: DataFrame, contents: str, most_bytes: int = 100 << 20, most_entries: int = 1000) -> DataFrame:

@@ -61,3 +61,42 @@ def test_small_partitions_are_not_put_together(spark):
 def test_faults_are_judged_once(spark):
     plan = registry.queries()["V4_package_faults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "_contents" in x]
+
+
+XML = [
+    b"", b"<a>", b"<a/>", b"<a/><b/>", b"<a>&nbsp;</a>", b"<!DOCTYPE a><a>&nbsp;</a>", b'<!DOCTYPE a PUBLIC "x" "y.dtd"><a>&nbsp;</a>', b'<!DOCTYPE a PUBLIC "x" "y.dtd"><a href="&nbsp;q"/>',
+    b'<!DOCTYPE a [<!ENTITY e "<b id=\'1\' href=\'2\'/>">]><a>&e;&e;</a>', b'<!DOCTYPE a [<!ENTITY e SYSTEM "x">]><a>&e;</a>', b'<!DOCTYPE a [<!ENTITY % p SYSTEM "x"> %p;]><a href="z"/>', b'<!DOCTYPE a [<!ATTLIST a href CDATA "d">]><a/>',
+    b'<?xml version="1.0" encoding="cp1252"?><a href="\x80"/>', b'<?xml version="1.0" encoding="shift_jis"?><a/>', b"\xff\xfe<\0a\0/\0>\0", b"<a href='\xff'/>", b"<a>\0</a>", b'<x:a/>', b'<a href="1" href="2"/>',
+    b'<x:a xmlns:x="u" x:href="1" href="2" x:id="3"/>', b'<a xmlns:x="u}v" x:ONLOAD="1"><x:script/></a>', b'<?pi?><a><!-- <b id="1"/> --><![CDATA[<b id="2"/>]]></a>', b"<a id='1'><b id='1'/></a>t",
+]
+
+
+@pytest.mark.parametrize("content", XML)
+def test_elements_are_those_of_the_standard_librarys_tree(content):
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(content)
+    except (ElementTree.ParseError, ValueError):
+        assert package.elements(content) is None
+        return
+    local = lambda name: name.rsplit("}", 1)[-1]
+    names, found = package.elements(content)
+    assert names == {local(e.tag) for e in root.iter()}
+    assert found == [(local(e.tag), {local(k): v for k, v in [*e.attrib.items()][::-1]}) for e in root.iter() if e.attrib]
+
+
+def test_members_of_all_packages_are_parsed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(package, "expat", type("Seen", (), {"ExpatError": package.expat.ExpatError, "ParserCreate": lambda *a, real=package.expat, **k: seen.append(1) or real.ParserCreate(*a, **k)}))
+    both = [package.read_package(package.build(d, "T", [("t", "<p>1</p>")]), 1 << 20, 100) for d in "ab"]
+    assert both[0]["roots"] == both[1]["roots"] == [package.OPF] and len(seen) <= 7
+
+
+def test_texts_are_sorted_once_for_all_windows(spark):
+    from pagewright.operators import layout
+
+    blocks = spark.createDataFrame([(1, 0, "p", 1, "a"), (1, 1, "h1", 1, "b"), (1, 2, "p", 2, "c"), (2, 0, "h1", 1, "d"), (2, 5, "h1", 1, "e"), (3, 1, "p", 1, "f"), (3, 2, "h2", 3, "g")], "doc_id long, ord int, tag string, page int, text string")
+    got = layout.chapters(blocks)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") and got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.doc_id, r.chapter, r.n_blocks, r.title) for r in got.collect()) == [(1, 0, 1, layout.PAGE_TITLE + "1"), (1, 1, 2, "b"), (2, 0, 1, "d"), (2, 1, 1, "e"), (3, 0, 1, layout.PAGE_TITLE + "1"), (3, 1, 1, "g")]
