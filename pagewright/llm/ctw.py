@@ -242,8 +242,8 @@ class Places:
                 table[slot(own)] = at[own]
             for own in blocks:
                 x = slot(own)
-                # the mark of a slot stays where its last key comes later
-                table[x[(table[x] != at[own])]] = -1
+                # a slot that another key has taken is nobody's
+                table[x[table[x] != at[own]]] = -1
             for own in blocks:
                 more[own] = table[slot(own)] < 0
             self.tables.append((factor, shift, table))
